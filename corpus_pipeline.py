@@ -1,17 +1,84 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: quality rules, near-duplicates, benchmark leaks, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept and returns the columns of ``documents``; the
+last returns packed pieces. Stages tell rows apart by their place in ``docs``, which is a table that doesn't change while it is
+read, so repeated rows and null ids need no care. No stage has SQL: fingerprints, entropies and tokens can't be written in it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldmark.llm.common import materialise
+from fieldmark.llm.decontaminate import find_leaks
+from fieldmark.llm.packing import pack_documents
+from fieldmark.llm.quality import judge
+from fieldmark.llm.secrets import find_secrets
+from fieldmark.llm.simhash import near_duplicates
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Row numbers to remove are broadcast up to so many (8 bytes each) and joined by a shuffle beyond.
+BROADCAST_ROWS = 500_000
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row in place of doc_id, for the operators."""
+    return docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", "lang")
+
+
+def _without(docs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The documents but for the rows of those numbers (column doc_id)."""
+    gone = materialise(numbers.select(F.col("doc_id").alias("gone_")).distinct(), "gone").df
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_"))
+    return rows.join(gone, F.col("row_") == F.col("gone_"), "left_anti").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return _without(docs, judge(_rows(docs)).filter(~F.col("kept")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first row of each group of near-duplicates."""
+    return _without(docs, near_duplicates(_rows(docs)).filter(F.col("doc_id") != F.col("component_id")))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return _without(docs, find_leaks(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret and n_chars counted anew; a null text stays null."""
+    found = find_secrets(docs, redact="[secret]", carry=["lang", "source"])
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of packed sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("redact_secrets", redact_secrets),
+    ("pack", pack),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations_with_replacement
@@ -15,16 +16,19 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm.common import materialise, small_batches, str_column
 
-#: Entries of a worker's memory of word ids; at this many it starts anew.
-KNOWN_WORDS = 400_000
+#: Entries of a worker's memory of word ids; beyond so many it starts anew.
+KNOWN_WORDS = 1_000_000
 #: Characters that Python takes for white space and the tokenizer doesn't.
 ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+#: Punctuation that the tokenizer cuts off a word's letters.
+STOPS = ".,;:!?"
 
 
 class WordIds(dict):
     """Little-endian unsigned 32-bit ids of a piece of text between white space, asked of the tokenizer once.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are those of its pieces in turn.
+    The tokenizer drops white space and never joins characters across it, so a text's ids are those of its pieces in turn. It
+    also takes a run of letters and a run of punctuation each for itself, so a word's ids are those of its letters and its stops.
     """
 
     def __init__(self, path: str) -> None:
@@ -33,20 +37,38 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
         self[piece] = ids = self.whole(piece)
         return ids
 
-    def of(self, text: str) -> bytes:
-        if not ODD_SPACE.isdisjoint(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, pieces: set[str]) -> None:
+        """Ask for all pieces that aren't known yet, those of letters in one call."""
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > KNOWN_WORDS:
+            self.clear()
+            new = list(pieces)
+        cores = {p: core for p in new if (core := p.rstrip(STOPS)).isalpha()}
+        words = list({c for c in cores.values() if c not in self})
+        data = self.whole(" ".join(words))
+        ends = (4 * np.flatnonzero(self.ends_word[np.frombuffer(data, "<u4")]) + 4).tolist()
+        if len(ends) == len(words):
+            for word, a, b in zip(words, [0, *ends], ends):
+                self[word] = data[a:b]
+        for p, core in cores.items():
+            if len(core) < len(p):
+                self[p] = self[core] + self[p[len(core) :]]
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        pieces = [None if not ODD_SPACE.isdisjoint(text) else text.split() for text in texts]
+        self.learn(set().union(*[p for p in pieces if p]))
+        return [self.whole(text) if p is None else b"".join(map(self.__getitem__, p)) for text, p in zip(texts, pieces, strict=True)]
 
 
 @cache
@@ -185,8 +207,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
         for batch in small_batches(batches, 1024):
             rows: list[list] = [[] for _ in names]
             at: list[int] = []
-            for i, text in enumerate(str_column(batch, "text")):
-                data = ids.of(text) + end
+            for i, data in enumerate(ids.of_all(str_column(batch, "text"))):
+                data += end
                 for piece, a in enumerate(range(0, len(data), 4 * capacity)):
                     cut = data[a : a + 4 * capacity]
                     n = len(cut) // 4

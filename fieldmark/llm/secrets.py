@@ -107,15 +107,16 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def find_secrets(docs: DataFrame, rule: EntropyRule = EntropyRule(), redact: str | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, rule: EntropyRule = EntropyRule(), redact: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and found (array of kind, start, end, value).
 
     ``redact``: if given, a column ``redacted`` has the text in which that string stands in place of each run of overlapping spans.
-    Places are code points, ends exclusive. A null text is empty and has no spans; its redacted text is null. Repeated rows are
+    ``carry``: columns to hand on as they are. Places are code points, ends exclusive. A null text is empty and has no spans; its redacted text is null. Repeated rows are
     scanned each for itself. Other columns are ignored. No rows: no rows.
     """
     span = "kind: string, start: long, end: long, value: string"
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<{span}>>, redacted string"
+    also = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {also}n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<{span}>>, redacted string"
     out_schema = pa.schema([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("found", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))), ("redacted", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +133,9 @@ def find_secrets(docs: DataFrame, rule: EntropyRule = EntropyRule(), redact: str
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             arrays = [pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *out_schema.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *arrays], ["doc_id", *carry, *out_schema.names])
 
-    rows = docs.select(F.col("doc_id"), F.col("text")).mapInArrow(scan, schema)
+    rows = docs.select(F.col("doc_id"), F.col("text"), *carry).mapInArrow(scan, schema)
     return rows if redact is not None else rows.drop("redacted")
 
 
