@@ -29,6 +29,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldmark.llm.licenses import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir)).drop("blocks")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldmark.llm.secrets import find_secrets
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
+    "op5_licenses": op5_licenses,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
