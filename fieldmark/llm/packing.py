@@ -42,7 +42,7 @@ class WordIds(dict):
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         self[piece] = ids = self.whole(piece)
@@ -56,7 +56,7 @@ class WordIds(dict):
             new = list(pieces)
         cores = {p: core for p in new if (core := p.rstrip(STOPS)).isalpha()}
         words = list({c for c in cores.values() if c not in self})
-        data = self.whole(" ".join(words))
+        data = b"".join(self.whole(" ".join(words[at : at + 4000])) for at in range(0, len(words), 4000))
         ends = (4 * np.flatnonzero(self.ends_word[np.frombuffer(data, "<u4")]) + 4).tolist()
         if len(ends) == len(words):
             for word, a, b in zip(words, [0, *ends], ends):
