@@ -55,6 +55,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldmark.llm.html import extract_text
+
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldmark.llm.lm import score_documents
+
+    return score_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
@@ -63,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
+    "op9_html": op9_html,
+    "op10_lm": op10_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
