@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldmark.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldmark.llm.quality import judge
 
@@ -69,6 +75,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_repeats": op2_repeats,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
