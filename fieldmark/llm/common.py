@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send texts to Python in batches of so many rows, unless the session asks for fewer: a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialise(df: DataFrame, tag: str) -> Table:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession

@@ -19,6 +19,7 @@ from fieldmark.llm.common import materialise, small_batches, str_column
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
+UNSEEN = frozenset("script style template noscript".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr caption figcaption summary".split())
 NEVER = frozenset("head script style noscript template nav aside form button select option textarea iframe object svg math canvas video audio footer dialog menu input title noembed noframes xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -88,7 +89,7 @@ def parse(page: str) -> Node:
         if m.start() > at:
             stack[-1].items.append(page[at : m.start()])
         at = m.end()
-        block = tag not in INLINE
+        block = tag not in INLINE and tag not in UNSEEN
         if ends:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
