@@ -14,61 +14,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import materialise, small_batches, str_column
+from fieldmark.llm.common import materialise, small_arrow_batches
+from fieldmark.llm.words import grouped, words_of
 
-#: Entries of a worker's memory of word ids; beyond so many it starts anew.
-KNOWN_WORDS = 1_000_000
-#: Characters that Python takes for white space and the tokenizer doesn't.
-ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+#: Words that a worker remembers; beyond so many it starts anew.
+KNOWN_WORDS = 2_000_000
 #: Punctuation that the tokenizer cuts off a word's letters.
 STOPS = ".,;:!?"
 
 
-class WordIds(dict):
-    """Little-endian unsigned 32-bit ids of a piece of text between white space, asked of the tokenizer once.
+class WordIds:
+    """Ids of words between white space, asked of the tokenizer once and then looked up by hash.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are those of its pieces in turn. It
-    also takes a run of letters and a run of punctuation each for itself, so a word's ids are those of its letters and its stops.
+    The tokenizer drops white space, never joins characters across it and takes A-Z as a-z, so a text's ids are those of its words in
+    turn. It also takes a run of letters and a run of punctuation each for itself, so a word's ids are those of its letters and
+    its stops.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stops: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = self.whole(piece)
-        return ids
-
-    def learn(self, pieces: set[str]) -> None:
-        """Ask for all pieces that aren't known yet, those of letters in one call."""
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > KNOWN_WORDS:
-            self.clear()
-            new = list(pieces)
-        cores = {p: core for p in new if (core := p.rstrip(STOPS)).isalpha()}
-        words = list({c for c in cores.values() if c not in self})
-        data = b"".join(self.whole(" ".join(words[at : at + 4000])) for at in range(0, len(words), 4000))
+    def ask(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; those of letters, with or without stops behind them, are asked in one call."""
+        out: list[bytes] = [b""] * len(words)
+        cores = [w.rstrip(STOPS) for w in words]
+        plain = list(dict.fromkeys(c for c in cores if c.isalpha()))
+        data = b"".join(self.whole(" ".join(plain[at : at + 4000])) for at in range(0, len(plain), 4000))
         ends = (4 * np.flatnonzero(self.ends_word[np.frombuffer(data, "<u4")]) + 4).tolist()
-        if len(ends) == len(words):
-            for word, a, b in zip(words, [0, *ends], ends):
-                self[word] = data[a:b]
-        for p, core in cores.items():
-            if len(core) < len(p):
-                self[p] = self[core] + self[p[len(core) :]]
-
-    def of_all(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if not ODD_SPACE.isdisjoint(text) else text.split() for text in texts]
-        self.learn(set().union(*[p for p in pieces if p]))
-        return [self.whole(text) if p is None else b"".join(map(self.__getitem__, p)) for text, p in zip(texts, pieces, strict=True)]
+        known = {w: data[a:b] for w, a, b in zip(plain, [0, *ends], ends)} if len(ends) == len(plain) else {}
+        for i, (w, core) in enumerate(zip(words, cores, strict=True)):
+            ids = known.get(core)
+            if ids is None:
+                out[i] = self.whole(w)
+            elif len(core) == len(w):
+                out[i] = ids
+            else:
+                tail = w[len(core) :]
+                if tail not in self.stops:
+                    if len(self.stops) >= 10_000:
+                        self.stops.clear()
+                    self.stops[tail] = self.whole(tail)
+                out[i] = ids + self.stops[tail]
+        return out
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Remember new words; their hashes ascend."""
+        found = self.ask(words)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        data = np.frombuffer(b"".join(found), "<u4")
+        if self.used + len(data) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(len(data) + self.used // 2, "<u4")])
+        self.ids[self.used : self.used + len(data)] = data
+        start = np.cumsum(size) - size + self.used
+        self.used += len(data)
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.start, self.size = (np.insert(old, at, new) for old, new in ((self.hash, hashes), (self.start, start), (self.size, size)))
+
+    def _unknown(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.ones(len(hashes), bool)
+        return self.hash[np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)] != hashes
+
+    def of_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        words = words_of(texts)
+        unique, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        new = self._unknown(unique)
+        if len(self.hash) + np.count_nonzero(new) > KNOWN_WORDS:
+            self.clear()
+            new[:] = True
+        at = first[new]
+        self.learn(unique[new], [words.data[a:b].decode("utf-8", "replace") for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
+        place = np.searchsorted(self.hash, unique)
+        size = self.size[place][back]
+        ends = np.cumsum(size)
+        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[place][back] - (ends - size), size)]
+        cuts = np.concatenate([[0], ends])[np.searchsorted(words.row, np.arange(len(texts) + 1))].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @cache
@@ -195,6 +232,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     Pieces of one length are numbered by input partition and place there, and a recipe takes a range of those numbers, so no
     sort or shuffle of the documents is needed. Other columns are ignored. No rows: no rows.
     """
+    small_arrow_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part_ int, local_ long"
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part_", "local_"]
     end = np.array([end_id], "<u4").tobytes()
@@ -204,11 +242,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
 
         ids, part = word_ids(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in small_batches(batches, 1024):
+        for batch, texts in grouped(batches):
             rows: list[list] = [[] for _ in names]
             at: list[int] = []
-            for i, data in enumerate(ids.of_all(str_column(batch, "text"))):
-                data += end
+            for i, found in enumerate(ids.of_all(texts)):
+                data = found.tobytes() + end
                 for piece, a in enumerate(range(0, len(data), 4 * capacity)):
                     cut = data[a : a + 4 * capacity]
                     n = len(cut) // 4
