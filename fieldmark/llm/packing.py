@@ -17,12 +17,25 @@ from pyspark.sql import functions as F
 from fieldmark.llm.common import materialise, small_arrow_batches
 from fieldmark.llm.words import grouped, words_of
 
-#: Words that a worker remembers; beyond so many it starts anew.
-KNOWN_WORDS = 2_000_000
+#: Words that a task remembers; beyond so many it starts anew.
+KNOWN_WORDS = 1_000_000
 #: Punctuation that the tokenizer cuts off a word's letters.
 STOPS = ".,;:!?"
 
 
+@cache
+def tokenizer_of(path: str):
+    """The tokenizer, and for each id whether it ends a word; read once by each worker."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    vocabulary = tokenizer.get_vocab()
+    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return tokenizer, ends_word
+
+
 class WordIds:
     """Ids of words between white space, asked of the tokenizer once and then looked up by hash.
 
@@ -32,13 +45,7 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tokenizer, self.ends_word = tokenizer_of(path)
         self.stops: dict[str, bytes] = {}
         self.clear()
 
@@ -108,11 +115,6 @@ class WordIds:
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-@cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 class Recipe(NamedTuple):
     """``repeats`` sequences, each of ``copies`` pieces for each of these lengths, one after another."""
 
@@ -240,7 +242,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, part = word_ids(tokenizer_path), TaskContext.get().partitionId()
+        ids, part = WordIds(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch, texts in grouped(batches):
             rows: list[list] = [[] for _ in names]

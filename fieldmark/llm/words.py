@@ -12,7 +12,7 @@ from fieldmark.llm.common import utf8_column
 from fieldmark.llm.shards import DOWN, U64, UP, mix
 
 #: Bytes of text that are worked on at a time; longer texts are cut at white space.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _BYTE = np.random.default_rng(2).integers(1, 1 << 64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _SPACE = np.zeros(256, bool)
