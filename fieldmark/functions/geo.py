@@ -67,7 +67,7 @@ def centroid_lat(rings: Column) -> Column:
         return _sum(part) / 3 + o["y"] * _doubled(ring)
 
     sign = lambda ring, i: F.when(i == 0, 1.0).otherwise(-1.0) * F.signum(_doubled(ring))
-    return _sum(F.transform(rings, lambda r, i: sign(r, i) * moment(r))) / _sum(F.transform(rings, lambda r, i: sign(r, i) * _doubled(r)))
+    return F.try_divide(_sum(F.transform(rings, lambda r, i: sign(r, i) * moment(r))), _sum(F.transform(rings, lambda r, i: sign(r, i) * _doubled(r))))
 
 
 def area_km2(rings: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions import geo, text
 from fieldmark.operators import analytics, ingest, metrics, serving, summary, views
 from fieldmark.sources.testdata import Domain, prelude
+from fieldmark.streaming.ingest import monthly_counts, requests_in_window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -276,6 +278,23 @@ query("numbers_in_documents", r"SELECT doc_id, CAST(len(list_distinct(list_trans
     lambda w: w.raw("documents").select("doc_id", F.size(text.numbers_in(F.col("text"))).cast("long").alias("numbers"))
 )
 
+query("requests_in_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")(
+    lambda w: requests_in_window(w.raw("events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600).select("event_id", "in_window")
+)
+
+
+def _streamed(w: World) -> DataFrame:
+    """Events of the table read as a stream until its end, counted by type and month."""
+    raw = w.raw("events")
+    stream = w.spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(w.sf_dir)
+    name = f"counts_{uuid.uuid4().hex}"
+    counts = monthly_counts(stream, "ts", ["event_type"]).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    counts.awaitTermination()
+    return w.spark.table(name)
+
+
+query("streamed_monthly_counts", "SELECT event_type, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n FROM events GROUP BY 1, 2")(_streamed)
+
 # --- metrics --------------------------------------------------------------------------------------------------------------------
 
 P = prelude("predictions")
