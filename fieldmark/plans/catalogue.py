@@ -164,12 +164,12 @@ query("invasive_species_search", f"{BASE} SELECT s.id, s.scientific_name, s.comm
 query("playbooks_list", f"{BASE} SELECT s.scientific_name, p.method, p.design, p.doi FROM playbooks p JOIN species s ON s.id = p.species_id WHERE p.verified")(
     lambda w: w.playbooks.filter("verified").join(w.species.select(F.col("id").alias("species_id"), "scientific_name"), "species_id").select("scientific_name", "method", "design", "doi")
 )
-query("top_species", f"{BASE} SELECT species_id, sum(records) AS records FROM summary GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda w: serving.top(w.summary.groupBy("species_id").agg(F.sum("records").alias("records")), 10, F.desc("records"), "species_id"))
+query("top_species", f"{BASE} SELECT species_id, CAST(sum(records) AS BIGINT) AS records FROM summary GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda w: serving.top(w.summary.groupBy("species_id").agg(F.sum("records").alias("records")), 10, F.desc("records"), "species_id"))
 
 # --- analytics ------------------------------------------------------------------------------------------------------------------
 
 query("zone_totals", f"{BASE} SELECT zone_id, count(*) AS records, count(DISTINCT species_id) AS species FROM detections GROUP BY 1")(lambda w: w.detections.groupBy("zone_id").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("species_id").alias("species")))
-query("documented_findings", f"""{BASE} SELECT z.id AS zone_id, f.species_id, f.finding_type, f.certainty, f.doi, coalesce(s.records, 0) AS records, coalesce(s.records, 0) > 0 AS recorded
+query("documented_findings", f"""{BASE} SELECT CAST(z.id AS BIGINT) AS zone_id, f.species_id, f.finding_type, f.certainty, f.doi, coalesce(s.records, 0) AS records, coalesce(s.records, 0) > 0 AS recorded
     FROM findings f CROSS JOIN zones z LEFT JOIN summary s ON s.zone_id = z.id AND s.species_id = f.species_id WHERE f.verified AND (f.zone_id = z.id OR f.zone_id IS NULL AND s.records > 0)""")(lambda w: analytics.documented_findings(w.findings, w.summary))
 PAIR_CELLS = """, per AS (SELECT d.zone_id, CAST(floor(lon / CAST(0.05 AS DOUBLE)) AS INT) AS cx, CAST(floor(lat / CAST(0.05 AS DOUBLE)) AS INT) AS cy, d.species_id, count(*) AS n, bool_or(o.is_invasive AND o.origin_class = 'alien' AND d.species_id IN (SELECT species_id FROM researched)) AS inv,
       bool_or(coalesce(o.origin_class IN ('alien', 'uncertain'), false)) AS odd FROM detections d JOIN zones z ON z.id = d.zone_id LEFT JOIN origin o ON o.species_id = d.species_id AND o.country = z.country GROUP BY 1, 2, 3, 4),
