@@ -24,24 +24,23 @@ class TemplateRules:
     share: float = 0.8
 
 
-def marked(text: Column, values: bool) -> Column:
-    """Template words of a text; with ``values``, a placeholder is followed by what it stands for.
+def marked(text: Column) -> Column:
+    """Template words of a text; a placeholder is its mark and what it stands for.
 
     Numbers are digits, with signs between digits taken out (1,000 and 3.14); units are fixed words after a number; names are
     capitalised words that begin no sentence. All else is in lower case without punctuation.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
     t = F.regexp_replace(t, r"(\d)[.,:/](?=\d)", "$1")
-    t = F.regexp_replace(t, r"([\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", "$1" + NAME + ("$2" if values else " "))
-    t = F.regexp_replace(t, r"\d+", NUMBER + ("$0" if values else " "))
-    # a unit follows the number's digits or its bare mark
-    t = F.regexp_replace(F.lower(t), rf"(\x02\d*[ -]{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))}|[%$€£])(?![\p{{L}}\p{{M}}])", "$1 " + UNIT + ("$2" if values else " "))
-    return F.array_remove(F.split(t, r"[^\p{L}\p{M}\p{Nd}\x01-\x03%$€£]+|(?<![\x03])[%$€£]+"), "")
+    t = F.regexp_replace(t, r"([\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", f"$1{NAME}$2")
+    t = F.regexp_replace(t, r"\d+", f"{NUMBER}$0")
+    t = F.regexp_replace(F.lower(t), rf"(\x02\d+[ -]{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))})([^\p{{L}}\p{{M}}]|$)", f"$1 {UNIT}$2$3")
+    return F.array_remove(F.split(t, r"[^\p{L}\p{M}\p{Nd}\x01-\x03]+"), "")
 
 
 def canonical(words: Column) -> Column:
-    """Placeholders without what they stand for."""
-    return F.transform(words, lambda w: F.when(w.startswith(NAME), F.lit(NAME)).when(w.startswith(NUMBER), F.lit(NUMBER)).when(w.startswith(UNIT), F.lit(UNIT)).otherwise(w))
+    """Placeholders without what they stand for: their marks are the least of all characters that words begin with."""
+    return F.transform(words, lambda w: F.when(w < "\x04", F.substring(w, 1, 1)).otherwise(w))
 
 
 # Windows are exploded with the outer form: the plain one makes the optimizer infer a filter on the array, which it pushes below
@@ -55,7 +54,7 @@ def window_hashes(words: str, width: int) -> Column:
 
 def item_windows(items: DataFrame, rules: TemplateRules) -> DataFrame:
     """(item_id, at, h) of the windows with enough literal words; of all windows of an item where none has enough."""
-    df = items.select(F.col("item_id"), marked(F.col("text"), False).alias("w")).withColumn("h", window_hashes("w", rules.width))
+    df = items.select(F.col("item_id"), canonical(marked(F.col("text"))).alias("w")).withColumn("h", window_hashes("w", rules.width))
     df = df.select("item_id", "w", F.posexplode_outer("h").alias("at", "h"))
     literal = F.size(F.filter(F.slice("w", F.col("at") + 1, rules.width), lambda x: ~x.rlike(r"^[\x01-\x03]")))
     df = df.select("item_id", "at", "h", (literal >= F.least(F.lit(rules.literals), F.size("w"))).alias("good"))
@@ -76,7 +75,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     sizes = windows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
     one = windows.groupBy("h").agg(F.min("at").alias("at_"))  # a window's hash is looked up once, then given to its items
     small = windows.count() <= broadcast_rows
-    own = docs.select(F.col("doc_id"), marked(F.col("text"), False).alias("w")).select("doc_id", window_hashes("w", rules.width).alias("hs"))
+    own = docs.select(F.col("doc_id"), canonical(marked(F.col("text"))).alias("w")).select("doc_id", window_hashes("w", rules.width).alias("hs"))
     seen = own.select("doc_id", F.posexplode_outer("hs").alias("place", "h"))
     hashes = one.select(F.col("h").alias("h_"))
     found = materialise(seen.join(F.broadcast(hashes) if small else hashes, F.col("h") == F.col("h_")).select("doc_id", "place", "h"), "found").df
@@ -90,8 +89,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
 
     wanted = full.select(F.col("d_")).distinct()
     texts = docs.select(F.col("doc_id"), F.col("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")), "left_semi")
-    texts = texts.select(F.col("doc_id").alias("d_"), marked(F.col("text"), True).alias("dw"))
-    words = items.select(F.col("item_id").alias("i_"), marked(F.col("text"), True).alias("iw"))
+    texts = texts.select(F.col("doc_id").alias("d_"), marked(F.col("text")).alias("dw"))
+    words = items.select(F.col("item_id").alias("i_"), marked(F.col("text")).alias("iw"))
     lines = lines.join(words, F.col("item_id") == F.col("i_")).join(texts, F.col("doc_id").eqNullSafe(F.col("d_")))
 
     def slots(x: Column) -> Column:

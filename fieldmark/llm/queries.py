@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldmark.llm.oracles import leaks_sql, licenses_sql, quality_sql
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +29,8 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldmark.llm.quality import judge
 
-    return judge(documents(spark, sf_dir))
+    rows = judge(documents(spark, sf_dir))
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm": op10_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_quality": quality_sql(), "op4_decontamination": leaks_sql(), "op5_licenses": licenses_sql()}
