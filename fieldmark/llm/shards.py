@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 U64 = np.uint64
@@ -80,6 +81,7 @@ def load(uri: str) -> dict[str, np.ndarray]:
         os.unlink(own)
     else:
         data = np.memmap(path, np.uint8, "r")
+    data = np.asarray(data)  # a plain array over the mapped pages
     n = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + n].tobytes())
     return {name: data[8 + n + at : 8 + n + at + np.dtype(kind).itemsize * size].view(kind) for name, (kind, size, at) in head.items()}
@@ -116,12 +118,26 @@ class Sums:
 BLOB = "shard long, a binary, b binary, c binary"
 
 
+def packed(a: np.ndarray) -> bytes:
+    """An integer array in few bytes: differences of neighbours, all their first bytes, then all second ones, and so on, compressed."""
+    wide = a.astype(U64)
+    planes = np.diff(wide, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(len(a).to_bytes(8, "little") + planes.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(data, np.uint8, offset=8).reshape(8, n).T
+    return np.cumsum(np.ascontiguousarray(planes).view(U64).ravel(), dtype=U64).astype(kind)
+
+
 def blobs(shard: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each shard with its part of the columns; ``shard`` must ascend."""
     cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
     for a, b in zip(cuts, cuts[1:]):
         if a < b:
-            data = [*[c[a:b].tobytes() for c in columns], *[b""] * (3 - len(columns))]
+            data = [*[packed(c[a:b]) for c in columns], *[b""] * (3 - len(columns))]
             yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int64()), *[pa.array([x], pa.binary()) for x in data]], ["shard", "a", "b", "c"])
 
 
@@ -135,7 +151,7 @@ def by_shard(batches: Iterator[pa.RecordBatch], kinds: tuple[type, ...]) -> Iter
                 if now is not None:
                     yield now, sums.result()
                 now, sums = shard, Sums()
-            sums.add(*[np.frombuffer(batch.column(1 + k)[i].as_py(), kind) for k, kind in enumerate(kinds)])
+            sums.add(*[unpacked(batch.column(1 + k)[i].as_py(), kind) for k, kind in enumerate(kinds)])
     if now is not None:
         yield now, sums.result()
 
@@ -146,6 +162,6 @@ def power_of_two(n: float) -> int:
 
 
 def spread(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.repartition(max(1, min(shards, 4096)), "shard").sortWithinPartitions("shard")
+    return rows.repartition(max(1, min(shards, 50_000)), "shard").sortWithinPartitions("shard")
 
 
