@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -165,3 +165,64 @@ def linear_head(embeddings: DataFrame, weights: np.ndarray, bias: np.ndarray, te
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "predicted": np.where(top >= threshold, best, -1), "probability": top})
 
     return embeddings.select("vec_id", "embedding").mapInPandas(predict, "vec_id long, predicted long, probability double")
+
+
+def dangerous_by_kind(rows: DataFrame, danger: int = 1) -> DataFrame:
+    """Per kind, of the rows that are truly harmless those named the dangerous class; an unknown answer is never dangerous."""
+    harmless = rows.filter(F.col("truth") != danger)
+    df = harmless.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == danger).alias("wrong"))
+    low, high = wilson(F.col("wrong"), F.col("n"))
+    return df.withColumn("low", low).withColumn("high", high)
+
+
+def safe_threshold(rows: DataFrame, budget: float = 0.05, steps: int = 100, danger: int = 1) -> DataFrame:
+    """The lowest step at which no kind's dangerous rate is over the budget; null if there is none.
+
+    Errors are summed by kind and step first; a step's errors are those of confidence at or above it.
+    """
+    step = F.floor(F.col("confidence") * steps).cast("long")
+    per = rows.filter(F.col("truth") != danger).groupBy("kind", step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == danger).alias("wrong"))
+    w = Window.partitionBy("kind").orderBy("t").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    kinds = per.groupBy("kind").agg(F.sum("n").alias("all"))
+    grid = kinds.select("kind", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("t"))
+    df = grid.join(per.withColumnRenamed("s", "t"), ["kind", "t"], "left").withColumn("above", F.coalesce(F.sum("wrong").over(w), F.lit(0)))
+    return df.groupBy("t").agg(F.max(F.col("above") / F.col("all").cast("double")).alias("worst")).filter(F.col("worst") <= budget).agg(F.min("t").alias("t"))
+
+
+def log_loss(rows: DataFrame, temperatures: list[float]) -> DataFrame:
+    """Mean log loss of (logits, truth) at each temperature, all in one pass."""
+    t = F.explode(F.array(*[F.lit(float(x)) for x in temperatures])).alias("temperature")
+    z = F.transform("logits", lambda x: x / F.col("temperature"))
+    top = F.array_max(z)
+    total = F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))) + top
+    return rows.select("logits", "truth", t).groupBy("temperature").agg(F.avg(total - F.get(z, F.col("truth"))).alias("loss"))
+
+
+def fit_temperature(rows: DataFrame, low: float = 0.05, high: float = 20.0, points: int = 21, rounds: int = 5) -> float:
+    """The temperature of least log loss: a grid in the logarithm, narrowed around its best point a few times; one job for each round."""
+    a, b = np.log(low), np.log(high)
+    for _ in range(rounds):
+        grid = np.exp(np.linspace(a, b, points))
+        loss = {r["temperature"]: r["loss"] for r in log_loss(rows, grid.tolist()).collect()}  # points rows
+        best = min(range(points), key=lambda i: (loss[grid[i]], i))
+        a, b = np.log(grid[max(best - 1, 0)]), np.log(grid[min(best + 1, points - 1)])
+    return float(np.exp((a + b) / 2))
+
+
+def group_split(sizes: DataFrame, shares: tuple[float, ...] = (0.7, 0.15, 0.15), seed: int = 0) -> DataFrame:
+    """(group, part): whole groups, in an order fixed by seed, each to the part with the most room left.
+
+    Greedy over groups, which are few beside the rows: ``sizes`` has (label, group, n), and labels are split each for itself.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "order"], ascending=[False, True])
+        room, part = np.array(shares) * pdf["n"].sum(), []
+        for n in pdf["n"]:
+            part.append(int(np.argmax(room)))
+            room[part[-1]] -= n
+        return pdf.assign(part=part)[["label", "group", "part"]]
+
+    df = sizes.withColumn("order", F.xxhash64(F.col("group").cast("string"), F.lit(seed)))
+    kinds = {f.name: f.dataType.simpleString() for f in sizes.schema}
+    return df.groupBy("label").applyInPandas(one, f"label {kinds['label']}, `group` {kinds['group']}, part int")

@@ -114,3 +114,21 @@ def zones_needing_records(zones: DataFrame, media: DataFrame) -> DataFrame:
     n = media.groupBy("zone_id").agg(F.count(F.lit(1)).alias("media"))
     df = zones.select(F.col("id").alias("zone_id")).join(n, "zone_id", "left").na.fill(0, ["media"])
     return df.withColumn("place", F.row_number().over(Window.orderBy("media", "zone_id")).cast("long"))
+
+
+def group_squares(cells: DataFrame) -> DataFrame:
+    """Per zone: squares without invasive records, and those with some in one to three groups of like size by their share.
+
+    Twelve squares make three groups and six make two; equal shares stay together, in the lower group.
+    """
+    some = cells.filter("invasive_records > 0")
+    by = Window.partitionBy("zone_id")
+    ranked = some.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("first", F.rank().over(by.orderBy("share")))
+    parts = F.when(F.col("n") >= 12, 3).when(F.col("n") >= 6, 2).otherwise(1)
+    ranked = ranked.withColumn("parts", parts)
+    cut = lambda k: F.floor(F.col("n") * k / F.col("parts"))
+    part = F.when(F.col("first") <= cut(1), 1).when((F.col("parts") <= 2) | (F.col("first") <= cut(2)), F.least(F.lit(2), F.col("parts"))).otherwise(3)
+    groups = ranked.groupBy("zone_id", part.cast("long").alias("part"))
+    none = cells.filter("invasive_records = 0").groupBy("zone_id", F.lit(0).cast("long").alias("part"))
+    made = (F.count(F.lit(1)).alias("squares"), F.min("share").alias("low"), F.max("share").alias("high"), F.avg("richness").alias("richness"))
+    return groups.agg(*made).unionByName(none.agg(*made))

@@ -183,6 +183,13 @@ query("cooccurrence", f"""{BASE}{PAIR_CELLS}, good AS (SELECT *, round(invasive_
     SELECT zone_id, cells, invaded, CASE WHEN cells < 20 THEN 'cells' WHEN invaded < 5 THEN 'invaded' END AS reason, CASE WHEN cells >= 20 AND invaded >= 5 THEN round(rho, 6) END AS rho FROM stat""")(
     lambda w: digits(analytics.cooccurrence(w.cooccurrence_cells.withColumn("richness", F.round("richness", 9))), "rho", n=6)
 )
+query("group_squares", f"""{BASE}{PAIR_CELLS}, good AS (SELECT zone_id, invasive_records, round(invasive_records / CAST(all_records AS DOUBLE), 9) AS share, richness FROM cells WHERE richness IS NOT NULL),
+    r AS (SELECT *, count(*) OVER (PARTITION BY zone_id) AS n, rank() OVER (PARTITION BY zone_id ORDER BY share) AS f FROM good WHERE invasive_records > 0),
+    p AS (SELECT *, CASE WHEN n >= 12 THEN 3 WHEN n >= 6 THEN 2 ELSE 1 END AS k FROM r),
+    g AS (SELECT zone_id, CASE WHEN k = 1 OR f <= floor(n / CAST(k AS DOUBLE)) THEN 1 WHEN k = 2 OR f <= floor(n * 2 / CAST(k AS DOUBLE)) THEN 2 ELSE 3 END AS part, share, richness FROM p UNION ALL SELECT zone_id, 0, share, richness FROM good WHERE invasive_records = 0)
+    SELECT zone_id, CAST(part AS BIGINT) AS part, count(*) AS squares, min(share) AS low, max(share) AS high, round(avg(richness), 6) AS richness FROM g GROUP BY 1, 2""")(
+    lambda w: digits(summary.group_squares(w.cooccurrence_cells.filter("richness IS NOT NULL").withColumn("share", F.round(F.col("invasive_records") / F.col("all_records").cast("double"), 9))), "richness", n=6)
+)
 query("cooccurrence_interval")(lambda w: analytics.bootstrap_interval(w.cooccurrence_cells, draws=200))
 YEARS = """, years AS (SELECT d.zone_id, year(d.captured_at) AS year, count(DISTINCT media_id) AS effort, count(*) FILTER (WHERE o.is_invasive AND o.origin_class = 'alien' AND d.species_id IN (SELECT species_id FROM researched)) AS invasive,
     count(*) FILTER (WHERE d.species_id IS NOT NULL AND coalesce(o.origin_class, 'native') = 'native') AS native FROM detections d JOIN zones z ON z.id = d.zone_id LEFT JOIN origin o ON o.species_id = d.species_id AND o.country = z.country GROUP BY 1, 2)"""
@@ -315,6 +322,13 @@ query("visible_boxes", prelude("boxes") + """, c AS (SELECT *, (x2 - x1) * (y2 -
     SELECT image, box, label, round(a1, 9) AS x1, round(b1, 9) AS y1, round(a2, 9) AS x2, round(b2, 9) AS y2, round(score, 9) AS score FROM c WHERE area > 0 AND (a2 - a1) * (b2 - b1) >= 0.5 * area""")(
     lambda w: digits(metrics.visible(w.boxes), "x1", "y1", "x2", "y2", "score")
 )
+query("dangerous_by_kind", f"{P} SELECT kind, count(*) AS n, count(*) FILTER (WHERE predicted = 1) AS wrong FROM predictions WHERE truth <> 1 GROUP BY 1")(lambda w: metrics.dangerous_by_kind(w.predictions).select("kind", "n", "wrong"))
+query("safe_threshold", f"""{P}, g AS (SELECT t, kind, count(*) FILTER (WHERE predicted = 1 AND floor(confidence * 100) >= t) / CAST(count(*) AS DOUBLE) AS rate FROM predictions, range(101) r(t) WHERE truth <> 1 GROUP BY 1, 2)
+    SELECT min(t) AS t FROM (SELECT t FROM g GROUP BY 1 HAVING max(rate) <= 0.05) x""")(lambda w: metrics.safe_threshold(w.predictions))
+query("log_loss", """WITH l AS (SELECT label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 5) AS z FROM embeddings), t AS (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS temperature)
+    SELECT temperature, round(avg(ln(list_sum(list_transform(z, lambda x: exp(x / temperature)))) - z[label + 1] / temperature), 6) AS loss FROM l, t WHERE label BETWEEN 0 AND 9 GROUP BY 1""")(
+    lambda w: digits(metrics.log_loss(w.raw("embeddings").filter("label BETWEEN 0 AND 9").select(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 5).alias("logits"), F.col("label").alias("truth")), [0.5, 1.0, 2.0]), "loss", n=6)
+)
 query("suppressed_boxes")(lambda w: metrics.suppress(metrics.visible(w.boxes)))
 query("matched_boxes")(lambda w: (lambda b: metrics.match_boxes(b.filter("score >= 0.3"), b.filter("truth_score >= 0.3")))(w.boxes))
 query("class_centres", "SELECT label, i - 1 AS at, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY label, i")(lambda w: digits(metrics.class_centres(w.raw("embeddings")).withColumn("at", F.col("at").cast("long")), "x", n=6))
