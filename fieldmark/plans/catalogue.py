@@ -276,8 +276,11 @@ query("fair_sample")(lambda w: ingest.fair_sample(w.media.select("id", "zone_id"
 
 # --- text -----------------------------------------------------------------------------------------------------------------------
 
-query("quotes_in_documents", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE contains(regexp_replace(lower(strip_accents(d.text)), '\\s+', '', 'g'), regexp_replace(lower(strip_accents(b.text)), '\\s+', '', 'g'))")(
-    lambda w: w.raw("documents").select("doc_id", "text").join(w.raw("benchmark").select("item_id", F.col("text").alias("quote")), F.col("doc_id") % 40 == F.col("item_id")).filter(text.contains(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
+query("quotes_in_documents", """SELECT d.doc_id, q.doc_id AS quote_id FROM documents d JOIN documents q ON d.doc_id = q.doc_id - q.doc_id % 2
+    WHERE contains(regexp_replace(lower(strip_accents(d.text)), '\\s+', '', 'g'), regexp_replace(lower(strip_accents(substr(q.text, 11, 60))), '\\s+', '', 'g'))""")(
+    lambda w: w.raw("documents").select((F.col("doc_id") - F.col("doc_id") % 2).alias("d"), F.col("doc_id").alias("quote_id"), F.replace(F.substr("text", F.lit(11), F.lit(60)), F.lit(" "), F.lit("  ")).alias("quote")).join(
+        w.raw("documents").select("doc_id", "text"), F.col("d") == F.col("doc_id")
+    ).filter(text.contains(F.col("text"), F.col("quote"))).select("doc_id", "quote_id")
 )
 query("html_to_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'),
     '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")(lambda w: w.raw("pages").select("page_id", text.html_to_text(F.col("html")).alias("text")))

@@ -19,7 +19,7 @@ TABLES: dict[str, str] = {
         SELECT p_partkey AS id, p_name || ' ' || p_partkey AS scientific_name,
                CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'Common ' || (p_partkey % 50) END AS common_name,
                CASE p_partkey % 3 WHEN 0 THEN 'Plantae' WHEN 1 THEN 'Animalia' ELSE 'Fungi' END AS kingdom
-        FROM {part} WHERE p_partkey < 200""",
+        FROM {part}""",
     "sources": """
         SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS INT) AS id, lower(substr(o_orderpriority, 3)) AS name FROM {orders}""",
     "media": """
@@ -32,7 +32,7 @@ TABLES: dict[str, str] = {
                CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE 480 END AS height
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "detections": """
-        SELECT m.id AS media_id, l_partkey % 200 AS species_id, m.zone_id, m.source_id, m.captured_at, m.lon, m.lat,
+        SELECT m.id AS media_id, l_partkey AS species_id, m.zone_id, m.source_id, m.captured_at, m.lon, m.lat,
                1 - 5 * l_discount AS confidence, CASE l_linestatus WHEN 'O' THEN 'observer' ELSE 'model' END AS origin
         FROM {lineitem} JOIN {media} m ON l_orderkey = m.id""",
     "status": """
@@ -58,7 +58,7 @@ TABLES: dict[str, str] = {
                CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS finished_at, event_id % 500 AS fetched,
                CASE event_id % 4 WHEN 0 THEN 'no_date' WHEN 1 THEN 'outside_zone' WHEN 2 THEN 'imprecise_location' ELSE 'captive_or_cultivated' END AS reason,
                event_id % 17 AS refused
-        FROM {events} WHERE event_id % 3 = 0""",
+        FROM {events}""",
     "observations": """
         SELECT event_id AS external_id, user_id % 5 AS source_id, event_id % 25 AS zone_id,
                CASE WHEN event_id % 50 = 1 THEN NULL ELSE ts END AS captured_at,
@@ -77,11 +77,11 @@ TABLES: dict[str, str] = {
                ((doc_id * 37) % 100 + 1) / CAST(100 AS DOUBLE) AS confidence, doc_id % 3 AS kind
         FROM {labels}""",
     "boxes": """
-        SELECT l_orderkey AS image, l_linenumber AS box, l_linenumber % 2 AS label,
-               (l_partkey % 60) / CAST(100 AS DOUBLE) AS x1, (l_suppkey % 50) / CAST(100 AS DOUBLE) AS y1,
-               (l_partkey % 60 + 20 + l_quantity % 30) / CAST(100 AS DOUBLE) AS x2, (l_suppkey % 50 + 30) / CAST(100 AS DOUBLE) AS y2,
+        SELECT l_suppkey AS image, l_orderkey * 10 + l_linenumber AS box, l_linenumber % 2 AS label,
+               (l_partkey % 60) / CAST(100 AS DOUBLE) AS x1, (l_orderkey % 50) / CAST(100 AS DOUBLE) AS y1,
+               (l_partkey % 60 + 20 + l_quantity % 30) / CAST(100 AS DOUBLE) AS x2, (l_orderkey % 50 + 30) / CAST(100 AS DOUBLE) AS y2,
                l_discount * 10 AS score, l_tax * 10 AS truth_score
-        FROM {lineitem} WHERE l_orderkey % 20 = 0""",
+        FROM {lineitem}""",
 }
 RAW = "region nation customer part orders lineitem events labels documents benchmark pages embeddings".split()
 
