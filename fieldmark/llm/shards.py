@@ -64,7 +64,12 @@ def save(uri: str, **arrays: np.ndarray) -> None:
         out.write(len(text).to_bytes(8, "little") + text)
         for a in arrays.values():
             out.write(a.tobytes() + bytes(-a.nbytes % 8))
-    files.move(own, path)
+    try:
+        files.move(own, path)
+    except OSError:  # some stores don't rename onto a file; another attempt of this task has written the same one
+        if not files.get_file_info(path).is_file:
+            raise
+        files.delete_file(own)
 
 
 def load(uri: str) -> dict[str, np.ndarray]:
