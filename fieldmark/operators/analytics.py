@@ -32,10 +32,18 @@ def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     return ranked.groupBy(by).agg(n.alias("n"), F.when((n >= 3) & (var > 0), cov / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("rho"))
 
 
-def rarefied_richness(counts: Column, n: int = RAREFIED) -> Column:
-    """Expected number of species among n individuals drawn without replacement; null with fewer than n, zeros ignored."""
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, c: s + c)
-    absent = lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(1.0), lambda a, i: a * F.greatest(total - c - i, F.lit(0)) / (total - i))
+def rarefied_richness(counts: Column, total: Column, n: int = RAREFIED) -> Column:
+    """Expected number of species among n individuals drawn without replacement from ``total``, the sum of the counts.
+
+    Null with fewer than n; zeros ignored. ``total`` should be a column, for it is read for every count.
+    """
+
+    def absent(c: Column) -> Column:
+        out = F.lit(1.0)
+        for i in range(n):
+            out = out * F.greatest(total - c - i, F.lit(0)) / (total - i)
+        return out
+
     seen = F.aggregate(F.filter(counts, lambda c: c > 0), F.lit(0.0), lambda s, c: s + 1 - absent(c))
     return F.when((total >= n) & F.lit(n >= 1), seen)
 
@@ -52,8 +60,9 @@ def cooccurrence_cells(detections: DataFrame, zones: DataFrame, status: DataFram
         F.sum("n").alias("all_records"),
         F.coalesce(F.sum(F.when(invasive, F.col("n"))), F.lit(0)).alias("invasive_records"),
         F.collect_list(F.when(native, F.col("n"))).alias("native_counts"),
+        F.coalesce(F.sum(F.when(native, F.col("n"))), F.lit(0)).alias("native_total"),
     )
-    return out.select("zone_id", "cx", "cy", "all_records", "invasive_records", rarefied_richness(F.array_sort("native_counts")).alias("richness"))
+    return out.select("zone_id", "cx", "cy", "all_records", "invasive_records", rarefied_richness(F.sort_array("native_counts"), F.col("native_total")).alias("richness"))
 
 
 def cooccurrence(cells: DataFrame) -> DataFrame:
@@ -107,10 +116,10 @@ def mann_kendall(df: DataFrame, time: str, value: str, by: str) -> DataFrame:
 
     Null with fewer than four rows; z 0 and p 1 where the variance isn't positive. Pairs are made within a group by a join on it.
     """
-    a, b = df.select(by, F.col(time).alias("t1"), F.col(value).alias("y1")), df.select(F.col(by).alias("g"), F.col(time).alias("t2"), F.col(value).alias("y2"))
-    pairs = a.join(b, (F.col(by) == F.col("g")) & (F.col("t1") < F.col("t2")))
-    rise = F.signum(F.col("y2") - F.col("y1"))
-    found = pairs.groupBy(by).agg(F.sum(rise).cast("long").alias("s"), F.median((F.col("y2") - F.col("y1")) / (F.col("t2") - F.col("t1"))).alias("slope"))
+    a, b = df.select(by, F.col(time).alias("t1_"), F.col(value).alias("y1_")), df.select(F.col(by).alias("by_"), F.col(time).alias("t2_"), F.col(value).alias("y2_"))
+    pairs = a.join(b, (F.col(by) == F.col("by_")) & (F.col("t1_") < F.col("t2_")))
+    rise = F.signum(F.col("y2_") - F.col("y1_"))
+    found = pairs.groupBy(by).agg(F.sum(rise).cast("long").alias("s"), F.median((F.col("y2_") - F.col("y1_")) / (F.col("t2_") - F.col("t1_"))).alias("slope"))
     ties = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("k")).groupBy(by).agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("k") - 1) * (2 * F.col("k") + 5)).alias("tied"))
     n, s = F.col("n"), F.col("s")
     var = (n * (n - 1) * (2 * n + 5) - F.col("tied")) / F.lit(18.0)
