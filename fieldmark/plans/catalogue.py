@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.functions import geo, text
-from fieldmark.operators import analytics, ingest, metrics, serving, summary, views
+from fieldmark.operators import analytics, ingest, maintenance, metrics, serving, summary, views
 from fieldmark.sources.testdata import Domain, prelude
 from fieldmark.streaming.ingest import monthly_counts, requests_in_window
 
@@ -274,6 +274,36 @@ query("prune_runs", f"{JUDGED} SELECT id FROM (SELECT *, row_number() OVER (PART
 query("capped_media", f"{JUDGED} SELECT id FROM media QUALIFY row_number() OVER (PARTITION BY zone_id, source_id ORDER BY captured_at DESC, id) <= 50")(lambda w: ingest.capped(w.media, ["zone_id", "source_id"], 50, [F.desc("captured_at"), "id"]).select("id"))
 query("fair_sample")(lambda w: ingest.fair_sample(w.media.select("id", "zone_id"), "zone_id", 100))
 
+query("upsert_summary", f"""{BASE}, old AS (SELECT zone_id, species_id, 1 AS records, DATE '1990-01-01' AS first_record, sources AS score FROM summary WHERE species_id % 2 = 0), new AS (SELECT zone_id, species_id, records, first_record, sources AS score FROM summary WHERE species_id % 3 = 0)
+    SELECT coalesce(o.zone_id, n.zone_id) AS zone_id, coalesce(o.species_id, n.species_id) AS species_id, coalesce(n.records, o.records) AS records, coalesce(o.first_record, n.first_record) AS first_record, CASE WHEN o.zone_id IS NOT NULL AND (n.score IS NULL OR n.score <= 2) THEN o.score ELSE n.score END AS score
+    FROM old o FULL JOIN new n ON n.zone_id = o.zone_id AND n.species_id = o.species_id""")(
+    lambda w: maintenance.upsert(
+        w.summary.filter("species_id % 2 = 0").select("zone_id", "species_id", F.lit(1).cast("long").alias("records"), F.lit("1990-01-01").cast("date").alias("first_record"), F.col("sources").alias("score")),
+        w.summary.filter("species_id % 3 = 0").select("zone_id", "species_id", "records", "first_record", F.col("sources").alias("score")),
+        ["zone_id", "species_id"], keep=["first_record"], prefer={"score": F.col("new_score") > 2},
+    )
+)
+query("remove_unresearched", f"""{BASE} SELECT d.media_id, d.species_id, z.country FROM detections d JOIN zones z ON z.id = d.zone_id WHERE NOT EXISTS (SELECT 1 FROM origin o WHERE o.species_id = d.species_id AND o.country = z.country AND o.is_invasive AND o.origin_class = 'alien')
+    OR d.species_id IN (SELECT species_id FROM researched)""")(
+    lambda w: maintenance.remove_unresearched(w.detections.join(w.zones.select(F.col("id").alias("zone_id"), "country"), "zone_id"), views.alien_invasive(w.status), w.researched).select("media_id", "species_id", "country")
+)
+query("claimed_media", f"{JUDGED} SELECT id, 'processing' AS status FROM (SELECT * FROM media WHERE status = 'new' ORDER BY captured_at, id LIMIT 200) x")(lambda w: maintenance.claim(w.media, 200).select("id", "status"))
+query("requeued_media", f"{JUDGED} SELECT CASE WHEN status = 'failed' AND captured_at < TIMESTAMP '1998-01-01' THEN 'new' WHEN status = 'failed' THEN 'processing' ELSE status END AS status, count(*) AS n FROM media GROUP BY 1")(
+    lambda w: maintenance.requeue(w.media.withColumn("status", F.when(F.col("status") == "failed", "processing").otherwise(F.col("status"))), "1998-01-01").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+)
+query("refreshed_months", f"{BASE} SELECT zone_id, CAST(date_trunc('month', captured_at) AS DATE) AS month, count(*) AS effort FROM media GROUP BY 1, 2")(
+    lambda w: maintenance.refreshed_months(views.effort_monthly(w.media.filter("id % 5 != 0")), w.media, w.media.filter("id % 5 = 0"))
+)
+query("photo_quota", f"""{JUDGED}, ph AS (SELECT id, zone_id AS species_id, source_id = 1 AS in_region FROM media), o AS (SELECT *, row_number() OVER (PARTITION BY species_id, in_region ORDER BY id) AS own FROM ph)
+    SELECT id, species_id, in_region FROM o QUALIFY row_number() OVER (PARTITION BY species_id ORDER BY CASE WHEN in_region AND own <= 5 THEN 0 ELSE 1 END, id) <= 20""")(
+    lambda w: maintenance.quota_by_region(w.media.select("id", F.col("zone_id").alias("species_id"), (F.col("source_id") == 1).alias("in_region")), 20, 5)
+)
+query("type_counts", f"{JUDGED} SELECT coalesce(taxon_rank, 'unknown') AS type, count(*) AS n FROM observations GROUP BY 1")(lambda w: maintenance.type_counts(w.observations, "taxon_rank"))
+query("stratified_sample")(
+    lambda w: maintenance.stratified_sample(w.media.select(F.col("id").alias("frame"), F.col("zone_id").alias("location")), w.media.select(F.col("id").alias("frame"), F.when(F.col("status") == "new", "empty").otherwise("animal").alias("category")), 200)
+)
+query("crops_per_class")(lambda w: maintenance.crops_per_class(w.boxes.select("image", "box", "label", (F.col("image") % 7).alias("location"), ((F.col("x2") - F.col("x1")) * 640).alias("width_px"), ((F.col("y2") - F.col("y1")) * 480).alias("height_px")), 50))
+
 # --- text -----------------------------------------------------------------------------------------------------------------------
 
 query("quotes_in_documents", """SELECT d.doc_id, q.doc_id AS quote_id FROM documents d JOIN documents q ON d.doc_id = q.doc_id - q.doc_id % 2
