@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what they are folded to, and number words.
+# Accented letters and what they are folded to, marks of ranks below species, and number words.
 ACCENTED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+RANK_MARKS = ("var.", "subsp.", "ssp.", "f.", "forma")
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
 
 
@@ -31,12 +36,12 @@ def contains(text: Column, quote: Column) -> Column:
 
 
 def alnum(text: Column) -> Column:
-    return F.regexp_replace(normalise(text), "[^a-z0-9]", "")
+    return F.regexp_replace(normalise(html_to_text(text)), "[^a-z0-9]", "")
 
 
-def html_to_text(html: Column) -> Column:
+def html_to_text(page: Column) -> Column:
     """Text without scripts, styles and tags, the common character references decoded."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
+    t = F.regexp_replace(page, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(sign))
@@ -45,7 +50,7 @@ def html_to_text(html: Column) -> Column:
 
 def numbers_in(text: Column, words: bool = False) -> Column:
     """The distinct numbers: commas of thousands dropped, trailing zeros after a point trimmed; number words if asked for."""
-    found = F.regexp_extract_all(F.regexp_replace(text, r"(\d),(?=\d{3})", "$1"), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
+    found = F.regexp_extract_all(F.regexp_replace(text, r"(\d),(?=\d{3}\b)", "$1"), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
     found = F.transform(found, lambda n: F.when(n.contains("."), F.regexp_replace(n, r"\.?0+$", "")).otherwise(n))
     if words:
         table = F.create_map(*[F.lit(x) for i, w in enumerate(NUMBER_WORDS) for x in (w, str(i + 1))])
@@ -58,12 +63,30 @@ def short_licence(text: Column) -> Column:
     """cc-... or cc0 of a licence's address; other texts trimmed in lower case."""
     low = F.lower(F.trim(text))
     by = F.regexp_extract(low, r"creativecommons\.org/licenses/([a-z-]+)", 1)
-    return F.when(low.contains("publicdomain/zero"), "cc0").when(by != "", F.concat(F.lit("cc-"), by)).otherwise(low)
+    free = low.rlike(r"creativecommons\.org/publicdomain/[a-z-]+") | (by == "zero")
+    return F.when(low == "", None).when(free, "cc0").when(by != "", F.concat(F.lit("cc-"), by)).otherwise(low)
 
 
 def canonical_name(name: Column) -> Column:
     """Genus and epithet, with a rank's mark and the name behind it if there are such; authors dropped."""
     parts = F.split(F.trim(name), r"\s+")
-    mark = F.array_position(F.transform(parts, lambda p: p.isin("subsp.", "var.", "f.", "ssp.")), True)
-    two = F.slice(parts, 1, 2)
-    return F.array_join(F.when(mark > 2, F.concat(two, F.slice(parts, mark.cast("int"), 2))).otherwise(two), " ")
+    two, rest = F.slice(parts, 1, 2), F.slice(parts, 3, 1000)
+    mark = F.array_position(F.transform(rest, lambda p, i: p.isin(*RANK_MARKS) & (i + 1 < F.size(rest))), True)
+    return F.array_join(F.when(mark > 0, F.concat(two, F.slice(rest, F.greatest(mark, F.lit(1)).cast("int"), 2))).otherwise(two), " ")
+
+
+def folded(texts: pd.Series) -> pd.Series:
+    """Typography folded for letters of any script: character references decoded, compatibility forms decomposed, marks dropped."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = unicodedata.normalize("NFKD", html.unescape(t))
+        return "".join(c for c in t if not unicodedata.combining(c))
+
+    return texts.map(one)
+
+
+def normalise_any(text: Column) -> Column:
+    """``normalise`` beyond Western letters; Unicode decomposition has no built-in function, so this one runs over Arrow batches."""
+    return normalise(F.pandas_udf(folded, "string")(text))

@@ -29,6 +29,5 @@ def crop(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height:
     """Pixel box around a relative box, padded by a share of its sides and clipped, a pixel wide and high at least."""
     dx, dy = (x2 - x1) * pad, (y2 - y1) * pad
     left, top = F.floor(F.greatest(F.lit(0.0), x1 - dx) * width), F.floor(F.greatest(F.lit(0.0), y1 - dy) * height)
-    left, top = F.least(left, width - 1), F.least(top, height - 1)
-    right, bottom = F.ceil(F.least(F.lit(1.0), x2 + dx) * width), F.ceil(F.least(F.lit(1.0), y2 + dy) * height)
+    right, bottom = F.least(width, F.floor((x2 + dx) * width)), F.least(height, F.floor((y2 + dy) * height))
     return F.struct(left.alias("left"), top.alias("top"), F.greatest(right, left + 1).alias("right"), F.greatest(bottom, top + 1).alias("bottom"))

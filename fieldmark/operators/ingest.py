@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions import geo
 
 # Ranks at which a record names a species, and licences under which an image may be used.
-SPECIES_RANKS = ("species", "subspecies", "variety", "form", "hybrid", "infraspecies", "cultivar")
+SPECIES_RANKS = ("species", "subspecies", "variety", "form", "hybrid", "infraspecies", "infrahybrid")
 IMAGE_LICENCES = ("cc0", "cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nc-sa")
 MAX_UNCERTAINTY_M = 2000.0
 
@@ -17,7 +17,7 @@ def reject_reason(as_of: Column) -> Column:
     """The first rule that an observation breaks, null if none; the order of the rules is part of the result."""
     c = F.col
     rules = [
-        ("duplicate_of_mirror", c("basis") == "mirror"),
+        ("duplicate_of_inaturalist", c("basis") == "mirror"),
         ("not_a_specimen", c("basis") != "specimen"),
         ("bad_coordinates", ~c("lat").between(-90, 90) | ~c("lon").between(-180, 180)),
         ("null_island", (c("lat") == 0) & (c("lon") == 0)),

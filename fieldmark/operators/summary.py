@@ -92,10 +92,10 @@ def not_recorded(researched: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def bin_years(years: DataFrame, most: int = 4) -> DataFrame:
-    """Records in bins of 1, 5 or 10 years, the first width that needs no more than ``most`` bars, bins without records included."""
+    """Records in bins of 1, 5 or 10 years, the first width of which ``most`` cover the span (10 if none), bins without records included."""
     span = years.agg(F.min("year").alias("a"), F.max("year").alias("b")).filter("a IS NOT NULL")
-    bars = lambda w: F.floor(F.col("b") / w) - F.floor(F.col("a") / w) + 1
-    width = F.when(bars(1) <= most, 1).when(bars(5) <= most, 5).otherwise(10)
+    years_ = F.col("b") - F.col("a") + 1
+    width = F.when(years_ <= most, 1).when(years_ <= 5 * most, 5).otherwise(10)
     span = span.withColumn("width", width)
     bins = span.select("width", F.explode(F.sequence((F.floor(F.col("a") / F.col("width")) * F.col("width")).cast("long"), (F.floor(F.col("b") / F.col("width")) * F.col("width")).cast("long"), F.col("width").cast("long"))).alias("start"))
     n = years.crossJoin(F.broadcast(span.select("width"))).groupBy((F.floor(F.col("year") / F.col("width")) * F.col("width")).cast("long").alias("start")).agg(F.sum("records").alias("records"))

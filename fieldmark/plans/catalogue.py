@@ -246,9 +246,9 @@ query("zones_needing_records", f"{BASE} SELECT z.id AS zone_id, coalesce(m.n, 0)
 
 # --- ingest ---------------------------------------------------------------------------------------------------------------------
 
-JUDGED = prelude("observations", "zones", "media", "species", "status", "runs") + f""", judged AS (SELECT *, CASE WHEN basis = 'mirror' THEN 'duplicate_of_mirror' WHEN basis <> 'specimen' THEN 'not_a_specimen' WHEN lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180 THEN 'bad_coordinates'
+JUDGED = prelude("observations", "zones", "media", "species", "status", "runs") + f""", judged AS (SELECT *, CASE WHEN basis = 'mirror' THEN 'duplicate_of_inaturalist' WHEN basis <> 'specimen' THEN 'not_a_specimen' WHEN lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180 THEN 'bad_coordinates'
     WHEN lat = 0 AND lon = 0 THEN 'null_island' WHEN obscured THEN 'obscured_location' WHEN uncertainty_m > 2000 THEN 'imprecise_location' WHEN captured_at IS NULL THEN 'no_date' WHEN captured_at > TIMESTAMP '{EVENTS_AS_OF}' THEN 'future_date'
-    WHEN taxon_rank IS NULL OR lower(taxon_rank) NOT IN ('species', 'subspecies', 'variety', 'form', 'hybrid', 'infraspecies', 'cultivar') THEN 'not_species_level' WHEN captive THEN 'captive_or_cultivated' WHEN failed_introduction THEN 'not_established' WHEN taxon_name = '' THEN 'no_taxon' END AS reason FROM observations)"""
+    WHEN taxon_rank IS NULL OR lower(taxon_rank) NOT IN ('species', 'subspecies', 'variety', 'form', 'hybrid', 'infraspecies', 'infrahybrid') THEN 'not_species_level' WHEN captive THEN 'captive_or_cultivated' WHEN failed_introduction THEN 'not_established' WHEN taxon_name = '' THEN 'no_taxon' END AS reason FROM observations)"""
 query("reject_reasons", f"{JUDGED} SELECT external_id, reason FROM judged")(lambda w: w.judged.select("external_id", "reason"))
 query("reason_counts", f"{JUDGED} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM judged GROUP BY 1")(lambda w: ingest.reason_counts(w.judged))
 query("spatial_assign", f"""{JUDGED} SELECT j.external_id, min(z.id) AS assigned_zone FROM judged j LEFT JOIN zones z ON j.lon >= z.lon0 AND j.lon < z.lon0 + 0.5 AND j.lat >= z.lat0 AND j.lat < z.lat0 + CAST(0.4 AS DOUBLE)

@@ -44,12 +44,12 @@ TABLES: dict[str, str] = {
         ) x WHERE k < 5""",
     "findings": """
         SELECT id, id AS species_id, CASE WHEN id % 2 = 0 THEN id % 25 END AS zone_id,
-               CASE id % 3 WHEN 1 THEN 'native_decline' ELSE 'habitat_change' END AS finding_type,
+               CASE id % 3 WHEN 1 THEN 'impact' ELSE 'concern' END AS finding_type,
                CASE id % 4 WHEN 0 THEN 'experimental' WHEN 1 THEN 'observational' WHEN 2 THEN 'review' ELSE 'modelled' END AS certainty,
                '10.1000/f' || (id % 40) AS doi, 2016 + id % 9 AS paper_year, id % 5 <> 0 AS verified
         FROM {species} WHERE id % 3 <> 0""",
     "playbooks": """
-        SELECT id, id AS species_id, CASE id % 4 WHEN 0 THEN 'manual_removal' WHEN 1 THEN 'trapping' WHEN 2 THEN 'biocontrol' ELSE 'herbicide' END AS method,
+        SELECT id, id AS species_id, CASE id % 4 WHEN 0 THEN 'mechanical' WHEN 1 THEN 'detection' WHEN 2 THEN 'biological' ELSE 'chemical' END AS method,
                CASE id % 3 WHEN 0 THEN 'experimental' WHEN 1 THEN 'review' ELSE 'modelled' END AS design,
                '10.1000/p' || (id % 30) AS doi, id % 7 <> 0 AS verified
         FROM {species} WHERE id % 2 = 1""",

@@ -86,6 +86,10 @@ def test_geometry(spark):
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Café — “x”  1·5\n1,200 ha 3.50 and two", "cafe-\"x\" 1.5", "https://creativecommons.org/licenses/by-sa/4.0/")], "t string, q string, l string")
     r = df.select(text.contains(F.col("t"), F.col("q")), text.numbers_in(F.col("t"), words=True), text.short_licence(F.col("l")), text.alnum(F.lit("É-b 2"))).first()
+    odd = spark.createDataFrame([("Ｆｕｌｌ &amp; ﬁne Ǎ—ž",), (None,)], "t string").select(text.normalise_any(F.col("t"))).collect()
+    assert [x[0] for x in odd] == ["full & fine a-z", None]
+    names = spark.createDataFrame([("Lantana camara L.",), ("A b Auth. var. c Auth.",), ("A",), ("A b f.",)], "n string").select(text.canonical_name(F.col("n"))).collect()
+    assert [x[0] for x in names] == ["Lantana camara", "A b var. c", "A", "A b"]
     assert r[0] and set(r[1]) == {"1", "5", "1200", "3.5", "2"} and r[2:] == ("cc-by-sa", "eb2")
 
 
