@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """These columns, by their exact names; where others differ from them in case or repeat them, the first exact one counts."""
+    first = {n: df.columns.index(n) for n in names}
+    return df.toDF(*[c if first.get(c) == i else f"other_{i}_" for i, c in enumerate(df.columns)]).select(*names)
+
+
 def small_arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Send texts to Python in batches of so many rows, unless the session asks for fewer: a batch is held several times over."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import materialise
+from fieldmark.llm.common import materialise, only
 
 # Units of measure, as they stand after a number.
 UNITS = "mm cm dm km m mg g kg t ml cl dl l ms s sec min h hr hrs kb mb gb tb hz khz mhz ghz w kw v a k usd eur gbp dollars euros pounds cents percent miles mile feet foot ft inches inch in yards meters metres grams kilograms liters litres hours hour minutes minute seconds second days day weeks week months month years year".split()
@@ -71,6 +71,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     up to ``broadcast_rows`` windows (16 bytes each) and shuffled beyond. A null text has no words and leaks nothing; items without
     words are never found; repeated documents are told apart by doc_id alone. Other columns are ignored. No rows: no rows.
     """
+    docs, items = only(docs, "doc_id", "text"), only(items, "item_id", "text")
     windows = materialise(item_windows(items.filter(F.col("item_id").isNotNull()), rules), "windows").df
     sizes = windows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
     one = windows.groupBy("h").agg(F.min("at").alias("at_"))  # a window's hash is looked up once, then given to its items

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import materialise, small_batches, str_column
+from fieldmark.llm.common import materialise, only, small_batches, str_column
 
 # HTML elements by kind, and names that pages give to what isn't their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -221,6 +221,7 @@ def extract_text(pages: DataFrame, min_pages: int = 10, broadcast_rows: int = 20
     element), only what is in them is kept. A null html is empty; a null or odd url is the host "". Repeated rows are kept
     each for itself. Other columns are ignored. No rows: no rows.
     """
+    pages = only(pages, "page_id", "url", "html")
     ids = pages.schema["page_id"].dataType.simpleString()
     schema = f"page_id {ids}, url string, blocks array<struct<text: string, marks: array<long>>>, seen array<long>, content long"
     block = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64()))]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import small_batches, utf8_column
+from fieldmark.llm.common import only, small_batches, utf8_column
 
 # Fixed phrases and labels of the scan's contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -127,6 +127,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     template. score: 1 where a phrase stands, else the highest containment found, else 0. A null or empty text has no words and
     no labels. Repeated rows are scanned each for itself. Other columns are ignored. No rows: no rows.
     """
+    docs = only(docs, "doc_id", "text")
     vocabulary = frozenset(w for _, text in templates for w in words_of(text.encode()))
     frequency = token_frequency(docs, vocabulary)
     block = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import materialise, small_arrow_batches
+from fieldmark.llm.common import materialise, only, small_arrow_batches
 from fieldmark.llm.words import grouped, words_of
 
 #: Words that a task remembers; beyond so many it starts anew.
@@ -235,6 +235,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     sort or shuffle of the documents is needed. Other columns are ignored. No rows: no rows.
     """
     small_arrow_batches(docs.sparkSession)
+    docs = only(docs, "doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part_ int, local_ long"
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part_", "local_"]
     end = np.array([end_id], "<u4").tobytes()

@@ -8,7 +8,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import SPACE, materialise
+from fieldmark.llm.common import SPACE, materialise, only
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -55,7 +55,7 @@ def _code(i: int) -> str:
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, language (one of COMMON_WORDS, else "other"), the base counts, chars (counts by class) and common (counts by word)."""
     language = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("other"))
-    df = docs.select(F.col("doc_id"), language.alias("language"), F.coalesce(F.col("text"), F.lit("")).alias("s0"))
+    df = only(docs, "doc_id", "text", "lang").select(F.col("doc_id"), language.alias("language"), F.coalesce(F.col("text"), F.lit("")).alias("s0"))
 
     for i, kind in enumerate(CHAR_CLASSES):
         df = df.withColumn(f"s{i + 1}", F.regexp_replace(f"s{i}", kind, ""))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import shared_dir, small_arrow_batches, utf8_column
+from fieldmark.llm.common import only, shared_dir, small_arrow_batches, utf8_column
 from fieldmark.llm.shards import DOWN, U64, UP, Sums, blobs, by_shard, filesystem, load, mix, power_of_two, save, spread
 
 ANCHOR = 32
@@ -290,6 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False)
     strings, so those of ``length`` bytes or more lose all of them. Other columns are ignored. No rows: no rows.
     """
     small_arrow_batches(docs.sparkSession)
+    docs = only(docs, "doc_id", "text")
     if length < 8:
         raise ValueError("strings of 8 bytes or more are supported")
     folder = f"{shared_dir(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"

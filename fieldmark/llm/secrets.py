@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import small_batches, str_column
+from fieldmark.llm.common import only, small_batches, str_column
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -114,6 +114,7 @@ def find_secrets(docs: DataFrame, rule: EntropyRule = EntropyRule(), redact: str
     ``carry``: columns to hand on as they are. Places are code points, ends exclusive. A null text is empty and has no spans; its redacted text is null. Repeated rows are
     scanned each for itself. Other columns are ignored. No rows: no rows.
     """
+    docs = only(docs, "doc_id", "text", *carry)
     span = "kind: string, start: long, end: long, value: string"
     also = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {also}n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<{span}>>, redacted string"

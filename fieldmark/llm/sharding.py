@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import materialise, numbered, with_chunk
+from fieldmark.llm.common import materialise, numbered, only, with_chunk
 
 
 def score(key: Column, shard: Column, weight: Column) -> Column:
@@ -41,7 +41,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, weights: Sequence[float
     if len(now) != n_shards:
         raise ValueError("one weight for each shard is needed")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
+    rows = only(docs, "doc_id", "text").select(
         F.col("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),

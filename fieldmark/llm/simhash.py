@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import materialise, small_arrow_batches, small_batches, utf8_column
+from fieldmark.llm.common import materialise, only, small_arrow_batches, small_batches, utf8_column
 from fieldmark.llm.components import connected_components
 
 #: Every shingle's hash has this seed.
@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     null only where a component has no other. Other columns are ignored. No rows: no rows.
     """
     small_arrow_batches(docs.sparkSession)
+    docs = only(docs, "doc_id", "text")
     rows = materialise(fingerprints(docs), "fingerprints").df
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_")), "classes").df
     roots = connected_components(near_links(classes.select("fp"), distance))
