@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import only, shared_dir, small_arrow_batches, utf8_column
-from fieldmark.llm.shards import DOWN, U64, UP, Sums, blobs, by_shard, filesystem, load, mix, power_of_two, save, spread
+from fieldmark.llm.shards import DOWN, MAPPED, U64, UP, Sums, blobs, by_shard, filesystem, load, mix, power_of_two, save, spread
 
 ANCHOR = 32
 #: Bits of an anchor's hash that decide; the others hold its place, so the first of equals wins.
@@ -224,6 +224,8 @@ class Files:
             shard = int(top[order[a]]) if a < b else -1
             if shard in self.paths:
                 if shard not in self.open:
+                    if len(self.open) >= MAPPED:
+                        self.open.clear()
                     self.open[shard] = load(self.paths[shard])
                 yield order[a:b], self.open[shard]
 

@@ -72,6 +72,10 @@ def save(uri: str, **arrays: np.ndarray) -> None:
         files.delete_file(own)
 
 
+#: Files that a worker keeps mapped; systems bound the mappings of a process.
+MAPPED = 8_000
+
+
 def load(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped: in place if it is in a mounted folder, else from a copy that has no name any more."""
     from pyarrow import fs
