@@ -335,17 +335,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False)
         for _, _, pieces in documents_of(batches, length):
             for text, ends, _ in pieces:
                 runs = runs_of(text, ends, length)
-                kind = states(cores, runs)
-                wanted = np.zeros(len(kind), bool)
+                wanted, crowd = np.zeros(len(runs.core), bool), np.zeros(len(runs.core), bool)
                 for at, f in cores.parts(runs.core):
                     wanted[at] = place_in(f["mixed"], runs.core[at]) >= 0
+                    crowd[at] = place_in(f["crowded"], runs.core[at]) >= 0  # with contexts that repeat, for single ones share windows with them
                 for i in np.flatnonzero(wanted).tolist():
                     context = int(runs.context[i])
                     if context not in found:
                         a, c, b = int(runs.first[i]), int(runs.core_at[i]), int(runs.last[i]) + length
                         end = c + length - block + 1
                         found[context] = (int(runs.core[i]), c - a, b - end, text.data[a:c] + text.data[end:b])
-                crowd = kind == CROWDED
                 if crowd.any():
                     _, start = _expand(runs.first[crowd], runs.last[crowd])
                     h, n = np.unique(text.hashes(start, start + length), return_counts=True)

@@ -82,6 +82,24 @@ def test_crowded_cores_long_texts_and_many_shards(spark, monkeypatch):
     assert got == dict(enumerate(plain(texts, 64)))
 
 
+def test_near_copy_of_exact_copies_in_a_crowded_core(spark, monkeypatch):
+    import pyspark.cloudpickle as cp
+
+    monkeypatch.setattr(repeats, "CROWD", 3)
+    cp.register_pickle_by_value(repeats)
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    base = text(300)
+    near = [base[:k] + "#" + base[k + 1 :] for k in (170, 172)]
+    texts = [base, base, near[rng.randint(0, 1)], *[text(50) + base[100:163] + text(50) for _ in range(8)]]
+    try:
+        df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
+        got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, 64).collect()}
+    finally:
+        cp.unregister_pickle_by_value(repeats)
+    assert got == dict(enumerate(plain(texts, 64)))
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
