@@ -17,8 +17,8 @@ from fieldmark.llm.words import grouped, words_of
 
 #: The token that ends a text, and stands before its first word.
 END = U64(0x9E3779B97F4A7C15)
-#: Words of n-grams must stand so often in the training texts, and n-grams so often.
-MIN_WORD, MIN_NGRAM = 20, 2
+#: Words of n-grams must stand so often in the training texts (all do), and n-grams so often.
+MIN_WORD, MIN_NGRAM = 1, 2
 DISCOUNT = 0.75
 #: Tokens, or kept n-grams, for which one shard of counts or of a level is made.
 SHARD_TOKENS, SHARD_NODES = 2_000_000, 1_000_000
@@ -262,12 +262,13 @@ class Model:
     def first(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / self.floor)
 
-    def walk(self, row: np.ndarray, counts: np.ndarray, ids: np.ndarray, end_id: int, scored: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
-        """(for each level the context node before each token, -1 if none; log10 probability of each token, if they are to be scored)."""
+    def walk(self, row: np.ndarray, counts: np.ndarray, ids: np.ndarray, end_id: int, scored: bool = True) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(for each level the context node before each token, -1 if none; the last level's node, or the word, that ends with each token;
+        log10 probability of each token, if they are to be scored)."""
         start = np.diff(row, prepend=-1) != 0
         before = np.where(start, end_id, np.concatenate([[-1], ids[:-1]]))
         total = self.first(counts) if scored else np.zeros(0)
-        contexts = [before]
+        contexts, node = [before], ids
         for level in self.levels:
             context = contexts[-1]
             key = np.where((context >= 0) & (ids >= 0), context * self.words + ids, -1)
@@ -280,7 +281,7 @@ class Model:
                 seen, again = np.unique(context, return_inverse=True)
                 total = np.where(node >= 0, prob[back], total + level.rest_of(seen)[again])
             contexts.append(np.where(start, -1, np.concatenate([[-1], node[:-1]])))
-        return contexts, total
+        return contexts, node, total
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +330,7 @@ def train(docs: DataFrame, order: int = 3, min_word: int = MIN_WORD, min_ngram:
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (keys, counts) in by_shard(batches, (U64, np.int64)):
-            often = counts >= min_word
+            often = counts >= max(min_word, min_ngram)  # an n-gram stands no more often than its words, so none is lost by this
             save(to := f"{folder}/words-{shard}", hash=keys, count=counts, model=keys[often], model_count=counts[often])
             yield _file_row(shard, to, int(often.sum()), int(counts.sum()), len(keys))
 
@@ -360,9 +361,9 @@ def _add_level(texts: DataFrame, model: Model, level: int, contexts: int, folder
         end, sums = end_id(model), Sums()
         for _, hashes, row in token_chunks(batches):
             counts, ids = model.read(hashes)
-            found, _ = model.walk(row, counts, ids, end, scored=False)
+            found, inner, _ = model.walk(row, counts, ids, end, scored=False)
             context = found[level - 2]
-            good = (context >= 0) & (ids >= 0)
+            good = (context >= 0) & (inner >= 0)  # an n-gram stands no more often than the one without its first word
             sums.add(*np.unique(context[good].astype(U64) * U64(words) + ids[good].astype(U64), return_counts=True))
         if result := sums.result():
             key, n = result
@@ -442,7 +443,7 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_fold:
         end = end_id(model)
         for batch, hashes, row in token_chunks(batches):
             counts, word_ids = model.read(hashes)
-            _, logs = model.walk(row, counts, word_ids, end)
+            _, _, logs = model.walk(row, counts, word_ids, end)
             n = batch.num_rows
             sums = [np.bincount(row, x, n) for x in (model.first(counts), logs)]
             whole = [np.bincount(row, minlength=n), np.bincount(row, counts > 0, n).astype(np.int64), np.full(n, model.tokens)]

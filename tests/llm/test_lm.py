@@ -86,6 +86,13 @@ def test_scores(spark, order):
         assert g.score == pytest.approx(w[5], abs=0.05 * g.n_tokens)
 
 
+def test_rare_words_have_ngrams(spark):
+    rows = [*corpus(), *[(500 + i, f"once{i} seldom harbour lights {'twice' if i < 2 else 'thrice'} seen") for i in range(5)]]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(3)).collect()}
+    for r, w in list(zip(rows, plain(rows, 1, lm.MIN_NGRAM, 3)))[-5:]:
+        assert got[r[0]].score == pytest.approx(w[5], abs=0.05 * w[1])
+
+
 def test_many_shards(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "x") for r in corpus(60)], SCHEMA)
     one = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(df, min_word=3).collect()}
