@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -154,56 +155,76 @@ def outermost(root: Node, tag: str) -> list[Node]:
     return out
 
 
-def blocks_of(page: str, host: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """(text, hashes of the host's subtrees around it) of each block of the article, and the hashes of all the page's subtrees."""
+class Block(NamedTuple):
+    """A block's text, the hashes of the host's subtrees around it, and whether the page's articles hold it (if it has none: True)."""
+
+    text: str
+    marks: list[int]
+    inside: bool
+
+
+def host_mark(host: str) -> int:
+    return xxhash.xxh64_intdigest(f"{host} ") - (1 << 63)
+
+
+def read_page(page: str, host: str) -> tuple[list[Block], list[int]]:
+    """The blocks of a page that are not in page parts, and the hashes of its host and of all its subtrees."""
     root = parse(page)
-    articles = outermost(root, "article") or outermost(root, "main")
-    blocks: list[tuple[str, list[int]]] = []
+    tops = {id(x) for x in outermost(root, "article") or outermost(root, "main")}
+    blocks: list[Block] = []
     text: list[str] = []
     marks: list[int] = []
 
     def mark(node: Node) -> int:
         return xxhash.xxh64_intdigest(f"{host} {node.digest:x}") - (1 << 63)
 
-    def flush() -> None:
+    def flush(inside: bool) -> None:
         words = html.unescape("".join(text)).split()
         text.clear()
         if words:
-            blocks.append((" ".join(words), list(marks)))
-
-    for top in articles or [root]:
-        todo: list = [(top, iter(top.items), False)]
-        while todo:
-            node, items, marked = todo[-1]
-            for item in items:
-                if item is None:
-                    flush()
-                elif isinstance(item, str):
+            blocks.append(Block(" ".join(words), list(marks), inside))
+
+    # a page part that holds an article is hidden up to it
+    todo: list = [(root, iter(root.items), False, not tops, False)]
+    while todo:
+        node, items, marked, inside, hidden = todo[-1]
+        for item in items:
+            if item is None:
+                flush(inside)
+            elif isinstance(item, str):
+                if not hidden:
                     text.append(item)
-                elif not dropped(item, bool(articles)):
-                    own = item.tag not in INLINE and item.tag not in TEXT_BLOCKS and not item.main
-                    if own:
-                        marks.append(mark(item))
-                    todo.append((item, iter(item.items), own))
-                    break
-            else:
-                todo.pop()
-                if node.tag not in INLINE:
-                    flush()
-                if marked:
-                    marks.pop()
-        flush()
-    seen, todo = set(), [root]
+            elif (top := id(item) in tops) or not dropped(item, inside and bool(tops)):
+                own = item.tag not in INLINE and item.tag not in TEXT_BLOCKS
+                if own:
+                    marks.append(mark(item))
+                within = inside or top
+                todo.append((item, iter(item.items), own, within, not within and (hidden or item.role != "")))
+                break
+        else:
+            todo.pop()
+            if node.tag not in INLINE:
+                flush(inside)
+            if marked:
+                marks.pop()
+    flush(not tops)
+    seen, todo = {host_mark(host)}, [root]
     while todo:
         node = todo.pop()
         for item in node.items:
             if isinstance(item, Node):
                 todo.append(item)
-                if item.tag not in INLINE and item.tag not in TEXT_BLOCKS and not item.main and item.tag not in ("article", "main"):
+                if item.tag not in INLINE and item.tag not in TEXT_BLOCKS:
                     seen.add(mark(item))
     return blocks, sorted(seen)
 
 
+def blocks_of(page: str, host: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
+    """What a page tells by itself, where nothing is known of its host: (text, marks) of the blocks of its articles, and its hashes."""
+    blocks, seen = read_page(page, host)
+    return [(b.text, b.marks) for b in blocks if b.inside], seen
+
+
 def host_of(url: str) -> str:
     try:
         return (urlsplit(url).hostname or "").removeprefix("www.")
@@ -212,39 +233,41 @@ def host_of(url: str) -> str:
 
 
 def extract_text(pages: DataFrame, min_pages: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
-    """One row for each page: page_id, url, text (blocks of the article joined by one space, empty if none), n_chars.
+    """One row for each page: page_id, url, text (blocks of the main text joined by one space, empty if none), n_chars.
 
     Every element subtree of a page is hashed with the page's host, and those that stand in at least ``min_pages`` pages of the host
     with different texts are its template; blocks inside them go. Copies of a page count once, and paragraphs, headings, list items
     and cells are never templates by themselves, for pages may share passages. Menus, headers, footers, sidebars, notices, adverts,
-    forms, comments, scripts and styles also go by their tag, role, class or id. Where a page has article elements (else a main
-    element), only what is in them is kept. A null html is empty; a null or odd url is the host "". Repeated rows are kept
+    forms, comments, scripts and styles also go by their tag, role, class or id. Only on hosts with fewer than ``min_pages`` such
+    pages, where nothing can be counted, article elements (else a main element) decide: what is outside them goes. A null html is empty; a null or odd url is the host "". Repeated rows are kept
     each for itself. Other columns are ignored. No rows: no rows.
     """
     pages = only(pages, "page_id", "url", "html")
     ids = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {ids}, url string, blocks array<struct<text: string, marks: array<long>>>, seen array<long>, content long"
-    block = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64()))]))
+    schema = f"page_id {ids}, url string, blocks array<struct<text: string, marks: array<long>, inside: boolean>>, host long, seen array<long>, content long"
+    block = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64())), ("inside", pa.bool_())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for url, page in zip(str_column(batch, "url"), str_column(batch, "html"), strict=True):
-                blocks, seen = blocks_of(page, host_of(url))
-                out[0].append([{"text": t, "marks": m} for t, m in blocks])
-                out[1].append(seen)
-                out[2].append(xxhash.xxh64_intdigest("\n".join(t for t, _ in blocks)) - (1 << 63))
-            arrays = [pa.array(out[0], block), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["page_id", "url", "blocks", "seen", "content"])
+                blocks, seen = read_page(page, host := host_of(url))
+                out[0].append([b._asdict() for b in blocks])
+                out[1].append(None if all(b.inside for b in blocks) else host_mark(host))  # asked for only where it decides
+                out[2].append(seen)
+                out[3].append(xxhash.xxh64_intdigest("\n".join(b.text for b in blocks)) - (1 << 63))
+            arrays = [pa.array(out[0], block), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["page_id", "url", "blocks", "host", "seen", "content"])
 
     parsed = pages.select(F.col("page_id"), F.col("url"), F.col("html")).mapInArrow(read, schema)
     parsed = materialise(parsed.withColumn("row_", F.monotonically_increasing_id()), "pages").df
     templates = parsed.select(F.explode("seen").alias("mark"), "content").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    inside = parsed.select("row_", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
+    inside = parsed.select("row_", F.explode(F.array_compact(F.array_append(F.array_distinct(F.flatten("blocks.marks")), F.col("host")))).alias("mark"))
     hits = inside.join(templates.select(F.col("mark").alias("mark_")), F.col("mark") == F.col("mark_")).groupBy(F.col("row_").alias("hit_")).agg(F.collect_list("mark").alias("hits"))
     hits = materialise(hits, "templates").df
     hits = F.broadcast(hits) if hits.count() <= broadcast_rows else hits
-    kept = F.filter("blocks", lambda b: F.col("hits").isNull() | ~F.arrays_overlap(b["marks"], F.col("hits")))
+    counted = F.coalesce(F.array_contains(F.col("hits"), F.col("host")), F.lit(False))
+    kept = F.filter("blocks", lambda b: (F.col("hits").isNull() | ~F.arrays_overlap(b["marks"], F.col("hits"))) & (b["inside"] | counted))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     rows = parsed.join(hits, F.col("row_") == F.col("hit_"), "left").select("page_id", "url", text.alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

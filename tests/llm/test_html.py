@@ -49,6 +49,15 @@ def test_templates(spark):
     assert by[200] == (200, None, "", 0) and by[201] == (201, "http://[bad", "x", 1) and by[None][2:] == ("é", 1)
 
 
+def test_counts_decide_outside_articles(spark):
+    card = "<section><h2>More</h2><article>a teaser</article></section>"
+    page = lambda i: f"<div><div>site name</div><div><p>story {i}</p></div>{card}<article>entry {i}</article><p>after {i}</p></div><nav>links {i}<article>n{i}</article></nav>"
+    rows = [(i, "http://a.org", page(i), 0) for i in range(12)] + [(50, "http://b.org", page(50), 0)]
+    by = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert all(by[i] == f"story {i} entry {i} after {i} n{i}" for i in range(12))
+    assert by[50] == "a teaser entry 50 n50"
+
+
 def test_generated_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
