@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import materialise
-from fieldmark.llm.decontaminate import find_leaks
+from fieldmark.llm.decontaminate import TemplateRules, find_leaks
 from fieldmark.llm.packing import pack_documents
 from fieldmark.llm.quality import judge
 from fieldmark.llm.secrets import find_secrets
@@ -49,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return _without(docs, find_leaks(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return _without(docs, find_leaks(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), TemplateRules(inside=True)))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,11 +17,15 @@ NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 
 @dataclass(frozen=True)
 class TemplateRules:
-    """Windows of ``width`` template words, of which ``literals`` are no placeholders; an item counts from ``share`` of its windows."""
+    """Windows of ``width`` template words, of which ``literals`` are no placeholders; an item counts from ``share`` of its windows.
+
+    Items with fewer words than ``width`` are looked for as whole texts, and with ``inside`` in longer documents as well.
+    """
 
     width: int = 5
     literals: int = 3
     share: float = 0.8
+    inside: bool = False
 
 
 def marked(text: Column) -> Column:
@@ -52,6 +56,13 @@ def window_hashes(words: str, width: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
+def short_windows(words: str, n: int) -> Column:
+    """(place, h) of each window of ``n`` words, where there are more; h is that of a whole text of these words."""
+    hashed = lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(F.col(words), i + k) for k in range(n)]).alias("h"))
+    size = F.size(words)
+    return F.when(size > n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), hashed)).otherwise(F.array().cast("array<struct<place: int, h: bigint>>"))
+
+
 def item_windows(items: DataFrame, rules: TemplateRules) -> DataFrame:
     """(item_id, at, h) of the windows with enough literal words; of all windows of an item where none has enough."""
     df = items.select(F.col("item_id"), canonical(marked(F.col("text"))).alias("w")).withColumn("h", window_hashes("w", rules.width))
@@ -76,8 +87,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     sizes = windows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
     one = windows.groupBy("h").agg(F.min("at").alias("at_"))  # a window's hash is looked up once, then given to its items
     small = windows.count() <= broadcast_rows
-    own = docs.select(F.col("doc_id"), canonical(marked(F.col("text"))).alias("w")).select("doc_id", window_hashes("w", rules.width).alias("hs"))
-    seen = own.select("doc_id", F.posexplode_outer("hs").alias("place", "h"))
+    own = docs.select(F.col("doc_id"), canonical(marked(F.col("text"))).alias("w"))
+    n_words = items.filter(F.col("item_id").isNotNull()).select(F.size(marked(F.col("text"))).alias("n"))
+    short = sorted(r.n for r in n_words.filter(F.col("n").between(1, rules.width - 1)).distinct().collect()) if rules.inside else []
+    if short:  # at most width - 1 lengths
+        whole = F.transform(window_hashes("w", rules.width), lambda h, i: F.struct(i.alias("place"), h.alias("h")))
+        seen = own.select("doc_id", F.explode_outer(F.concat(whole, *[short_windows("w", n) for n in short])).alias("x")).select("doc_id", "x.place", "x.h")
+    else:
+        own = own.select("doc_id", window_hashes("w", rules.width).alias("hs"))
+        seen = own.select("doc_id", F.posexplode_outer("hs").alias("place", "h"))
     hashes = one.select(F.col("h").alias("h_"))
     found = materialise(seen.join(F.broadcast(hashes) if small else hashes, F.col("h") == F.col("h_")).select("doc_id", "place", "h"), "found").df
 

@@ -34,9 +34,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldmark.llm.decontaminate import find_leaks
+    from fieldmark.llm.decontaminate import TemplateRules, find_leaks
 
-    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), TemplateRules(inside=True))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,5 +63,16 @@ def test_share_against_all_windows(spark):
     assert set(leaks(spark, docs, items)) == want
 
 
+def test_short_items_inside_documents(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    docs = [(1, "they asked: Who wrote Hamlet? and went home again"), (2, "who wrote Hamlet"), (3, "who wrote letters and read hamlet"), (4, "上面 这是一个问题 下面 还有 很多 别的 话"), (5, PASSAGE + " who wrote Hamlet"), (6, None), (7, "there are 7 km to go now")]
+    items = [(10, "Who wrote Hamlet?"), (11, "这是一个问题"), (12, PASSAGE), (13, "are 5 km to")]
+    spark.createDataFrame([(i, t, "en", "x", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.n_changed for r in entry.queries()["op4_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 10): 0, (2, 10): 0, (4, 11): 0, (5, 10): 0, (5, 12): 0, (7, 13): 1}
+
+
 def test_empty(spark):
     assert leaks(spark, [], [(1, PASSAGE)]) == {} and leaks(spark, [(1, PASSAGE)], []) == {}
