@@ -1,17 +1,19 @@
-"""Removal of long repeated byte strings: Burrows-Wheeler interval expansion, bounded by the length, over the texts around anchors.
-
-A string of ``length`` bytes (a window) is filed under its anchor, the 32 bytes in it with the least hash, so equal windows have the
-same anchor at the same place. Neighbouring windows of one anchor and one block of offsets share a core of ``length - BLOCK + 1``
-bytes; such a run with its context, the bytes from its first window's start to its last window's end, is the unit of work:
-
-1. count cores and contexts by hash. A core that stands once has no repeated window. A context that stands twice or more repeats as
-   a whole. Cores with several contexts, one of them single, are mixed.
-2. the distinct contexts of mixed cores meet by core. As all of a core's contexts share it, it becomes one symbol there, and a window
-   is ``BLOCK`` symbols. Suffixes are sorted, and the expansion of the transform's intervals finds the windows that stand twice.
-3. each text looks up its runs in what 1 and 2 have found, and loses the bytes that are covered.
-
-The texts are read three times and never shuffled; results are kept in files by hash, which all executors map. Equality is that of
-64-bit hashes of contexts and cores; the remaining comparisons are of bytes.
+"""Removal of long repeated strings: Burrows-Wheeler interval expansion, bounded by the length, over the texts around anchors.
+
+A symbol is a byte or a word, a window a string of ``length`` symbols. A window is filed under its anchor, the few symbols in it with
+the least hash, so equal windows have the same anchor at the same place. Neighbouring windows of one anchor and one block of offsets
+share a core of ``length - block + 1`` symbols; such a run with its context, the symbols from its first window's start to its last
+window's end, is the unit of work:
+
+1. cores are counted by hash, a filter: a core that stands once has no repeated window.
+2. the contexts of cores that stand twice or more meet by core, those that stand twice themselves as two. As all of a core's contexts
+   share it, it becomes one symbol there, and a window is ``block`` symbols. Suffixes are sorted, and the expansion of the
+   transform's intervals finds the windows that stand twice.
+3. each text looks up the windows of its runs in what 2 has found, and loses the symbols that are covered.
+
+Texts are written once with the number of their part and read three times; only hashes and contexts of repeated cores are shuffled.
+What a part has to look up is shuffled to it and kept in one file, so a task opens the files of its own parts and no others; a file
+that is missing is an error. In step 2 cores are told apart by 128 bits, in step 3 contexts and windows by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,25 +25,42 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import only, shared_dir, small_arrow_batches, utf8_column
-from fieldmark.llm.shards import DOWN, MAPPED, U64, UP, Sums, blobs, by_shard, filesystem, load, mix, power_of_two, save, spread
+from fieldmark.llm.common import materialise, only, shared_dir, small_arrow_batches, utf8_column
+from fieldmark.llm.shards import DOWN, U64, UP, filesystem, load, mix, save
+from fieldmark.llm.words import words_of
 
-ANCHOR = 32
 #: Bits of an anchor's hash that decide; the others hold its place, so the first of equals wins.
 PLACE_BITS = 24
 #: Bytes of text that are worked on at a time; places must fit in PLACE_BITS.
 CHUNK = 4 << 20
-#: Contexts for which one shard is sorted; cores with more are decided by hashes of whole windows instead.
+#: Contexts that are sorted together. Windows of cores with over CROWD distinct contexts are counted one by one instead, by 128 bits,
+#: for the contexts of one core can't be dealt to several tasks; the windows found are the same.
 SHARD_CONTEXTS, CROWD = 8_000, 10_000
 _BYTE = np.random.default_rng(5).integers(1, 1 << 64, 256, dtype=np.uint64)
 
 
-def block_of(length: int) -> int:
-    """Offsets of a block: a quarter of those that an anchor can have in a window."""
-    return -(-(length - min(ANCHOR, length) + 1) // 4)
+class Windows(NamedTuple):
+    """Strings of ``length`` bytes, or of ``length`` words between ASCII white space, A-Z in lower case."""
+
+    length: int
+    words: bool = False
+
+    @property
+    def anchor(self) -> int:
+        return min(4 if self.words else 32, self.length)
+
+    @property
+    def block(self) -> int:
+        """Offsets of a block: a part of those that an anchor can have in a window."""
+        return -(-(self.length - self.anchor + 1) // (2 if self.words else 4))
+
+    @property
+    def core(self) -> int:
+        return self.length - self.block + 1
 
 
 # --- suffixes ---------------------------------------------------------------------------------------------------------------
@@ -128,26 +147,31 @@ class Runs(NamedTuple):
 
 
 class Text(NamedTuple):
-    data: bytes
+    """Symbols (bytes, or hashes of words) and running sums for hashes of strings of them."""
+
+    data: np.ndarray
     sums: np.ndarray
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * DOWN.upto(len(self.data) + 1)[start] + (end - start).astype(U64))
 
+    def digest(self, start: int, end: int) -> bytes:
+        return xxhash.xxh3_128_digest(self.data[start:end].tobytes())
 
-def read_text(data: bytes) -> Text:
-    raw = np.frombuffer(data, np.uint8)
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_BYTE[raw] * UP.upto(len(raw)), out=sums[1:])
+
+def read_text(data: np.ndarray) -> Text:
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum((data if data.dtype == U64 else _BYTE[data]) * UP.upto(len(data)), out=sums[1:])
     return Text(data, sums)
 
 
-def runs_of(text: Text, ends: np.ndarray, length: int) -> Runs:
+def runs_of(text: Text, ends: np.ndarray, w: Windows) -> Runs:
     """The runs of all windows that lie within one document; documents stand end to end."""
-    n, width, block = len(text.data), min(ANCHOR, length), block_of(length)
+    n, length, width, block = len(text.data), w.length, w.anchor, w.block
     empty = np.zeros(0, np.int64)
+    none = Runs(empty, empty, empty, empty.astype(U64), empty.astype(U64))
     if n < length:
-        return Runs(empty, empty, empty, empty.astype(U64), empty.astype(U64))
+        return none
     low = U64((1 << PLACE_BITS) - 1)
     h = mix((text.sums[width:] - text.sums[:-width]) * DOWN.upto(n + 1 - width))
     least = (h & ~low) | np.arange(len(h), dtype=U64)
@@ -163,7 +187,7 @@ def runs_of(text: Text, ends: np.ndarray, length: int) -> Runs:
         inside[max(end - length + 1, 0) : end] = False
     start = np.flatnonzero(inside[: len(anchor)])
     if not len(start):
-        return Runs(empty, empty, empty, empty.astype(U64), empty.astype(U64))
+        return none
     anchor = anchor[start]
     part = (anchor - start) // block
     cut = np.ones(len(start), bool)
@@ -172,64 +196,49 @@ def runs_of(text: Text, ends: np.ndarray, length: int) -> Runs:
     first, last = start[cut], start[np.append(cut[1:], len(start)) - 1]
     anchor, part = anchor[cut], part[cut]
     core_at = anchor - block * part
-    core = mix(text.hashes(core_at, core_at + length - block + 1) + part.astype(U64))
+    core = mix(text.hashes(core_at, core_at + w.core) + part.astype(U64))
     context = mix(text.hashes(first, last + length) + core + (core_at - first).astype(U64) * U64(1_000_003))
     return Runs(first, last, core_at, core, context)
 
 
-def documents_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[tuple[Text, np.ndarray, int]]]]:
-    """(rows, their texts, pieces): a piece has documents end to end, where they end, and its place in the texts.
+class Piece(NamedTuple):
+    """Documents end to end, where they end, and the piece's place among the symbols of its texts."""
 
-    A long document is cut into pieces that overlap by ``length - 1``, so that each window lies in one piece.
-    """
+    text: Text
+    ends: np.ndarray
+    at: int
+
+
+def pieces_of(texts: list[bytes], w: Windows) -> list[Piece]:
+    """A long document is cut into pieces that overlap by ``length - 1``, so that each window lies in one piece."""
+    if w.words:
+        words = words_of(texts)
+        data, ends = words.hash, np.cumsum(np.bincount(words.row, minlength=len(texts)))
+    else:
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    if len(data) <= CHUNK + w.length:
+        return [Piece(read_text(data), ends, 0)]
+    cuts = [(data[a : a + CHUNK + w.length - 1], a) for a in range(0, len(data) - w.length + 1, CHUNK)]
+    return [Piece(read_text(x), np.array([len(x)]), a) for x, a in cuts]
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+    """(part, rows, their texts) in runs of one part and of about CHUNK bytes; a longer text is a run of its own."""
     for batch in batches:
-        texts = utf8_column(batch, "text")
+        texts, parts = utf8_column(batch, "text"), batch.column(batch.schema.get_field_index("part_")).to_pylist()
         at = 0
         while at < len(texts):
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK):
+            while upto < len(texts) and parts[upto] == parts[at] and (upto == at or size + len(texts[upto]) <= CHUNK):
                 size += len(texts[upto])
                 upto += 1
-            own = texts[at:upto]
-            joined = b"".join(own)
-            if len(joined) <= CHUNK + length:
-                pieces = [(joined, np.cumsum([len(t) for t in own]), 0)]
-            else:
-                pieces = [(cut := joined[a : a + CHUNK + length - 1], np.array([len(cut)]), a) for a in range(0, len(joined) - length + 1, CHUNK)]
-            yield batch.slice(at, upto - at), own, [(read_text(d), e, a) for d, e, a in pieces]
+            yield parts[at], batch.slice(at, upto - at), texts[at:upto]
             at = upto
 
 
 # --- what is known of cores, contexts and windows -----------------------------------------------------------------------------
 
 
-class Files:
-    """Sorted arrays in files by the top bits of a hash."""
-
-    def __init__(self, paths: dict[int, str], bits: int) -> None:
-        self.paths, self.bits, self.open = paths, bits, {}
-
-    def __reduce__(self):
-        return Files, (self.paths, self.bits)
-
-    def top(self, h: np.ndarray) -> np.ndarray:
-        return (h >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
-
-    def parts(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
-        """(places in h, file) for each file that a hash belongs to."""
-        top = self.top(h)
-        order = np.argsort(top, kind="stable")
-        cuts = [0, *(np.flatnonzero(np.diff(top[order])) + 1).tolist(), len(order)]
-        for a, b in zip(cuts, cuts[1:]):
-            shard = int(top[order[a]]) if a < b else -1
-            if shard in self.paths:
-                if shard not in self.open:
-                    if len(self.open) >= MAPPED:
-                        self.open.clear()
-                    self.open[shard] = load(self.paths[shard])
-                yield order[a:b], self.open[shard]
-
-
 def place_in(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The place of each hash, -1 if it isn't there."""
     if not len(sorted_):
@@ -238,19 +247,6 @@ def place_in(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == h, at, -1)
 
 
-ONCE, WHOLE, MIXED, CROWDED = range(4)
-
-
-def states(files: Files, runs: Runs) -> np.ndarray:
-    """ONCE: no window repeats; WHOLE: all do; MIXED, CROWDED: to be looked up, by context or by window."""
-    out = np.full(len(runs.core), ONCE, np.int8)
-    for at, f in files.parts(runs.core):
-        out[at[place_in(f["mixed"], runs.core[at]) >= 0]] = MIXED
-        out[at[place_in(f["crowded"], runs.core[at]) >= 0]] = CROWDED
-        out[at[place_in(f["whole"], runs.context[at]) >= 0]] = WHOLE
-    return out
-
-
 def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the range, value) of all values in the ranges."""
     size = last - first + 1
@@ -258,209 +254,280 @@ def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + first[own]
 
 
-def solve(contexts: list[tuple[int, int, bytes]], core: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context (symbols before the core, symbols after it, these bytes) and its core: which of its windows repeat."""
-    block = block_of(length)
-    _, group = np.unique(core, return_inverse=True)
-    parts, starts, at = [], [], 0
-    for (left, right, data), g in zip(contexts, group.tolist(), strict=True):
-        codes = np.frombuffer(data, np.uint8).astype(np.int64) + 1
-        parts += [codes[:left], np.array([257 + g]), codes[left:], np.zeros(1, np.int64)]
-        starts.append(at)
-        at += left + right + 2
-    if not parts:
+def solve(contexts: list[tuple[int, int, np.ndarray, bool]], core: list, block: int) -> list[np.ndarray]:
+    """For each context (symbols before the core, symbols after it, these symbols, whether it stands twice) and its core: which of its windows repeat."""
+    if not contexts:
         return []
+    names: dict = {}
+    group = [names.setdefault(c, len(names)) for c in core]
+    if contexts[0][2].dtype == np.uint8:
+        symbols, width = np.concatenate([x[2] for x in contexts]).astype(np.int64), 256
+    else:
+        values, symbols = np.unique(np.concatenate([x[2] for x in contexts]), return_inverse=True)
+        width = len(values)
+    parts, starts, at, taken = [], [], 0, 0
+    for (left, right, _, twice), g in zip(contexts, group, strict=True):
+        codes = symbols[taken : taken + left + right] + 1
+        taken += left + right
+        one = [codes[:left], np.array([width + 1 + g]), codes[left:], np.zeros(1, np.int64)]
+        parts += one * (2 if twice else 1)
+        starts.append(at)
+        at += (left + right + 2) * (2 if twice else 1)
     marks = repeated_places(np.concatenate(parts), block)
-    return [marks[s : s + left + right + 2 - block] for s, (left, right, _) in zip(starts, contexts, strict=True)]
+    return [marks[s : s + left + right + 2 - block] for s, (left, right, _, _) in zip(starts, contexts, strict=True)]
 
 
-# --- the operator -------------------------------------------------------------------------------------------------------------
+def _ranges(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
-CONTEXTS = "kind int, shard long, core binary, context binary, left binary, right binary, data binary"
-FILE = "kind int, shard long, path string, n long"
 
+def _longs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
-def _file(kind: int, shard: int, path: str, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int64()), pa.array([path]), pa.array([n], pa.int64())], ["kind", "shard", "path", "n"])
 
+PIECES = "kind int, part_ int, core long, core2 long, hi long, lo long, n long, left int, right int, data binary"
+MARKS = "part_ int, kind int, hi long, lo long, first binary, last binary"
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary).
 
-    Every byte goes that lies in a string of ``length`` bytes which also starts at another place, of the same document or another;
-    strings are judged on the texts given and never cross documents. A null text is empty. Repeated rows repeat each other's
-    strings, so those of ``length`` bytes or more lose all of them. Other columns are ignored. No rows: no rows.
-    """
-    small_arrow_batches(docs.sparkSession)
-    docs = only(docs, "doc_id", "text")
-    if length < 8:
-        raise ValueError("strings of 8 bytes or more are supported")
-    folder = f"{shared_dir(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
+def _rows(kind: int, part: int, core, core2, hi, lo, n, left, right, data) -> pa.RecordBatch:
+    k = len(hi)
+    arrays = [pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, part, np.int32)), *[pa.array(np.asarray(x, np.int64)) for x in (core, core2, hi, lo, n)], *[pa.array(np.asarray(x, np.int32)) for x in (left, right)], pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["kind", "part_", "core", "core2", "hi", "lo", "n", "left", "right", "data"])
+
+
+class Found:
+    """Where the windows of a part's texts that stand twice are looked up: one file of cores and one of marks for each part."""
+
+    def __init__(self, windows: Windows, folder: str) -> None:
+        self.windows, self.folder, self.part, self.files = windows, folder, None, ({}, {})
+
+    def __reduce__(self):
+        return Found, (self.windows, self.folder)
+
+    def of(self, part: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        if part != self.part:
+            self.part, self.files = part, (load(f"{self.folder}/cores-{part}"), load(f"{self.folder}/marks-{part}"))
+        return self.files
+
+    def ranges(self, part: int, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of starts of windows that stand twice."""
+        cores, marks = self.of(part)
+        text, length = piece.text, self.windows.length
+        runs = runs_of(text, piece.ends, self.windows)
+        at = place_in(cores["core"], runs.core.view(np.int64))
+        few = np.flatnonzero((at >= 0) & (cores["crowded"][at] == 0)) if len(cores["core"]) else np.zeros(0, np.int64)
+        many = np.flatnonzero((at >= 0) & (cores["crowded"][at] > 0)) if len(cores["core"]) else few
+        first, last = [], []
+        if len(few):
+            hit = self._look_up(marks, "context", [text.digest(int(runs.first[i]), int(runs.last[i]) + length) for i in few])
+            few, hit = few[hit >= 0], hit[hit >= 0]
+            own, k = _expand(marks["begin"][hit], marks["begin"][hit + 1] - 1)
+            first.append(runs.first[few[own]] + marks["first"][k])
+            last.append(runs.first[few[own]] + marks["last"][k])
+        if len(many):
+            _, start = _expand(runs.first[many], runs.last[many])
+            start = start[self._look_up(marks, "window", [text.digest(a, a + length) for a in start.tolist()]) >= 0]
+            first.append(start)
+            last.append(start)
+        empty = [np.zeros(0, np.int64)]
+        return np.concatenate(first or empty), np.concatenate(last or empty)
+
+    @staticmethod
+    def _look_up(marks: dict[str, np.ndarray], name: str, digests: list[bytes]) -> np.ndarray:
+        hi, lo = _longs(digests)
+        at = place_in(marks[f"{name}_hi"], hi)
+        seen = at >= 0
+        seen[seen] = marks[f"{name}_lo"][at[seen]] == lo[seen]
+        return np.where(seen, at, -1)
+
+
+def filed(rows: DataFrame, texts: DataFrame, columns: list[str], write) -> int:
+    """Send rows to their part and write one file for each part of ``texts``, if need be without rows; the number of files."""
+    every = texts.select("part_").distinct()
+    for c in columns:
+        every = every.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
+    sent = rows.select("part_", *columns).unionByName(every).repartition("part_").sortWithinPartitions("part_", *[c for c in columns if c in ("core", "kind", "hi", "lo")])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, done = None, [], 0
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and parts[a] != now:
+                    write(int(now), pa.Table.from_batches(held))
+                    done, held = done + 1, []
+                now = parts[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            write(int(now), pa.Table.from_batches(held))
+            done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["files"])
+
+    return sent.mapInArrow(keep, "files long").agg(F.sum("files")).first()[0] or 0
+
+
+def find_repeats(texts: DataFrame, windows: Windows) -> Found:
+    """Steps 1 and 2 for a written table of text and part_."""
+    folder = f"{shared_dir(texts.sparkSession)}/repeats-{uuid.uuid4().hex}"
     files, path = filesystem(folder)
     files.create_dir(path, recursive=True)
-    texts = docs.select(F.col("text"))
-    bits = power_of_two(max(16, 2 * texts.rdd.getNumPartitions()))
-    block = block_of(length)
+    found = Found(windows, folder)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        for _, _, pieces in documents_of(batches, length):
-            for text, ends, _ in pieces:
-                runs = runs_of(text, ends, length)
+        for part, _, own in groups_of(batches):
+            for piece in pieces_of(own, windows):
+                runs = runs_of(piece.text, piece.ends, windows)
                 context, at, n = np.unique(runs.context, return_index=True, return_counts=True)
-                sums.add(context, n.astype(np.int64), runs.core[at])
-        if found := sums.result():
-            context, n, core = found
-            top = (core >> U64(64 - bits)).astype(np.int64)
-            order = np.argsort(top, kind="stable")
-            yield from blobs(top[order], context[order], n[order], core[order])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, (context, n, core) in by_shard(batches, (U64, np.int64, U64)):
-            cores, group, kinds = np.unique(core, return_inverse=True, return_counts=True)
-            total, single = np.bincount(group, n, len(cores)), np.bincount(group, n == 1, len(cores)) > 0
-            mixed = (total > 1) & single
-            crowded = mixed & (kinds > CROWD)
-            save(to := f"{folder}/cores-{shard}", mixed=cores[mixed & ~crowded], crowded=cores[crowded], whole=context[n > 1])
-            yield _file(0, shard, to, int(kinds[mixed & ~crowded].sum()))
-
-    rows = spread(texts.mapInArrow(count, "shard long, a binary, b binary, c binary"), 1 << bits).mapInArrow(judge, FILE).collect()
-    cores = Files({r["shard"]: r["path"] for r in rows}, bits)
-    solve_bits = power_of_two(sum(r["n"] for r in rows) / SHARD_CONTEXTS)
+                arrays = [pa.array(np.full(len(at), part, np.int32)), pa.array(runs.core[at].view(np.int64)), pa.array(context.view(np.int64)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["part_", "core", "context", "n"])
+
+    runs = texts.select("part_", "text").mapInArrow(count, "part_ int, core long, context long, n long")
+    twice = runs.groupBy(F.col("core").alias("core_")).agg(F.sum("n").alias("n_")).filter("n_ > 1").select("core_")
+    met = materialise(runs.join(twice, F.col("core") == F.col("core_")).select("part_", "core", "context"), "cores").df
+    crowded = met.distinct().groupBy(F.col("core").alias("core_"), "context").agg(F.lit(1).alias("k")).groupBy("core_").agg(F.sum("k").alias("k")).filter(F.col("k") > CROWD).select("core_", F.lit(1).alias("crowded"))
+    wanted = met.select("part_", "core").distinct().join(crowded, F.col("core") == F.col("core_"), "left").select("part_", "core", F.coalesce("crowded", F.lit(0)).alias("crowded"))
+
+    def write_cores(part: int, table: pa.Table) -> None:
+        table = table.filter(table["core"].is_valid())
+        save(f"{folder}/cores-{part}", core=table["core"].to_numpy(), crowded=table["crowded"].to_numpy().astype(np.uint8))
+
+    filed(wanted, texts, ["core", "crowded"], write_cores)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[int, int, int, bytes]] = {}
-        windows = Sums()
-        top = Files({}, solve_bits).top
-        for _, _, pieces in documents_of(batches, length):
-            for text, ends, _ in pieces:
-                runs = runs_of(text, ends, length)
-                wanted, crowd = np.zeros(len(runs.core), bool), np.zeros(len(runs.core), bool)
-                for at, f in cores.parts(runs.core):
-                    wanted[at] = place_in(f["mixed"], runs.core[at]) >= 0
-                    crowd[at] = place_in(f["crowded"], runs.core[at]) >= 0  # with contexts that repeat, for single ones share windows with them
-                for i in np.flatnonzero(wanted).tolist():
-                    context = int(runs.context[i])
-                    if context not in found:
-                        a, c, b = int(runs.first[i]), int(runs.core_at[i]), int(runs.last[i]) + length
-                        end = c + length - block + 1
-                        found[context] = (int(runs.core[i]), c - a, b - end, text.data[a:c] + text.data[end:b])
+        for part, _, own in groups_of(batches):
+            known = load(f"{folder}/cores-{part}")
+            for text, ends, _ in pieces_of(own, windows):
+                runs = runs_of(text, ends, windows)
+                at = place_in(known["core"], runs.core.view(np.int64))
+                if not (at >= 0).any():
+                    continue
+                crowd = (at >= 0) & (known["crowded"][at] > 0)
+                few = np.flatnonzero((at >= 0) & ~crowd)
+                _, one, n = np.unique(runs.context[few], return_index=True, return_counts=True)
+                columns: list[list] = [[] for _ in range(5)]
+                for i in few[one].tolist():
+                    a, c, b = int(runs.first[i]), int(runs.core_at[i]), int(runs.last[i]) + windows.length
+                    end = c + windows.core
+                    row = (xxhash.xxh3_64_intdigest(text.data[c:end].tobytes()) - (1 << 63), text.digest(a, b), c - a, b - end, text.data[a:c].tobytes() + text.data[end:b].tobytes())
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+                if columns[0]:
+                    yield _rows(1, part, runs.core[few[one]].view(np.int64), columns[0], *_longs(columns[1]), n, *columns[2:])
                 if crowd.any():
                     _, start = _expand(runs.first[crowd], runs.last[crowd])
-                    h, n = np.unique(text.hashes(start, start + length), return_counts=True)
-                    windows.add(h, n.astype(np.int64))
-        core = np.array([x[0] for x in found.values()], U64)
-        context, left, right = np.array(list(found), U64), *(np.array([x[k] for x in found.values()], np.int32) for k in (1, 2))
-        data = [x[3] for x in found.values()]
-        shard = top(core)
-        order = np.argsort(shard, kind="stable")
-        cuts = [0, *(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(order)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                at = order[a:b]
-                yield _row(1, int(shard[at[0]]), core[at].tobytes(), context[at].tobytes(), left[at].tobytes(), right[at].tobytes(), b"".join(data[i] for i in at.tolist()))
-        if result := windows.result():
-            h, n = result
-            shard = (h >> U64(64 - bits)).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(h)]
-            for a, b in zip(cuts, cuts[1:]):
-                yield _row(2, int(shard[a]), h[a:b].tobytes(), n[a:b].tobytes(), b"", b"", b"")
+                    _, one, n = np.unique(text.hashes(start, start + windows.length), return_index=True, return_counts=True)
+                    hi, lo = _longs([text.digest(a, a + windows.length) for a in start[one].tolist()])
+                    zero = np.zeros(len(hi), np.int64)
+                    yield _rows(2, part, zero, zero, hi, lo, n, zero, zero, [b""] * len(hi))
+
+    pieces = materialise(texts.select("part_", "text").mapInArrow(gather, PIECES), "contexts").df
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple[int, int] | None = None
-        held: list[tuple[bytes, ...]] = []
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = U64 if windows.words else np.uint8
+        held: dict[tuple, list] = {}  # (core, core2, hi, lo): [left, right, symbols, n, parts]
+        last = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = [c[i].as_py() for c in batch.columns]
-                if (row[0], row[1]) != now:
-                    if now:
-                        yield finish(*now, held)
-                    now, held = (row[0], row[1]), []
-                held.append(tuple(row[2:]))
-        if now:
-            yield finish(*now, held)
-
-    def finish(kind: int, shard: int, held: list[tuple[bytes, ...]]) -> pa.RecordBatch:
-        to = f"{folder}/{'contexts' if kind == 1 else 'windows'}-{shard}"
-        if kind == 2:
-            sums = Sums()
-            for row in held:
-                sums.add(np.frombuffer(row[0], U64), np.frombuffer(row[1], np.int64))
-            h, n = sums.result()
-            save(to, window=h[n > 1])
-            return _file(kind, shard, to, len(h))
-        found: dict[int, tuple[int, tuple[int, int, bytes]]] = {}
-        for core, context, left, right, data in held:
-            at = 0
-            for g, c, a, b in zip(np.frombuffer(core, U64).tolist(), np.frombuffer(context, U64).tolist(), np.frombuffer(left, np.int32).tolist(), np.frombuffer(right, np.int32).tolist(), strict=True):
-                if c not in found:
-                    found[c] = (g, (a, b, data[at : at + a + b]))
-                at += a + b
-        names = sorted(found)
-        marks = solve([found[c][1] for c in names], np.array([found[c][0] for c in names], U64), length)
-        sizes = np.cumsum([0, *map(len, marks)])
-        save(to, context=np.array(names, U64), start=sizes.astype(np.int64), repeated=np.concatenate([np.zeros(0, bool), *marks]).astype(np.uint8))
-        return _file(kind, shard, to, len(names))
-
-    dealt = texts.mapInArrow(gather, CONTEXTS).repartition(max(1, min(1 << solve_bits, 4096)), "kind", "shard").sortWithinPartitions("kind", "shard")
-    rows = dealt.mapInArrow(settle, FILE).collect()
-    contexts = Files({r["shard"]: r["path"] for r in rows if r["kind"] == 1}, solve_bits)
-    windows = Files({r["shard"]: r["path"] for r in rows if r["kind"] == 2}, bits)
-
-    def repeated(text: Text, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of starts of repeated windows."""
-        runs = runs_of(text, ends, length)
-        kind = states(cores, runs)
-        whole = kind == WHOLE
-        first, last = [runs.first[whole]], [runs.last[whole]]
-        mixed = np.flatnonzero(kind == MIXED)
-        for at, f in contexts.parts(runs.core[mixed]):
-            at = mixed[at]
-            place = place_in(f["context"], runs.context[at])
-            at, place = at[place >= 0], place[place >= 0]
-            own, k = _expand(f["start"][place], f["start"][place + 1] - 1)
-            own, k = own[f["repeated"][k] > 0], k[f["repeated"][k] > 0]
-            start = runs.first[at[own]] + k - f["start"][place[own]]
-            first.append(start)
-            last.append(start)
-        crowd = kind == CROWDED
-        if crowd.any():
-            _, start = _expand(runs.first[crowd], runs.last[crowd])
-            h = text.hashes(start, start + length)
-            for at, f in windows.parts(h):
-                at = at[place_in(f["window"], h[at]) >= 0]
-                first.append(start[at])
-                last.append(start[at])
-        return np.concatenate(first), np.concatenate(last)
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for part, core, core2, hi, lo, n, left, right, data in zip(*columns, strict=True):
+                if (core, core2) != last and len(held) >= SHARD_CONTEXTS:
+                    yield finish(held)
+                    held = {}
+                last = (core, core2)
+                seen = held.setdefault((core, core2, hi, lo), [left, right, np.frombuffer(data, kind), 0, []])
+                seen[3] += n
+                seen[4].append(part)
+        if held:
+            yield finish(held)
+
+    def finish(held: dict[tuple, list]) -> pa.RecordBatch:
+        marks = solve([(x[0], x[1], x[2], x[3] > 1) for x in held.values()], [k[:2] for k in held], windows.block)
+        out: list[list] = [[] for _ in range(5)]
+        for (_, _, hi, lo), (_, _, _, _, parts), own in zip(held, held.values(), marks, strict=True):
+            if own.any():
+                first, last = (x.astype(np.int32).tobytes() for x in _ranges(own))
+                for part in set(parts):
+                    for column, value in zip(out, (part, hi, lo, first, last), strict=True):
+                        column.append(value)
+        arrays = [pa.array(out[0], pa.int32()), pa.array([1] * len(out[0]), pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["part_", "kind", "hi", "lo", "first", "last"])
+
+    dealt = pieces.filter("kind = 1").select("part_", "core", "core2", "hi", "lo", "n", "left", "right", "data").repartition("core", "core2").sortWithinPartitions("core", "core2")
+    single = pieces.filter("kind = 2").select("part_", "hi", "lo", "n")
+    often = single.groupBy(F.col("hi").alias("hi_"), F.col("lo").alias("lo_")).agg(F.sum("n").alias("n_")).filter("n_ > 1")
+    single = single.join(often, (F.col("hi") == F.col("hi_")) & (F.col("lo") == F.col("lo_"))).select("part_", "hi", "lo").distinct()
+    empty = F.lit(None).cast("binary")
+    marks = dealt.mapInArrow(expand, MARKS).unionByName(single.select("part_", F.lit(2).alias("kind"), "hi", "lo", empty.alias("first"), empty.alias("last")))
+
+    def write_marks(part: int, table: pa.Table) -> None:
+        kind = table["kind"].fill_null(0).to_numpy()
+        context, window = table.filter(kind == 1), table.filter(kind == 2)
+        first, last = ([np.frombuffer(x, np.int32) for x in context[c].to_pylist()] for c in ("first", "last"))
+        begin = np.cumsum([0, *map(len, first)]).astype(np.int64)
+        both = [np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int64) for x in (first, last)]
+        longs = {f"{name}_{c}": t[c].to_numpy().astype(np.int64) for name, t in (("context", context), ("window", window)) for c in ("hi", "lo")}
+        save(f"{folder}/marks-{part}", begin=begin, first=both[0], last=both[1], **longs)
+
+    filed(marks, texts, ["kind", "hi", "lo", "first", "last"], write_marks)
+    return found
+
+
+# --- the operator -------------------------------------------------------------------------------------------------------------
+
+
+def _covered(found: Found, part: int, texts: list[bytes]) -> np.ndarray:
+    """For each symbol of the texts, end to end, whether a window that stands twice covers it."""
+    pieces = pieces_of(texts, found.windows)
+    edge = np.zeros(pieces[-1].at + len(pieces[-1].text.data) + 1, np.int32)
+    for piece in pieces:
+        first, last = found.ranges(part, piece)
+        np.add.at(edge, first + piece.at, 1)
+        np.add.at(edge, last + piece.at + found.windows.length, -1)
+    return np.cumsum(edge[:-1]) > 0
+
 
+def remove_repeats(docs: DataFrame, length: int = 400, passage_words: int = 51, keep_text: bool = False) -> DataFrame:
+    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words and, if asked for, kept (binary).
+
+    Every byte goes that lies in a string of ``length`` bytes which also starts at another place, of the same document or another;
+    strings are judged on the texts given and never cross documents. n_passage_words has the words that lie in a run of
+    ``passage_words`` words (A-Z as a-z) which also starts at another place; such passages are only counted, not removed, and 0 turns
+    the count off. A null text is empty. Repeated rows repeat each other's strings, so those of ``length`` bytes or more lose all of
+    them. Other columns are ignored. No rows: no rows.
+    """
+    small_arrow_batches(docs.sparkSession)
+    docs = only(docs, "doc_id", "text")
+    if length < 8 or 0 < passage_words < 8:
+        raise ValueError("strings of 8 bytes, and of 8 words, or more are supported")
+    texts = materialise(docs.withColumn("part_", F.spark_partition_id()), "texts").df
+    bytes_ = find_repeats(texts, Windows(length))
+    words = find_repeats(texts, Windows(passage_words, True)) if passage_words else None
     ids = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", *["kept"] * keep_text]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, own, pieces in documents_of(batches, length):
-            size = sum(map(len, own))
-            edge = np.zeros(size + 1, np.int32)
-            for text, ends, offset in pieces:
-                first, last = repeated(text, ends)
-                np.add.at(edge, first + offset, 1)
-                np.add.at(edge, last + offset + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+        for part, batch, own in groups_of(batches):
+            gone = _covered(bytes_, part, own)
+            shared = np.zeros(len(own), np.int64)
+            if words:
+                read = words_of(own)
+                shared = np.bincount(read.row, _covered(words, part, own), len(own)).astype(np.int64)
             columns: list[list] = [[] for _ in names[1:]]
             at = 0
-            for text in own:
+            for text, n in zip(own, shared.tolist(), strict=True):
                 mask = gone[at : at + len(text)]
                 at += len(text)
                 removed = int(np.count_nonzero(mask))
                 spans = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + bool(removed and mask[0])
                 kept = text if not removed else np.frombuffer(text, np.uint8)[~mask].tobytes()
-                for column, value in zip(columns, (len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept), strict=False):
+                for column, value in zip(columns, (len(text), removed, spans, hashlib.sha256(kept).hexdigest(), n, kept), strict=False):
                     column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
 
-    schema = f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(remove, schema)
-
-
-def _row(kind: int, shard: int, *data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int64()), *[pa.array([x], pa.binary()) for x in data]], ["kind", "shard", "core", "context", "left", "right", "data"])
+    schema = f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long" + ", kept binary" * keep_text
+    return texts.select("doc_id", "text", "part_").mapInArrow(remove, schema)

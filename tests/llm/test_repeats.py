@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -28,6 +29,18 @@ def plain(texts, length):
     return out
 
 
+def passages(texts, length):
+    """Words in runs of that many words which also start at another place."""
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    data = [[w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(fold)) if w] for t in texts]
+    seen = Counter(tuple(d[i : i + length]) for d in data for i in range(len(d) - length + 1))
+    return [len({j for i in range(len(d) - length + 1) if seen[tuple(d[i : i + length])] > 1 for j in range(i, i + length)}) for d in data]
+
+
+def both(texts, length, words=51):
+    return [(*a, b) for a, b in zip(plain(texts, length), passages(texts, words), strict=True)]
+
+
 def corpus(seed):
     rng = random.Random(seed)
     words = ["sea", "Öl", "of", "deep", "water", "x", "long-ish", "的", "a1"]
@@ -54,8 +67,9 @@ def corpus(seed):
 def test_removal(spark, length, seed, monkeypatch):
     texts = corpus(seed)
     df = spark.createDataFrame([(i % 50, t, "clash") for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    want = Counter((i % 50, *w) for i, w in enumerate(plain(texts, length)))
-    assert Counter(map(tuple, repeats.remove_repeats(df, length).collect())) == want
+    words = 8 + length % 5
+    want = Counter((i % 50, *w) for i, w in enumerate(both(texts, length, words)))
+    assert Counter(map(tuple, repeats.remove_repeats(df, length, words).collect())) == want
 
 
 def test_full_length(spark):
@@ -64,7 +78,7 @@ def test_full_length(spark):
     texts = [base, base[500:1100] + "x" * 20, base[:399], base[:400], base[1000:1399] + "Q" + base[1400:2300], "".join(rng.choices("ab", k=2000))]
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
     got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df).collect()}
-    assert got == dict(enumerate(plain(texts, 400)))
+    assert got == dict(enumerate(both(texts, 400)))
 
 
 def test_crowded_cores_long_texts_and_many_shards(spark, monkeypatch):
@@ -76,10 +90,10 @@ def test_crowded_cores_long_texts_and_many_shards(spark, monkeypatch):
     try:
         texts = corpus(7)
         df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA).repartition(2)
-        got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, 64).collect()}
+        got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, 64, 9).collect()}
     finally:
         cp.unregister_pickle_by_value(repeats)
-    assert got == dict(enumerate(plain(texts, 64)))
+    assert got == dict(enumerate(both(texts, 64, 9)))
 
 
 def test_near_copy_of_exact_copies_in_a_crowded_core(spark, monkeypatch):
@@ -94,10 +108,29 @@ def test_near_copy_of_exact_copies_in_a_crowded_core(spark, monkeypatch):
     texts = [base, base, near[rng.randint(0, 1)], *[text(50) + base[100:163] + text(50) for _ in range(8)]]
     try:
         df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
-        got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, 64).collect()}
+        got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, 64, 9).collect()}
     finally:
         cp.unregister_pickle_by_value(repeats)
-    assert got == dict(enumerate(plain(texts, 64)))
+    assert got == dict(enumerate(both(texts, 64, 9)))
+
+
+def test_a_line_in_more_contexts_than_are_sorted_together(spark):
+    """The real limits: a line of 380 bytes stands in over 10,000 different contexts, and some share more of them."""
+    rng = random.Random(3)
+    text = lambda k: "".join(rng.choices("abcdefghij klmnop", k=k))
+    line, tails = text(380), [text(40) for _ in range(200)]
+    texts = [text(60) + line + rng.choice(tails) + text(30) for _ in range(repeats.CROWD + 500)]
+    got = {r[0]: tuple(r)[1:5] for r in repeats.remove_repeats(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == dict(enumerate(plain(texts, 400)))
+    assert sum(x[1] > 0 for x in got.values()) > repeats.CROWD
+
+
+def test_a_lost_file_is_an_error(spark):
+    df = repeats.materialise(spark.createDataFrame([(1, "0123456789abc" * 3, 0)], "doc_id long, text string, part_ int"), "texts").df
+    found = repeats.find_repeats(df, repeats.Windows(8))
+    found.folder += "-gone"
+    with pytest.raises(FileNotFoundError):
+        found.of(0)
 
 
 def test_empty(spark):
