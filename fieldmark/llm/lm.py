@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import only, shared_dir, small_arrow_batches
-from fieldmark.llm.shards import BLOB, MAPPED, U64, Sums, blobs, by_shard, filesystem, load, mix, power_of_two, save, spread
+from fieldmark.llm.shards import BLOB, MAPPED, U64, Sums, blobs, by_shard, filesystem, load, power_of_two, save, spread
 from fieldmark.llm.words import grouped, words_of
 
 #: The token that ends a text, and stands before its first word.
 END = U64(0x9E3779B97F4A7C15)
-#: Words of n-grams must stand so often in the training texts (all do), and n-grams so often.
-MIN_WORD, MIN_NGRAM = 1, 2
 DISCOUNT = 0.75
-#: Tokens, or kept n-grams, for which one shard of counts or of a level is made.
-SHARD_TOKENS, SHARD_NODES = 2_000_000, 1_000_000
+#: Tokens for which one shard of a level is made, and n-grams that a task counts before it hands them on.
+SHARD_TOKENS, HELD = 1_000_000, 4_000_000
 
 
 def token_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -95,8 +92,11 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return (self._select(i, self.ones, False) - i).astype(U64) << U64(self.bits) | self._low(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, -1 where it isn't in the sequence: a search by halves among the values with the same high bits."""
+    def find(self, values: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value from ``begin`` to before ``end``, where the sequence must rise; -1 where it isn't there.
+
+        A search by halves among the values of that range with the same high bits.
+        """
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
@@ -104,11 +104,13 @@ class EliasFano:
         high = (values >> U64(self.bits)).astype(np.int64)
         todo = np.flatnonzero(high < self.buckets)
         high, want = high[todo], values[todo] & U64((1 << self.bits) - 1)
-        end = self._select(high, self.zeros, True) - high
+        upto = self._select(high, self.zeros, True) - high
         first = np.zeros(len(todo), np.int64)
         some = high > 0
         first[some] = self._select(high[some] - 1, self.zeros, True) - (high[some] - 1)
-        low, top = first, end.copy()
+        if end is not None:
+            first, upto = np.maximum(first, begin[todo]), np.minimum(upto, end[todo])
+        low, top = first, upto.copy()
         at = np.flatnonzero(low < top)
         while len(at):
             middle = (low[at] + top[at]) >> 1
@@ -116,7 +118,7 @@ class EliasFano:
             low[at] = np.where(less, middle + 1, low[at])
             top[at] = np.where(less, top[at], middle)
             at = at[low[at] < top[at]]
-        here = np.flatnonzero(low < end)
+        here = np.flatnonzero(low < upto)
         here = here[self._low(low[here]) == want[here]]
         out[todo[here]] = low[here]
         return out
@@ -125,131 +127,130 @@ class EliasFano:
 # --- the model --------------------------------------------------------------------------------------------------------------
 
 
-class Shard(NamedTuple):
-    """A file of words (by the top bits of their hashes) or of a level (by contexts from ``first``); ``offset``: ids before it."""
+class Shards:
+    """The files of words or of a level, by number; ``index`` has for each its first key, the ids before it and how many it has."""
 
-    first: int
-    path: str
-    n: int
-    offset: int
+    def __init__(self, folder: str, name: str) -> None:
+        self.folder, self.name, self.files, self.own = folder, name, {}, None
 
+    def __reduce__(self):
+        return Shards, (self.folder, self.name)
 
-class Vocabulary:
-    """Counts of all training words and ids of those that n-grams are made of, by hash."""
+    def write_index(self, rows: list) -> None:
+        """``rows``: (shard, first key, n) of the files."""
+        rows = sorted(rows)
+        n = np.array([r[2] for r in rows], np.int64)
+        save(f"{self.folder}/{self.name}-index", shard=np.array([r[0] for r in rows], np.int64), first=np.array([r[1] for r in rows], np.int64), n=n, offset=np.cumsum(n) - n)
 
-    def __init__(self, shards: list[Shard], shift: int) -> None:
-        self.shards, self.shift, self.files = {s.first: s for s in shards}, shift, {}
+    @property
+    def index(self) -> dict[str, np.ndarray]:
+        if self.own is None:
+            self.own = load(f"{self.folder}/{self.name}-index")
+        return self.own
 
-    def file(self, shard: Shard) -> dict[str, np.ndarray]:
-        if shard.first not in self.files:
+    def file(self, k: int) -> dict:
+        """The k-th file, with its sequences opened."""
+        if k not in self.files:
             if len(self.files) >= MAPPED:
                 self.files.clear()
-            self.files[shard.first] = load(shard.path)
-        return self.files[shard.first]
-
-    def counts_of(self, ids: np.ndarray) -> np.ndarray:
-        """The counts of words by id."""
-        unique, back = np.unique(ids, return_inverse=True)
-        out = np.zeros(len(unique), np.int64)
-        for shard in self.shards.values():
-            a, b = np.searchsorted(unique, [shard.offset, shard.offset + shard.n]).tolist()
-            if a < b:
-                out[a:b] = self.file(shard)["model_count"][unique[a:b] - shard.offset]
-        return out[back]
+            f = load(f"{self.folder}/{self.name}-{int(self.index['shard'][k])}")
+            self.files[k] = f | {x: EliasFano(f, f"{x}_") for x in ("hash", "count", "node", "pointer") if f"{x}_meta" in f}
+        return self.files[k]
+
+    def overlapping(self, first: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(k, from, to) of the files that have the ids from ``first`` on; places are those in the file."""
+        at, size = self.index["offset"], self.index["n"]
+        for k in range(int(np.searchsorted(at, first, side="right")) - 1, len(at)):
+            if k >= 0 and at[k] < first + n and first < at[k] + size[k]:
+                yield k, max(first - int(at[k]), 0), min(first + n - int(at[k]), int(size[k]))
+            elif at[k] >= first + n:
+                break
+
+    def counts(self, first: int, n: int) -> np.ndarray:
+        """The counts of ids in a row."""
+        out = np.ones(n, np.int64)
+        for k, a, b in self.overlapping(first, n):
+            sums = self.file(k)["count"].access(np.arange(max(a - 1, 0), b)).astype(np.int64)
+            at = int(self.index["offset"][k]) + a - first
+            out[at : at + b - a] = np.diff(sums, prepend=0) if a == 0 else np.diff(sums)
+        return out
+
+
+class Vocabulary(Shards):
+    """Hashes of all training words, by their top bits, and their counts; a word's id is its place."""
+
+    def __init__(self, folder: str, shift: int) -> None:
+        super().__init__(folder, "words")
+        self.shift = shift
+
+    def __reduce__(self):
+        return Vocabulary, (self.folder, self.shift)
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, id or -1) of sorted distinct hashes."""
         counts, ids = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
         tops = (hashes >> U64(self.shift)).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(tops)) + 1).tolist(), len(hashes)]
+        shards = self.index["shard"]
         for a, b in zip(cuts, cuts[1:]):
-            if a == b or int(tops[a]) not in self.shards:
+            k = int(np.searchsorted(shards, tops[a])) if a < b else len(shards)
+            if k == len(shards) or shards[k] != tops[a]:
                 continue
-            shard = self.shards[int(tops[a])]
-            f = self.file(shard)
-            at = np.minimum(np.searchsorted(f["hash"], hashes[a:b]), len(f["hash"]) - 1)
-            hit = f["hash"][at] == hashes[a:b]
-            counts[a:b] = np.where(hit, f["count"][at], 0)
-            if len(f["model"]):
-                at = np.minimum(np.searchsorted(f["model"], hashes[a:b]), len(f["model"]) - 1)
-                ids[a:b] = np.where(f["model"][at] == hashes[a:b], at + shard.offset, -1)
+            f = self.file(k)
+            at = f["hash"].find(hashes[a:b] & U64((1 << self.shift) - 1))
+            hit = np.flatnonzero(at >= 0)
+            at = at[hit]
+            before = np.where(at > 0, f["count"].access(np.maximum(at - 1, 0)).astype(np.int64), 0)
+            counts[a + hit] = f["count"].access(at).astype(np.int64) - before
+            ids[a + hit] = at + self.index["offset"][k]
         return counts, ids
 
 
-class Level:
-    """n-grams of one length: for each context its successors, their quantised probabilities, and the context's share for the rest."""
-
-    def __init__(self, shards: list[Shard], words: int) -> None:
-        self.shards, self.words, self.files = sorted(shards), words, {}
-        self.firsts = np.array([s.first for s in self.shards], np.int64)
-
-    def file(self, k: int) -> dict:
-        if k not in self.files:
-            if len(self.files) >= MAPPED:
-                self.files.clear()
-            f = load(self.shards[k].path)
-            self.files[k] = {"nodes": EliasFano(f, "node_"), "pointers": EliasFano(f, "pointer_"), **f}
-        return self.files[k]
+class Level(Shards):
+    """n-grams of one length. A context's successors stand between its pointer and the next one's; to keep a file's nodes monotone,
+    words are stored plus the last node before the context, and looked for relative to it."""
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node or -1, log10 of its probability, log10 of the context's share for other words) of distinct pairs."""
+        """(node or -1, log10 of its probability, log10 of the context's share for other words) of pairs; -1 is no context and no word."""
         node, prob, rest = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(word))
-        which = np.searchsorted(self.firsts, context, side="right") - 1
-        for k in np.unique(which[(which >= 0) & (context >= 0) & (word >= 0)]).tolist():
-            f, shard = self.file(k), self.shards[k]
-            at = np.flatnonzero((which == k) & (context >= 0) & (word >= 0))
-            own = context[at] - shard.first
-            inside = own < len(f["rest"])
-            at, own = at[inside], own[inside]
+        which = np.where(context >= 0, np.searchsorted(self.index["first"], context, side="right") - 1, -1)
+        for k in np.unique(which[which >= 0]).tolist():
+            f = self.file(k)
+            at = np.flatnonzero(which == k)
+            own = context[at] - self.index["first"][k]
+            at, own = at[own < len(f["rest"])], own[own < len(f["rest"])]
             rest[at] = f["rest_book"][f["rest"][own]]
-            found = f["nodes"].find(own.astype(U64) * U64(self.words) + word[at].astype(U64))
+            at, own = at[word[at] >= 0], own[word[at] >= 0]
+            asked, back = np.unique(own, return_inverse=True)
+            begin, end = f["pointer"].access(asked).astype(np.int64), f["pointer"].access(asked + 1).astype(np.int64)
+            base = np.where(begin > 0, f["node"].access(np.maximum(begin - 1, 0)), U64(0)) if f["node"].n else np.zeros(len(asked), U64)
+            found = f["node"].find(base[back] + word[at].astype(U64), begin[back], end[back])
             hit = found >= 0
-            node[at[hit]] = found[hit] + shard.offset
+            node[at[hit]] = found[hit] + self.index["offset"][k]
             prob[at[hit]] = f["prob_book"][f["prob"][found[hit]]]
         return node, prob, rest
 
-    def rest_of(self, context: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(context))
-        which = np.searchsorted(self.firsts, context, side="right") - 1
-        for k in np.unique(which[(which >= 0) & (context >= 0)]).tolist():
-            f, at = self.file(k), np.flatnonzero((which == k) & (context >= 0))
-            own = context[at] - self.shards[k].first
-            inside = own < len(f["rest"])
-            out[at[inside]] = f["rest_book"][f["rest"][own[inside]]]
-        return out
-
-    def last_words(self, node: np.ndarray) -> np.ndarray:
-        """The last word of each n-gram."""
-        out = np.zeros(len(node), np.int64)
-        offsets = np.array([s.offset for s in self.shards], np.int64)
-        which = np.searchsorted(offsets, node, side="right") - 1
-        for k in np.unique(which).tolist():
-            at = np.flatnonzero(which == k)
-            out[at] = (self.file(k)["nodes"].access(node[at] - offsets[k]) % U64(self.words)).astype(np.int64)
-        return out
-
-    def counts(self, node: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(node), np.int64)
-        offsets = np.array([s.offset for s in self.shards], np.int64)
-        which = np.searchsorted(offsets, node, side="right") - 1
-        for k in np.unique(which).tolist():
-            at = np.flatnonzero(which == k)
-            out[at] = self.file(k)["count"][node[at] - offsets[k]]
+    def last_words(self, first: int, n: int) -> np.ndarray:
+        """The last words of n-grams whose ids stand in a row."""
+        out = np.zeros(n, np.int64)
+        for k, a, b in self.overlapping(first, n):
+            f = self.file(k)
+            nodes, pointers = (f[x].access(np.arange(f[x].n)).astype(np.int64) for x in ("node", "pointer"))
+            base = np.where(pointers[:-1] > 0, nodes[np.maximum(pointers[:-1] - 1, 0)], 0)
+            at = int(self.index["offset"][k]) + a - first
+            out[at : at + b - a] = (nodes - np.repeat(base, np.diff(pointers)))[a:b]
         return out
 
 
 class Model:
     """Everything a worker asks; made of paths, files are mapped when first used."""
 
-    def __init__(self, vocabulary: list[Shard], shift: int, tokens: int, distinct: int, words: int, levels: list[list[Shard]]) -> None:
-        self.parts = (vocabulary, shift, tokens, distinct, words, levels)
-        self.open()
-
-    def open(self) -> None:
-        vocabulary, shift, self.tokens, self.distinct, self.words, levels = self.parts
-        self.vocabulary = Vocabulary(vocabulary, shift)
-        self.levels = [Level(shards, self.words) for shards in levels]
-        self.floor = self.tokens + self.distinct + 1
+    def __init__(self, folder: str, shift: int, tokens: int, words: int, orders: int) -> None:
+        self.parts = (folder, shift, tokens, words, orders)
+        self.folder, self.tokens, self.words = folder, tokens, words
+        self.vocabulary = Vocabulary(folder, shift)
+        self.levels = [Level(folder, f"level{i}") for i in range(2, orders + 1)]
+        self.floor = tokens + words + 1
 
     def __reduce__(self):
         return Model, self.parts
@@ -262,57 +263,52 @@ class Model:
     def first(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / self.floor)
 
-    def walk(self, row: np.ndarray, counts: np.ndarray, ids: np.ndarray, end_id: int, scored: bool = True) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """(for each level the context node before each token, -1 if none; the last level's node, or the word, that ends with each token;
-        log10 probability of each token, if they are to be scored)."""
+    def walk(self, row: np.ndarray, counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the context before each token that a further level would have, -1 if none; log10 probability of each token)."""
         start = np.diff(row, prepend=-1) != 0
-        before = np.where(start, end_id, np.concatenate([[-1], ids[:-1]]))
-        total = self.first(counts) if scored else np.zeros(0)
-        contexts, node = [before], ids
+        context = np.where(start, end_id, np.concatenate([[-1], ids[:-1]]))
+        total = self.first(counts)
         for level in self.levels:
-            context = contexts[-1]
-            key = np.where((context >= 0) & (ids >= 0), context * self.words + ids, -1)
-            unique, back = np.unique(key, return_inverse=True)
-            c, w = np.divmod(unique, max(self.words, 1))
-            none = unique < 0
-            node, prob, _ = level.find(np.where(none, -1, c), np.where(none, -1, w))
-            node = node[back]
-            if scored:
-                seen, again = np.unique(context, return_inverse=True)
-                total = np.where(node >= 0, prob[back], total + level.rest_of(seen)[again])
-            contexts.append(np.where(start, -1, np.concatenate([[-1], node[:-1]])))
-        return contexts, node, total
-
-
-def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, book of 256): equal shares of the values, each by its mean; up to 256 values are kept as they are."""
+            contexts, own = np.unique(context, return_inverse=True)
+            pairs, back = np.unique(own * (self.words + 1) + ids + 1, return_inverse=True)
+            c, w = np.divmod(pairs, self.words + 1)
+            node, prob, rest = (x[back] for x in level.find(contexts[c], w - 1))
+            total = np.where(node >= 0, prob, total + rest)
+            context = np.where(start, -1, np.concatenate([[-1], node[:-1]]))
+        return context, total
+
+
+def quantised(values: np.ndarray, levels: int | None = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, book): equal shares of the values, each by its mean; up to ``levels`` values are kept as they are, all if it is None."""
     if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(256)
+        return np.zeros(0, np.uint8), np.zeros(1)
     book, codes = np.unique(values, return_inverse=True)
-    if len(book) <= 256:
-        return codes.astype(np.uint8), np.pad(book, (0, 256 - len(book)))
+    if levels is None:
+        return codes.astype(np.uint32), book
+    if len(book) <= levels:
+        return codes.astype(np.uint8), book
     order = np.sort(values)
-    edges = order[np.linspace(0, len(order) - 1, 257).astype(np.int64)][1:-1]
+    edges = order[np.linspace(0, len(order) - 1, levels + 1).astype(np.int64)][1:-1]
     codes = np.searchsorted(np.unique(edges), values, side="right")
-    sums, n = np.bincount(codes, values, 256), np.bincount(codes, minlength=256)
+    sums, n = np.bincount(codes, values, levels), np.bincount(codes, minlength=levels)
     return codes.astype(np.uint8), sums / np.maximum(n, 1)
 
 
-FILE = "first long, path string, n long, total long, distinct long"
+FILE = "shard long, first long, n long, total long"
 
 
-def _file_row(first: int, path: str, n: int, total: int, distinct: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([path]), *[pa.array([x], pa.int64()) for x in (n, total, distinct)]], ["first", "path", "n", "total", "distinct"])
+def _file_row(*values: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in values], ["shard", "first", "n", "total"])
 
 
-def train(docs: DataFrame, order: int = 3, min_word: int = MIN_WORD, min_ngram: int = MIN_NGRAM) -> Model:
-    """A model of all texts of ``docs``; the driver sees a row for each file.
+def train(docs: DataFrame, order: int = 3, levels: int | None = 256) -> Model:
+    """A model of all texts of ``docs``, with all their words and n-grams; the driver sees a row of numbers for each file.
 
     Words are counted by hash; then, level by level, the contexts of the level before are looked up for every token and the
-    n-grams counted, in both cases first in each task and then by shards of the key's hash. A level is then built by ranges of
-    contexts, of which each has at most as many successors as there are words. An n-gram's probability is its discounted share of
-    its context, plus the context's share for the rest times the probability that the level before gives; words that stand nowhere
-    in training count as one more word. Two words are taken for one if their 64-bit hashes agree.
+    n-grams counted, first in each task and then by ranges of contexts, of which each has at most as many successors as there are
+    words. An n-gram's probability is its discounted share of its context, plus the context's share for the rest times the
+    probability that the level before gives; words that stand nowhere in training count as one more word. Two words are taken for
+    one if their 64-bit hashes agree. ``levels``: values to which a file's probabilities are quantised, None for all of them.
     """
     folder = f"{shared_dir(docs.sparkSession)}/ngrams-{uuid.uuid4().hex}"
     files, path = filesystem(folder)
@@ -330,22 +326,17 @@ def train(docs: DataFrame, order: int = 3, min_word: int = MIN_WORD, min_ngram:
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (keys, counts) in by_shard(batches, (U64, np.int64)):
-            often = counts >= max(min_word, min_ngram)  # an n-gram stands no more often than its words, so none is lost by this
-            save(to := f"{folder}/words-{shard}", hash=keys, count=counts, model=keys[often], model_count=counts[often])
-            yield _file_row(shard, to, int(often.sum()), int(counts.sum()), len(keys))
-
-    rows = sorted(spread(texts.mapInArrow(count_words, BLOB), 1 << bits).mapInArrow(write_words, FILE).collect())
-    offsets = np.cumsum([0, *[r["n"] for r in rows]])
-    vocabulary = [Shard(r["first"], r["path"], r["n"], int(o)) for r, o in zip(rows, offsets)]
-    tokens, distinct, words = sum(r["total"] for r in rows), sum(r["distinct"] for r in rows), int(offsets[-1])
-    model = Model(vocabulary, shift, tokens, distinct, words, [])
-    contexts = words
+            sequences = EliasFano.build(keys & U64((1 << shift) - 1), "hash_") | EliasFano.build(np.cumsum(counts), "count_")
+            save(f"{folder}/words-{shard}", **sequences)
+            yield _file_row(shard, 0, len(keys), int(counts.sum()))
+
+    rows = spread(texts.mapInArrow(count_words, BLOB), 1 << bits).mapInArrow(write_words, FILE).collect()
+    Vocabulary(folder, shift).write_index([(r["shard"], r["first"], r["n"]) for r in rows])
+    words = contexts = sum(r["n"] for r in rows)
+    model = Model(folder, shift, sum(r["total"] for r in rows), words, 1)
     for level in range(2, order + 1):
-        shards = _add_level(texts, model, level, contexts, folder, min_ngram)
-        if not shards:
-            break
-        model = Model(vocabulary, shift, tokens, distinct, words, [*model.parts[5], shards])
-        contexts = sum(s.n for s in shards)
+        contexts = _add_level(texts, model, level, contexts, levels)
+        model = Model(folder, shift, model.tokens, words, level)
     return model
 
 
@@ -353,77 +344,79 @@ def end_id(model: Model) -> int:
     return int(model.read(np.array([END], U64))[1][0])
 
 
-def _add_level(texts: DataFrame, model: Model, level: int, contexts: int, folder: str, min_ngram: int) -> list[Shard]:
+def _add_level(texts: DataFrame, model: Model, level: int, contexts: int, levels: int | None) -> int:
+    """Write the files of a level; the number of its n-grams."""
     words = model.words
-    bits = power_of_two(model.tokens / SHARD_TOKENS)
+    if contexts * words >= 1 << 64:
+        raise OverflowError("a context and a word don't fit in 64 bits")
+    span = max(1, contexts // (1 << power_of_two(model.tokens / SHARD_TOKENS)))  # contexts of a shard
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, sums = end_id(model), Sums()
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            if result := sums.result():
+                key, n = result
+                shard = (key // U64(words)).astype(np.int64) // span
+                yield from blobs(shard, key - shard.astype(U64) * U64(span * words), n)
+
         for _, hashes, row in token_chunks(batches):
             counts, ids = model.read(hashes)
-            found, inner, _ = model.walk(row, counts, ids, end, scored=False)
-            context = found[level - 2]
-            good = (context >= 0) & (inner >= 0)  # an n-gram stands no more often than the one without its first word
-            sums.add(*np.unique(context[good].astype(U64) * U64(words) + ids[good].astype(U64), return_counts=True))
-        if result := sums.result():
-            key, n = result
-            shard = (mix(key) >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-            order = np.argsort(shard, kind="stable")
-            yield from blobs(shard[order], key[order], n[order])
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (key, n) in by_shard(batches, (U64, np.int64)):
-            key, n = key[n >= min_ngram], n[n >= min_ngram]
-            yield from blobs((key // U64(words)).astype(np.int64) // span, key, n)
-
-    # contexts of a shard: as many as there are nodes for, if every context had its share of the tokens
-    span = max(1, contexts // max(1, 1 << power_of_two(model.tokens / 8 / SHARD_NODES)))
+            context, _ = model.walk(row, counts, ids, end)
+            known = context >= 0
+            sums.add(*np.unique(context[known].astype(U64) * U64(words) + ids[known].astype(U64), return_counts=True))
+            if sums.merged > HELD:
+                yield from handed_on()
+                sums = Sums()
+        yield from handed_on()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (key, n) in by_shard(batches, (U64, np.int64)):
             first = shard * span
             size = min(span, contexts - first)
-            context, word = (key // U64(words)).astype(np.int64), (key % U64(words)).astype(np.int64)
-            own = context - first
-            total = _context_counts(model, level, np.arange(first, first + size))
+            own, word = (key // U64(words)).astype(np.int64), (key % U64(words)).astype(np.int64)
+            total = (model.levels[-1] if level > 2 else model.vocabulary).counts(first, size)
             share = np.maximum(n - DISCOUNT, 0) / total[own]
             rest = np.clip(1 - np.bincount(own, share, size), 1e-9, 1)
-            below = _lower(model, level, context, word)
-            prob, prob_book = quantised(np.log10(share + rest[own] * 10.0**below))
-            code, rest_book = quantised(np.log10(rest))
+            prob, prob_book = quantised(np.log10(share + rest[own] * 10.0 ** _lower(model, level, first, size, own, word)), levels)
+            code, rest_book = quantised(np.log10(rest), levels)
             pointers = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=size))])
-            save(to := f"{folder}/level{level}-{shard}", prob=prob, prob_book=prob_book, rest=code, rest_book=rest_book, count=n.astype(np.uint32), **EliasFano.build(own.astype(U64) * U64(words) + word.astype(U64), "node_"), **EliasFano.build(pointers, "pointer_"))
-            yield _file_row(first, to, len(key), int(n.sum()), size)
-
-    counted = spread(texts.mapInArrow(count, BLOB), 1 << bits).mapInArrow(prune, BLOB)
-    rows = sorted(spread(counted, -(-contexts // span)).mapInArrow(build, FILE).collect())
-    offsets = np.cumsum([0, *[r["n"] for r in rows]])
-    return [Shard(r["first"], r["path"], r["n"], int(o)) for r, o in zip(rows, offsets)]
-
-
-def _context_counts(model: Model, level: int, context: np.ndarray) -> np.ndarray:
-    """How often each context stands before a token."""
-    if level > 2:
-        return np.maximum(model.levels[level - 3].counts(context), 1)
-    out = np.ones(len(context), np.int64)
-    for shard in model.vocabulary.shards.values():
-        a, b = max(shard.offset, int(context[0])), min(shard.offset + shard.n, int(context[-1]) + 1)
-        if a < b:
-            out[a - context[0] : b - context[0]] = model.vocabulary.file(shard)["model_count"][a - shard.offset : b - shard.offset]
-    return out
+            last = np.flatnonzero(np.diff(own, append=-1))  # each context's last successor
+            base = np.repeat(np.cumsum(word[last]) - word[last], np.diff(last, prepend=-1))
+            sequences = EliasFano.build(base + word, "node_") | EliasFano.build(pointers, "pointer_")
+            save(f"{model.folder}/level{level}-{shard}", prob=prob, prob_book=prob_book, rest=code, rest_book=rest_book, **sequences, **EliasFano.build(np.cumsum(n), "count_"))
+            yield _file_row(shard, first, len(key), int(n.sum()))
 
+    rows = spread(texts.mapInArrow(count, BLOB), -(-contexts // span) if contexts else 1).mapInArrow(build, FILE).collect()
+    Level(model.folder, f"level{level}").write_index([(r["shard"], r["first"], r["n"]) for r in rows])
+    return sum(r["n"] for r in rows)
 
-def _lower(model: Model, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 probability of the word after the context without its first word."""
-    total = model.first(model.vocabulary.counts_of(word))
+
+def _lower(model: Model, level: int, first: int, size: int, own: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """log10 probability of each word after its context without the context's first word; contexts stand in a row."""
+    unique, back = np.unique(word, return_inverse=True)
+    total = model.first(_counts_of(model.vocabulary, unique))[back]
     if level == 3:
-        seen, back = np.unique(context, return_inverse=True)
-        node, prob, rest = model.levels[0].find(model.levels[0].last_words(seen)[back], word)
+        context = model.levels[0].last_words(first, size)[own]
+        node, prob, rest = model.levels[0].find(context, word)
         return np.where(node >= 0, prob, total + rest)
     return total
 
 
-def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_fold: int = 2, min_word: int = MIN_WORD, min_ngram: int = MIN_NGRAM) -> DataFrame:
+def _counts_of(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    """The counts of words by sorted ids."""
+    out = np.ones(len(ids), np.int64)
+    offset = vocabulary.index["offset"]
+    which = np.searchsorted(offset, ids, side="right") - 1
+    for k in np.unique(which).tolist():
+        at = np.flatnonzero(which == k)
+        own, f = ids[at] - offset[k], vocabulary.file(k)
+        before = np.where(own > 0, f["count"].access(np.maximum(own - 1, 0)).astype(np.int64), 0)
+        out[at] = f["count"].access(own).astype(np.int64) - before
+    return out
+
+
+def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_fold: int = 2, levels: int | None = 256) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the documents whose crc32(doc_id as text) mod ``folds`` isn't ``held_fold``. A null text is an end alone; a
@@ -437,13 +430,13 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 7, held_fold:
     ids = docs.schema["doc_id"].dataType.simpleString()
     held = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % folds == held_fold
     rows = docs.select(F.col("doc_id"), held.alias("held_out"), F.col("text"))
-    model = train(rows.filter(~F.col("held_out")).select("text"), order, min_word, min_ngram)
+    model = train(rows.filter(~F.col("held_out")).select("text"), order, levels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = end_id(model)
         for batch, hashes, row in token_chunks(batches):
             counts, word_ids = model.read(hashes)
-            _, _, logs = model.walk(row, counts, word_ids, end)
+            _, logs = model.walk(row, counts, word_ids, end)
             n = batch.num_rows
             sums = [np.bincount(row, x, n) for x in (model.first(counts), logs)]
             whole = [np.bincount(row, minlength=n), np.bincount(row, counts > 0, n).astype(np.int64), np.full(n, model.tokens)]

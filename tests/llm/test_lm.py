@@ -26,28 +26,23 @@ def tokens(text):
     return [w.translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + [None]
 
 
-def plain(rows, min_word, min_ngram, order):
+def plain(rows, order):
     held = {i: zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 7 == 2 for i, r in enumerate(rows)}
     train = [tokens(r[1]) for i, r in enumerate(rows) if not held[i]]
     c = Counter(t for ts in train for t in ts)
     n, v = sum(c.values()), len(c)
-    often = {t for t in c if c[t] >= min_word}
     two, three = Counter(), Counter()
     for ts in train:
         ts = [None, *ts]
-        two.update(p for p in zip(ts, ts[1:]) if p[0] in often and p[1] in often)
-    two = {k: x for k, x in two.items() if x >= min_ngram}
-    for ts in train:
-        ts = [None, *ts]
-        three.update(p for p in zip(ts, ts[1:], ts[2:]) if p[:2] in two and p[2] in often)
-    three = {k: x for k, x in three.items() if x >= min_ngram}
+        two.update(zip(ts, ts[1:]))
+        three.update(zip(ts, ts[1:], ts[2:]))
     d = lm.DISCOUNT
 
     def p1(w):
         return (c[w] + 1) / (n + v + 1)
 
     def p2(u, w):
-        if u not in often:
+        if u not in c:
             return p1(w)
         rest = 1 - sum(x - d for (a, _), x in two.items() if a == u) / c[u]
         return rest * p1(w) + (max(two.get((u, w), d), d) - d) / c[u]
@@ -74,33 +69,35 @@ def plain(rows, min_word, min_ngram, order):
 def test_scores(spark, order):
     rows = corpus()
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(3)
-    got = lm.score_documents(df, order=order, min_word=3, min_ngram=2).collect()
+    got = lm.score_documents(df, order=order, levels=None).collect()  # before quantising
+    codes = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(df, order=order).collect()}
     assert len(got) == len(rows)
     want = {}
-    for r, w in zip(rows, plain(rows, 3, 2, order)):
+    for r, w in zip(rows, plain(rows, order)):
         want.setdefault(r[0], w)
     for g in got:
         w = want[g.doc_id]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == w[:4]
         assert g.base_score == pytest.approx(w[4], abs=1e-9)
-        assert g.score == pytest.approx(w[5], abs=0.05 * g.n_tokens)
+        assert g.score == pytest.approx(w[5], abs=1e-9)
+        assert codes[g.doc_id, g.n_tokens] == pytest.approx(w[5], abs=0.01 * g.n_tokens)
 
 
 def test_rare_words_have_ngrams(spark):
     rows = [*corpus(), *[(500 + i, f"once{i} seldom harbour lights {'twice' if i < 2 else 'thrice'} seen") for i in range(5)]]
     got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(3)).collect()}
-    for r, w in list(zip(rows, plain(rows, 1, lm.MIN_NGRAM, 3)))[-5:]:
-        assert got[r[0]].score == pytest.approx(w[5], abs=0.05 * w[1])
+    for r, w in list(zip(rows, plain(rows, 3)))[-5:]:
+        assert got[r[0]].score == pytest.approx(w[5], abs=0.01 * w[1])
 
 
 def test_many_shards(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "x") for r in corpus(60)], SCHEMA)
-    one = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(df, min_word=3).collect()}
+    one = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(df, levels=None).collect()}
     monkeypatch.setattr(lm, "SHARD_TOKENS", 100)
-    monkeypatch.setattr(lm, "SHARD_NODES", 10)
-    many = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(df.repartition(5), min_word=3).collect()}
+    monkeypatch.setattr(lm, "HELD", 50)
+    many = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(df.repartition(5), levels=None).collect()}
     assert many.keys() == one.keys()
-    assert not {k: (one[k], many[k]) for k in one if many[k] != pytest.approx(one[k], abs=0.05 * k[1])}
+    assert not {k: (one[k], many[k]) for k in one if many[k] != pytest.approx(one[k], abs=1e-9)}
 
 
 def test_empty(spark):
