@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -69,10 +71,12 @@ def parse(page: str) -> Node:
     root = Node("html")
     stack = [root]
     at, raw = 0, ""
+    open_: Counter[str] = Counter()  # elements on the stack by tag: the stack is only searched for what is there
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             node = stack.pop()
+            open_[node.tag] -= 1
             finish(node)
             if stack:
                 stack[-1].main |= node.main or node.tag in ("article", "main")
@@ -92,7 +96,7 @@ def parse(page: str) -> Node:
         at = m.end()
         block = tag not in INLINE and tag not in UNSEEN
         if ends:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[i].tag == tag:
                     close(i)
                     break
@@ -102,7 +106,7 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P or tag == "li":
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_["p"] + open_["li"] > 0 else ():
                 if stack[i].tag in ("p", "li") and (stack[i].tag == "p" and tag in CLOSES_P or stack[i].tag == tag):
                     close(i)
                     break
@@ -122,6 +126,7 @@ def parse(page: str) -> Node:
             continue
         stack[-1].items.append(node)
         stack.append(node)
+        open_[tag] += 1
     if at < len(page):
         stack[-1].items.append(page[at:])
     close(0)
@@ -155,39 +160,43 @@ def outermost(root: Node, tag: str) -> list[Node]:
     return out
 
 
-class Block(NamedTuple):
-    """A block's text, the hashes of the host's subtrees around it, and whether the page's articles hold it (if it has none: True)."""
+class Page(NamedTuple):
+    """Blocks of a page that are in no page part, whether its articles hold them (if it has none: True), and its subtrees: the hash
+    of each one that may be a template and the range of blocks inside it, which stand in a row."""
 
-    text: str
+    texts: list[str]
+    inside: list[bool]
     marks: list[int]
-    inside: bool
+    first: list[int]
+    end: list[int]
+
+
+def mark_of(host: str, digest: int) -> int:
+    return xxhash.xxh64_intdigest(f"{host} {digest:x}") - (1 << 63)
 
 
 def host_mark(host: str) -> int:
     return xxhash.xxh64_intdigest(f"{host} ") - (1 << 63)
 
 
-def read_page(page: str, host: str) -> tuple[list[Block], list[int]]:
-    """The blocks of a page that are not in page parts, and the hashes of its host and of all its subtrees."""
+def read_page(page: str, host: str) -> Page:
+    """One walk over the tree; each subtree is told by one range, so nested ones cost no more than others."""
     root = parse(page)
     tops = {id(x) for x in outermost(root, "article") or outermost(root, "main")}
-    blocks: list[Block] = []
+    out = Page([], [], [], [], [])
     text: list[str] = []
-    marks: list[int] = []
-
-    def mark(node: Node) -> int:
-        return xxhash.xxh64_intdigest(f"{host} {node.digest:x}") - (1 << 63)
 
     def flush(inside: bool) -> None:
         words = html.unescape("".join(text)).split()
         text.clear()
         if words:
-            blocks.append(Block(" ".join(words), list(marks), inside))
+            out.texts.append(" ".join(words))
+            out.inside.append(inside)
 
     # a page part that holds an article is hidden up to it
-    todo: list = [(root, iter(root.items), False, not tops, False)]
+    todo: list = [(root, iter(root.items), None, not tops, False)]
     while todo:
-        node, items, marked, inside, hidden = todo[-1]
+        node, items, own, inside, hidden = todo[-1]
         for item in items:
             if item is None:
                 flush(inside)
@@ -195,34 +204,34 @@ def read_page(page: str, host: str) -> tuple[list[Block], list[int]]:
                 if not hidden:
                     text.append(item)
             elif (top := id(item) in tops) or not dropped(item, inside and bool(tops)):
-                own = item.tag not in INLINE and item.tag not in TEXT_BLOCKS
-                if own:
-                    marks.append(mark(item))
+                place = None
+                if item.tag not in INLINE and item.tag not in TEXT_BLOCKS:
+                    flush(inside)
+                    place = len(out.marks)
+                    out.marks.append(mark_of(host, item.digest))
+                    out.first.append(len(out.texts))
+                    out.end.append(0)
                 within = inside or top
-                todo.append((item, iter(item.items), own, within, not within and (hidden or item.role != "")))
+                todo.append((item, iter(item.items), place, within, not within and (hidden or item.role != "")))
                 break
         else:
             todo.pop()
             if node.tag not in INLINE:
                 flush(inside)
-            if marked:
-                marks.pop()
+            if own is not None:
+                out.end[own] = len(out.texts)
     flush(not tops)
-    seen, todo = {host_mark(host)}, [root]
-    while todo:
-        node = todo.pop()
-        for item in node.items:
-            if isinstance(item, Node):
-                todo.append(item)
-                if item.tag not in INLINE and item.tag not in TEXT_BLOCKS:
-                    seen.add(mark(item))
-    return blocks, sorted(seen)
+    return out
 
 
-def blocks_of(page: str, host: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """What a page tells by itself, where nothing is known of its host: (text, marks) of the blocks of its articles, and its hashes."""
-    blocks, seen = read_page(page, host)
-    return [(b.text, b.marks) for b in blocks if b.inside], seen
+def main_text(texts: list[str], inside: list[bool], counted: bool, ranges: list[tuple[int, int]]) -> str:
+    """Blocks that are in none of the ranges of templates; where the host can't be counted, only those that articles hold."""
+    edge = np.zeros(len(texts) + 1, np.int64)
+    for first, end in ranges:
+        edge[first] += 1
+        edge[end] -= 1
+    gone = np.cumsum(edge)[:-1] > 0
+    return " ".join(t for t, g, i in zip(texts, gone.tolist(), inside, strict=True) if not g and (i or counted))
 
 
 def host_of(url: str) -> str:
@@ -232,42 +241,49 @@ def host_of(url: str) -> str:
         return ""
 
 
-def extract_text(pages: DataFrame, min_pages: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02, broadcast_rows: int = 200_000) -> DataFrame:
     """One row for each page: page_id, url, text (blocks of the main text joined by one space, empty if none), n_chars.
 
-    Every element subtree of a page is hashed with the page's host, and those that stand in at least ``min_pages`` pages of the host
-    with different texts are its template; blocks inside them go. Copies of a page count once, and paragraphs, headings, list items
-    and cells are never templates by themselves, for pages may share passages. Menus, headers, footers, sidebars, notices, adverts,
-    forms, comments, scripts and styles also go by their tag, role, class or id. Only on hosts with fewer than ``min_pages`` such
-    pages, where nothing can be counted, article elements (else a main element) decide: what is outside them goes. A null html is empty; a null or odd url is the host "". Repeated rows are kept
-    each for itself. Other columns are ignored. No rows: no rows.
+    Every element subtree of a page is hashed with the page's host. Those that stand in ``min_share`` of the host's pages, and in
+    ``min_pages`` of them at least, are its template, and the blocks inside them go; pages with the same text are one page.
+    Paragraphs, headings, list items and cells are never templates by themselves, for pages may share passages. Menus, headers,
+    footers, sidebars, notices, adverts, forms, comments, scripts and styles also go by their tag, role, class or id, for those that
+    differ from page to page can't be counted. Only on hosts with fewer than ``min_pages`` different pages, where nothing can be
+    counted, article elements (else a main element) decide: what is outside them goes. A null html is empty; a null or odd url is
+    the host "". Repeated rows are kept each for itself. Other columns are ignored. No rows: no rows.
     """
     pages = only(pages, "page_id", "url", "html")
     ids = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {ids}, url string, blocks array<struct<text: string, marks: array<long>, inside: boolean>>, host long, seen array<long>, content long"
-    block = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64())), ("inside", pa.bool_())]))
+    schema = f"page_id {ids}, url string, host long, content long, texts array<string>, inside array<boolean>, trees array<struct<mark: long, first: int, end: int>>"
+    tree = pa.list_(pa.struct([("mark", pa.int64()), ("first", pa.int32()), ("end", pa.int32())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in range(5)]
             for url, page in zip(str_column(batch, "url"), str_column(batch, "html"), strict=True):
-                blocks, seen = read_page(page, host := host_of(url))
-                out[0].append([b._asdict() for b in blocks])
-                out[1].append(None if all(b.inside for b in blocks) else host_mark(host))  # asked for only where it decides
-                out[2].append(seen)
-                out[3].append(xxhash.xxh64_intdigest("\n".join(b.text for b in blocks)) - (1 << 63))
-            arrays = [pa.array(out[0], block), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["page_id", "url", "blocks", "host", "seen", "content"])
-
-    parsed = pages.select(F.col("page_id"), F.col("url"), F.col("html")).mapInArrow(read, schema)
-    parsed = materialise(parsed.withColumn("row_", F.monotonically_increasing_id()), "pages").df
-    templates = parsed.select(F.explode("seen").alias("mark"), "content").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    inside = parsed.select("row_", F.explode(F.array_compact(F.array_append(F.array_distinct(F.flatten("blocks.marks")), F.col("host")))).alias("mark"))
-    hits = inside.join(templates.select(F.col("mark").alias("mark_")), F.col("mark") == F.col("mark_")).groupBy(F.col("row_").alias("hit_")).agg(F.collect_list("mark").alias("hits"))
-    hits = materialise(hits, "templates").df
-    hits = F.broadcast(hits) if hits.count() <= broadcast_rows else hits
-    counted = F.coalesce(F.array_contains(F.col("hits"), F.col("host")), F.lit(False))
-    kept = F.filter("blocks", lambda b: (F.col("hits").isNull() | ~F.arrays_overlap(b["marks"], F.col("hits"))) & (b["inside"] | counted))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    rows = parsed.join(hits, F.col("row_") == F.col("hit_"), "left").select("page_id", "url", text.alias("text"))
-    return rows.withColumn("n_chars", F.length("text").cast("long"))
+                p = read_page(page, host := host_of(url))
+                trees = [{"mark": m, "first": a, "end": b} for m, a, b in zip(p.marks, p.first, p.end, strict=True) if a < b]
+                for column, value in zip(out, (host_mark(host), xxhash.xxh64_intdigest("\n".join(p.texts)) - (1 << 63), p.texts, p.inside, trees), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), tree)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["page_id", "url", "host", "content", "texts", "inside", "trees"])
+
+    parsed = materialise(pages.mapInArrow(read, schema).withColumn("row_", F.monotonically_increasing_id()), "pages").df
+    hosts = parsed.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+    hosts = hosts.select(F.col("host").alias("host_"), "pages")
+    seen = parsed.select("host", "content", F.explode(F.array_distinct("trees.mark")).alias("mark")).distinct()
+    counts = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    templates = materialise(counts.join(hosts, F.col("host") == F.col("host_")).filter(F.col("n") >= min_share * F.col("pages")).select(F.col("mark").alias("mark_")), "templates").df
+    small = templates.count() <= broadcast_rows  # 8 bytes each; beyond that the join is a shuffle, whose hot marks can be split
+    own = parsed.select("row_", F.explode("trees").alias("t")).select("row_", "t.mark", "t.first", "t.end")
+    hits = own.join(F.broadcast(templates) if small else templates, F.col("mark") == F.col("mark_")).groupBy(F.col("row_").alias("hit_")).agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+    rows = parsed.select("page_id", "url", "texts", "inside", "host", "row_").join(hits, F.col("row_") == F.col("hit_"), "left").join(hosts, F.col("host") == F.col("host_"), "left")
+    rows = rows.select("page_id", "url", "texts", "inside", F.col("host_").isNotNull().alias("counted"), "ranges")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 128):
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            texts = [main_text(t, i, c, [(r["first"], r["end"]) for r in ranges or ()]) for t, i, c, ranges in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return rows.mapInArrow(join, f"page_id {ids}, url string, text string, n_chars long")

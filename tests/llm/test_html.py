@@ -1,15 +1,19 @@
 import html
+import random
 import re
+import time
+from collections import Counter, defaultdict
 
 import pytest
 
-from fieldmark.llm.html import blocks_of, extract_text
+from fieldmark.llm.html import INLINE, TEXT_BLOCKS, dropped, extract_text, main_text, parse, read_page
 
 SCHEMA = "page_id long, url string, html string, text int"
 
 
 def text(page):
-    return " ".join(t for t, _ in blocks_of(page, "h")[0])
+    p = read_page(page, "h")
+    return main_text(p.texts, p.inside, False, [])
 
 
 @pytest.mark.parametrize(
@@ -37,6 +41,63 @@ def test_blocks(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize("page", ["<div>" * 80_000 + "deep" + "</div>" * 80_000, "<b>" * 40_000 + "<div>x</div></i>" * 40_000, "<p><i>" * 100_000])
+def test_a_page_of_a_megabyte_in_linear_time(page):
+    began = time.time()
+    assert read_page(page, "h").texts or "x" not in page
+    assert time.time() - began < 20
+
+
+def plain_text(rows, min_pages, min_share):
+    """Subtrees written out as strings and counted in dictionaries, blocks with all subtrees around them."""
+
+    def source(node):
+        return f"<{node.tag}>" + "".join(source(x) if not isinstance(x, str) else " ".join(x.split()) for x in node.items if x is not None) + "</>"
+
+    def blocks(node, around):
+        out, text = [], []
+        for x in node.items:
+            if isinstance(x, str):
+                text.append(x)
+            elif x is None or x.tag not in INLINE:
+                out.append((" ".join(html.unescape("".join(text)).split()), around))
+                text = []
+                if x is not None and not dropped(x, False):
+                    out += blocks(x, around if x.tag in TEXT_BLOCKS else [*around, source(x)])
+        return [b for b in [*out, (" ".join(html.unescape("".join(text)).split()), around)] if b[0]]
+
+    read = [blocks(parse(page), []) for _, page in rows]
+    pages, trees = defaultdict(set), defaultdict(set)
+    for (host, _), found in zip(rows, read):
+        content = tuple(t for t, _ in found)
+        pages[host].add(content)
+        for _, around in found:
+            for x in around:
+                trees[host, x].add(content)
+    bad = {k for k, v in trees.items() if len(v) >= max(min_pages, min_share * len(pages[k[0]]))}
+    return [" ".join(t for t, around in found if not any((host, x) in bad for x in around)) for (host, _), found in zip(rows, read)]
+
+
+@pytest.mark.parametrize("limits", [(2, 0.0), (3, 0.2), (5, 0.02), (10**9, 1.0)])
+def test_against_plain_counts(spark, limits):
+    """Pages without articles: subtrees that recur, nested ones, copies of pages, and hosts of many sizes."""
+    rng = random.Random(4)
+    parts = [f"<div><section>part {i}</section><p>line {i % 3}</p></div>" for i in range(6)]
+    rows = []
+    for host, n in (("a.org", 40), ("b.org", 12), ("c.org", 3)):
+        for i in range(n):
+            body = [rng.choice(parts), f"<div><p>own {host} {i}</p>{rng.choice(parts)}</div>", rng.choice(parts), "<p>a passage</p>"]
+            rng.shuffle(body)
+            rows.append((host, "<div>" + "".join(body) + "</div>"))
+    rows += rows[:4]
+    df = spark.createDataFrame([(i, f"http://{h}/", p, 0) for i, (h, p) in enumerate(rows)], SCHEMA).repartition(3)
+    got = {r.page_id: r.text for r in extract_text(df, *limits).collect()}
+    want = plain_text(rows, *limits)
+    assert got == dict(enumerate(want))
+    if limits[0] == 5:
+        assert Counter(want) != Counter(plain_text(rows, 10**9, 1.0))  # the counts change the result
+
+
 def test_templates(spark):
     rows = [(i, "https://www.a.org/x" if i % 2 else "http://a.org/y?z", f"<div><div>same words everywhere</div><p>shared passage</p><section>own {i}</section></div>", 0) for i in range(30)]
     rows += [(100 + i, "http://b.org", "<div>copy of one page</div>", 0) for i in range(30)]
