@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import materialise, only
 
 # Units of measure, as they stand after a number.
 UNITS = "mm cm dm km m mg g kg t ml cl dl l ms s sec min h hr hrs kb mb gb tb hz khz mhz ghz w kw v a k usd eur gbp dollars euros pounds cents percent miles mile feet foot ft inches inch in yards meters metres grams kilograms liters litres hours hour minutes minute seconds second days day weeks week months month years year".split()
+# Frequent words that sentences begin with; capitalised, they are no names.
+COMMON = frozenset(
+    "a about after all also although an and another any are as at be because before being both but by can could did do does during each every few first for from given had has have he her here his how however i if in into is it its let let's many more most much my no not now of on once one only or other our she since so some such suppose than that the their then there therefore these they this those though through thus to two under until up was we were what when where whether which while who whom whose why will with would you your "
+    "au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur lorsque mais ne nous on ou par pas pour quand que quel quelle qui sa se ses si son sur un une vous "
+    "aber als am auch auf aus bei bis da das dass dem den der des die doch du durch ein eine einem einen einer er es für hat ich ihr im in ist kann mit nach nicht nun nur ob oder sein sich sie sind so und unter vom von vor wann warum was weil welche welcher wenn wer wie wir wo zu zum zur "
+    "al como con cuando de del desde donde el ella en entre es esta este ha la las lo los más me mi muy no nos o para pero por porque que se si sin sobre son su sus también un una unos y ya yo".split()
+)
 #: Marks before a name, a number and a unit; a mark alone is the placeholder.
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 
@@ -32,14 +39,16 @@ def marked(text: Column) -> Column:
     """Template words of a text; a placeholder is its mark and what it stands for.
 
     Numbers are digits, with signs between digits taken out (1,000 and 3.14); units are fixed words after a number; names are
-    capitalised words that begin no sentence. All else is in lower case without punctuation.
+    capitalised words, each by itself and wherever they stand, but for common ones, which may begin sentences. All else is in lower
+    case without punctuation.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
     t = F.regexp_replace(t, r"(\d)[.,:/](?=\d)", "$1")
-    t = F.regexp_replace(t, r"([\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", f"$1{NAME}$2")
+    t = F.regexp_replace(t, r"(^|[^\p{L}\p{M}])(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", f"$1{NAME}$2")
     t = F.regexp_replace(t, r"\d+", f"{NUMBER}$0")
     t = F.regexp_replace(F.lower(t), rf"(\x02\d+[ -]{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))})([^\p{{L}}\p{{M}}]|$)", f"$1 {UNIT}$2$3")
-    return F.array_remove(F.split(t, r"[^\p{L}\p{M}\p{Nd}\x01-\x03]+"), "")
+    words = F.array_remove(F.split(t, r"[^\p{L}\p{M}\p{Nd}\x01-\x03]+"), "")
+    return F.transform(words, lambda w: F.when((w < NUMBER) & F.substring(w, 2, 1000).isin(*sorted(COMMON)), F.substring(w, 2, 1000)).otherwise(w))
 
 
 def canonical(words: Column) -> Column:
@@ -77,40 +86,54 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     """(doc_id, item_id) of every document that holds a benchmark item, word for word or with other numbers, names or units.
 
     Returns doc_id, item_id, n_windows (of the item, distinct), n_matched, n_changed (slots with another value) and containment, at
-    least ``share``. Template windows are joined by their hashes. Along an alignment of document and item every value of the item
-    must stand for one value in the document; where it doesn't, only windows without placeholders count. The item side is broadcast
-    up to ``broadcast_rows`` windows (16 bytes each) and shuffled beyond. A null text has no words and leaks nothing; items without
-    words are never found; repeated documents are told apart by doc_id alone. Other columns are ignored. No rows: no rows.
+    least ``share``. Template windows are joined by their hashes. A document that holds ``share`` of an item's windows has one of its
+    rarest few, so pairs are made by these alone, and other windows are compared only for those pairs. Along an alignment of document
+    and item every value of the item must stand for one value in the document; where it doesn't, only windows without placeholders
+    count. The item side is broadcast up to ``broadcast_rows`` windows (16 bytes each) and shuffled beyond. A null text has no words
+    and leaks nothing; items without words, or without an id, are never found. Documents are told apart by doc_id and text, null ids
+    included: rows that share a doc_id are never put together, and rows that share both are found once. Other columns are ignored.
+    No rows: no rows.
     """
-    docs, items = only(docs, "doc_id", "text"), only(items, "item_id", "text")
-    windows = materialise(item_windows(items.filter(F.col("item_id").isNotNull()), rules), "windows").df
+    docs, items = only(docs, "doc_id", "text"), only(items, "item_id", "text").filter(F.col("item_id").isNotNull())
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_"), "text")
+    key = ["doc_id", "text_"]
+    windows = materialise(item_windows(items, rules), "windows").df
     sizes = windows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    one = windows.groupBy("h").agg(F.min("at").alias("at_"))  # a window's hash is looked up once, then given to its items
     small = windows.count() <= broadcast_rows
-    own = docs.select(F.col("doc_id"), canonical(marked(F.col("text"))).alias("w"))
-    n_words = items.filter(F.col("item_id").isNotNull()).select(F.size(marked(F.col("text"))).alias("n"))
+    near = F.broadcast if small else (lambda df: df)
+    own = docs.select(*key, canonical(marked(F.col("text"))).alias("w"))
+    n_words = items.select(F.size(marked(F.col("text"))).alias("n"))
     short = sorted(r.n for r in n_words.filter(F.col("n").between(1, rules.width - 1)).distinct().collect()) if rules.inside else []
     if short:  # at most width - 1 lengths
         whole = F.transform(window_hashes("w", rules.width), lambda h, i: F.struct(i.alias("place"), h.alias("h")))
-        seen = own.select("doc_id", F.explode_outer(F.concat(whole, *[short_windows("w", n) for n in short])).alias("x")).select("doc_id", "x.place", "x.h")
+        seen = own.select(*key, F.explode_outer(F.concat(whole, *[short_windows("w", n) for n in short])).alias("x")).select(*key, "x.place", "x.h")
     else:
-        own = own.select("doc_id", window_hashes("w", rules.width).alias("hs"))
-        seen = own.select("doc_id", F.posexplode_outer("hs").alias("place", "h"))
-    hashes = one.select(F.col("h").alias("h_"))
-    found = materialise(seen.join(F.broadcast(hashes) if small else hashes, F.col("h") == F.col("h_")).select("doc_id", "place", "h"), "found").df
-
-    pairs = found.join(F.broadcast(windows) if small else windows, "h").select("doc_id", "item_id", "h", "place", "at")
-    # too few windows for any item: gone before places are compared
-    full = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n")).join(sizes, "item_id").filter(F.col("n") >= rules.share * F.col("n_windows"))
-    full = materialise(full.select(F.col("doc_id").alias("d_"), F.col("item_id").alias("i_"), "n_windows"), "full").df
-    lines = pairs.join(full, (F.col("doc_id").eqNullSafe(F.col("d_"))) & (F.col("item_id") == F.col("i_")))
-    lines = lines.groupBy("doc_id", "item_id", "n_windows", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_list(F.struct("at", "h")).alias("at"))
-
-    wanted = full.select(F.col("d_")).distinct()
-    texts = docs.select(F.col("doc_id"), F.col("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")), "left_semi")
-    texts = texts.select(F.col("doc_id").alias("d_"), marked(F.col("text")).alias("dw"))
+        own = own.select(*key, window_hashes("w", rules.width).alias("hs"))
+        seen = own.select(*key, F.posexplode_outer("hs").alias("place", "h"))
+    hashes = windows.select(F.col("h").alias("h_")).distinct()
+    found = materialise(seen.join(near(hashes), F.col("h") == F.col("h_")).select(*key, "place", "h"), "found").df
+
+    # an item's windows from the rarest in documents on; all but share of them, and one more, are enough to meet
+    df = found.groupBy(F.col("h").alias("h_")).agg(F.count(F.lit(1)).alias("df"))
+    ranked = windows.select("item_id", "h").distinct().join(sizes, "item_id").join(df, F.col("h") == F.col("h_"), "left")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "h"))
+    rare = ranked.withColumn("place_", place).filter(F.col("df").isNotNull() & (F.col("place_") <= F.col("n_windows") - F.ceil(F.lit(rules.share) * F.col("n_windows") - 1e-9) + 1))
+    rare = materialise(rare.select("item_id", F.col("h").alias("h_")), "rare").df
+    pairs = found.select(*key, "h").distinct().join(near(rare), F.col("h") == F.col("h_")).select(*key, "item_id").distinct()
+    wanted = pairs.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), F.col("item_id").alias("i_"))
+    asked = wanted.join(near(windows), F.col("i_") == F.col("item_id")).select("d_", "t_", "item_id", F.col("h").alias("h_"), "at")
+    lines = found.join(asked, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("text_") == F.col("t_")) & (F.col("h") == F.col("h_"))).select(*key, "item_id", "h", "place", "at")
+    lines = materialise(lines, "lines").df
+    full = lines.groupBy(*key, "item_id").agg(F.countDistinct("h").alias("n")).join(sizes, "item_id").filter(F.col("n") >= rules.share * F.col("n_windows"))
+    full = materialise(full.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), F.col("item_id").alias("i_"), "n_windows"), "full").df
+    same = F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("text_") == F.col("t_"))
+    lines = lines.join(full, same & (F.col("item_id") == F.col("i_")))
+    lines = lines.groupBy(*key, "item_id", "n_windows", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_list(F.struct("at", "h")).alias("at"))
+
+    texts = docs.join(full.select("d_", "t_").distinct(), same, "left_semi").dropDuplicates(key)
+    texts = texts.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), marked(F.col("text")).alias("dw"))
     words = items.select(F.col("item_id").alias("i_"), marked(F.col("text")).alias("iw"))
-    lines = lines.join(words, F.col("item_id") == F.col("i_")).join(texts, F.col("doc_id").eqNullSafe(F.col("d_")))
+    lines = lines.join(words, F.col("item_id") == F.col("i_")).join(texts, same)
 
     def slots(x: Column) -> Column:
         """(item's value, document's value) of the placeholders of the window at x."""
@@ -122,7 +145,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     lines = lines.withColumn("even", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: s["a"]))))
     good = F.filter("at", lambda x: F.col("even") | (F.size(slots(x)) == 0))
     changed = F.size(F.filter("pairs", lambda s: s["a"] != s["b"]))
-    lines = lines.select("doc_id", "item_id", "n_windows", F.when(F.col("even"), changed).otherwise(0).alias("changed"), F.explode_outer(F.transform(good, lambda x: x["h"])).alias("h"))
-    out = lines.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("h").alias("n_matched"), F.max("changed").cast("long").alias("n_changed"))
+    lines = lines.select(*key, "item_id", "n_windows", F.when(F.col("even"), changed).otherwise(0).alias("changed"), F.explode_outer(F.transform(good, lambda x: x["h"])).alias("h"))
+    out = lines.groupBy(*key, "item_id", "n_windows").agg(F.countDistinct("h").alias("n_matched"), F.max("changed").cast("long").alias("n_changed"))
     out = out.filter(F.col("n_matched") >= rules.share * F.col("n_windows"))
     return out.select("doc_id", "item_id", "n_windows", "n_matched", "n_changed", (F.col("n_matched") / F.col("n_windows")).alias("containment"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmark.llm.decontaminate import UNITS, TemplateRules
+from fieldmark.llm.decontaminate import COMMON, UNITS, TemplateRules
 from fieldmark.llm.licenses import PHRASES, TEMPLATES, BlockRules, Template, words_of
 from fieldmark.llm.quality import CHAR_CLASSES, COMMON_WORDS, QualityRules, vocabulary
 
@@ -51,31 +51,33 @@ def leaks_sql(rules: TemplateRules = TemplateRules()) -> str:
     """Template windows as lists of words, joined by equality, with the check of slots along each alignment."""
     pair = "regexp_replace({}, '(\\d)[.,:/](\\d)', '\\1\\2', 'g')"
     t = pair.format(pair.format("regexp_replace(coalesce(text, ''), '[\\x01-\\x03]', ' ', 'g')"))
-    t = f"regexp_replace({t}, '([\\p{{Ll}},;] )(\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{M}}]*)', '\\1' || chr(1) || '\\2', 'g')"
+    t = f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{M}}])(\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{M}}]*)', '\\1' || chr(1) || '\\2', 'g')"
     t = f"regexp_replace({t}, '\\d+', chr(2) || '\\0', 'g')"
     t = f"regexp_replace(lower({t}), '(\\x02\\d+[ -]{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))})([^\\p{{L}}\\p{{M}}]|$)', '\\1 ' || chr(3) || '\\2\\3', 'g')"
     words = f"list_filter(regexp_split_to_array({t}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\x01-\\x03]+'), lambda x: x <> '')"
+    words = f"list_transform({words}, lambda x: CASE WHEN x < chr(2) AND x[2:] IN ({_list(sorted(COMMON))}) THEN x[2:] ELSE x END)"
     k = rules.width
+    fits = "len(w) >= k" if rules.inside else f"(len(w) >= {k} AND k = {k} OR len(w) = k)"
     return f"""
 WITH i0 AS (SELECT item_id, {words} AS v FROM benchmark WHERE item_id IS NOT NULL),
-d0 AS (SELECT doc_id, {words} AS v FROM documents),
+d0 AS (SELECT row_number() OVER () AS r, doc_id, {words} AS v FROM (SELECT DISTINCT doc_id, text FROM documents) y),
 i1 AS (SELECT item_id, v, list_transform(v, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS w FROM i0),
-d1 AS (SELECT doc_id, v, list_transform(v, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS w FROM d0),
-i2 AS (SELECT item_id, v, w, unnest(range(greatest(len(w) - {k - 1}, 1))) AS p FROM i1 WHERE len(w) > 0),
-i3 AS (SELECT item_id, v, p, w[p + 1:p + {k}] AS x, len(list_filter(w[p + 1:p + {k}], lambda y: y[1] >= chr(4))) >= least({rules.literals}, len(w)) AS good FROM i2),
+d1 AS (SELECT r, doc_id, v, list_transform(v, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS w FROM d0),
+i2 AS (SELECT item_id, v, w, least(len(w), {k}) AS k, unnest(range(greatest(len(w) - {k - 1}, 1))) AS p FROM i1 WHERE len(w) > 0),
+i3 AS (SELECT item_id, v, p, k, w[p + 1:p + {k}] AS x, len(list_filter(w[p + 1:p + {k}], lambda y: y[1] >= chr(4))) >= least({rules.literals}, len(w)) AS good FROM i2),
 i4 AS (SELECT *, bool_or(good) OVER (PARTITION BY item_id) AS has FROM i3),
-win AS (SELECT item_id, v, p, x FROM i4 WHERE good OR NOT has),
+win AS (SELECT item_id, v, p, k, x FROM i4 WHERE good OR NOT has),
 sizes AS (SELECT item_id, count(DISTINCT x) AS n_windows FROM win GROUP BY 1),
-d2 AS (SELECT doc_id, v, w, unnest(range(greatest(len(w) - {k - 1}, 1))) AS q FROM d1 WHERE len(w) > 0),
-hit AS (SELECT d.doc_id, i.item_id, i.x, i.p, d.q, i.v AS iv, d.v AS dv FROM (SELECT doc_id, v, q, w[q + 1:q + {k}] AS x FROM d2) d JOIN win i ON i.x = d.x),
-whole AS (SELECT doc_id, item_id, n_windows FROM hit JOIN sizes USING (item_id) GROUP BY ALL HAVING count(DISTINCT x) >= {rules.share} * n_windows),
-near AS (SELECT h.*, n_windows, q - p AS shift, list_transform(range({k}), lambda j: [iv[p + j + 1], dv[q + j + 1]]) AS s FROM hit h JOIN whole USING (doc_id, item_id)),
+d2 AS (SELECT r, v, w, k, unnest(range(len(w) - k + 1)) AS q FROM d1, (SELECT DISTINCT k FROM win) y WHERE {fits}),
+hit AS (SELECT d.r, i.item_id, i.x, i.p, d.q, i.v AS iv, d.v AS dv FROM (SELECT r, v, q, k, w[q + 1:q + k] AS x FROM d2) d JOIN win i ON i.x = d.x AND i.k = d.k),
+whole AS (SELECT r, item_id, n_windows FROM hit JOIN sizes USING (item_id) GROUP BY ALL HAVING count(DISTINCT x) >= {rules.share} * n_windows),
+near AS (SELECT h.*, n_windows, q - p AS shift, list_transform(range({k}), lambda j: [iv[p + j + 1], dv[q + j + 1]]) AS s FROM hit h JOIN whole USING (r, item_id)),
 cut AS (SELECT *, list_filter(s, lambda y: y[1] < chr(4)) AS slots FROM near),
-slot AS (SELECT doc_id, item_id, shift, unnest(slots) AS y FROM cut),
-fair AS (SELECT doc_id, item_id, shift, count(DISTINCT y) = count(DISTINCT y[1]) AS even, count(DISTINCT y) FILTER (WHERE y[1] <> y[2]) AS changed FROM slot GROUP BY 1, 2, 3),
-done AS (SELECT c.doc_id, c.item_id, n_windows, count(DISTINCT x) FILTER (WHERE coalesce(even, true) OR len(slots) = 0) AS n_matched, coalesce(max(changed) FILTER (WHERE even), 0) AS n_changed
-    FROM cut c LEFT JOIN fair f ON f.doc_id = c.doc_id AND f.item_id = c.item_id AND f.shift = c.shift GROUP BY 1, 2, 3)
-SELECT doc_id, item_id, n_windows, n_matched, n_changed, n_matched / CAST(n_windows AS DOUBLE) AS containment FROM done WHERE n_matched >= {rules.share} * n_windows"""
+slot AS (SELECT r, item_id, shift, unnest(slots) AS y FROM cut),
+fair AS (SELECT r, item_id, shift, count(DISTINCT y) = count(DISTINCT y[1]) AS even, count(DISTINCT y) FILTER (WHERE y[1] <> y[2]) AS changed FROM slot GROUP BY 1, 2, 3),
+done AS (SELECT c.r, c.item_id, n_windows, count(DISTINCT x) FILTER (WHERE coalesce(even, true) OR len(slots) = 0) AS n_matched, coalesce(max(changed) FILTER (WHERE even), 0) AS n_changed
+    FROM cut c LEFT JOIN fair f ON f.r = c.r AND f.item_id = c.item_id AND f.shift = c.shift GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, n_windows, n_matched, n_changed, n_matched / CAST(n_windows AS DOUBLE) AS containment FROM done JOIN d0 USING (r) WHERE n_matched >= {rules.share} * n_windows"""
 
 
 def licenses_sql(rules: BlockRules = BlockRules()) -> str:

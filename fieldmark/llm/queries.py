@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.llm.decontaminate import TemplateRules
 from fieldmark.llm.oracles import leaks_sql, licenses_sql, quality_sql
 
 
@@ -34,7 +35,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldmark.llm.decontaminate import TemplateRules, find_leaks
+    from fieldmark.llm.decontaminate import find_leaks
 
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), TemplateRules(inside=True))
 
@@ -90,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm": op10_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": quality_sql(), "op4_decontamination": leaks_sql(), "op5_licenses": licenses_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_quality": quality_sql(), "op4_decontamination": leaks_sql(TemplateRules(inside=True)), "op5_licenses": licenses_sql()}

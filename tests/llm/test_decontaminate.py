@@ -35,6 +35,30 @@ def test_exact_and_reparameterised(spark):
     assert got[2, 10].n_changed >= 5
 
 
+def test_rows_of_one_id_are_not_put_together(spark):
+    words = PASSAGE.split()
+    first, second = " ".join(words[:15]), " ".join(words[11:])
+    for ids in ((5, 5), (5, 6), (None, None)):
+        assert leaks(spark, [(ids[0], first), (ids[1], second)], [(1, PASSAGE)]) == {}
+    df = spark.createDataFrame([(5, PASSAGE, 0, 0), (5, PASSAGE + " again", 0, 0), (5, PASSAGE, 0, 0), (5, first, 0, 0)], DOCS)
+    assert find_leaks(df, spark.createDataFrame([(1, PASSAGE, "x")], ITEMS)).count() == 2  # one for each text
+
+
+def test_names_at_the_start_and_full_names(spark):
+    item = "Maria Lopez has three red boxes with seven coins inside, so how many coins does Maria Lopez have if Peter takes one box away?"
+    other = "the list: Ingrid Berg has three red boxes with seven coins inside, so how many coins does Ingrid Berg have if Karl takes one box away? more"
+    got = leaks(spark, [(1, other), (2, other.replace("does Ingrid Berg", "does Karl Berg"))], [(1, item)])
+    assert set(got) == {(1, 1)} and got[1, 1].n_changed == 3
+
+
+def test_windows_that_many_items_share(spark):
+    """Items of one template meet a document by their rare windows alone, and all that it holds are found."""
+    items = [(i, f"what is the whole sum of all the numbers that stand in list {chr(97 + i % 26)}{chr(97 + i // 26)}q for today's {'lesson exam quiz test'.split()[i % 4]}") for i in range(60)]
+    docs = [(d, f"filler words {items[d][1]} and more of them") for d in range(40)]
+    plain = {(d, i) for d, t in docs for i, x in items if sum(" ".join(w) in t for w in zip(*[x.split()[k:] for k in range(5)])) >= 0.8 * (len(x.split()) - 4)}
+    assert {(d, d) for d in range(40)} <= plain and set(leaks(spark, docs, items)) == plain
+
+
 def test_share_against_all_windows(spark):
     import random
 
