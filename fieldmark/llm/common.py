@@ -54,7 +54,7 @@ def materialise(df: DataFrame, tag: str) -> Table:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return Table(spark.read.schema(df.schema).parquet(path), path)
 
 

@@ -36,10 +36,10 @@ from fieldmark.llm.words import words_of
 #: Bits of an anchor's hash that decide; the others hold its place, so the first of equals wins.
 PLACE_BITS = 24
 #: Bytes of text that are worked on at a time; places must fit in PLACE_BITS.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Contexts that are sorted together. Windows of cores with over CROWD distinct contexts are counted one by one instead, by 128 bits,
 #: for the contexts of one core can't be dealt to several tasks; the windows found are the same.
-SHARD_CONTEXTS, CROWD = 8_000, 10_000
+SHARD_CONTEXTS, CROWD = 800, 10_000
 _BYTE = np.random.default_rng(5).integers(1, 1 << 64, 256, dtype=np.uint64)
 
 
@@ -69,12 +69,12 @@ class Windows(NamedTuple):
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Places of the suffixes in the order of their first ``depth`` symbols or more, by doubling."""
     n = len(codes)
-    rank = codes.astype(np.int64)
-    known = 1
-    width = max(int(rank.max(initial=0)).bit_length(), 1)
-    while known < 4 and width * 2 <= 63:  # pack symbols while they fit
-        rank = rank << width | np.concatenate([rank[known:], np.zeros(min(known, n), np.int64)])
-        width, known = 2 * width, 2 * known
+    one = rank = codes.astype(np.int64)
+    known, width = 1, max(int(rank.max(initial=0)).bit_length(), 1)
+    while known < depth and width * (known + 1) <= 63:  # pack symbols while they fit
+        rank = rank << width
+        rank[: max(n - known, 0)] |= one[known:]
+        known += 1
     order = np.argsort(rank)
     while True:
         new = np.zeros(n, np.int64)
@@ -348,7 +348,7 @@ def filed(rows: DataFrame, texts: DataFrame, columns: list[str], write) -> int:
     every = texts.select("part_").distinct()
     for c in columns:
         every = every.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
-    sent = rows.select("part_", *columns).unionByName(every).repartition("part_").sortWithinPartitions("part_", *[c for c in columns if c in ("core", "kind", "hi", "lo")])
+    sent = rows.select("part_", *columns).unionByName(every).repartition("part_").sortWithinPartitions("part_", *[c for c in columns if c in ("kind", "hi", "lo")])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, done = None, [], 0
@@ -389,12 +389,18 @@ def find_repeats(texts: DataFrame, windows: Windows) -> Found:
     runs = texts.select("part_", "text").mapInArrow(count, "part_ int, core long, context long, n long")
     twice = runs.groupBy(F.col("core").alias("core_")).agg(F.sum("n").alias("n_")).filter("n_ > 1").select("core_")
     met = materialise(runs.join(twice, F.col("core") == F.col("core_")).select("part_", "core", "context"), "cores").df
-    crowded = met.distinct().groupBy(F.col("core").alias("core_"), "context").agg(F.lit(1).alias("k")).groupBy("core_").agg(F.sum("k").alias("k")).filter(F.col("k") > CROWD).select("core_", F.lit(1).alias("crowded"))
-    wanted = met.select("part_", "core").distinct().join(crowded, F.col("core") == F.col("core_"), "left").select("part_", "core", F.coalesce("crowded", F.lit(0)).alias("crowded"))
+    # cores with so many rows are few: only for them contexts are told apart, which are dealt by context first
+    large = materialise(met.groupBy(F.col("core").alias("core_")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("core_"), "large").df
+    wanted = met.select("part_", "core", F.lit(0).alias("crowded"))
+    if large.limit(1).count():
+        kinds = met.join(large, F.col("core") == F.col("core_"), "left_semi").select("core", "context").distinct()
+        crowded = kinds.groupBy(F.col("core").alias("core_")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("core_", F.lit(1).alias("crowded"))
+        wanted = met.select("part_", "core").join(crowded, F.col("core") == F.col("core_"), "left").select("part_", "core", F.coalesce("crowded", F.lit(0)).alias("crowded"))
 
     def write_cores(part: int, table: pa.Table) -> None:
         table = table.filter(table["core"].is_valid())
-        save(f"{folder}/cores-{part}", core=table["core"].to_numpy(), crowded=table["crowded"].to_numpy().astype(np.uint8))
+        core, one = np.unique(table["core"].to_numpy(), return_index=True)
+        save(f"{folder}/cores-{part}", core=core, crowded=table["crowded"].to_numpy()[one].astype(np.uint8))
 
     filed(wanted, texts, ["core", "crowded"], write_cores)
 
