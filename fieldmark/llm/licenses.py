@@ -4,32 +4,40 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import only, small_batches, utf8_column
+from fieldmark.llm.common import materialise, only, small_batches, utf8_column
 
 # Fixed phrases and labels of the scan's contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Grants and notices of well-known licences, by label.
+# Short notices, and grants and whole texts of well-known licences, by label.
 TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc", "Licensed under CC BY-NC 4.0"),
     ("cc", "Licensed under CC BY-SA 4.0"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 #: Lower-cases A-Z and makes a space of every byte that no word has.
@@ -49,43 +57,20 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Template:
-    """Distinct words from the rarest to the most frequent; every block found has one of the first ``n - need + 1``."""
+    """The set of a template's words, and how many of them a block must hold."""
 
-    def __init__(self, label: str, text: str, frequency: Mapping[bytes, int], rules: BlockRules) -> None:
+    def __init__(self, label: str, text: str, rules: BlockRules) -> None:
         self.label, words = label, words_of(text.encode())
-        self.order = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
-        self.tokens = frozenset(self.order)
-        self.n = len(self.order)
+        self.tokens = frozenset(words)
+        self.n = len(self.tokens)
         self.need = max(1, math.ceil(rules.containment * self.n - 1e-9))
-        self.prefix = self.order[: self.n - self.need + 1]
         self.length = math.ceil(len(words) * rules.stretch)
 
-    def blocks(self, words: Sequence[bytes], places: Mapping[bytes, list[int]]) -> Iterator[tuple[int, int, float]]:
-        """(first word, end, containment) of maximal runs of overlapping blocks that hold enough; ``places`` has the words of all templates.
-
-        Filters: a prefix word must stand in the text; with the first i words of the order missing, n - i can be held at most; no
-        text with fewer than ``need`` of the words can do.
-        """
-        first = next((i for i, w in enumerate(self.prefix) if w in places), None)
-        if first is None or self.n - first < self.need or len(words) < self.need:
-            return
-        if sum(w in places for w in self.order) < self.need:
-            return
-        near = sorted({p for w in self.prefix for p in places.get(w, ())})
-        hits = sorted((p, w) for w in self.order for p in places.get(w, ()))
-        at = 0
-        while at < len(near):  # stretches in which each block may have a prefix word
-            low, high = near[at] - self.length + 1, near[at] + self.length
-            at += 1
-            while at < len(near) and near[at] - self.length + 1 < high:
-                high = near[at] + self.length
-                at += 1
-            yield from self._slide([h for h in hits if low <= h[0] < high])
-
-    def _slide(self, hits: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, float]]:
+    def blocks(self, hits: Sequence[tuple[int, bytes]]) -> Iterator[tuple[int, int, float]]:
+        """(first word, end, containment) of maximal runs of overlapping blocks that hold enough; ``hits``: places of the template's words."""
         counts: dict[bytes, int] = {}
         left, run = 0, None
-        for right, (p, w) in enumerate(hits):
+        for p, w in hits:
             counts[w] = counts.get(w, 0) + 1
             while hits[left][0] <= p - self.length:
                 old = hits[left][1]
@@ -105,39 +90,42 @@ class Template:
             yield run
 
 
-def token_frequency(docs: DataFrame, tokens: frozenset[bytes]) -> dict[bytes, int]:
-    """In how many documents each of these words stands; all documents are counted and a row for each word reaches the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        for batch in small_batches(batches):
-            for text in utf8_column(batch, "text"):
-                for w in tokens.intersection(words_of(text)):
-                    seen[w] = seen.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    rows = docs.select(F.col("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in rows.collect()}
-
+def token_index(rows: DataFrame, templates: Sequence[Template], vocabulary: Sequence[bytes]) -> tuple[DataFrame, DataFrame]:
+    """(token, template, rank, n, need) of each template's prefix, and (template, tokens) of all.
 
-def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, rules: BlockRules = BlockRules()) -> DataFrame:
+    Tokens are numbered in ``vocabulary``; the order is that of their frequency in all documents (column ``tokens`` of ``rows``), rarest
+    first. A text that holds ``need`` of n words has one of the first n - need + 1.
+    """
+    spark = rows.sparkSession
+    seen = {r["token"]: r["n"] for r in rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}  # words of templates at most
+    number = {w: i for i, w in enumerate(vocabulary)}
+    prefix, whole = [], []
+    for k, t in enumerate(templates):
+        order = sorted((number[w] for w in t.tokens), key=lambda i: (seen.get(i, 0), i))
+        prefix += [(i, k, rank, t.n, t.need) for rank, i in enumerate(order[: t.n - t.need + 1])]
+        whole.append((k, order))
+    return spark.createDataFrame(prefix, "token int, template int, rank int, n int, need int"), spark.createDataFrame(whole, "template int, all_ array<int>")
+
+
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, rules: BlockRules = BlockRules(), broadcast_rows: int = 200_000) -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
+    A set-similarity join of documents and templates, of which there may be any number: documents and templates that share a word of
+    a template's prefix meet; a pair goes on if the rarest word they share leaves enough others (position), the document has words
+    enough (length), and their sets share enough. Only texts of such pairs are read again, for the blocks of those templates.
     blocks: (label, template's place, first word, end, containment) of every run of overlapping blocks that holds enough of a
     template. score: 1 where a phrase stands, else the highest containment found, else 0. A null or empty text has no words and
-    no labels. Repeated rows are scanned each for itself. Other columns are ignored. No rows: no rows.
+    no labels. Repeated rows are scanned each for itself; rows are told apart by doc_id and text. Other columns are ignored. No rows: no rows.
     """
-    docs = only(docs, "doc_id", "text")
-    vocabulary = frozenset(w for _, text in templates for w in words_of(text.encode()))
-    frequency = token_frequency(docs, vocabulary)
-    block = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())])
-    fields = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("blocks", pa.list_(block))]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, template: int, first_word: long, end_word: long, containment: double>>"
+    docs = only(docs, "doc_id", "text").withColumn("text_", F.xxhash64("text"))
+    ready = [Template(label, text, rules) for label, text in templates]
+    vocabulary = sorted({w for t in ready for w in t.tokens})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    ids = docs.schema["doc_id"].dataType.simpleString()
     phrase = re.compile(rb"(?<![^ ])(?:" + b"|".join(p.encode() for p in PHRASES) + rb")(?![^ ])")
+    fields = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("tokens", pa.list_(pa.int32()))]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [Template(label, text, frequency, rules) for label, text in templates]
-        prefixes = frozenset(w for t in ready for w in t.prefix)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             columns: list[list] = [[] for _ in fields]
             for text in utf8_column(batch, "text"):
@@ -147,19 +135,42 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
                 for m in phrase.finditer(joined):
                     word, at = word + joined.count(b" ", at, m.start()), m.start()
                     found.append((word, PHRASES[m[0].decode()]))
-                base = {label for _, label in found}
-                blocks = []
-                if not prefixes.isdisjoint(words):
-                    places: dict[bytes, list[int]] = {}
-                    for i, w in enumerate(words):
-                        if w in vocabulary:
-                            places.setdefault(w, []).append(i)
-                    blocks = [{"label": t.label, "template": k, "first_word": a, "end_word": b, "containment": s} for k, t in enumerate(ready) for a, b, s in t.blocks(words, places)]
-                labels = base | {b["label"] for b in blocks}
-                score = 1.0 if base else max((b["containment"] for b in blocks), default=0.0)
-                row = (len(words), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks)
-                for column, value in zip(columns, row, strict=True):
+                base = ",".join(sorted({label for _, label in found}))
+                tokens = sorted(number[w] for w in number.keys() & set(words))
+                for column, value in zip(columns, (len(words), len(found), found[0][0] if found else None, found[-1][0] if found else None, base, tokens), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]], ["doc_id", *[n for n, _ in fields]])
-
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(scan, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]], ["doc_id", "text_", *[n for n, _ in fields]])
+
+    schema = f"doc_id {ids}, text_ long, n_words long, n_base long, first_word long, last_word long, base_labels string, tokens array<int>"
+    rows = materialise(docs.select("doc_id", "text", "text_").mapInArrow(read, schema), "licences").df
+    prefix, whole = token_index(rows, ready, vocabulary)
+    key = ["doc_id", "text_"]
+    meet = rows.filter(F.size("tokens") > 0).dropDuplicates(key).select(*key, "n_words", "tokens", F.explode("tokens").alias("token"))
+    meet = meet.join(F.broadcast(prefix) if sum(t.n for t in ready) <= broadcast_rows else prefix, "token")
+    pairs = meet.groupBy(*key, "template", "n", "need", "n_words", "tokens").agg(F.min("rank").alias("rank")).filter((F.col("n") - F.col("rank") >= F.col("need")) & (F.col("n_words") >= F.col("need")))
+    pairs = pairs.join(F.broadcast(whole) if len(ready) <= broadcast_rows // 100 else whole, "template").filter(F.size(F.array_intersect("tokens", "all_")) >= F.col("need"))
+    pairs = materialise(pairs.groupBy(F.col("doc_id").alias("d_"), F.col("text_").alias("t_")).agg(F.collect_set("template").alias("templates")), "pairs").df
+    few = pairs.count() <= broadcast_rows
+    same = F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("text_") == F.col("t_"))
+    texts = docs.join(F.broadcast(pairs) if few else pairs, same).dropDuplicates(key).select(*key, "text", "templates")
+    block = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())]))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            out = []
+            for text, asked in zip(utf8_column(batch, "text"), batch.column(3).to_pylist(), strict=True):
+                words, blocks = words_of(text), []
+                for k in sorted(asked):
+                    t = ready[k]
+                    hits = [(i, w) for i, w in enumerate(words) if w in t.tokens]
+                    blocks += [{"label": t.label, "template": k, "first_word": a, "end_word": b, "containment": s} for a, b, s in t.blocks(hits)]
+                out.append(blocks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, block)], ["d_", "t_", "blocks"])
+
+    found = texts.mapInArrow(verify, f"d_ {ids}, t_ long, blocks array<struct<label: string, template: int, first_word: long, end_word: long, containment: double>>")
+    found = materialise(found.filter(F.size("blocks") > 0), "blocks").df
+    out = rows.join(F.broadcast(found) if few else found, same, "left")
+    named = F.array_sort(F.array_distinct(F.concat(F.split("base_labels", ","), F.coalesce(F.transform("blocks", lambda b: b["label"]), F.array().cast("array<string>")))))
+    labels = F.array_join(F.filter(named, lambda x: x != ""), ",")
+    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), score.alias("score"), F.coalesce("blocks", F.array().cast(found.schema["blocks"].dataType)).alias("blocks"))

@@ -83,7 +83,7 @@ SELECT doc_id, item_id, n_windows, n_matched, n_changed, n_matched / CAST(n_wind
 def licenses_sql(rules: BlockRules = BlockRules()) -> str:
     """Phrases by place, and for each template the most of its words in any block that starts with one of them."""
     whens = " ".join("WHEN " + " AND ".join(f"w[p + {i + 1}] = '{x}'" for i, x in enumerate(phrase.split())) + f" THEN '{label}'" for phrase, label in PHRASES.items())
-    made = [Template(label, text, {}, rules) for label, text in TEMPLATES]
+    made = [Template(label, text, rules) for label, text in TEMPLATES]
     templates = ", ".join(f"({k}, '{t.label}', {t.length}, {t.need}, {t.n})" for k, t in enumerate(made))
     tokens = ", ".join(f"({k}, '{w.decode()}')" for k, (_, text) in enumerate(TEMPLATES) for w in sorted(set(words_of(text.encode()))))
     return f"""
