@@ -14,7 +14,7 @@ def test_clashing_columns(spark):
     items = spark.createDataFrame([(1, "some words of text number 3 and more")], "item_id long, text string")
     runs = {
         "simhash": simhash.near_duplicates, "repeats": lambda d: repeats.remove_repeats(d, 16), "quality": quality.judge, "leaks": lambda d: decontaminate.find_leaks(d, items), "licenses": licenses.scan_licenses,
-        "secrets": lambda d: secrets.find_secrets(d, carry=["lang"]), "packing": lambda d: packing.pack_documents(d, P.path("word_bpe_49k.json")), "sharding": sharding.shard_documents, "lm": lambda d: lm.score_documents(d, min_word=1),
+        "secrets": lambda d: secrets.find_secrets(d, carry=["lang"]), "packing": lambda d: packing.pack_documents(d, P.path("word_bpe_49k.json")), "sharding": sharding.shard_documents, "lm": lambda d: lm.score_documents(d),
     }
     for name, run in runs.items():
         assert sorted(map(str, run(odd).collect())) == sorted(map(str, run(docs).collect())), name

@@ -92,6 +92,29 @@ def test_shards(spark):
     assert sharding.shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_shards_have_the_highest_score(spark):
+    """Every key against all shards, one by one, with hashes from another library."""
+    import math
+    import struct
+
+    import xxhash
+
+    def score(key, shard, weight):
+        name = "" if key is None else str(key)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", shard), xxhash.xxh64_intdigest(name.encode(), 42))
+        return -weight / math.log(((h >> 11) + 0.5) / 2**53)
+
+    keys = [None, -5, 2**62, *range(3000)]
+    df = spark.createDataFrame([(k, "x", "", 0) for k in keys], SCHEMA)
+    for weights, grown in ((None, 1.0), ([1.0 + i % 5 for i in range(24)], 3.0)):
+        w = weights or [1.0] * 24
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_documents(df, weights=weights, grown_weight=grown).collect()}
+        for k in keys:
+            scores = [score(k, s, w[s]) for s in range(24)]
+            best = max(range(24), key=scores.__getitem__)
+            assert got[k] == (best, 24 if score(k, 24, grown) > scores[best] else best)
+
+
 def test_weights_and_growth(spark):
     from pyspark.sql import functions as F
 

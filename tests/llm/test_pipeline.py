@@ -91,6 +91,39 @@ def test_pack(world):
     assert max(sums.values()) <= 4096
 
 
+def test_clashing_columns(spark, world):
+    """Columns whose names differ in case, or repeat, change nothing."""
+    from pyspark.sql import functions as F
+
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(world["stages"][name][0], SCHEMA if name == "quality" else SCHEMA.removesuffix(", row_ int"))
+        odd = docs.select("doc_id", F.lit("x").alias("TEXT"), "text", F.lit("y").alias("Lang"), "lang", "source", "n_chars", F.lit(7).alias("gone_"), F.lit("z").alias("text"))
+        order = lambda rows: sorted(map(str, rows))
+        assert order(stage(spark, odd, world["folder"]).collect()) == order(stage(spark, docs, world["folder"]).collect()), name
+
+
+def test_the_same_rows_go_whatever_the_splits(spark, world, monkeypatch):
+    """The table is split differently each time that it is read."""
+    path, sizes = f"{world['folder']}/quality", iter(range(1, 1000))
+    wanted = {name: sorted(map(str, stage(spark, spark.read.parquet(path), world["folder"]).select("text").collect())) for name, stage in pipeline.STAGES[:3]}
+    plain = pipeline.materialise
+
+    def another_split(df, tag):
+        out = plain(df, tag)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1000 * next(sizes)))
+        return out
+
+    monkeypatch.setattr(pipeline, "materialise", another_split)
+    try:
+        for name, stage in pipeline.STAGES[:3]:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+            out = stage(spark, spark.read.parquet(path), world["folder"])
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "77777")
+            assert sorted(map(str, out.select("text").collect())) == wanted[name], name
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_run_gives_the_last_stage(spark, world):
     got = sorted((r.doc_id or -1, r.piece, r.length, r.ids_crc32) for r in pipeline.run(spark, world["folder"]).collect())
     assert got == sorted((r.doc_id or -1, r.piece, r.length, r.ids_crc32) for r in world["stages"]["pack"][1])
