@@ -53,12 +53,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each group of near-duplicates.
+    """One row of each group of near-duplicates: that of the smallest doc_id, nulls last.
 
-    Of repeated rows one stays. Null, empty and wordless texts are one group, of which one stays. No rows: no rows.
+    Rows of one doc_id are put in order by a hash of their texts. Of repeated rows one stays. Null, empty and wordless texts are one group, of which one stays. No rows: no rows.
     """
     rows = _numbered(docs, "near_dedup")
-    return _without(rows, near_duplicates(_by_row(rows)).filter(F.col("doc_id") != F.col("component_id")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "row_")
+    found = near_duplicates(rows.select(order.alias("doc_id"), "text")).filter(F.col("doc_id") != F.col("component_id"))
+    return _without(rows, found.select(F.col("doc_id.row_").alias("doc_id")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
