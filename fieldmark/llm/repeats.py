@@ -6,9 +6,9 @@ share a core of ``length - block + 1`` symbols; such a run with its context, the
 window's end, is the unit of work:
 
 1. cores are counted by hash, a filter: a core that stands once has no repeated window.
-2. the contexts of cores that stand twice or more meet by core, those that stand twice themselves as two. As all of a core's contexts
-   share it, it becomes one symbol there, and a window is ``block`` symbols. Suffixes are sorted, and the expansion of the
-   transform's intervals finds the windows that stand twice.
+2. the contexts of cores that stand twice or more meet by core; one that stands twice itself enters once, with weight two. As all of
+   a core's contexts share it, it becomes one symbol there, and a window is ``block`` symbols. Suffixes are sorted, and the expansion
+   of the transform's intervals finds the windows that stand twice.
 3. each text looks up the windows of its runs in what 2 has found, and loses the symbols that are covered.
 
 Texts are written once with the number of their part and read three times; only hashes and contexts of repeated cores are shuffled.
@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import materialise, only, shared_dir, small_arrow_batches, utf8_column
@@ -266,15 +266,15 @@ def solve(contexts: list[tuple[int, int, np.ndarray, bool]], core: list, block:
         values, symbols = np.unique(np.concatenate([x[2] for x in contexts]), return_inverse=True)
         width = len(values)
     parts, starts, at, taken = [], [], 0, 0
-    for (left, right, _, twice), g in zip(contexts, group, strict=True):
+    for (left, right, _, _), g in zip(contexts, group, strict=True):
         codes = symbols[taken : taken + left + right] + 1
         taken += left + right
-        one = [codes[:left], np.array([width + 1 + g]), codes[left:], np.zeros(1, np.int64)]
-        parts += one * (2 if twice else 1)
+        parts += [codes[:left], np.array([width + 1 + g]), codes[left:], np.zeros(1, np.int64)]
         starts.append(at)
-        at += (left + right + 2) * (2 if twice else 1)
+        at += left + right + 2
     marks = repeated_places(np.concatenate(parts), block)
-    return [marks[s : s + left + right + 2 - block] for s, (left, right, _, _) in zip(starts, contexts, strict=True)]
+    marks = [marks[s : s + left + right + 2 - block] for s, (left, right, _, _) in zip(starts, contexts, strict=True)]
+    return [np.ones(len(m), bool) if x[3] else m for m, x in zip(marks, contexts, strict=True)]
 
 
 def _ranges(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,38 +287,35 @@ def _longs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-PIECES = "kind int, part_ int, core long, core2 long, hi long, lo long, n long, left int, right int, data binary"
+PIECES = "part_ int, core long, core2 long, hi long, lo long, n long, left int, right int, data binary"
+PIECE_NAMES = [x.split()[0] for x in PIECES.split(", ")]
 MARKS = "part_ int, kind int, hi long, lo long, first binary, last binary"
 
 
-def _rows(kind: int, part: int, core, core2, hi, lo, n, left, right, data) -> pa.RecordBatch:
-    k = len(hi)
-    arrays = [pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, part, np.int32)), *[pa.array(np.asarray(x, np.int64)) for x in (core, core2, hi, lo, n)], *[pa.array(np.asarray(x, np.int32)) for x in (left, right)], pa.array(data, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "part_", "core", "core2", "hi", "lo", "n", "left", "right", "data"])
-
-
 class Found:
     """Where the windows of a part's texts that stand twice are looked up: one file of cores and one of marks for each part."""
 
-    def __init__(self, windows: Windows, folder: str) -> None:
-        self.windows, self.folder, self.part, self.files = windows, folder, None, ({}, {})
+    def __init__(self, windows: Windows, folder: str, crowds: bool = False) -> None:
+        self.windows, self.folder, self.crowds, self.part, self.files = windows, folder, crowds, None, ()
 
     def __reduce__(self):
-        return Found, (self.windows, self.folder)
+        return Found, (self.windows, self.folder, self.crowds)
 
-    def of(self, part: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    def of(self, part: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """(repeated cores, those that are crowded, marks)."""
         if part != self.part:
-            self.part, self.files = part, (load(f"{self.folder}/cores-{part}"), load(f"{self.folder}/marks-{part}"))
+            cores, crowd = (load(f"{self.folder}/{x}-{part}")["core"] if x == "cores" or self.crowds else np.zeros(0, np.int64) for x in ("cores", "crowd"))
+            self.part, self.files = part, (cores, crowd, load(f"{self.folder}/marks-{part}"))
         return self.files
 
     def ranges(self, part: int, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of starts of windows that stand twice."""
-        cores, marks = self.of(part)
+        cores, crowd, marks = self.of(part)
         text, length = piece.text, self.windows.length
         runs = runs_of(text, piece.ends, self.windows)
-        at = place_in(cores["core"], runs.core.view(np.int64))
-        few = np.flatnonzero((at >= 0) & (cores["crowded"][at] == 0)) if len(cores["core"]) else np.zeros(0, np.int64)
-        many = np.flatnonzero((at >= 0) & (cores["crowded"][at] > 0)) if len(cores["core"]) else few
+        core = runs.core.view(np.int64)
+        crowded = place_in(crowd, core) >= 0
+        few, many = np.flatnonzero((place_in(cores, core) >= 0) & ~crowded), np.flatnonzero(crowded)
         first, last = [], []
         if len(few):
             hit = self._look_up(marks, "context", [text.digest(int(runs.first[i]), int(runs.last[i]) + length) for i in few])
@@ -376,44 +373,28 @@ def find_repeats(texts: DataFrame, windows: Windows) -> Found:
     folder = f"{shared_dir(texts.sparkSession)}/repeats-{uuid.uuid4().hex}"
     files, path = filesystem(folder)
     files.create_dir(path, recursive=True)
-    found = Found(windows, folder)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, own in groups_of(batches):
             for piece in pieces_of(own, windows):
-                runs = runs_of(piece.text, piece.ends, windows)
-                context, at, n = np.unique(runs.context, return_index=True, return_counts=True)
-                arrays = [pa.array(np.full(len(at), part, np.int32)), pa.array(runs.core[at].view(np.int64)), pa.array(context.view(np.int64)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["part_", "core", "context", "n"])
-
-    runs = texts.select("part_", "text").mapInArrow(count, "part_ int, core long, context long, n long")
-    twice = runs.groupBy(F.col("core").alias("core_")).agg(F.sum("n").alias("n_")).filter("n_ > 1").select("core_")
-    met = materialise(runs.join(twice, F.col("core") == F.col("core_")).select("part_", "core", "context"), "cores").df
-    # cores with so many rows are few: only for them contexts are told apart, which are dealt by context first
-    large = materialise(met.groupBy(F.col("core").alias("core_")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("core_"), "large").df
-    wanted = met.select("part_", "core", F.lit(0).alias("crowded"))
-    if large.limit(1).count():
-        kinds = met.join(large, F.col("core") == F.col("core_"), "left_semi").select("core", "context").distinct()
-        crowded = kinds.groupBy(F.col("core").alias("core_")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("core_", F.lit(1).alias("crowded"))
-        wanted = met.select("part_", "core").join(crowded, F.col("core") == F.col("core_"), "left").select("part_", "core", F.coalesce("crowded", F.lit(0)).alias("crowded"))
+                core, n = np.unique(runs_of(piece.text, piece.ends, windows).core, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(core), part, np.int32)), pa.array(core.view(np.int64)), pa.array(n.astype(np.int64))], ["part_", "core", "n"])
+
+    # a core has one row for each CHUNK of text at most
+    seen = texts.select("part_", "text").mapInArrow(count, "part_ int, core long, n long")
+    twice = seen.withColumn("n_", F.sum("n").over(Window.partitionBy("core"))).filter("n_ > 1").select("part_", "core")
 
-    def write_cores(part: int, table: pa.Table) -> None:
-        table = table.filter(table["core"].is_valid())
-        core, one = np.unique(table["core"].to_numpy(), return_index=True)
-        save(f"{folder}/cores-{part}", core=core, crowded=table["crowded"].to_numpy()[one].astype(np.uint8))
+    def write_cores(name: str):
+        return lambda part, table: save(f"{folder}/{name}-{part}", core=np.unique(table["core"].drop_null().to_numpy()))
 
-    filed(wanted, texts, ["core", "crowded"], write_cores)
+    filed(twice, texts, ["core"], write_cores("cores"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, own in groups_of(batches):
-            known = load(f"{folder}/cores-{part}")
+            known = load(f"{folder}/cores-{part}")["core"]
             for text, ends, _ in pieces_of(own, windows):
                 runs = runs_of(text, ends, windows)
-                at = place_in(known["core"], runs.core.view(np.int64))
-                if not (at >= 0).any():
-                    continue
-                crowd = (at >= 0) & (known["crowded"][at] > 0)
-                few = np.flatnonzero((at >= 0) & ~crowd)
+                few = np.flatnonzero(place_in(known, runs.core.view(np.int64)) >= 0)
                 _, one, n = np.unique(runs.context[few], return_index=True, return_counts=True)
                 columns: list[list] = [[] for _ in range(5)]
                 for i in few[one].tolist():
@@ -423,16 +404,40 @@ def find_repeats(texts: DataFrame, windows: Windows) -> Found:
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
                 if columns[0]:
-                    yield _rows(1, part, runs.core[few[one]].view(np.int64), columns[0], *_longs(columns[1]), n, *columns[2:])
-                if crowd.any():
-                    _, start = _expand(runs.first[crowd], runs.last[crowd])
-                    _, one, n = np.unique(text.hashes(start, start + windows.length), return_index=True, return_counts=True)
-                    hi, lo = _longs([text.digest(a, a + windows.length) for a in start[one].tolist()])
-                    zero = np.zeros(len(hi), np.int64)
-                    yield _rows(2, part, zero, zero, hi, lo, n, zero, zero, [b""] * len(hi))
+                    hi, lo = _longs(columns[1])
+                    longs = (runs.core[few[one]].view(np.int64), columns[0], hi, lo, n)
+                    arrays = [pa.array(np.full(len(hi), part, np.int32)), *[pa.array(np.asarray(x, np.int64)) for x in longs], *[pa.array(x, pa.int32()) for x in columns[2:4]], pa.array(columns[4], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, PIECE_NAMES)
 
     pieces = materialise(texts.select("part_", "text").mapInArrow(gather, PIECES), "contexts").df
 
+    # cores with so many rows are few: only for them contexts are told apart, which are dealt by context first
+    large = materialise(pieces.groupBy(F.col("core").alias("core_")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("core_"), "large").df
+    crowds = large.limit(1).count() > 0
+    single = None
+    if crowds:
+        kinds = pieces.select("core", "core2", "hi", "lo").join(large, F.col("core") == F.col("core_"), "left_semi").distinct()
+        crowded = kinds.groupBy(F.col("core").alias("core_")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("core_")
+        crowded = materialise(crowded, "crowded").df
+        filed(pieces.select("part_", "core").join(crowded, F.col("core") == F.col("core_"), "left_semi"), texts, ["core"], write_cores("crowd"))
+        pieces = pieces.join(crowded, F.col("core") == F.col("core_"), "left_anti")
+
+        def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, _, own in groups_of(batches):
+                known = load(f"{folder}/crowd-{part}")["core"]
+                for text, ends, _ in pieces_of(own, windows):
+                    runs = runs_of(text, ends, windows)
+                    crowd = place_in(known, runs.core.view(np.int64)) >= 0
+                    if crowd.any():
+                        _, start = _expand(runs.first[crowd], runs.last[crowd])
+                        _, one, n = np.unique(text.hashes(start, start + windows.length), return_index=True, return_counts=True)
+                        hi, lo = _longs([text.digest(a, a + windows.length) for a in start[one].tolist()])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), part, np.int32)), pa.array(hi), pa.array(lo), pa.array(n.astype(np.int64))], ["part_", "hi", "lo", "n"])
+
+        each = materialise(texts.select("part_", "text").mapInArrow(each_window, "part_ int, hi long, lo long, n long"), "windows").df
+        often = each.groupBy(F.col("hi").alias("hi_"), F.col("lo").alias("lo_")).agg(F.sum("n").alias("n_")).filter("n_ > 1")
+        single = each.join(often, (F.col("hi") == F.col("hi_")) & (F.col("lo") == F.col("lo_"))).select("part_", "hi", "lo").distinct()
+
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = U64 if windows.words else np.uint8
         held: dict[tuple, list] = {}  # (core, core2, hi, lo): [left, right, symbols, n, parts]
@@ -462,12 +467,11 @@ def find_repeats(texts: DataFrame, windows: Windows) -> Found:
         arrays = [pa.array(out[0], pa.int32()), pa.array([1] * len(out[0]), pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["part_", "kind", "hi", "lo", "first", "last"])
 
-    dealt = pieces.filter("kind = 1").select("part_", "core", "core2", "hi", "lo", "n", "left", "right", "data").repartition("core", "core2").sortWithinPartitions("core", "core2")
-    single = pieces.filter("kind = 2").select("part_", "hi", "lo", "n")
-    often = single.groupBy(F.col("hi").alias("hi_"), F.col("lo").alias("lo_")).agg(F.sum("n").alias("n_")).filter("n_ > 1")
-    single = single.join(often, (F.col("hi") == F.col("hi_")) & (F.col("lo") == F.col("lo_"))).select("part_", "hi", "lo").distinct()
-    empty = F.lit(None).cast("binary")
-    marks = dealt.mapInArrow(expand, MARKS).unionByName(single.select("part_", F.lit(2).alias("kind"), "hi", "lo", empty.alias("first"), empty.alias("last")))
+    dealt = pieces.select(*PIECE_NAMES).repartition("core", "core2").sortWithinPartitions("core", "core2")
+    marks = dealt.mapInArrow(expand, MARKS)
+    if single is not None:
+        empty = F.lit(None).cast("binary")
+        marks = marks.unionByName(single.select("part_", F.lit(2).alias("kind"), "hi", "lo", empty.alias("first"), empty.alias("last")))
 
     def write_marks(part: int, table: pa.Table) -> None:
         kind = table["kind"].fill_null(0).to_numpy()
@@ -479,7 +483,7 @@ def find_repeats(texts: DataFrame, windows: Windows) -> Found:
         save(f"{folder}/marks-{part}", begin=begin, first=both[0], last=both[1], **longs)
 
     filed(marks, texts, ["kind", "hi", "lo", "first", "last"], write_marks)
-    return found
+    return Found(windows, folder, crowds)
 
 
 # --- the operator -------------------------------------------------------------------------------------------------------------
