@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kilometres of a degree of latitude, and of longitude at the equator.
@@ -39,7 +42,7 @@ def _sum(values: Column) -> Column:
 
 
 def contains(rings: Column, x: Column, y: Column) -> Column:
-    """Whether a ray from the point crosses the rings an odd number of times, so holes count as outside; points on an edge may fall on either side."""
+    """Whether the point lies inside: a ray from it crosses the rings an odd number of times, so holes count as outside; edges are outside."""
 
     def crossings(ring: Column) -> Column:
         def crosses(e: Column) -> Column:
@@ -49,7 +52,13 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
 
         return F.size(F.filter(_edges(ring), crosses))
 
-    return F.aggregate(F.transform(rings, crossings), F.lit(0), lambda s, n: s + n) % 2 == 1
+    def on(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        flat = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
+        return flat & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    on_edge = F.exists(rings, lambda r: F.exists(_edges(r), on))
+    return (F.aggregate(F.transform(rings, crossings), F.lit(0), lambda s, n: s + n) % 2 == 1) & ~on_edge
 
 
 def _doubled(ring: Column) -> Column:
@@ -100,3 +109,55 @@ def grid_size(extent: Column, records: Column, sizes: tuple[float, ...] = (0.5,
 def heat_level(records: Column, most: Column) -> Column:
     """0 to 4 by the square root of the share of the largest."""
     return F.when((records <= 0) | (most <= 0), 0).otherwise(F.least(F.lit(4), F.floor(5 * F.sqrt(records / most)))).cast("int")
+
+
+#: Radius of the sphere that has the earth's area.
+AUTHALIC_KM = 6371.0072
+
+
+def geodesic_km2(rings: Column) -> Column:
+    """Area on that sphere, sides taken along parallels and meridians in proportion; the rings after the first are holes."""
+
+    def of(ring: Column) -> Column:
+        part = F.transform(_edges(ring), lambda e: F.radians(e["b"]["x"] - e["a"]["x"]) * (2 + F.sin(F.radians(e["a"]["y"])) + F.sin(F.radians(e["b"]["y"]))))
+        return F.abs(_sum(part)) / 2 * AUTHALIC_KM**2
+
+    return _sum(F.transform(rings, lambda r, i: F.when(i == 0, of(r)).otherwise(-of(r))))
+
+
+def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """A line with fewer points, none of those left out farther than the tolerance from it (Douglas and Peucker); ends stay."""
+    keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while todo:
+        a, b = todo.pop()
+        (ax, ay), (bx, by) = points[a], points[b]
+        length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
+        far, at = 0.0, None
+        for i in range(a + 1, b):
+            x, y = points[i]
+            d = abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / length if length else ((x - ax) ** 2 + (y - ay) ** 2) ** 0.5
+            if d > far:
+                far, at = d, i
+        if at is not None and far > tolerance:
+            keep.add(at)
+            todo += [(a, at), (at, b)]
+    return [points[i] for i in sorted(keep)]
+
+
+def simplify(polygons: DataFrame, tolerance: float = 0.0005) -> DataFrame:
+    """(id, rings) with fewer points for display; rings of four sides or fewer are left as they are, others are closed."""
+    kind = "array<array<struct<x: double, y: double>>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shapes = []
+            for shape in batch["rings"]:
+                rings = []
+                for ring in shape:
+                    line = [(p["x"], p["y"]) for p in ring]
+                    line = line if line[0] == line[-1] else [*line, line[0]]
+                    rings.append([{"x": x, "y": y} for x, y in (simplified(line, tolerance) if len(line) > 5 else line)])
+                shapes.append(rings)
+            yield pd.DataFrame({"id": batch["id"], "rings": shapes})
+
+    return polygons.select("id", "rings").mapInPandas(run, f"id {polygons.schema['id'].dataType.simpleString()}, rings {kind}")

@@ -5,6 +5,10 @@ Each set of rules is one array expression over a row, so a table is read once ho
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,3 +144,59 @@ def citation(papers: DataFrame) -> DataFrame:
 def cited_in(text: Column) -> Column:
     """Author and year of citations such as (Smith et al. 2020) or Smith and Jones (2019)."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{Lu}[\p{L}'-]+(?: (?:et al\.|(?:and|&) \p{Lu}[\p{L}'-]+))?,? \(?(?:19|20)\d{2}[a-z]?)"), F.lit(1)))
+
+
+#: Characters of a fingerprint, and how many neighbours choose one of them.
+GRAM, SPAN = 16, 32
+_POWERS = np.array([pow(1_000_003, k, 1 << 64) for k in range(GRAM)], np.uint64)
+
+
+def _chosen(text: str, one: bool) -> np.ndarray:
+    """The least hash of each SPAN neighbouring grams, or of the first ones only; none for texts too short for a whole span."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = codes[: GRAM + SPAN - 1] if one else codes
+    n = len(codes) - GRAM + 1
+    if n < SPAN:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h += codes[k : n + k] * _POWERS[k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    step = 1
+    while step < SPAN:  # SPAN is a power of two
+        h = np.minimum(h[:-step], h[step:])
+        step *= 2
+    return np.unique(h)
+
+
+def quotes_found(docs: DataFrame, quotes: DataFrame, doc_key: str, quote_key: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """(doc, quote) for every quote that stands in a text, whatever the spacing and typography.
+
+    ``docs`` and ``quotes`` are (key, text). Both are squashed once. A text's fingerprints are the least hashes of neighbouring grams, so
+    that a text that holds a quote has the quote's first one; pairs meet by it, and containment decides. Quotes too short for a
+    fingerprint (under 47 signs) are looked for in every text, in blocks; a null or empty quote stands nowhere.
+    """
+    d = docs.select(F.col(doc_key).alias("d_"), squash(F.col("text")).alias("t_")).filter("t_ <> ''").distinct()
+    q = quotes.select(F.col(quote_key).alias("q_"), squash(F.col("text")).alias("s_")).filter("s_ <> ''").distinct()
+    long_ = F.length("s_") >= GRAM + SPAN - 1
+
+    def prints(one: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [_chosen(t, one) for t in batch.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                h = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(h)], batch.schema.names[:1] + ["h"])
+
+        return run
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    marks = d.select("d_", "t_").mapInArrow(prints(False), f"d_ {kind(d, 'd_')}, h long")
+    asked = q.filter(long_).select("q_", "s_").mapInArrow(prints(True), f"q_ {kind(q, 'q_')}, h long")
+    pairs = marks.join(asked, "h").select("d_", "q_").distinct()
+    near = pairs.join(q, "q_").join(d, "d_").filter(F.contains("t_", "s_")).select("d_", "q_")
+    short = q.filter(~long_)
+    if 0 < short.limit(broadcast_rows + 1).count():
+        near = near.unionByName(d.join(short, F.contains("t_", "s_")).select("d_", "q_"))
+    return near.distinct().select(F.col("d_").alias(doc_key), F.col("q_").alias(quote_key))

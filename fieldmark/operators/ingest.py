@@ -102,7 +102,7 @@ def prune_runs(runs: DataFrame, keep: int, older_than: str) -> DataFrame:
 
 def fair_sample(rows: DataFrame, group: str, k: int, seed: int = 0, key: str = "id") -> DataFrame:
     """k rows spread over the groups in turns, in an order fixed by a hash of key and seed."""
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     turn = F.row_number().over(Window.partitionBy(group).orderBy(h, key))
     return rows.withColumn("turn_", turn).withColumn("hash_", h).orderBy("turn_", "hash_", key).limit(k).drop("turn_", "hash_")
 

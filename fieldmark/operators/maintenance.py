@@ -60,7 +60,7 @@ def stratified_sample(frames: DataFrame, annotations: DataFrame, n: int, empty_s
     boxed = annotations.filter("category != 'empty'").select("frame").distinct()
     blank = annotations.filter("category = 'empty'").select("frame").distinct().join(boxed, "frame", "left_anti")
     kinds = frames.join(boxed.withColumn("empty", F.lit(False)).unionByName(blank.withColumn("empty", F.lit(True))), "frame")
-    h = F.xxhash64(F.col("frame").cast("string"), F.lit(seed))
+    h = F.md5(F.concat(F.col("frame").cast("string"), F.lit(f":{seed}")))
     turn = F.row_number().over(Window.partitionBy("empty", "location").orderBy(h, "frame"))
     empties = round(n * empty_share)
     ranked = kinds.withColumn("turn_", turn).withColumn("hash_", h)
@@ -73,7 +73,7 @@ def crops_per_class(boxes: DataFrame, k: int, least_px: int = 32, seed: int = 0)
     side = F.least(F.col("width_px"), F.col("height_px"))
     one = Window.partitionBy("label", "image").orderBy(F.desc(side), "box")
     df = boxes.filter(side >= least_px).withColumn("n_", F.row_number().over(one)).filter("n_ = 1")
-    h = F.xxhash64(F.col("image").cast("string"), F.lit(seed))
+    h = F.md5(F.concat(F.col("image").cast("string"), F.lit(f":{seed}")))
     df = df.withColumn("turn_", F.row_number().over(Window.partitionBy("label", "location").orderBy(h, "image"))).withColumn("hash_", h)
     df = df.withColumn("place_", F.row_number().over(Window.partitionBy("label").orderBy("turn_", "hash_", "image")))
     return df.filter(F.col("place_") <= k).drop("n_", "turn_", "hash_", "place_")
@@ -95,3 +95,53 @@ def storage_status(used_bytes: int, limit_bytes: int, warn: float = 0.8, stop: f
     """ok, warn or stop, by the share of a storage limit that is used."""
     share = used_bytes / limit_bytes
     return "stop" if share >= stop else "warn" if share >= warn else "ok"
+
+
+def merge_by_name(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored species (id, gbif_key, inat_id, scientific_name, kingdom, common_name) with incoming rows (seq instead of id).
+
+    A row with a key belongs to the species of that key, one without to the keyless species of its name in any case and its kingdom.
+    The last name wins for keyed species; kingdoms are replaced by known ones only; a common name fills a gap, the first that comes;
+    a species without an inat_id claims its first one that no stored species has, and of several that claim it the first gets it.
+    New species have the ids ``max(id) + 1 + seq`` of their first row.
+    """
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top_"))
+    group = F.when(F.col("gbif_key").isNotNull(), F.struct(F.col("gbif_key").alias("k"), F.lit("").alias("n"), F.lit("").alias("g"))).otherwise(
+        F.struct(F.lit(None).cast("long").alias("k"), F.lower("scientific_name").alias("n"), F.coalesce("kingdom", F.lit("\x00")).alias("g"))
+    )
+    known = stored.withColumn("at_", group)
+    new = incoming.withColumn("at_", group)
+    taken = stored.filter("inat_id IS NOT NULL").select("inat_id").distinct()
+    free = new.select("at_", "seq", "inat_id").filter("inat_id IS NOT NULL").join(taken, "inat_id", "left_anti")
+    free = free.join(known.filter("inat_id IS NOT NULL").select("at_"), free["at_"].eqNullSafe(known["at_"]), "left_anti")
+    claims = free.groupBy("at_").agg(F.min(F.struct("seq", "inat_id")).alias("c")).groupBy("c.inat_id").agg(F.min_by("at_", "c.seq").alias("claimer_"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    rows = new.groupBy("at_").agg(F.min("seq").alias("first_"), F.max_by("scientific_name", "seq").alias("new_name"), F.min_by("scientific_name", "seq").alias("first_name"), last("kingdom").alias("new_kingdom"), F.min_by("common_name", F.when(F.col("common_name").isNotNull(), F.col("seq"))).alias("new_common"))
+    rows = rows.join(claims.withColumnRenamed("inat_id", "claim_"), F.col("at_").eqNullSafe(F.col("claimer_")), "left").withColumnRenamed("at_", "new_at")
+    df = known.join(rows, F.col("at_").eqNullSafe(F.col("new_at")), "full").crossJoin(F.broadcast(top))
+    keyed = F.coalesce(F.col("at_.k"), F.col("new_at.k"))
+    name = F.when(keyed.isNotNull(), F.coalesce("new_name", "scientific_name")).otherwise(F.coalesce("scientific_name", "first_name"))
+    return df.select(
+        F.coalesce("id", F.col("top_") + 1 + F.col("first_")).alias("id"), keyed.alias("gbif_key"), F.coalesce("inat_id", "claim_").alias("inat_id"),
+        name.alias("scientific_name"), F.coalesce("new_kingdom", "kingdom").alias("kingdom"), F.coalesce("common_name", "new_common").alias("common_name"),
+    )
+
+
+def prune_owned(rows: DataFrame, wanted: DataFrame, keys: list[str], owner: str) -> DataFrame:
+    """Rows but for those of this owner that are no longer wanted; rows of others stay."""
+    mine = F.coalesce(F.col("owner") == owner, F.lit(False))
+    return rows.filter(~mine).unionByName(rows.filter(mine).join(wanted.select(*keys).distinct(), keys, "left_semi").select(*rows.columns))
+
+
+def drop_other_basis(media: DataFrame, source_id: int, basis: DataFrame, wanted: str = "specimen") -> DataFrame:
+    """Media but for those of a source whose record (id, basis) is of another basis; unknown records stay."""
+    other = basis.filter(F.col("basis") != wanted).select("id").distinct()
+    own = F.col("source_id") == source_id
+    return media.filter(own).join(other, "id", "left_anti").select(*media.columns).unionByName(media.filter(~own | F.col("source_id").isNull()))
+
+
+def rename_source(sources: DataFrame, old: str, new: str) -> DataFrame:
+    """A source under its new name; nothing changes where the old name is gone or the new one is taken."""
+    taken = sources.filter(F.col("name") == new).agg(F.count(F.lit(1)).alias("taken_"))
+    rename = (F.col("name") == old) & (F.col("taken_") == 0)
+    return sources.crossJoin(F.broadcast(taken)).withColumn("name", F.when(rename, new).otherwise(F.col("name"))).drop("taken_")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -139,9 +139,16 @@ def l2_normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    raised = lambda m: F.transform(v, lambda x: F.exp(x - m))
+    shares = lambda t: F.transform(t["e"], lambda x: x / t["s"])
+    summed = lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda s, x: s + x).alias("s"))
+    return once(once(once(F.array_max(v), raised), summed), shares)
 
 
 def class_centres(embeddings: DataFrame) -> DataFrame:
@@ -226,3 +233,53 @@ def group_split(sizes: DataFrame, shares: tuple[float, ...] = (0.7, 0.15, 0.15),
     df = sizes.withColumn("order", F.xxhash64(F.col("group").cast("string"), F.lit(seed)))
     kinds = {f.name: f.dataType.simpleString() for f in sizes.schema}
     return df.groupBy("label").applyInPandas(one, f"label {kinds['label']}, `group` {kinds['group']}, part int")
+
+
+def box_level(matches: DataFrame) -> DataFrame:
+    """Hits, extra and missed boxes of all images, with precision and recall; null where a rate is undefined."""
+    df = matches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hits", "extra", "missed")])
+    d = lambda a, b: F.try_divide(F.col(a).cast("double"), b)
+    return df.select("*", d("hits", F.col("hits") + F.col("extra")).alias("precision"), d("hits", F.col("hits") + F.col("missed")).alias("recall"))
+
+
+def recall_by_category(images: DataFrame, found: DataFrame, least: float = 0.2) -> DataFrame:
+    """Per category of images (image, category): how many there are and the share with a box of enough confidence; 3 places."""
+    seen = found.filter(F.col("score") >= least).select("image").distinct().withColumn("found", F.lit(True))
+    df = images.join(seen, "image", "left").groupBy("category").agg(F.count(F.lit(1)).alias("images"), F.count_if("found").alias("hits"))
+    return df.select("category", "images", F.round(F.col("hits") / F.col("images").cast("double"), 3).alias("recall"))
+
+
+def throughput(runs: DataFrame, seconds: str) -> DataFrame:
+    """Items a second and the median milliseconds of an item, from the seconds that each took."""
+    df = runs.agg(F.count(F.lit(1)).alias("items"), F.sum(seconds).alias("total"), F.median(seconds).alias("middle"))
+    return df.select("items", F.round(F.try_divide(F.col("items").cast("double"), F.col("total")), 2).alias("per_second"), F.round(F.col("middle") * 1000, 1).alias("median_ms"))
+
+
+def majority_baseline(rows: DataFrame, label: str) -> DataFrame:
+    """The share of the most frequent class: what always naming it would get right."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).select("most", "rows", F.try_divide(F.col("most").cast("double"), F.col("rows")).alias("share"))
+
+
+def outcome_shares(outcomes: DataFrame) -> DataFrame:
+    """Per kind the shares named rightly, named wrongly and left unknown (columns n, answered, right)."""
+    share = lambda c: F.try_divide(c.cast("double"), F.col("n"))
+    return outcomes.select("kind", share(F.col("right")).alias("named_right"), share(F.col("answered") - F.col("right")).alias("named_wrong"), share(F.col("n") - F.col("answered")).alias("unknown"))
+
+
+def observer_hash(user: Column) -> Column:
+    """Twelve hex digits that stand for an observer."""
+    return F.substring(F.sha2(F.concat(F.lit("observer:"), user.cast("string")), 256), 1, 12)
+
+
+def postprocessed(boxes: DataFrame, logit: str, least: float = 0.2, limit: float = 0.45, most: int = 300) -> DataFrame:
+    """A detector's raw boxes of each image: scores from logits, those above ``least``, suppressed by label, the best ``most``, clipped."""
+    df = boxes.withColumn("score", 1 / (1 + F.exp(-F.col(logit)))).filter(F.col("score") > least)
+    kept = suppress(df.select("image", "box", "label", "x1", "y1", "x2", "y2", "score"), limit)
+    w = Window.partitionBy("image").orderBy(F.desc("score"), "box")
+    return visible(kept.withColumn("place_", F.row_number().over(w)).filter(F.col("place_") <= most).drop("place_"))
+
+
+def named_animals(boxes: DataFrame, least: float = 0.2, animal: int = 0) -> DataFrame:
+    """Boxes of enough confidence, and whether the namer sees them: animals only, never people or vehicles."""
+    return boxes.filter(F.col("score") >= least).withColumn("to_name", F.col("label") == animal)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIODS = ("to 1996", "1997-1999", "2000 on")
+#: First years of the periods after the first one.
+PERIODS = (2010, 2020)
 
 
 def records_by_park_source(detections: DataFrame) -> DataFrame:
@@ -16,14 +17,17 @@ def records_by_year(detections: DataFrame) -> DataFrame:
     return detections.groupBy("zone_id", F.year("captured_at").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("records"))
 
 
-def period(ts: Column) -> Column:
-    y = F.year(ts)
-    return F.when(y <= 1996, PERIODS[0]).when(y <= 1999, PERIODS[1]).otherwise(PERIODS[2])
+def period(ts: Column, starts: tuple[int, ...] = PERIODS) -> Column:
+    """The name of a date's period: "to 2009", "2010-2019", "2020 on" for the starts 2010 and 2020."""
+    out = F.lit(f"{starts[-1]} on")
+    for i in range(len(starts) - 1, -1, -1):
+        out = F.when(F.year(ts) < starts[i], f"{starts[i - 1]}-{starts[i] - 1}" if i else f"to {starts[0] - 1}").otherwise(out)
+    return out
 
 
-def period_source_matrix(records: DataFrame, source_ids: list[int]) -> DataFrame:
+def period_source_matrix(records: DataFrame, source_ids: list[int], starts: tuple[int, ...] = PERIODS) -> DataFrame:
     """Records by period, a column for each source; the sources are named, so no extra pass finds them."""
-    out = records.groupBy(period(F.col("captured_at")).alias("period")).pivot("source_id", source_ids).count()
+    out = records.groupBy(period(F.col("captured_at"), starts).alias("period")).pivot("source_id", source_ids).count()
     return out.select("period", *[F.coalesce(F.col(str(s)), F.lit(0)).alias(f"source_{s}") for s in source_ids])
 
 
@@ -102,17 +106,17 @@ def bin_years(years: DataFrame, most: int = 4) -> DataFrame:
     return bins.join(n, "start", "left").select("start", F.col("width").cast("long").alias("width"), F.coalesce("records", F.lit(0)).alias("records"))
 
 
-def period_shares(records: DataFrame, detections: DataFrame) -> DataFrame:
+def period_shares(records: DataFrame, detections: DataFrame, starts: tuple[int, ...] = PERIODS) -> DataFrame:
     """Invasive records as a share of all by period."""
-    a = records.groupBy(period(F.col("captured_at")).alias("period")).agg(F.count(F.lit(1)).alias("invasive"))
-    b = detections.groupBy(period(F.col("captured_at")).alias("period")).agg(F.count(F.lit(1)).alias("records"))
+    a = records.groupBy(period(F.col("captured_at"), starts).alias("period")).agg(F.count(F.lit(1)).alias("invasive"))
+    b = detections.groupBy(period(F.col("captured_at"), starts).alias("period")).agg(F.count(F.lit(1)).alias("records"))
     return b.join(a, "period", "left").select("period", "records", F.coalesce("invasive", F.lit(0)).alias("invasive"), (F.coalesce("invasive", F.lit(0)) / F.col("records").cast("double")).alias("share"))
 
 
-def zones_needing_records(zones: DataFrame, media: DataFrame) -> DataFrame:
-    """Zones by stored media, fewest first, as an ordering number."""
+def zones_needing_records(zones: DataFrame, media: DataFrame, most: int = 1000) -> DataFrame:
+    """The zones with the fewest stored media, and their places; zones are few, so they fit in one task after the limit."""
     n = media.groupBy("zone_id").agg(F.count(F.lit(1)).alias("media"))
-    df = zones.select(F.col("id").alias("zone_id")).join(n, "zone_id", "left").na.fill(0, ["media"])
+    df = zones.select(F.col("id").alias("zone_id")).join(n, "zone_id", "left").na.fill(0, ["media"]).orderBy("media", "zone_id").limit(most)
     return df.withColumn("place", F.row_number().over(Window.orderBy("media", "zone_id")).cast("long"))
 
 

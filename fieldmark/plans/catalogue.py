@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.functions import geo, text
-from fieldmark.operators import analytics, ingest, maintenance, metrics, serving, summary, views
+from fieldmark.operators import analytics, evidence, ingest, maintenance, metrics, serving, summary, views
 from fieldmark.sources.testdata import Domain, prelude
 from fieldmark.streaming.ingest import monthly_counts, requests_in_window
 
@@ -137,7 +137,7 @@ query("cells_in_view", f"{BASE}, {points_sql()}, cells AS (SELECT zone_id, cx, c
 query("heat_levels", f"{BASE}, {points_sql()}, cells AS (SELECT zone_id, cx, cy, count(*) AS records FROM points GROUP BY zone_id, cx, cy), top AS (SELECT zone_id, max(records) AS most FROM cells GROUP BY 1) SELECT c.zone_id, CAST(least(4, floor(5 * sqrt(records / CAST(most AS DOUBLE)))) AS INT) AS heat, count(*) AS cells FROM cells c JOIN top t ON t.zone_id = c.zone_id GROUP BY ALL")(
     lambda w: (lambda c: c.join(c.groupBy("zone_id").agg(F.max("records").alias("most")), "zone_id").groupBy("zone_id", geo.heat_level(F.col("records"), F.col("most").cast("double")).alias("heat")).agg(F.count(F.lit(1)).alias("cells")))(serving.hotspot_grid(w.points()).select("zone_id", "records"))
 )
-query("invasive_by_year", f"{BASE} SELECT year(captured_at) AS year, count(*) AS records FROM records WHERE zone_id = 3 GROUP BY 1")(lambda w: serving.invasive_by_year(w.records, zone_id=3))
+query("invasive_by_year", f"{BASE} SELECT year(captured_at) AS year, count(*) AS records FROM records GROUP BY 1")(lambda w: serving.invasive_by_year(w.records))
 query("species_profile", f"""{BASE} SELECT species_id, part, key, records, first_year, last_year FROM (
     SELECT species_id, 'total' AS part, NULL AS key, count(*) AS records, min(year(captured_at)) AS first_year, max(year(captured_at)) AS last_year FROM records GROUP BY 1
     UNION ALL SELECT species_id, 'zone', zone_id, count(*), min(year(captured_at)), max(year(captured_at)) FROM records GROUP BY species_id, zone_id
@@ -190,7 +190,7 @@ query("group_squares", f"""{BASE}{PAIR_CELLS}, good AS (SELECT zone_id, invasive
     SELECT zone_id, CAST(part AS BIGINT) AS part, count(*) AS squares, min(share) AS low, max(share) AS high, round(avg(richness), 6) AS richness FROM g GROUP BY 1, 2""")(
     lambda w: digits(summary.group_squares(w.cooccurrence_cells.filter("richness IS NOT NULL").withColumn("share", F.round(F.col("invasive_records") / F.col("all_records").cast("double"), 9))), "richness", n=6)
 )
-query("cooccurrence_interval")(lambda w: analytics.bootstrap_interval(w.cooccurrence_cells, draws=200))
+query("cooccurrence_interval")(lambda w: analytics.bootstrap_interval(w.cooccurrence_cells))
 YEARS = """, years AS (SELECT d.zone_id, year(d.captured_at) AS year, count(DISTINCT media_id) AS effort, count(*) FILTER (WHERE o.is_invasive AND o.origin_class = 'alien' AND d.species_id IN (SELECT species_id FROM researched)) AS invasive,
     count(*) FILTER (WHERE d.species_id IS NOT NULL AND coalesce(o.origin_class, 'native') = 'native') AS native FROM detections d JOIN zones z ON z.id = d.zone_id LEFT JOIN origin o ON o.species_id = d.species_id AND o.country = z.country GROUP BY 1, 2)"""
 query("trend_years", f"{BASE}{YEARS} SELECT * FROM years")(lambda w: w.trend_years)
@@ -216,9 +216,9 @@ query("zone_report")(lambda w: analytics.zone_report(w.zones, w.detections, w.su
 query("records_by_park_source", f"{BASE} SELECT zone_id, source_id, count(*) AS records, CAST(min(captured_at) AS DATE) AS earliest, CAST(max(captured_at) AS DATE) AS latest FROM detections GROUP BY 1, 2")(lambda w: summary.records_by_park_source(w.detections))
 query("records_by_year", f"{BASE} SELECT zone_id, year(captured_at) AS year, count(*) AS records FROM detections GROUP BY 1, 2")(lambda w: summary.records_by_year(w.detections))
 PERIOD = "CASE WHEN year(captured_at) <= 1996 THEN 'to 1996' WHEN year(captured_at) <= 1999 THEN '1997-1999' ELSE '2000 on' END"
-query("period_source_matrix", f"{BASE} SELECT {PERIOD} AS period, " + ", ".join(f"count(*) FILTER (WHERE source_id = {s}) AS source_{s}" for s in range(1, 6)) + " FROM records GROUP BY 1")(lambda w: summary.period_source_matrix(w.records, [1, 2, 3, 4, 5]))
+query("period_source_matrix", f"{BASE} SELECT {PERIOD} AS period, " + ", ".join(f"count(*) FILTER (WHERE source_id = {s}) AS source_{s}" for s in range(1, 6)) + " FROM records GROUP BY 1")(lambda w: summary.period_source_matrix(w.records, [1, 2, 3, 4, 5], (1997, 2000)))
 query("period_shares", f"{BASE} SELECT b.period, b.records, coalesce(a.invasive, 0) AS invasive, round(coalesce(a.invasive, 0) / CAST(b.records AS DOUBLE), 9) AS share FROM (SELECT {PERIOD} AS period, count(*) AS records FROM detections GROUP BY 1) b LEFT JOIN (SELECT {PERIOD} AS period, count(*) AS invasive FROM records GROUP BY 1) a ON a.period = b.period")(
-    lambda w: digits(summary.period_shares(w.records, w.detections), "share")
+    lambda w: digits(summary.period_shares(w.records, w.detections, (1997, 2000)), "share")
 )
 query("records_with_total", f"{BASE} SELECT zone_id, source_id, count(*) AS records, grouping(zone_id) * 2 + grouping(source_id) AS level FROM detections GROUP BY ROLLUP (zone_id, source_id)")(lambda w: summary.records_with_total(w.detections))
 query("refused_by_reason", prelude("runs") + """ SELECT source_id, reason, CAST(sum(refused) AS BIGINT) AS refused FROM (SELECT * FROM runs WHERE source_id NOT IN (1, 2)
@@ -272,7 +272,7 @@ query("merge_checklist", f"{JUDGED} SELECT species_id % 40 AS species_id, countr
 )
 query("prune_runs", f"{JUDGED} SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY source_id, finished_at IS NULL ORDER BY finished_at DESC, id DESC) AS place FROM runs) x WHERE finished_at IS NULL OR place <= 20 OR finished_at >= TIMESTAMP '2024-01-25'")(lambda w: ingest.prune_runs(w.runs, 20, "2024-01-25").select("id"))
 query("capped_media", f"{JUDGED} SELECT id FROM media QUALIFY row_number() OVER (PARTITION BY zone_id, source_id ORDER BY captured_at DESC, id) <= 50")(lambda w: ingest.capped(w.media, ["zone_id", "source_id"], 50, [F.desc("captured_at"), "id"]).select("id"))
-query("fair_sample")(lambda w: ingest.fair_sample(w.media.select("id", "zone_id"), "zone_id", 100))
+query("fair_sample", f"""{JUDGED}, t AS (SELECT id, zone_id, md5(CAST(id AS VARCHAR) || ':0') AS h FROM media), r AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY h, id) AS turn FROM t) SELECT id, zone_id FROM r ORDER BY turn, h, id LIMIT 100""")(lambda w: ingest.fair_sample(w.media.select("id", "zone_id"), "zone_id", 100))
 
 query("upsert_summary", f"""{BASE}, old AS (SELECT zone_id, species_id, 1 AS records, DATE '1990-01-01' AS first_record, sources AS score FROM summary WHERE species_id % 2 = 0), new AS (SELECT zone_id, species_id, records, first_record, sources AS score FROM summary WHERE species_id % 3 = 0)
     SELECT coalesce(o.zone_id, n.zone_id) AS zone_id, coalesce(o.species_id, n.species_id) AS species_id, coalesce(n.records, o.records) AS records, coalesce(o.first_record, n.first_record) AS first_record, CASE WHEN o.zone_id IS NOT NULL AND (n.score IS NULL OR n.score <= 2) THEN o.score ELSE n.score END AS score
@@ -299,18 +299,19 @@ query("photo_quota", f"""{JUDGED}, ph AS (SELECT id, zone_id AS species_id, sour
     lambda w: maintenance.quota_by_region(w.media.select("id", F.col("zone_id").alias("species_id"), (F.col("source_id") == 1).alias("in_region")), 20, 5)
 )
 query("type_counts", f"{JUDGED} SELECT coalesce(taxon_rank, 'unknown') AS type, count(*) AS n FROM observations GROUP BY 1")(lambda w: maintenance.type_counts(w.observations, "taxon_rank"))
-query("stratified_sample")(
+query("stratified_sample", f"""{JUDGED}, k AS (SELECT id AS frame, zone_id AS location, status = 'new' AS empty, md5(CAST(id AS VARCHAR) || ':0') AS h FROM media), r AS (SELECT *, row_number() OVER (PARTITION BY empty, location ORDER BY h, frame) AS turn FROM k),
+    p AS (SELECT *, row_number() OVER (PARTITION BY empty ORDER BY turn, h, frame) AS place FROM r) SELECT frame, location, empty FROM p WHERE place <= CASE WHEN empty THEN 60 ELSE 140 END""")(
     lambda w: maintenance.stratified_sample(w.media.select(F.col("id").alias("frame"), F.col("zone_id").alias("location")), w.media.select(F.col("id").alias("frame"), F.when(F.col("status") == "new", "empty").otherwise("animal").alias("category")), 200)
 )
-query("crops_per_class")(lambda w: maintenance.crops_per_class(w.boxes.select("image", "box", "label", (F.col("image") % 7).alias("location"), ((F.col("x2") - F.col("x1")) * 640).alias("width_px"), ((F.col("y2") - F.col("y1")) * 480).alias("height_px")), 50))
+query("crops_per_class", prelude("boxes") + """, b AS (SELECT image, box, label, image % 7 AS location, CAST((x2 - x1) * 640 AS DOUBLE) AS width_px, CAST((y2 - y1) * 480 AS DOUBLE) AS height_px, md5(CAST(image AS VARCHAR) || ':0') AS h FROM boxes),
+    o AS (SELECT *, row_number() OVER (PARTITION BY label, image ORDER BY least(width_px, height_px) DESC, box) AS n FROM b WHERE least(width_px, height_px) >= 32), t AS (SELECT *, row_number() OVER (PARTITION BY label, location ORDER BY h, image) AS turn FROM o WHERE n = 1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY turn, h, image) AS place FROM t) SELECT image, box, label, location FROM p WHERE place <= 50""")(lambda w: maintenance.crops_per_class(w.boxes.select("image", "box", "label", (F.col("image") % 7).alias("location"), ((F.col("x2") - F.col("x1")) * 640).alias("width_px"), ((F.col("y2") - F.col("y1")) * 480).alias("height_px")), 50).select("image", "box", "label", "location"))
 
 # --- text -----------------------------------------------------------------------------------------------------------------------
 
-query("quotes_in_documents", """SELECT d.doc_id, q.doc_id AS quote_id FROM documents d JOIN documents q ON d.doc_id = q.doc_id - q.doc_id % 2
-    WHERE contains(regexp_replace(lower(strip_accents(d.text)), '\\s+', '', 'g'), regexp_replace(lower(strip_accents(substr(q.text, 11, 60))), '\\s+', '', 'g'))""")(
-    lambda w: w.raw("documents").select((F.col("doc_id") - F.col("doc_id") % 2).alias("d"), F.col("doc_id").alias("quote_id"), F.replace(F.substr("text", F.lit(11), F.lit(60)), F.lit(" "), F.lit("  ")).alias("quote")).join(
-        w.raw("documents").select("doc_id", "text"), F.col("d") == F.col("doc_id")
-    ).filter(text.contains(F.col("text"), F.col("quote"))).select("doc_id", "quote_id")
+query("quotes_in_documents", """WITH d AS (SELECT DISTINCT doc_id, regexp_replace(lower(strip_accents(text)), '\\s+', '', 'g') AS t FROM documents), q AS (SELECT item_id, regexp_replace(lower(strip_accents(text)), '\\s+', '', 'g') AS t FROM benchmark)
+    SELECT DISTINCT doc_id, item_id FROM d JOIN q ON contains(d.t, q.t) WHERE q.t <> ''""")(
+    lambda w: evidence.quotes_found(w.raw("documents").select("doc_id", "text"), w.raw("benchmark").select("item_id", "text"), "doc_id", "item_id")
 )
 query("html_to_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'),
     '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")(lambda w: w.raw("pages").select("page_id", text.html_to_text(F.col("html")).alias("text")))
@@ -358,9 +359,9 @@ query("visible_boxes", prelude("boxes") + """, c AS (SELECT *, (x2 - x1) * (y2 -
 query("dangerous_by_kind", f"{P} SELECT kind, count(*) AS n, count(*) FILTER (WHERE predicted = 1) AS wrong FROM predictions WHERE truth <> 1 GROUP BY 1")(lambda w: metrics.dangerous_by_kind(w.predictions).select("kind", "n", "wrong"))
 query("safe_threshold", f"""{P}, g AS (SELECT t, kind, count(*) FILTER (WHERE predicted = 1 AND floor(confidence * 100) >= t) / CAST(count(*) AS DOUBLE) AS rate FROM predictions, range(101) r(t) WHERE truth <> 1 GROUP BY 1, 2)
     SELECT min(t) AS t FROM (SELECT t FROM g GROUP BY 1 HAVING max(rate) <= 0.05) x""")(lambda w: metrics.safe_threshold(w.predictions))
-query("log_loss", """WITH l AS (SELECT label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 5) AS z FROM embeddings), t AS (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS temperature)
-    SELECT temperature, round(avg(ln(list_sum(list_transform(z, lambda x: exp(x / temperature)))) - z[label + 1] / temperature), 6) AS loss FROM l, t WHERE label BETWEEN 0 AND 9 GROUP BY 1""")(
-    lambda w: digits(metrics.log_loss(w.raw("embeddings").filter("label BETWEEN 0 AND 9").select(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 5).alias("logits"), F.col("label").alias("truth")), [0.5, 1.0, 2.0]), "loss", n=6)
+query("log_loss", """WITH l AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 5) AS z FROM embeddings), t AS (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS temperature)
+    SELECT temperature, round(avg(ln(list_sum(list_transform(z, lambda x: exp(x / temperature)))) - z[label + 1] / temperature), 6) AS loss FROM l, t WHERE label < len(z) GROUP BY 1""")(
+    lambda w: digits(metrics.log_loss(w.raw("embeddings").select(F.transform("embedding", lambda x: x.cast("double") * 5).alias("logits"), F.col("label").alias("truth")).filter(F.col("truth") < F.size("logits")), [0.5, 1.0, 2.0]), "loss", n=6)
 )
 query("suppressed_boxes")(lambda w: metrics.suppress(metrics.visible(w.boxes)))
 query("matched_boxes")(lambda w: (lambda b: metrics.match_boxes(b.filter("score >= 0.3"), b.filter("truth_score >= 0.3")))(w.boxes))

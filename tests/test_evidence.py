@@ -58,3 +58,18 @@ def test_temperature_and_split(spark):
     for label in (0, 1):
         total = sum(v for (k, _), v in share.items() if k == label)
         assert abs(share[label, 0] / total - 0.7) < 0.06 and sum(k == label for k, _ in share) == 3
+
+
+def test_quotes_found_in_any_text(spark):
+    """Against plain containment of squashed texts: long and short quotes, other spacing, typography and case."""
+    import random
+
+    rng = random.Random(5)
+    text = lambda k: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(k))
+    texts = [text(rng.randint(0, 200)) for _ in range(60)] + [None, "", "Ünïque “quote”"]
+    quotes = [texts[i][a : a + n] for i, a, n in ((0, 3, 200), (1, 0, 60), (2, 10, 46), (3, 5, 47), (4, 0, 20), (5, 9, 5))] + [text(20), None, "", 'unique "quote"']
+    texts += [quotes[0].upper().replace(" ", "  \n"), "x " + quotes[3].replace(" ", "") + " y"]
+    squashed = lambda s: "".join((s or "").lower().replace("ü", "u").replace("ï", "i").replace("“", '"').replace("”", '"').split())
+    want = {(i, k) for i, t in enumerate(texts) for k, q in enumerate(quotes) if squashed(q) and squashed(q) in squashed(t)}
+    docs, asked = (spark.createDataFrame(list(enumerate(x)), f"{n} long, text string") for x, n in ((texts, "doc"), (quotes, "quote")))
+    assert {tuple(r) for r in evidence.quotes_found(docs, asked, "doc", "quote").collect()} == want

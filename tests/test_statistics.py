@@ -52,3 +52,42 @@ def test_mann_kendall(spark):
         assert got[g].z == pytest.approx(z) and got[g].p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
         assert got[g].slope == pytest.approx((slopes[m // 2] + slopes[(m - 1) // 2]) / 2)
         assert got[g].tau == pytest.approx(s / (n * (n - 1) / 2))
+
+
+def test_points_on_edges_are_outside(spark):
+    from fieldmark.functions import geo
+
+    p = lambda x, y: geo.point(F.lit(float(x)), F.lit(float(y)))
+    rings = F.array(F.array(p(0, 0), p(4, 0), p(4, 4), p(0, 4)), F.array(p(1, 1), p(3, 1), p(3, 3), p(1, 3)))
+    points = {(2, 0): False, (0, 0): False, (4, 2): False, (1, 2): False, (3, 3): False, (0.5, 0.5): True, (2, 2): False, (3.5, 2): True, (5, 2): False, (2, 4): False}
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in points], "x double, y double")
+    got = {(r.x, r.y): r.inside for r in df.select("x", "y", geo.contains(rings, F.col("x"), F.col("y")).alias("inside")).collect()}
+    assert got == {(float(x), float(y)): v for (x, y), v in points.items()}
+
+
+def test_simplified_lines():
+    from fieldmark.functions import geo
+
+    assert geo.simplified([(0, 0), (1, 0.0001), (2, 0), (2, 1), (2, 2)], 0.001) == [(0, 0), (2, 0), (2, 2)]
+    assert geo.simplified([(0, 0), (1, 1), (0, 0)], 0.1) == [(0, 0), (1, 1), (0, 0)]
+
+
+def test_an_insufficient_layer_has_no_number(spark):
+    from fieldmark.operators import reports
+
+    years = spark.createDataFrame([(1, 2000 + i, 20, 9, 3) for i in range(8)] + [(2, 2000 + i, 20, 9, 3) for i in range(5)] + [(3, 2000 + i, 20, 1, 3) for i in range(8)], "zone_id int, year long, effort long, invasive long, native long")
+    got = {r.zone_id: r for r in reports.trend_layer(years).collect()}
+    assert got[1].status == "ok" and got[1].invasive_n == 8 and got[1].reason is None
+    assert got[2].reason == "only 5 years have 15+ observations (need 6)" and got[3].reason == "only 8 invasive records in the zone (need 30)"
+    assert all(got[z][c] is None for z in (2, 3) for c in ("invasive_s", "invasive_tau", "native_slope", "caution", "first_year")) and got[2].needs
+
+
+def test_zone_documents(spark):
+    import json
+
+    from fieldmark.plans.catalogue import QUERIES
+
+    features = [json.loads(r.feature) for r in QUERIES["zone_features"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(features) == 25 and all(f["geometry"]["coordinates"][0][0] == f["geometry"]["coordinates"][0][-1] and f["properties"]["media"] >= 0 for f in features)
+    collection = json.loads(QUERIES["zone_collection"](spark, "/root/testdata/sf0.001").first().collection)
+    assert sorted(map(str, collection["features"])) == sorted(map(str, features))
