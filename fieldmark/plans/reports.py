@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions import geo
 from fieldmark.operators import maintenance, metrics, reports, serving, summary, views
 from fieldmark.plans import catalogue
-from fieldmark.plans.catalogue import BASE, EVENTS_AS_OF, JUDGED, ORACLE_SQL, PAIR_CELLS, P, World, YEARS, digits, points_sql, query
+from fieldmark.plans.catalogue import BASE, EVENTS_AS_OF, JUDGED, ORACLE_SQL, PAIR_CELLS, QUERIES, YEARS, P, World, digits, points_sql, query  # noqa: F401
 from fieldmark.sources.testdata import prelude
 
 NAMED = "JOIN species sp ON sp.id = x.species_id"

@@ -85,7 +85,7 @@ def test_an_insufficient_layer_has_no_number(spark):
 def test_zone_documents(spark):
     import json
 
-    from fieldmark.plans.catalogue import QUERIES
+    from fieldmark.plans.reports import QUERIES
 
     features = [json.loads(r.feature) for r in QUERIES["zone_features"](spark, "/root/testdata/sf0.001").collect()]
     assert len(features) == 25 and all(f["geometry"]["coordinates"][0][0] == f["geometry"]["coordinates"][0][-1] and f["properties"]["media"] >= 0 for f in features)
