@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import materialise, only, small_batches, str_column
+from fieldmark.llm.shards import filed, load, new_folder, save
 
 # HTML elements by kind, and names that pages give to what isn't their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,6 +255,7 @@ def extract_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02,
     """
     pages = only(pages, "page_id", "url", "html")
     ids = pages.schema["page_id"].dataType.simpleString()
+    folder = new_folder(pages.sparkSession, "templates")
     schema = f"page_id {ids}, url string, host long, content long, texts array<string>, inside array<boolean>, trees array<struct<mark: long, first: int, end: int>>"
     tree = pa.list_(pa.struct([("mark", pa.int64()), ("first", pa.int32()), ("end", pa.int32())]))
 
@@ -268,22 +270,35 @@ def extract_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02,
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), tree)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["page_id", "url", "host", "content", "texts", "inside", "trees"])
 
-    parsed = materialise(pages.mapInArrow(read, schema).withColumn("row_", F.monotonically_increasing_id()), "pages").df
+    parsed = pages.mapInArrow(read, schema).withColumn("row_", F.monotonically_increasing_id()).withColumn("part_", F.spark_partition_id())
+    parsed = materialise(parsed, "pages").df
     hosts = parsed.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     hosts = hosts.select(F.col("host").alias("host_"), "pages")
     seen = parsed.select("host", "content", F.explode(F.array_distinct("trees.mark")).alias("mark")).distinct()
     counts = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     templates = materialise(counts.join(hosts, F.col("host") == F.col("host_")).filter(F.col("n") >= min_share * F.col("pages")).select(F.col("mark").alias("mark_")), "templates").df
     small = templates.count() <= broadcast_rows  # 8 bytes each; beyond that the join is a shuffle, whose hot marks can be split
-    own = parsed.select("row_", F.explode("trees").alias("t")).select("row_", "t.mark", "t.first", "t.end")
-    hits = own.join(F.broadcast(templates) if small else templates, F.col("mark") == F.col("mark_")).groupBy(F.col("row_").alias("hit_")).agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
-    rows = parsed.select("page_id", "url", "texts", "inside", "host", "row_").join(hits, F.col("row_") == F.col("hit_"), "left").join(hosts, F.col("host") == F.col("host_"), "left")
-    rows = rows.select("page_id", "url", "texts", "inside", F.col("host_").isNotNull().alias("counted"), "ranges")
+    own = parsed.select("part_", "row_", F.explode("trees").alias("t")).select("part_", "row_", "t.mark", "t.first", "t.end")
+    hits = own.join(F.broadcast(templates) if small else templates, F.col("mark") == F.col("mark_")).select("part_", "row_", "first", "end")
+    counted = parsed.select("part_", "row_", "host").join(hosts, F.col("host") == F.col("host_")).select("part_", "row_", F.lit(-1).alias("first"), F.lit(-1).alias("end"))
+
+    def write(part: int, table: pa.Table) -> None:
+        table = table.filter(table["row_"].is_valid())
+        save(f"{folder}/part-{part}", row=table["row_"].to_numpy(), first=table["first"].to_numpy(), end=table["end"].to_numpy())
+
+    # what a page loses is sent to its part's file, so that texts aren't shuffled
+    filed(hits.unionByName(counted), parsed, ["row_", "first", "end"], write)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, marks = None, {}
         for batch in small_batches(batches, 128):
-            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            texts = [main_text(t, i, c, [(r["first"], r["end"]) for r in ranges or ()]) for t, i, c, ranges in zip(*columns, strict=True)]
+            texts = []
+            for own, inside, row, at in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
+                if at != part:
+                    part, marks = at, load(f"{folder}/part-{at}")
+                a, b = np.searchsorted(marks["row"], [row, row + 1])
+                ranges = list(zip(marks["first"][a:b].tolist(), marks["end"][a:b].tolist(), strict=True))
+                texts.append(main_text(own, inside, (-1, -1) in ranges, [r for r in ranges if r[0] >= 0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(join, f"page_id {ids}, url string, text string, n_chars long")
+    return parsed.select("page_id", "url", "texts", "inside", "row_", "part_").mapInArrow(join, f"page_id {ids}, url string, text string, n_chars long")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import only, shared_dir, small_arrow_batches
-from fieldmark.llm.shards import BLOB, MAPPED, U64, Sums, blobs, by_shard, filesystem, load, power_of_two, save, spread
+from fieldmark.llm.common import only, small_arrow_batches
+from fieldmark.llm.shards import BLOB, MAPPED, U64, Sums, blobs, by_shard, load, new_folder, power_of_two, save, spread
 from fieldmark.llm.words import grouped, words_of
 
 #: The token that ends a text, and stands before its first word.
 END = U64(0x9E3779B97F4A7C15)
 DISCOUNT = 0.75
 #: Tokens for which one shard of a level is made, and n-grams that a task counts before it hands them on.
-SHARD_TOKENS, HELD = 1_000_000, 4_000_000
+SHARD_TOKENS, HELD = 2_000_000, 4_000_000
 
 
 def token_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -31,6 +30,9 @@ def token_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
 
 # --- Elias-Fano -------------------------------------------------------------------------------------------------------------
 
+#: Ranges of so many values are read in order instead of searched.
+SHORT = 4
+ALL, BYTES = ~U64(0), U64(0x0101010101010101)
 _IN_BYTE = np.array([[[i for i in range(8) if b >> i & 1][r] if bin(b).count("1") > r else 8 for r in range(8)] for b in range(256)], np.int64)
 
 class EliasFano:
@@ -39,6 +41,8 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str) -> None:
         self.low, self.high, self.ones, self.zeros, meta = (arrays[prefix + k] for k in ("low", "high", "ones", "zeros", "meta"))
         self.n, self.bits, self.buckets = map(int, meta)
+        # the low bits as words that begin at every byte, so that values of up to 57 bits are read at once
+        self.at_byte = np.ndarray((max(self.low.nbytes - 7, 0),), "<u8", self.low, strides=(1,))
 
     @staticmethod
     def build(values: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
@@ -66,20 +70,35 @@ class EliasFano:
     def _select(self, rank: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """The place of the rank-th one (or zero) in the high bits; ``before`` has how many stand before each word."""
         word = np.searchsorted(before, rank.astype(np.uint32), side="right") - 1
-        left = rank - before[word]
+        left = (rank - before[word]).astype(U64)
         x = ~self.high[word] if flip else self.high[word]
-        out = word << 6
-        for width in (32, 16, 8):
-            part = np.bitwise_count(x & U64((1 << width) - 1)).astype(np.int64)
-            beyond = left >= part
-            left -= np.where(beyond, part, 0)
-            x = np.where(beyond, x >> U64(width), x)
-            out += np.where(beyond, width, 0)
-        return out + _IN_BYTE[(x & U64(255)).astype(np.int64), left]
+        # ones of each byte and of those before it, then the first byte with more than are left
+        sums = x - ((x >> U64(1)) & U64(0x5555555555555555))
+        sums = (sums & U64(0x3333333333333333)) + ((sums >> U64(2)) & U64(0x3333333333333333))
+        sums = ((sums + (sums >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * BYTES
+        at = ((((left * BYTES) | U64(0x8080808080808080)) - sums) & U64(0x8080808080808080)) >> U64(7)
+        at = (at * BYTES) >> U64(56) << U64(3)
+        left -= (sums << U64(8)) >> at & U64(255)
+        return (word << 6) + at.astype(np.int64) + _IN_BYTE[((x >> at) & U64(255)).astype(np.int64), left.astype(np.int64)]
+
+    def _next(self, place: np.ndarray, flip: bool) -> np.ndarray:
+        """The place of the next one (or zero) of the high bits after each place; there must be one."""
+        word, shift = place >> 6, (place & 63).astype(U64)
+        x = (~self.high[word] if flip else self.high[word]) & (ALL << U64(1) << shift)
+        todo = np.flatnonzero(x == 0)
+        while len(todo):
+            word[todo] += 1
+            own = self.high[word[todo]]
+            x[todo] = ~own if flip else own
+            todo = todo[x[todo] == 0]
+        return (word << 6) + np.bitwise_count((x & (~x + U64(1))) - U64(1))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), U64)
+        if self.bits <= 57:
+            at = i * self.bits
+            return (self.at_byte[at >> 3] >> (at & 7).astype(U64)) & U64((1 << self.bits) - 1)
         at = i.astype(U64) * U64(self.bits)
         word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
         x = self.low[word] >> shift
@@ -92,25 +111,58 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return (self._select(i, self.ones, False) - i).astype(U64) << U64(self.bits) | self._low(i)
 
-    def find(self, values: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and at the places after them."""
+        one = self._select(i, self.ones, False)
+        return ((x - j).astype(U64) << U64(self.bits) | self._low(j) for x, j in ((one, i), (self._next(one, False), i + 1)))
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value, -1 where it isn't in the sequence."""
+        return self.find_in(values, np.zeros(len(values), np.int64), np.full(len(values), self.n, np.int64))
+
+    def before(self, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the value before each place, 0 if there is none; where in the high bits the place itself is, if it is one)."""
+        first = begin == 0
+        if first.all():
+            return np.zeros(len(begin), U64), self._select(np.zeros(len(begin), np.int64), self.ones, False)
+        i = np.maximum(begin - 1, 0)
+        one = self._select(i, self.ones, False)
+        value = np.where(first, U64(0), (one - i).astype(U64) << U64(self.bits) | self._low(i))
+        here = one.copy()
+        on = np.flatnonzero(~first & (begin < self.n))
+        here[on] = self._next(one[on], False)
+        return value, here
+
+    def find_in(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray, here: np.ndarray | None = None) -> np.ndarray:
         """The place of each value from ``begin`` to before ``end``, where the sequence must rise; -1 where it isn't there.
 
-        A search by halves among the values of that range with the same high bits.
+        Short ranges are read in order (``here``: where in the high bits they begin, if that is known); in longer ones a search by
+        halves goes over the values with the same high bits.
         """
         out = np.full(len(values), -1, np.int64)
-        if not self.n:
-            return out
         values = values.astype(U64)
+        todo = np.flatnonzero((end > begin) & (end - begin <= SHORT))
+        at = begin[todo]
+        place = here[todo] if here is not None else self._select(at, self.ones, False) if len(todo) else at
+        while len(todo):
+            found = (place - at).astype(U64) << U64(self.bits) | self._low(at)
+            hit = found == values[todo]
+            out[todo[hit]] = at[hit]
+            on = np.flatnonzero((found < values[todo]) & (at + 1 < end[todo]))
+            todo, at = todo[on], at[on] + 1
+            place = self._next(place[on], False) if len(on) else on
         high = (values >> U64(self.bits)).astype(np.int64)
-        todo = np.flatnonzero(high < self.buckets)
+        todo = np.flatnonzero((end - begin > SHORT) & (high < self.buckets))
+        if not len(todo):
+            return out
         high, want = high[todo], values[todo] & U64((1 << self.bits) - 1)
-        upto = self._select(high, self.zeros, True) - high
-        first = np.zeros(len(todo), np.int64)
+        start = np.full(len(todo), -1, np.int64)  # the zero before the bucket
         some = high > 0
-        first[some] = self._select(high[some] - 1, self.zeros, True) - (high[some] - 1)
-        if end is not None:
-            first, upto = np.maximum(first, begin[todo]), np.minimum(upto, end[todo])
-        low, top = first, upto.copy()
+        start[some] = self._select(high[some] - 1, self.zeros, True)
+        stop = np.where(self.high[0] & U64(1) == 0, 0, self._next(np.zeros(1, np.int64), True)[0]) + np.zeros(len(todo), np.int64)
+        stop[some] = self._next(start[some], True)
+        low, top = np.maximum(start + 1 - high, begin[todo]), np.minimum(stop - high, end[todo])
+        last = top.copy()
         at = np.flatnonzero(low < top)
         while len(at):
             middle = (low[at] + top[at]) >> 1
@@ -118,7 +170,7 @@ class EliasFano:
             low[at] = np.where(less, middle + 1, low[at])
             top[at] = np.where(less, top[at], middle)
             at = at[low[at] < top[at]]
-        here = np.flatnonzero(low < upto)
+        here = np.flatnonzero(low < last)
         here = here[self._low(low[here]) == want[here]]
         out[todo[here]] = low[here]
         return out
@@ -221,10 +273,16 @@ class Level(Shards):
             at, own = at[own < len(f["rest"])], own[own < len(f["rest"])]
             rest[at] = f["rest_book"][f["rest"][own]]
             at, own = at[word[at] >= 0], own[word[at] >= 0]
-            asked, back = np.unique(own, return_inverse=True)
-            begin, end = f["pointer"].access(asked).astype(np.int64), f["pointer"].access(asked + 1).astype(np.int64)
-            base = np.where(begin > 0, f["node"].access(np.maximum(begin - 1, 0)), U64(0)) if f["node"].n else np.zeros(len(asked), U64)
-            found = f["node"].find(base[back] + word[at].astype(U64), begin[back], end[back])
+            if len(own) and (own[1:] >= own[:-1]).all():  # in order already
+                edge = np.diff(own, prepend=own[0] - 1) != 0
+                asked, back = own[edge], np.cumsum(edge) - 1
+            else:
+                asked, back = np.unique(own, return_inverse=True)
+            begin, end = (x.astype(np.int64) for x in f["pointer"].pairs(asked))
+            if not f["node"].n or not len(asked):
+                continue
+            base, here = f["node"].before(begin)
+            found = f["node"].find_in(base[back] + word[at].astype(U64), begin[back], end[back], here[back])
             hit = found >= 0
             node[at[hit]] = found[hit] + self.index["offset"][k]
             prob[at[hit]] = f["prob_book"][f["prob"][found[hit]]]
@@ -269,10 +327,13 @@ class Model:
         context = np.where(start, end_id, np.concatenate([[-1], ids[:-1]]))
         total = self.first(counts)
         for level in self.levels:
-            contexts, own = np.unique(context, return_inverse=True)
+            if (int(context.max(initial=0)) + 2) * (self.words + 1) < 1 << 63:
+                contexts, own = None, context + 1
+            else:
+                contexts, own = np.unique(context, return_inverse=True)
             pairs, back = np.unique(own * (self.words + 1) + ids + 1, return_inverse=True)
             c, w = np.divmod(pairs, self.words + 1)
-            node, prob, rest = (x[back] for x in level.find(contexts[c], w - 1))
+            node, prob, rest = (x[back] for x in level.find(c - 1 if contexts is None else contexts[c], w - 1))
             total = np.where(node >= 0, prob, total + rest)
             context = np.where(start, -1, np.concatenate([[-1], node[:-1]]))
         return context, total
@@ -310,9 +371,7 @@ def train(docs: DataFrame, order: int = 3, levels: int | None = 256) -> Model:
     probability that the level before gives; words that stand nowhere in training count as one more word. Two words are taken for
     one if their 64-bit hashes agree. ``levels``: values to which a file's probabilities are quantised, None for all of them.
     """
-    folder = f"{shared_dir(docs.sparkSession)}/ngrams-{uuid.uuid4().hex}"
-    files, path = filesystem(folder)
-    files.create_dir(path, recursive=True)
+    folder = new_folder(docs.sparkSession, "ngrams")
     texts = docs.select(F.col("text"))
     bits = power_of_two(max(16, 2 * texts.rdd.getNumPartitions()))
     shift = 64 - bits
@@ -352,7 +411,7 @@ def _add_level(texts: DataFrame, model: Model, level: int, contexts: int, levels
     span = max(1, contexts // (1 << power_of_two(model.tokens / SHARD_TOKENS)))  # contexts of a shard
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, sums = end_id(model), Sums()
+        end, sums = end_id(model), Sums(HELD)
 
         def handed_on() -> Iterator[pa.RecordBatch]:
             if result := sums.result():
@@ -365,9 +424,9 @@ def _add_level(texts: DataFrame, model: Model, level: int, contexts: int, levels
             context, _ = model.walk(row, counts, ids, end)
             known = context >= 0
             sums.add(*np.unique(context[known].astype(U64) * U64(words) + ids[known].astype(U64), return_counts=True))
-            if sums.merged > HELD:
+            if sums.size > HELD:
                 yield from handed_on()
-                sums = Sums()
+                sums = Sums(HELD)
         yield from handed_on()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,8 +457,11 @@ def _lower(model: Model, level: int, first: int, size: int, own: np.ndarray, wor
     total = model.first(_counts_of(model.vocabulary, unique))[back]
     if level == 3:
         context = model.levels[0].last_words(first, size)[own]
-        node, prob, rest = model.levels[0].find(context, word)
-        return np.where(node >= 0, prob, total + rest)
+        order = np.argsort(context)  # neighbours in a file are asked for together
+        node, prob, rest = model.levels[0].find(context[order], word[order])
+        out = np.empty(len(word))
+        out[order] = np.where(node >= 0, prob, total[order] + rest)
+        return out
     return total
 
 

@@ -19,7 +19,6 @@ that is missing is an error. In step 2 cores are told apart by 128 bits, in step
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import materialise, only, shared_dir, small_arrow_batches, utf8_column
-from fieldmark.llm.shards import DOWN, U64, UP, filesystem, load, mix, save
+from fieldmark.llm.common import materialise, only, small_arrow_batches, utf8_column
+from fieldmark.llm.shards import DOWN, U64, UP, filed, load, mix, new_folder, save
 from fieldmark.llm.words import words_of
 
 #: Bits of an anchor's hash that decide; the others hold its place, so the first of equals wins.
@@ -340,39 +339,9 @@ class Found:
         return np.where(seen, at, -1)
 
 
-def filed(rows: DataFrame, texts: DataFrame, columns: list[str], write) -> int:
-    """Send rows to their part and write one file for each part of ``texts``, if need be without rows; the number of files."""
-    every = texts.select("part_").distinct()
-    for c in columns:
-        every = every.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
-    sent = rows.select("part_", *columns).unionByName(every).repartition("part_").sortWithinPartitions("part_", *[c for c in columns if c in ("kind", "hi", "lo")])
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, done = None, [], 0
-        for batch in batches:
-            parts = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and parts[a] != now:
-                    write(int(now), pa.Table.from_batches(held))
-                    done, held = done + 1, []
-                now = parts[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            write(int(now), pa.Table.from_batches(held))
-            done += 1
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["files"])
-
-    return sent.mapInArrow(keep, "files long").agg(F.sum("files")).first()[0] or 0
-
-
 def find_repeats(texts: DataFrame, windows: Windows) -> Found:
     """Steps 1 and 2 for a written table of text and part_."""
-    folder = f"{shared_dir(texts.sparkSession)}/repeats-{uuid.uuid4().hex}"
-    files, path = filesystem(folder)
-    files.create_dir(path, recursive=True)
+    folder = new_folder(texts.sparkSession, "repeats")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, own in groups_of(batches):

@@ -6,12 +6,15 @@ import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldmark.llm.common import shared_dir
 
 U64 = np.uint64
 
@@ -109,14 +112,14 @@ def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 class Sums:
     """Counts by key that are merged as they grow."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
+    def __init__(self, least: int = 2_000_000) -> None:
+        self.least, self.parts = least, []
         self.size, self.merged = 0, 0
 
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(columns)
         self.size += len(columns[0])
-        if self.size > 2 * self.merged + 2_000_000:
+        if self.size > 2 * self.merged + self.least:
             self.parts = [_merge(self.parts)]
             self.size = self.merged = len(self.parts[0][0])
 
@@ -174,3 +177,40 @@ def spread(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartition(max(1, min(shards, 50_000)), "shard").sortWithinPartitions("shard")
 
 
+# --- files by part ------------------------------------------------------------------------------------------------------------
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A folder of its own in the shared one."""
+    folder = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    files, path = filesystem(folder)
+    files.create_dir(path, recursive=True)
+    return folder
+
+
+def filed(rows: DataFrame, texts: DataFrame, columns: list[str], write: Callable[[int, pa.Table], None]) -> int:
+    """Send rows to their part and write one file for each part of ``texts``, if need be without rows; the number of files."""
+    every = texts.select("part_").distinct()
+    for c in columns:
+        every = every.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
+    sent = rows.select("part_", *columns).unionByName(every).repartition("part_").sortWithinPartitions("part_", *[c for c in columns if c in ("kind", "hi", "lo", "row_")])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, done = None, [], 0
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and parts[a] != now:
+                    write(int(now), pa.Table.from_batches(held))
+                    done, held = done + 1, []
+                now = parts[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            write(int(now), pa.Table.from_batches(held))
+            done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["files"])
+
+    return sent.mapInArrow(keep, "files long").agg(F.sum("files")).first()[0] or 0

@@ -126,3 +126,24 @@ def test_elias_fano_random():
         assert (ef.find(values) == np.arange(len(values))).all()
         others = np.setdiff1d(rng.integers(0, top + 50, 5000, dtype=np.uint64), values)
         assert (ef.find(others) == -1).all()
+
+
+def test_elias_fano_ranges():
+    """Search between pointers in sequences that rise inside each range only."""
+    rng = np.random.default_rng(1)
+    for top, sizes in ((5, (0, 9)), (1000, (0, 40)), (1 << 30, (0, 3)), (1 << 20, (100, 900))):
+        base, values, pointers = 0, [], [0]
+        for _ in range(60):
+            own = np.unique(rng.integers(0, top, rng.integers(*sizes))) + base
+            values += own.tolist()
+            pointers.append(len(values))
+            base = values[-1] if values else 0
+        ef, at = lm.EliasFano(lm.EliasFano.build(np.array(values, np.uint64), ""), ""), lm.EliasFano(lm.EliasFano.build(np.array(pointers), ""), "")
+        begin, end = (x.astype(np.int64) for x in at.pairs(np.arange(60)))
+        assert begin.tolist() == pointers[:-1] and end.tolist() == pointers[1:]
+        which = rng.integers(0, 60, 4000)
+        asked = np.array([int(rng.choice(values[a:b])) if a < b and rng.random() < 0.7 else int(rng.integers(0, base + top)) for a, b in zip(begin[which], end[which])], np.uint64)
+        found = ef.find_in(asked, begin[which], end[which])
+        for v, k, i in zip(asked.tolist(), which.tolist(), found.tolist()):
+            own = values[pointers[k] : pointers[k + 1]]
+            assert (values[i] == v and pointers[k] <= i < pointers[k + 1]) if i >= 0 else v not in own
