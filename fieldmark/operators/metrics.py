@@ -199,10 +199,10 @@ def safe_threshold(rows: DataFrame, budget: float = 0.05, steps: int = 100, dang
 def log_loss(rows: DataFrame, temperatures: list[float]) -> DataFrame:
     """Mean log loss of (logits, truth) at each temperature, all in one pass."""
     t = F.explode(F.array(*[F.lit(float(x)) for x in temperatures])).alias("temperature")
-    z = F.transform("logits", lambda x: x / F.col("temperature"))
-    top = F.array_max(z)
-    total = F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))) + top
-    return rows.select("logits", "truth", t).groupBy("temperature").agg(F.avg(total - F.get(z, F.col("truth"))).alias("loss"))
+    with_top = lambda z: F.struct(z.alias("z"), F.array_max(z).alias("top"))
+    one = lambda v: F.log(F.aggregate(v["z"], F.lit(0.0), lambda s, x: s + F.exp(x - v["top"]))) + v["top"] - F.get(v["z"], F.col("truth"))
+    loss = once(once(F.transform("logits", lambda x: x / F.col("temperature")), with_top), one)
+    return rows.select("logits", "truth", t).groupBy("temperature").agg(F.avg(loss).alias("loss"))
 
 
 def fit_temperature(rows: DataFrame, low: float = 0.05, high: float = 20.0, points: int = 21, rounds: int = 5) -> float:
@@ -283,3 +283,28 @@ def postprocessed(boxes: DataFrame, logit: str, least: float = 0.2, limit: float
 def named_animals(boxes: DataFrame, least: float = 0.2, animal: int = 0) -> DataFrame:
     """Boxes of enough confidence, and whether the namer sees them: animals only, never people or vehicles."""
     return boxes.filter(F.col("score") >= least).withColumn("to_name", F.col("label") == animal)
+
+
+def model_versions(reports: DataFrame) -> DataFrame:
+    """(name, task, metrics) from (name, task, report): of an evaluation report in JSON the parts that a stored version shows."""
+    get = lambda path: F.get_json_object("report", f"$.{path}")
+    parts = {
+        "classes": get("classes"), "split": get("split"), "chosen": get("chosen"), "test_photos": get("results.test.photos"), "answered": get("results.test.answered"),
+        "accuracy_when_answered": get("results.test.accuracy_when_answered"), "majority_class_baseline": get("majority_class_baseline"), "per_class": get("results.test.per_class"),
+    }
+    return reports.select("name", "task", F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull()).alias("metrics"))
+
+
+def fit_head(train: DataFrame, validation: DataFrame, penalties: tuple[float, ...] = (0.0, 0.001, 0.01, 0.1), rounds: int = 100):
+    """The logistic regression of (embedding, label) whose penalty has the least log loss on the validation rows; (model, penalty, losses)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    shaped = lambda df: df.select(array_to_vector(l2_normalised(F.col("embedding"))).alias("features"), F.col("label").cast("double").alias("label"))
+    a, b, losses, models = shaped(train), shaped(validation), {}, {}
+    for c in penalties:  # a few fits over the same rows
+        models[c] = LogisticRegression(regParam=c, maxIter=rounds).fit(a)
+        p = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+        losses[c] = models[c].transform(b).agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15))))).first()[0]
+    best = min(penalties, key=lambda c: losses[c])
+    return models[best], best, losses

@@ -25,7 +25,7 @@ AQUATIC = """key bigint, `group` string, genus string, species string, scientifi
 KINGDOMS = ("Plantae", "Fungi", "Protozoa", "Chromista")
 ACCURACY_M = {"accurate": 100.0, "approximate": 10_000.0, "centroid": 50_000.0}
 
-COLUMNS = "source external_id record_url taxon_name taxon_rank lat lon captured_at kingdom common_name image_url image_licence record_licence uncertainty_m obscured captive failed_introduction".split()
+COLUMNS = "source external_id record_url taxon_name taxon_rank lat lon captured_at kingdom common_name image_url image_licence record_licence uncertainty_m obscured captive failed_introduction basis".split()
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -38,18 +38,22 @@ def _image(url: Column, licence: Column) -> Column:
     return F.when(licence.isin(*IMAGE_LICENCES), url)
 
 
-def _unified(df: DataFrame, source: str, essentials: Column, **columns: Column) -> DataFrame:
-    known = {"source": F.lit(source), "common_name": F.lit(None).cast("string"), "image_url": F.lit(None).cast("string"), "image_licence": F.lit(None).cast("string"), "obscured": F.lit(False), "captive": F.lit(False), "failed_introduction": F.lit(False)} | columns
-    return df.filter(essentials).select(*[known[c].alias(c) for c in COLUMNS])
+def _unified(df: DataFrame, source: str, essentials: Column, broken: bool, **columns: Column) -> DataFrame:
+    """Rows in one shape; with ``broken`` those without the essentials too, with the column unparseable."""
+    known = {"source": F.lit(source), "basis": F.lit("specimen"), "common_name": F.lit(None).cast("string"), "image_url": F.lit(None).cast("string"), "image_licence": F.lit(None).cast("string"), "obscured": F.lit(False), "captive": F.lit(False), "failed_introduction": F.lit(False)} | columns
+    good = F.coalesce(essentials, F.lit(False))
+    if broken:
+        return df.select(*[known[c].alias(c) for c in COLUMNS], (~good).alias("unparseable"))
+    return df.filter(good).select(*[known[c].alias(c) for c in COLUMNS])
 
 
-def community(raw: DataFrame) -> DataFrame:
+def community(raw: DataFrame, broken: bool = False) -> DataFrame:
     c = F.col
     photo = F.get(c("photos"), F.lit(0))
     licence = short_licence(photo["license_code"])
     iconic = c("taxon.iconic_taxon_name")
     return _unified(
-        raw, "community", c("id").isNotNull() & (c("taxon.name") != "") & (F.size("geojson.coordinates") >= 2),
+        raw, "community", c("id").isNotNull() & (c("taxon.name") != "") & (F.size("geojson.coordinates") >= 2), broken,
         external_id=c("id").cast("string"), record_url=c("uri"), taxon_name=c("taxon.name"), taxon_rank=F.coalesce("taxon.rank", F.lit("")),
         lat=c("geojson.coordinates")[1], lon=c("geojson.coordinates")[0],
         captured_at=F.coalesce(F.try_to_timestamp("time_observed_at"), F.try_to_timestamp("observed_on", F.lit("yyyy-MM-dd"))),
@@ -59,16 +63,15 @@ def community(raw: DataFrame) -> DataFrame:
     )
 
 
-def museum(raw: DataFrame, mirrored_dataset: str | None = None) -> DataFrame:
-    """``mirrored_dataset``: the key of a dataset that comes from another provider and is left out."""
+def museum(raw: DataFrame, mirrored_dataset: str | None = None, broken: bool = False) -> DataFrame:
+    """``mirrored_dataset``: the key of a dataset that comes from another provider; its records have the basis "mirror"."""
     c = F.col
-    if mirrored_dataset is not None:
-        raw = raw.filter(~c("datasetKey").eqNullSafe(F.lit(mirrored_dataset)))
     photo = F.get(F.filter("media", lambda m: m["type"] == "StillImage"), F.lit(0))
     licence = short_licence(photo["license"])
     held = lambda n: F.coalesce(c(n), F.lit("")) != ""
     return _unified(
-        raw, "museum", c("key").isNotNull() & c("decimalLatitude").isNotNull() & c("decimalLongitude").isNotNull(),
+        raw, "museum", c("key").isNotNull() & c("decimalLatitude").isNotNull() & c("decimalLongitude").isNotNull(), broken,
+        basis=F.when(c("datasetKey") == F.lit(mirrored_dataset), "mirror").when(c("basisOfRecord") == "PRESERVED_SPECIMEN", "specimen").otherwise(F.lower(F.coalesce("basisOfRecord", F.lit("unknown")))),
         external_id=c("key").cast("string"), record_url=F.concat(F.lit("occurrence/"), c("key")), taxon_name=F.coalesce(F.nullif("species", F.lit("")), "scientificName", F.lit("")),
         taxon_rank=F.when(c("speciesKey").isNotNull(), "species").otherwise(F.lower(F.coalesce("taxonRank", F.lit("")))), lat=c("decimalLatitude"), lon=c("decimalLongitude"),
         captured_at=_date(c("year"), c("month"), c("day")), kingdom=c("kingdom"), image_url=_image(photo["identifier"], licence), image_licence=licence, record_licence=short_licence(c("license")),
@@ -77,13 +80,13 @@ def museum(raw: DataFrame, mirrored_dataset: str | None = None) -> DataFrame:
     )
 
 
-def aquatic(raw: DataFrame) -> DataFrame:
+def aquatic(raw: DataFrame, broken: bool = False) -> DataFrame:
     c = F.col
     trimmed = lambda n: F.trim(F.coalesce(c(n), F.lit("")))
     metres = F.create_map(*[F.lit(x) for pair in ACCURACY_M.items() for x in pair])
     group = F.lower(F.coalesce("group", F.lit("")))
     return _unified(
-        raw, "aquatic", c("key").isNotNull() & c("decimalLatitude").isNotNull() & c("decimalLongitude").isNotNull(),
+        raw, "aquatic", c("key").isNotNull() & c("decimalLatitude").isNotNull() & c("decimalLongitude").isNotNull(), broken,
         external_id=c("key").cast("string"), record_url=F.concat(F.lit("specimen/"), c("key")),
         taxon_name=F.trim(F.coalesce(F.nullif("scientificName", F.lit("")), F.concat_ws(" ", trimmed("genus"), trimmed("species")))),
         taxon_rank=F.when((trimmed("genus") != "") & (trimmed("species") != ""), "species").otherwise(""), lat=c("decimalLatitude"), lon=c("decimalLongitude"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fieldmark.operators.ingest import judged, new_rows
+from fieldmark.operators.ingest import assign_zones, judged, new_rows
 
 
 def landing(spark: SparkSession, folder: str, schema: str, files: int = 200) -> DataFrame:
@@ -15,33 +18,90 @@ def landing(spark: SparkSession, folder: str, schema: str, files: int = 200) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
 
 
-def ingest(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], store: str, ledger: str, checkpoint: str, as_of: str):
-    """Read all that is there, then stop. A batch appends rows that break no rule and aren't stored yet, and a row for each reason.
+def ingest(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], store: str, ledger: str, checkpoint: str, as_of: str, polygons: DataFrame | None = None, seconds: float | None = None) -> bool:
+    """Read all that is there, then stop; True if ``seconds`` passed before that, and what is left waits for the next run.
 
-    A batch that is run again after a failure finds its rows stored and its ledger rows replaced, so nothing counts twice.
+    A batch appends rows that break no rule and aren't stored yet, with their zone if ``polygons`` are given (rows in none are refused),
+    and a row for each reason, "unparseable" where the parser says so (column unparseable), "skipped_dupe" for known rows. A batch that
+    is run again after a failure finds its rows stored and its ledger rows replaced, so nothing counts twice; one that fails leaves a
+    ledger row "error" and the run fails. Only the stored years that a batch has rows of are read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = judged(parse(batch).withColumn("basis", F.lit("specimen")), as_of)
-        rows.persist()
+        spark, to = batch.sparkSession, f"{ledger}/batch={number}"
         try:
+            rows = parse(batch)
+            broken = F.col("unparseable") if "unparseable" in rows.columns else F.lit(False)
+            rows = judged(rows, as_of)
+            early = F.col("reason").isin("duplicate_of_inaturalist", "not_a_specimen")
+            rows = rows.withColumn("reason", F.when(F.coalesce(early, F.lit(False)), F.col("reason")).when(broken, "unparseable").otherwise(F.col("reason"))).drop("unparseable")
+            if polygons is not None:
+                key = ["source", "external_id"]
+                zoned = assign_zones(rows.filter("reason IS NULL").select(*key, "lon", "lat"), polygons, key).withColumnRenamed("assigned_zone", "zone_id")
+                rows = rows.join(zoned, key, "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("zone_id").isNull(), "outside_zone").otherwise(F.col("reason")))
+            rows = rows.persist()
             good = rows.filter("reason IS NULL").drop("reason", "basis").withColumn("year", F.year("captured_at"))
+            years = [r[0] for r in good.select("year").distinct().collect()]  # years of a batch
             try:
-                stored = spark.read.parquet(store)
-            except Exception as e:  # the store is made by the first batch
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                stored = spark.read.parquet(store).filter(F.col("year").isin(years))
+            except AnalysisException as e:  # the store is made by the first batch
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                     raise
                 stored = good.limit(0)
-            new_rows(good, stored, ["source", "external_id"]).write.mode("append").partitionBy("year").parquet(store)
-            counts = rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-            counts.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
-        finally:
+            fresh = new_rows(good, stored, ["source", "external_id"]).persist()
+            kept = fresh.count()
+            fresh.write.mode("append").partitionBy("year").parquet(store)
+            counts = rows.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+            known = spark.createDataFrame([("accepted", kept), ("skipped_dupe", good.count() - kept)], "reason string, n long").filter("n > 0")
+            counts.unionByName(known).coalesce(1).write.mode("overwrite").parquet(to)
+            fresh.unpersist()
             rows.unpersist()
+        except Exception as e:
+            spark.createDataFrame([(f"error: {type(e).__name__}", 0)], "reason string, n long").write.mode("overwrite").parquet(to)
+            raise
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    if query.awaitTermination(seconds) if seconds is not None else query.awaitTermination() is None:
+        return False
+    query.stop()
+    return True
+
+
+def run_all(runs: dict[str, Callable[[], object]]) -> dict[str, str]:
+    """Run each zone's ingest by itself: an outage of one doesn't stop the others; if none succeeds, that is an error."""
+    out = {}
+    for name, run in runs.items():
+        try:
+            run()
+            out[name] = "ok"
+        except Exception as e:
+            out[name] = f"{type(e).__name__}: {e}"[:300]
+    if out and "ok" not in out.values():
+        raise RuntimeError(f"nothing was fetched: {out}")
+    return out
+
+
+def limited(requests: DataFrame, client: str, time: str, most: int, seconds: int = 60) -> DataFrame:
+    """(client, at, wait) of a stream of requests: null where a request is allowed, else seconds until the client may try again.
+
+    The state of a client is the times of its allowed requests in the window, so it is bounded by ``most``.
+    """
+    kind = requests.schema[client].dataType.simpleString()
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        hits = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("at")
+        waits = []
+        for t in rows["at"].astype("int64").tolist():
+            hits = [h for h in hits if t - h < seconds * 1_000_000]
+            waits.append((seconds * 1_000_000 - (t - hits[0])) / 1e6 if len(hits) >= most else None)
+            if waits[-1] is None:
+                hits.append(t)
+        state.update((hits,))
+        yield pd.DataFrame({"client": [key[0]] * len(rows), "at": rows["at"].tolist(), "wait": pd.array(waits, "Float64")})
+
+    named = requests.select(F.col(client).alias("client"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
+    return named.groupBy("client").applyInPandasWithState(step, f"client {kind}, at long, wait double", "hits array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def distinct_within(stream: DataFrame, keys: list[str], time: str, horizon: str) -> DataFrame:
