@@ -100,3 +100,22 @@ named AS (SELECT r, label FROM base UNION SELECT r, label FROM found)
 SELECT doc_id, len(w) AS n_words, (SELECT count(*) FROM base WHERE base.r = d.r) AS n_base, (SELECT min(p) FROM base WHERE base.r = d.r) AS first_word, (SELECT max(p) FROM base WHERE base.r = d.r) AS last_word,
     coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM base WHERE base.r = d.r), '') AS base_labels, coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM named WHERE named.r = d.r), '') AS labels,
     CASE WHEN EXISTS (SELECT 1 FROM base WHERE base.r = d.r) THEN CAST(1 AS DOUBLE) ELSE coalesce((SELECT max(share) FROM found WHERE found.r = d.r), 0) END AS score FROM d"""
+
+
+def repeats_sql(length: int = 400, words: int = 51) -> str:
+    """Windows of bytes (as hexadecimal digits) and of words by checksum; covered places are runs of neighbouring windows."""
+
+    def runs(source: str, size: int) -> str:
+        return f"""(SELECT r, min(i) AS a, max(i) + {size} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {size} THEN 0 ELSE 1 END AS new
+    FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM ({source}) y) y WHERE n > 1) y) y GROUP BY r, g)"""
+
+    by_byte = f"SELECT r, i, md5(substr(x, 2 * i + 1, {2 * length})) AS h FROM (SELECT r, x, unnest(range(n - {length - 1})) AS i FROM d WHERE n >= {length}) z"
+    by_word = f"SELECT r, i, md5(array_to_string(w[i + 1:i + {words}], ' ')) AS h FROM (SELECT r, w, unnest(range(len(w) - {words - 1})) AS i FROM d WHERE len(w) >= {words}) z"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+d AS (SELECT r, doc_id, hex(encode(t)) AS x, octet_length(encode(t)) AS n, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda v: v <> '') AS w FROM t),
+cut AS {runs(by_byte, length)},
+shared AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n FROM {runs(by_word, words)} y GROUP BY 1),
+part AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM cut),
+kept AS (SELECT d.r, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS k, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans FROM part JOIN d ON d.r = part.r GROUP BY 1)
+SELECT doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256, coalesce(shared.n, 0) AS n_passage_words FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN shared ON shared.r = d.r"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm.decontaminate import TemplateRules
-from fieldmark.llm.oracles import leaks_sql, licenses_sql, quality_sql
+from fieldmark.llm.oracles import leaks_sql, licenses_sql, quality_sql, repeats_sql
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm": op10_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": quality_sql(), "op4_decontamination": leaks_sql(TemplateRules(inside=True)), "op5_licenses": licenses_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_repeats": repeats_sql(), "op3_quality": quality_sql(), "op4_decontamination": leaks_sql(TemplateRules(inside=True)), "op5_licenses": licenses_sql()}
