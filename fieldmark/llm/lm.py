@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ SHARD_TOKENS, HELD = 2_000_000, 4_000_000
 
 
 def token_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, token hashes, the row of each token): words and one end for each text, in runs of about CHUNK bytes of text."""
+    """(rows, token hashes, the row of each token): words and one end for each text, in runs of about GROUP bytes of text."""
     for batch, texts in grouped(batches):
         words = words_of(texts)
         last = np.cumsum(np.bincount(words.row, minlength=len(texts)))  # each row's end goes behind its words
@@ -55,9 +56,10 @@ class EliasFano:
         if bits:
             at = np.arange(n, dtype=U64) * U64(bits)
             word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
-            np.bitwise_or.at(packed, word, low << shift)
-            over = np.flatnonzero(shift + U64(bits) > 64)
-            np.bitwise_or.at(packed, word[over] + 1, low[over] >> (U64(64) - shift[over]))
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            packed[word[first]] = np.bitwise_or.reduceat(low << shift, first) if n else 0
+            over = np.flatnonzero(shift + U64(bits) > 64)  # one value at most runs over the end of each word
+            packed[word[over] + 1] |= low[over] >> (U64(64) - shift[over])
         places = (values >> U64(bits)).astype(np.int64) + np.arange(n)
         size = (top >> bits) + n + 1
         flags = np.zeros(-(-size // 64) * 64 + 64, bool)
@@ -262,8 +264,11 @@ class Level(Shards):
     """n-grams of one length. A context's successors stand between its pointer and the next one's; to keep a file's nodes monotone,
     words are stored plus the last node before the context, and looked for relative to it."""
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node or -1, log10 of its probability, log10 of the context's share for other words) of pairs; -1 is no context and no word."""
+    def find(self, context: np.ndarray, word: np.ndarray, scored: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node or -1, log10 of its probability, log10 of the context's share for other words) of pairs; -1 is no context and no word.
+
+        The logarithms are zero where they aren't asked for.
+        """
         node, prob, rest = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(word))
         which = np.where(context >= 0, np.searchsorted(self.index["first"], context, side="right") - 1, -1)
         for k in np.unique(which[which >= 0]).tolist():
@@ -271,7 +276,8 @@ class Level(Shards):
             at = np.flatnonzero(which == k)
             own = context[at] - self.index["first"][k]
             at, own = at[own < len(f["rest"])], own[own < len(f["rest"])]
-            rest[at] = f["rest_book"][f["rest"][own]]
+            if scored:
+                rest[at] = f["rest_book"][f["rest"][own]]
             at, own = at[word[at] >= 0], own[word[at] >= 0]
             if len(own) and (own[1:] >= own[:-1]).all():  # in order already
                 edge = np.diff(own, prepend=own[0] - 1) != 0
@@ -285,7 +291,8 @@ class Level(Shards):
             found = f["node"].find_in(base[back] + word[at].astype(U64), begin[back], end[back], here[back])
             hit = found >= 0
             node[at[hit]] = found[hit] + self.index["offset"][k]
-            prob[at[hit]] = f["prob_book"][f["prob"][found[hit]]]
+            if scored:
+                prob[at[hit]] = f["prob_book"][f["prob"][found[hit]]]
         return node, prob, rest
 
     def last_words(self, first: int, n: int) -> np.ndarray:
@@ -314,15 +321,17 @@ class Model:
         return Model, self.parts
 
     def read(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        unique, back = np.unique(hashes, return_inverse=True)
-        counts, ids = self.vocabulary.look_up(unique)
+        back, unique = pd.factorize(hashes)
+        order = np.argsort(unique)
+        counts, ids = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        counts[order], ids[order] = self.vocabulary.look_up(unique[order])
         return counts[back], ids[back]
 
     def first(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / self.floor)
 
-    def walk(self, row: np.ndarray, counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(the context before each token that a further level would have, -1 if none; log10 probability of each token)."""
+    def walk(self, row: np.ndarray, counts: np.ndarray, ids: np.ndarray, end_id: int, scored: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(the context before each token that a further level would have, -1 if none; log10 probability of each token, if asked for)."""
         start = np.diff(row, prepend=-1) != 0
         context = np.where(start, end_id, np.concatenate([[-1], ids[:-1]]))
         total = self.first(counts)
@@ -333,8 +342,10 @@ class Model:
                 contexts, own = np.unique(context, return_inverse=True)
             pairs, back = np.unique(own * (self.words + 1) + ids + 1, return_inverse=True)
             c, w = np.divmod(pairs, self.words + 1)
-            node, prob, rest = (x[back] for x in level.find(c - 1 if contexts is None else contexts[c], w - 1))
-            total = np.where(node >= 0, prob, total + rest)
+            node, prob, rest = level.find(c - 1 if contexts is None else contexts[c], w - 1, scored)
+            node = node[back]
+            if scored:
+                total = np.where(node >= 0, prob[back], total + rest[back])
             context = np.where(start, -1, np.concatenate([[-1], node[:-1]]))
         return context, total
 
@@ -343,12 +354,10 @@ def quantised(values: np.ndarray, levels: int | None = 256) -> tuple[np.ndarray,
     """(codes, book): equal shares of the values, each by its mean; up to ``levels`` values are kept as they are, all if it is None."""
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(1)
-    book, codes = np.unique(values, return_inverse=True)
-    if levels is None:
-        return codes.astype(np.uint32), book
-    if len(book) <= levels:
-        return codes.astype(np.uint8), book
     order = np.sort(values)
+    book = order[np.flatnonzero(np.diff(order, prepend=-np.inf))]
+    if levels is None or len(book) <= levels:
+        return np.searchsorted(book, values).astype(np.uint8 if levels else np.uint32), book
     edges = order[np.linspace(0, len(order) - 1, levels + 1).astype(np.int64)][1:-1]
     codes = np.searchsorted(np.unique(edges), values, side="right")
     sums, n = np.bincount(codes, values, levels), np.bincount(codes, minlength=levels)
@@ -373,7 +382,7 @@ def train(docs: DataFrame, order: int = 3, levels: int | None = 256) -> Model:
     """
     folder = new_folder(docs.sparkSession, "ngrams")
     texts = docs.select(F.col("text"))
-    bits = power_of_two(max(16, 2 * texts.rdd.getNumPartitions()))
+    bits = power_of_two(max(8, texts.rdd.getNumPartitions() // 2))
     shift = 64 - bits
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +430,7 @@ def _add_level(texts: DataFrame, model: Model, level: int, contexts: int, levels
 
         for _, hashes, row in token_chunks(batches):
             counts, ids = model.read(hashes)
-            context, _ = model.walk(row, counts, ids, end)
+            context, _ = model.walk(row, counts, ids, end, scored=False)
             known = context >= 0
             sums.add(*np.unique(context[known].astype(U64) * U64(words) + ids[known].astype(U64), return_counts=True))
             if sums.size > HELD:

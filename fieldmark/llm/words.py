@@ -11,8 +11,8 @@ import pyarrow as pa
 from fieldmark.llm.common import utf8_column
 from fieldmark.llm.shards import DOWN, U64, UP, mix
 
-#: Bytes of text that are worked on at a time; longer texts are cut at white space.
-CHUNK = 2 << 20
+#: Bytes of text that are hashed at a time (longer texts are cut at white space), and that are handed on together.
+CHUNK, GROUP = 2 << 20, 8 << 20
 _BYTE = np.random.default_rng(2).integers(1, 1 << 64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _SPACE = np.zeros(256, bool)
@@ -41,13 +41,13 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows and their texts, in runs of about CHUNK bytes; a longer text is a run of its own."""
+    """Rows and their texts, in runs of about GROUP bytes; a longer text is a run of its own."""
     for batch in batches:
         texts = utf8_column(batch, "text")
         at = 0
         while at < len(texts):
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK):
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= GROUP):
                 size += len(texts[upto]) + 1
                 upto += 1
             yield batch.slice(at, upto - at), texts[at:upto]
