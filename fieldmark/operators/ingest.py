@@ -69,13 +69,19 @@ def assign_zones(points: DataFrame, polygons: DataFrame, keep: list[str], max_br
 def near_duplicate_media(media: DataFrame, distance: int = 2) -> DataFrame:
     """(id, original): media with an earlier one of the same moment and size whose image hash differs in few bits; the lowest id.
 
-    The join is on moment and size, so only media of one moment are compared.
+    A hash is cut into ``distance + 1`` blocks of bits; two hashes that are so close have one of them in common. Media of one hash are
+    compared as one, and the join is on moment, size and block, so media of one moment, many where times are days, meet only by blocks.
     """
     key = ["captured_at", "w", "h"]
-    m = media.select("id", "phash", "captured_at", F.coalesce("width", F.lit(-1)).alias("w"), F.coalesce("height", F.lit(-1)).alias("h"))
-    other = m.select(F.col("id").alias("original"), F.col("phash").alias("other_hash"), *key)
-    close = (F.col("original") < F.col("id")) & (F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash"))) <= distance)
-    return m.join(other, key).filter(close).groupBy("id").agg(F.min("original").alias("original"))
+    m = media.filter("captured_at IS NOT NULL AND phash IS NOT NULL").select("id", "phash", "captured_at", F.coalesce("width", F.lit(-1)).alias("w"), F.coalesce("height", F.lit(-1)).alias("h"))
+    hashes = m.groupBy(*key, "phash").agg(F.min("id").alias("first"))
+    cuts = [round(64 * i / (distance + 1)) for i in range(distance + 2)]
+    blocks = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("phash", a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("v")) for i, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+    cut = hashes.select(*key, "phash", "first", F.explode(F.array(*blocks)).alias("x")).select(*key, "phash", "first", "x.b", "x.v")
+    other = cut.select(*key, F.col("phash").alias("other_hash"), F.col("first").alias("original"), "b", "v")
+    close = F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash"))) <= distance
+    found = cut.join(other, [*key, "b", "v"]).filter(close).groupBy(*key, "phash").agg(F.min("original").alias("original"))
+    return m.join(found, [*key, "phash"]).filter(F.col("original") < F.col("id")).select("id", "original")
 
 
 def merge_species(stored: DataFrame, incoming: DataFrame) -> DataFrame:
