@@ -21,6 +21,7 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+PART = re.compile(r"[^=/]{20,}")
 
 #: Regular expressions of strings that are no secrets though they look random: numbers, dates and times, UUIDs, repeated characters,
 #: runs of the alphabet, placeholders.
@@ -95,13 +96,19 @@ class Scanner:
         return sorted(out)
 
     def entropy(self, text: str) -> list[tuple[int, int, int]]:
+        """Spans in candidates; of one that is on the allow-list, in its parts between ``=`` and ``/`` that are not by themselves."""
         out = []
         for m in CANDIDATE.finditer(text):
-            s = m[0]
-            if not any(x.fullmatch(s) for x in self.allowed):
-                out += [(m.start() + a, 3, m.start() + b) for a, b in entropy_spans(s, self.window, self.bits[char_class(s)])]
+            parts = [(m.start(), m[0])]
+            if self.is_allowed(m[0]):
+                parts = [(m.start() + p.start(), p[0]) for p in PART.finditer(m[0]) if p[0] != m[0] and not self.is_allowed(p[0])]
+            for at, s in parts:
+                out += [(at + a, 3, at + b) for a, b in entropy_spans(s, self.window, self.bits[char_class(s)])]
         return out
 
+    def is_allowed(self, s: str) -> bool:
+        return any(x.fullmatch(s) for x in self.allowed)
+
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)

@@ -117,6 +117,13 @@ def test_entropy_and_allow_list(spark):
     assert got[0].startswith("entropy:4:") and "entropy" not in "".join(got[i] for i in range(1, 5))
 
 
+def test_a_secret_glued_to_an_allowed_word(spark):
+    secret = "q7Zk2Lw9Xv4Rt8Bn3Mc6Yd5Hs"
+    texts = [f"see services/example/{secret} now", f"example_key={secret}", "services/example/placeholder-for-your-key", f"plain {secret}"]
+    got = [r.spans for r in secrets.find_secrets(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [f"entropy:{t.index(secret)}:{t.index(secret) + len(secret)}" if secret in t else "" for t in texts]
+
+
 def test_empty(spark):
     assert secrets.find_secrets(frame(spark, []).limit(0)).count() == 0
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
