@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import only, small_arrow_batches
-from fieldmark.llm.shards import BLOB, MAPPED, U64, Sums, blobs, by_shard, load, new_folder, power_of_two, save, spread
+from fieldmark.llm.shards import BLOB, U64, Sums, blobs, by_shard, load, most_open, new_folder, power_of_two, save, spread
 from fieldmark.llm.words import grouped, words_of
 
 #: The token that ends a text, and stands before its first word.
@@ -185,7 +185,7 @@ class Shards:
     """The files of words or of a level, by number; ``index`` has for each its first key, the ids before it and how many it has."""
 
     def __init__(self, folder: str, name: str) -> None:
-        self.folder, self.name, self.files, self.own = folder, name, {}, None
+        self.folder, self.name, self.files, self.own, self.most = folder, name, {}, None, most_open(folder)
 
     def __reduce__(self):
         return Shards, (self.folder, self.name)
@@ -205,7 +205,7 @@ class Shards:
     def file(self, k: int) -> dict:
         """The k-th file, with its sequences opened."""
         if k not in self.files:
-            if len(self.files) >= MAPPED:
+            if len(self.files) >= self.most:
                 self.files.clear()
             f = load(f"{self.folder}/{self.name}-{int(self.index['shard'][k])}")
             self.files[k] = f | {x: EliasFano(f, f"{x}_") for x in ("hash", "count", "node", "pointer") if f"{x}_meta" in f}

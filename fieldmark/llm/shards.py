@@ -75,8 +75,14 @@ def save(uri: str, **arrays: np.ndarray) -> None:
         files.delete_file(own)
 
 
-#: Files that a worker keeps mapped; systems bound the mappings of a process.
-MAPPED = 8_000
+#: Files that a worker keeps mapped, in a mounted folder (systems bound the mappings of a process) and as copies from a store.
+MAPPED, COPIED = 8_000, 256
+
+
+def most_open(folder: str) -> int:
+    from pyarrow import fs
+
+    return MAPPED if isinstance(filesystem(folder)[0], fs.LocalFileSystem) else COPIED
 
 
 def load(uri: str) -> dict[str, np.ndarray]:
