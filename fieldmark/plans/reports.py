@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fieldmark.functions import geo
-from fieldmark.operators import maintenance, metrics, reports, serving, summary, views
+from fieldmark.operators import maintenance, metrics, reports, serving, summary
 from fieldmark.plans import catalogue
 from fieldmark.plans.catalogue import BASE, EVENTS_AS_OF, JUDGED, ORACLE_SQL, PAIR_CELLS, QUERIES, YEARS, P, World, digits, points_sql, query  # noqa: F401
 from fieldmark.sources.testdata import prelude
@@ -181,3 +182,7 @@ query("box_overlaps", prelude("boxes") + """, p AS (SELECT image, min(box) AS a,
         w.boxes, w.boxes.groupBy("image").agg(F.min("box").alias("a"), F.max("box").alias("b"))
     )
 )
+query("linear_head", """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), z AS (SELECT vec_id, list_transform(e[1:10], lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))) / CAST(0.1 AS DOUBLE)) AS z FROM n),
+    p AS (SELECT vec_id, z, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS p FROM z) SELECT vec_id, CASE WHEN p >= CAST(0.2 AS DOUBLE) THEN CAST(list_position(z, list_max(z)) - 1 AS BIGINT) ELSE -1 END AS predicted, round(p, 6) AS probability FROM p""")(
+    lambda w: digits(metrics.linear_head(w.raw("embeddings"), np.eye(10, w.raw("embeddings").select(F.size("embedding")).first()[0]), np.zeros(10), 0.1, 0.2), "probability", n=6)
+)
