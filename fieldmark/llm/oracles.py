@@ -119,3 +119,34 @@ shared AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n FROM {runs(by_word, words)}
 part AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM cut),
 kept AS (SELECT d.r, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS k, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans FROM part JOIN d ON d.r = part.r GROUP BY 1)
 SELECT doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256, coalesce(shared.n, 0) AS n_passage_words FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN shared ON shared.r = d.r"""
+
+
+USABLE = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def negatives_sql() -> str:
+    """Every anchor's scores with all rows, and ranks among them: products of whole numbers below 2**53 are exact as doubles."""
+    return f"""WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(v AS DOUBLE[]) AS v FROM ({USABLE}) x WHERE label IS NOT NULL),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY s.score DESC, s.id) AS place, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY place <= 10)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n"""
+
+
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part's distance from every entry, its least one by (distance, index), and entries as floors of means."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS (SELECT x.r, x.p, c.i, list_sum(list_transform(list_zip(x.w, c.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN c{k} c ON c.p = x.p),
+a{k} AS (SELECT r, p, arg_min(i, {{'d': d, 'i': i}}) AS i, CAST(min(d) AS BIGINT) AS d FROM d{k} GROUP BY 1, 2)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT p, i, list(m ORDER BY t) AS w FROM (SELECT a.p, a.i, t, CAST(floor(sum(x.w[t]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m FROM a{k} a JOIN x ON x.r = a.r AND x.p = a.p, unnest(range(1, len(x.w) + 1)) u(t) GROUP BY 1, 2, 3) y GROUP BY 1, 2),
+c{k + 1} AS (SELECT c.p, c.i, coalesce(m.w, c.w) AS w FROM c{k} c LEFT JOIN m{k} m ON m.p = c.p AND m.i = c.i)""")
+    return f"""WITH e AS (SELECT row_number() OVER (ORDER BY vec_id, v) - 1 AS r, vec_id, label, v FROM ({USABLE}) x),
+x AS (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS w FROM e, unnest(range({parts})) u(p)),
+c0 AS (SELECT p, r AS i, w FROM x WHERE r < {entries}),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM c{rounds}),
+f AS (SELECT r, string_agg(printf('%02x', i), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN f ON f.r = e.r, h"""

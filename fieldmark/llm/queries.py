@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm.decontaminate import TemplateRules
-from fieldmark.llm.oracles import leaks_sql, licenses_sql, quality_sql, repeats_sql
+from fieldmark.llm.oracles import codes_sql, leaks_sql, licenses_sql, negatives_sql, quality_sql, repeats_sql
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,28 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldmark.llm.negatives import mine
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", wrong), lambda vec_id: vec_id % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldmark.llm.codes import compress
+
+    return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from fieldmark.llm.tokens import token_files
+
+    return token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_repeats": op2_repeats,
@@ -89,6 +111,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_html": op9_html,
     "op10_lm": op10_lm,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_files": op13_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_repeats": repeats_sql(), "op3_quality": quality_sql(), "op4_decontamination": leaks_sql(TemplateRules(inside=True)), "op5_licenses": licenses_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_repeats": repeats_sql(),
+    "op3_quality": quality_sql(),
+    "op4_decontamination": leaks_sql(TemplateRules(inside=True)),
+    "op5_licenses": licenses_sql(),
+    "op11_hard_negatives": negatives_sql(),
+    "op12_vector_codes": codes_sql(),
+}
