@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,17 @@ STORED = "part int, at long, doc_id long, n_tokens int, ids array<int>"
 RUN = 1000
 
 
+@cache
+def known_words(tokenizer: str) -> WordIds:
+    """What a worker knows of words' ids; its tasks share it."""
+    return WordIds(tokenizer)
+
+
 def encoded(texts: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """The ids of each text and ``end_id``, with the task's number and the ids before the text in it; order is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, at = WordIds(tokenizer), TaskContext.get().partitionId(), 0
+        known, part, at = known_words(tokenizer), TaskContext.get().partitionId(), 0
         for batch in small_batches(batches):
             rows = [np.append(ids, end_id).astype(np.int32) for ids in known.of_all(utf8_column(batch, "text"))]
             size = np.fromiter(map(len, rows), np.int64, len(rows))
