@@ -79,9 +79,63 @@ def test_stream_with_zones_broken_records_and_failures(spark, tmp_path):
     assert run(lambda raw: connectors.community(raw, broken=True)) is False
     assert [(r.external_id, r.zone_id) for r in spark.read.parquet(places[0]).collect()] == [("7", 3)]
     assert {r.reason: r.n for r in spark.read.parquet(places[1]).collect()} == {"accepted": 1, "outside_zone": 1, "unparseable": 1}
-    assert streams.run_all({"a": lambda: 1, "b": lambda: fails(0)})["a"] == "ok"
+
+
+def test_outages_of_providers_alone_are_set_aside(spark):
+    import pytest
+
+    from fieldmark.sources.paged import Refused
+
+    def down(kind):
+        raise kind
+
+    def in_a_task():
+        spark.range(1).mapInPandas(lambda batches: down(ConnectionError("far away")), "id long").collect()
+
+    got = streams.run_all({"a": lambda: 1, "b": lambda: down(Refused(503)), "c": in_a_task})
+    assert got["a"] == "ok" and got["b"] == "Refused: status 503" and got["c"] != "ok"
     with pytest.raises(RuntimeError):
-        streams.run_all({"b": lambda: fails(0)})
+        streams.run_all({"b": lambda: down(TimeoutError("slow"))})
+    with pytest.raises(KeyError):  # an error of the engine's own code
+        streams.run_all({"a": lambda: 1, "b": lambda: down(KeyError("x"))})
+
+
+def test_a_batch_that_died_between_store_and_ledger_counts_once(spark, tmp_path, monkeypatch):
+    import pytest
+    from pyspark.sql import DataFrame, DataFrameWriter
+
+    folder, places = tmp_path / "in", [str(tmp_path / x) for x in ("store", "ledger", "checkpoint")]
+    folder.mkdir()
+    records = [{**COMMUNITY, "id": 30 + i, "time_observed_at": f"{1999 + i % 3}-05-05T00:00:00+00:00"} for i in range(9)]
+    run = lambda: streams.ingest(streams.landing(spark, str(folder), connectors.COMMUNITY), connectors.community, *places, "2030-01-01 00:00:00")
+    (folder / "1.json").write_text("\n".join(json.dumps(r) for r in records[:4]))
+    run()
+    (folder / "2.json").write_text("\n".join(json.dumps(r) for r in [*records[2:], records[8], {**COMMUNITY, "id": 50, "obscured": True}]))
+    writes = DataFrameWriter.parquet
+
+    def dies(self, path, *a, **k):
+        if path.startswith(places[1]):
+            raise OSError("the driver is gone")
+        return writes(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dies)
+    with pytest.raises(Exception, match="gone"):
+        run()
+    monkeypatch.setattr(DataFrameWriter, "parquet", writes)
+    assert spark.read.parquet(places[0]).count() == 9  # stored, but not in the ledger
+    # a part of what it stored is lost too, as after a commit that broke off
+    import shutil
+
+    lost = next(p for p in (tmp_path / "store" / "year=2000").iterdir() if p.suffix == ".parquet" and spark.read.parquet(str(p)).filter("ingest_batch = 1").count())
+    gone = spark.read.parquet(str(lost)).count()
+    lost.unlink()
+    shutil.rmtree(tmp_path / "ledger" / "batch=1", ignore_errors=True)
+    assert gone and spark.read.parquet(places[0]).count() == 9 - gone
+    run()
+    assert spark.read.parquet(places[0]).groupBy("external_id").count().filter("count > 1").count() == 0
+    assert spark.read.parquet(places[0]).count() == 9
+    assert {(r.batch, r.reason): r.n for r in spark.read.parquet(places[1]).collect()} == {(0, "accepted"): 4, (1, "accepted"): 5, (1, "skipped_dupe"): 3, (1, "obscured_location"): 1}
+    assert isinstance(spark.range(1), DataFrame)
 
 
 def test_pages_are_read_from_the_last_id_on(spark, tmp_path):
@@ -117,14 +171,47 @@ def test_pages_are_read_from_the_last_id_on(spark, tmp_path):
     assert [w for w in waits if w] == [7, 2, 60]
 
 
+def plain_waits(batches, most, window):
+    """Every request in turn, batch by batch."""
+    hits, out = {}, []
+    for batch in batches:
+        for client, t in sorted(batch, key=lambda r: r[1]):
+            mine = hits[client] = [h for h in hits.get(client, []) if t - h < window]
+            wait = None if len(mine) < most else float(window - (t - mine[0]))
+            if wait is None:
+                mine.append(t)
+            out.append((client, t, wait))
+    return sorted(out, key=str)
+
+
 def test_limited_requests(spark, tmp_path):
-    times = ["00:00:00", "00:00:10", "00:00:20", "00:00:59", "00:01:00", "00:01:05"]
-    spark.createDataFrame([("a", f"2024-01-01 {t}") for t in times] + [("b", "2024-01-01 00:00:01")], "client string, t string").coalesce(1).write.json(str(tmp_path / "e"))
-    stream = spark.readStream.schema("client string, t timestamp").json(str(tmp_path / "e"))
-    q = streams.limited(stream, "client", "t", 3).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [r.wait for r in spark.table("limited").filter("client = 'a'").orderBy("at").collect()] == [None, None, None, 1.0, None, 5.0]
-    assert [r.wait for r in spark.table("limited").filter("client = 'b'").collect()] == [None]
+    import random
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder, rng = tmp_path / "e", random.Random(4)
+    folder.mkdir()
+    batches = [[("a", t) for t in (0, 10, 20, 59, 60, 65)] + [("b", 1)], [("a", 100), ("a", 119), ("c", 130), ("c", 130)]]
+    batches += [[(rng.choice("abcdefgh"), at + rng.randrange(40)) for _ in range(60)] for at in range(150, 400, 40)]
+    batches += [[("z", 2_000)], [("z", 3_000)], [("z", 4_000)]]
+    batches = [[(c, 1_000_000 + t) for c, t in b] for b in batches]
+    try:
+        stream = spark.readStream.schema("client string, t long").option("maxFilesPerTrigger", 1).json(str(folder)).withColumn("t", F.timestamp_seconds("t"))
+        got, rows = [], []
+        query = streams.limited(stream, "client", "t", 3).writeStream.foreachBatch(lambda df, n: got.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+        try:
+            for k, batch in enumerate(batches):
+                (folder / f"{k}.tmp").write_text("\n".join(json.dumps({"client": c, "t": t}) for c, t in batch))
+                (folder / f"{k}.tmp").rename(folder / f"{k}.json")
+                query.processAllAvailable()
+                rows.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[-1:]))
+        finally:
+            query.stop()
+        assert sorted(((c, at // 1_000_000, w) for c, at, w in got), key=str) == plain_waits(batches, 3, 60)
+        assert max(rows) >= 8 and rows[-1] <= 1  # the clients that stayed away are gone; "z" still is within its window
+    finally:
+        spark.conf.set(provider, before)
 
 
 def test_stream_windows(spark, tmp_path):
