@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,39 +126,37 @@ def geodesic_km2(rings: Column) -> Column:
     return _sum(F.transform(rings, lambda r, i: F.when(i == 0, of(r)).otherwise(-of(r))))
 
 
-def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """A line with fewer points, none of those left out farther than the tolerance from it (Douglas and Peucker); ends stay."""
+def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """A line (a point a row) with fewer points, none of those left out farther than the tolerance from it (Douglas and Peucker); ends stay."""
     keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
     while todo:
         a, b = todo.pop()
-        (ax, ay), (bx, by) = points[a], points[b]
-        length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
-        far, at = 0.0, None
-        for i in range(a + 1, b):
-            x, y = points[i]
-            d = abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / length if length else ((x - ax) ** 2 + (y - ay) ** 2) ** 0.5
-            if d > far:
-                far, at = d, i
-        if at is not None and far > tolerance:
+        if b - a < 2:
+            continue
+        along, off = points[b] - points[a], points[a + 1 : b] - points[a]
+        length = np.hypot(*along)
+        far = np.abs(along[0] * off[:, 1] - along[1] * off[:, 0]) / length if length else np.hypot(*off.T)
+        at = a + 1 + int(far.argmax())
+        if far.max() > tolerance:
             keep.add(at)
             todo += [(a, at), (at, b)]
-    return [points[i] for i in sorted(keep)]
+    return points[sorted(keep)]
 
 
 def simplify(polygons: DataFrame, tolerance: float = 0.0005) -> DataFrame:
     """(id, rings) with fewer points for display; rings of four sides or fewer are left as they are, others are closed."""
     kind = "array<array<struct<x: double, y: double>>>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes = []
-            for shape in batch["rings"]:
+            for shape in batch.column("rings").to_pylist():
                 rings = []
-                for ring in shape:
-                    line = [(p["x"], p["y"]) for p in ring]
-                    line = line if line[0] == line[-1] else [*line, line[0]]
-                    rings.append([{"x": x, "y": y} for x, y in (simplified(line, tolerance) if len(line) > 5 else line)])
+                for ring in shape or []:
+                    line = np.array([(p["x"], p["y"]) for p in ring]).reshape(-1, 2)
+                    line = line if len(line) and np.array_equal(line[0], line[-1]) else np.concatenate([line, line[:1]])
+                    rings.append([{"x": x, "y": y} for x, y in (simplified(line, tolerance) if len(line) > 5 else line).tolist()])
                 shapes.append(rings)
-            yield pd.DataFrame({"id": batch["id"], "rings": shapes})
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(shapes, batch.schema.field("rings").type)], names=["id", "rings"])
 
-    return polygons.select("id", "rings").mapInPandas(run, f"id {polygons.schema['id'].dataType.simpleString()}, rings {kind}")
+    return polygons.select("id", "rings").mapInArrow(run, f"id {polygons.schema['id'].dataType.simpleString()}, rings {kind}")

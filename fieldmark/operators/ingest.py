@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.functions import geo
+from fieldmark.functions import cover
 
 # Ranks at which a record names a species, and licences under which an image may be used.
 SPECIES_RANKS = ("species", "subspecies", "variety", "form", "hybrid", "infraspecies", "infrahybrid")
@@ -49,21 +49,21 @@ def new_rows(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFra
     return incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
-def assign_zones(points: DataFrame, polygons: DataFrame, keep: list[str], max_broadcast: int = 10_000) -> DataFrame:
+def assign_zones(points: DataFrame, polygons: DataFrame, keep: list[str], max_broadcast: int = 64 << 20) -> DataFrame:
     """Each point with the lowest id of the zones that hold it, null if none does.
 
-    Points and polygon bounds meet on whole-degree tiles, an equal join, so neither side is compared with all of the other; then
-    the box and the ray test decide. Polygons are broadcast only if they are few.
+    Polygons are covered by cells of a quad-tree, and points meet them by their own cells, an equal join. Inner cells decide at once,
+    border cells by the sides that they need, so a large polygon isn't copied to each of its cells. A cover is broadcast only if
+    its cells and sides, which are counted, take no more than so many bytes; else both sides are shuffled by cell.
     """
-    b = F.col("bounds")
-    tiles = lambda a, z: F.sequence(F.floor(a), F.floor(z))
-    tiled = polygons.select(F.col("id").alias("zone_"), "rings", "bounds", F.explode(tiles(b["west"], b["east"])).alias("tx"), "bounds").select("zone_", "rings", polygons["bounds"].alias("box"), "tx")
-    tiled = tiled.withColumn("ty", F.explode(tiles(F.col("box.south"), F.col("box.north"))))
-    tiled = F.broadcast(tiled) if polygons.limit(max_broadcast + 1).count() <= max_broadcast else tiled
-    p = points.withColumn("tx", F.floor("lon")).withColumn("ty", F.floor("lat"))
-    x, y = F.col("lon"), F.col("lat")
-    inside = x.between(F.col("box.west"), F.col("box.east")) & y.between(F.col("box.south"), F.col("box.north")) & geo.contains(F.col("rings"), x, y)
-    return p.join(tiled, ["tx", "ty"], "left").groupBy(*keep).agg(F.min(F.when(inside, F.col("zone_"))).alias("assigned_zone"))
+    cells = cover.covered(polygons)
+    sizes = cells.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("sides"), F.lit(0))).alias("sides")).collect()  # a row for each level
+    small = sum(64 * r["n"] + 32 * r["sides"] for r in sizes) <= max_broadcast
+    at = cover.point_cells(F.col("lon"), F.col("lat"), sorted(r["level"] for r in sizes))
+    cut = points.withColumn("cell", F.explode_outer(at if sizes else F.lit(None).cast("array<bigint>")))
+    met = cut.join(F.broadcast(cells) if small else cells, "cell", "left")
+    inside = cover.holds(F.col("lon"), F.col("lat"))
+    return met.groupBy(*keep).agg(F.min(F.when(inside, F.col("zone_"))).alias("assigned_zone"))
 
 
 def near_duplicate_media(media: DataFrame, distance: int = 2) -> DataFrame:
