@@ -82,48 +82,47 @@ def visible(boxes: DataFrame) -> DataFrame:
     return df.filter((F.col("area") > 0) & ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) >= 0.5 * F.col("area"))).drop("area")
 
 
-def _overlaps(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    w = np.maximum(0, np.minimum(box[2], others[:, 2]) - np.maximum(box[0], others[:, 0]))
-    h = np.maximum(0, np.minimum(box[3], others[:, 3]) - np.maximum(box[1], others[:, 1]))
-    both = w * h
-    area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
-    return both / np.maximum(area(box) + area(others) - both, 1e-12)
+def overlap(a: Column, b: Column) -> Column:
+    """What two boxes (structs with x1, y1, x2, y2) cover both, over what they cover together."""
+    w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
+    h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+    area = lambda c: (c["x2"] - c["x1"]) * (c["y2"] - c["y1"])
+    return w * h / F.greatest(area(a) + area(b) - w * h, F.lit(1e-12))
+
+
+def _best_first(boxes: DataFrame) -> Column:
+    """All boxes of a group as one array of structs, highest scores first, then by box and corner; boxes without a score come last."""
+    first = [F.col("score").isNull().alias("s0_"), (-F.col("score")).alias("s1_")]
+    return F.array_sort(F.collect_list(F.struct(*first, "box", "x1", "y1", *[c for c in boxes.columns if c not in ("box", "x1", "y1")])))
 
 
 def suppress(boxes: DataFrame, limit: float = 0.45) -> DataFrame:
     """Non-maximum suppression in each image and label: by score, a box stays if it overlaps none kept by more than the limit.
 
-    Greedy and order-dependent, so it runs in pandas; the boxes of one image are few.
+    Each group's boxes are folded in order into those kept, so the work of a group grows with its boxes times those kept.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box", "x1", "y1"], ascending=[False, True, True, True], kind="stable")
-        xy, keep = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), []
-        for i in range(len(xy)):
-            if not keep or _overlaps(xy[i], xy[keep]).max() <= limit:
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    return boxes.groupBy("image", "label").applyInPandas(one, boxes.schema)
+    groups = boxes.groupBy("image", "label").agg(_best_first(boxes).alias("all_"))
+    kept = F.aggregate("all_", F.slice("all_", 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: overlap(k, b) > limit), kept).otherwise(F.concat(kept, F.array(b))))
+    return groups.select(F.explode(kept).alias("b_")).select(*[F.col(f"b_.{c}") for c in boxes.columns])
 
 
 def match_boxes(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """(image, hits, extra, missed): found boxes, best score first, each take the free true box that they overlap most."""
-
-    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sides = ["x1", "y1", "x2", "y2"]  # an empty side comes without columns
-        a = a.sort_values(["score", "box", "x1", "y1"], ascending=[False, True, True, True], kind="stable") if "score" in a else a
-        free, hits = b[sides].to_numpy(float) if "x1" in b else np.zeros((0, 4)), 0
-        for box in a[sides].to_numpy(float) if "x1" in a else ():
-            if len(free):
-                o = _overlaps(box, free)
-                if o.max() >= least:
-                    hits += 1
-                    free = np.delete(free, int(o.argmax()), axis=0)
-        found_n = len(a) if "x1" in a else 0
-        return pd.DataFrame({"image": [key[0]], "hits": [hits], "extra": [found_n - hits], "missed": [len(free)]})
-
-    return found.groupBy("image").cogroup(truth.groupBy("image")).applyInPandas(one, "image long, hits long, extra long, missed long")
+    """(image, hits, extra, missed): found boxes, best score first, each take the free true box that they overlap most, the first of equals
+    by box. The found boxes are folded in order into the true ones that are left."""
+    sides = ("box", "x1", "y1", "x2", "y2")
+    a = found.groupBy("image").agg(_best_first(found).alias("found_"))
+    b = truth.groupBy("image").agg(F.array_sort(F.collect_list(F.struct(*sides))).alias("free_"))
+    none = lambda c: F.coalesce(c, F.array())
+
+    def taken(free: Column, box: Column) -> Column:
+        most = F.array_max(F.transform(free, lambda t, i: F.struct(overlap(box, t).alias("v"), (-i).alias("i"))))
+        left = F.transform(F.array(most), lambda m: F.when(m["v"] >= least, F.filter(free, lambda t, i: i != -m["i"])).otherwise(free))[0]
+        return F.coalesce(left, free)
+
+    df = a.join(b, "image", "full").select("image", none(F.col("found_")).alias("found_"), none(F.col("free_")).alias("free_"))
+    df = df.withColumn("left_", F.size(F.aggregate("found_", F.col("free_"), taken)).cast("long"))
+    hits = F.size("free_").cast("long") - F.col("left_")
+    return df.select("image", hits.alias("hits"), (F.size("found_").cast("long") - hits).alias("extra"), F.col("left_").alias("missed"))
 
 
 def image_level(rows: DataFrame, threshold: float) -> DataFrame:

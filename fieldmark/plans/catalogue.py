@@ -363,8 +363,38 @@ query("log_loss", """WITH l AS (SELECT label, list_transform(embedding, lambda x
     SELECT temperature, round(avg(ln(list_sum(list_transform(z, lambda x: exp(x / temperature)))) - z[label + 1] / temperature), 6) AS loss FROM l, t WHERE label < len(z) GROUP BY 1""")(
     lambda w: digits(metrics.log_loss(w.raw("embeddings").select(F.transform("embedding", lambda x: x.cast("double") * 5).alias("logits"), F.col("label").alias("truth")).filter(F.col("truth") < F.size("logits")), [0.5, 1.0, 2.0]), "loss", n=6)
 )
-query("suppressed_boxes")(lambda w: metrics.suppress(metrics.visible(w.boxes)))
-query("matched_boxes")(lambda w: (lambda b: metrics.match_boxes(b.filter("score >= 0.3"), b.filter("truth_score >= 0.3")))(w.boxes))
+VISIBLE = """SELECT image, box, label, a1 AS x1, b1 AS y1, a2 AS x2, b2 AS y2, score FROM (SELECT *, (x2 - x1) * (y2 - y1) AS area, greatest(0, least(x1, 1)) AS a1, greatest(0, least(y1, 1)) AS b1, greatest(0, least(x2, 1)) AS a2, greatest(0, least(y2, 1)) AS b2 FROM boxes) c
+    WHERE area > 0 AND (a2 - a1) * (b2 - b1) >= 0.5 * area"""
+
+
+def overlap_sql(a: str, b: str) -> str:
+    both = f"greatest(CAST(0 AS DOUBLE), least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(CAST(0 AS DOUBLE), least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
+    return f"({both}) / greatest(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - {both}, CAST(1e-12 AS DOUBLE))"
+
+
+BOX = "{'box': box, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score}"
+ORDERED = f"list([{BOX}] ORDER BY score DESC, box, x1, y1)"
+
+
+def suppressed_sql(boxes: str) -> str:
+    """A fold over lists of one box each: the list so far, with the next box if none overlaps it too much."""
+    kept = f"list_reduce({ORDERED}, lambda kept, b: CASE WHEN len(list_filter(kept, lambda k: {overlap_sql('k', 'b[1]')} > CAST(0.45 AS DOUBLE))) > 0 THEN kept ELSE list_concat(kept, b) END)"
+    return f"SELECT image, label, unnest(kept, recursive := true) FROM (SELECT image, label, {kept} AS kept FROM ({boxes}) x GROUP BY 1, 2) g"
+
+
+def matched_sql(found: str, truth: str) -> str:
+    """A fold that starts with the true boxes: each found one takes away the one that it overlaps most."""
+    numbered = lambda r, order, one=False: f"list({'[' * one}{BOX[:-1]}, 'r': CAST({r} AS BIGINT)}}{']' * one} ORDER BY {order})"
+    best = f"list_max(list_transform(free, lambda t: {{'v': {overlap_sql('b[1]', 't')}, 'n': -t.r}}))"
+    taken = f"list_transform([{best}], lambda m: list_filter(free, lambda t: NOT coalesce(m.v >= CAST(0.5 AS DOUBLE) AND t.r = -m.n, false)))[1]"
+    left = f"len(list_reduce(list_prepend(trues, founds), lambda free, b: {taken}))"
+    return f"""SELECT image, n - missed AS hits, len(founds) - n + missed AS extra, missed FROM (SELECT image, founds, len(trues) AS n, {left} AS missed FROM (SELECT image, coalesce(f, []) AS founds, coalesce(m, []) AS trues
+    FROM (SELECT image, {numbered("0", "score DESC, box, x1, y1", one=True)} AS f FROM ({found}) x GROUP BY 1) a FULL JOIN (SELECT image, {numbered("r", "r")} AS m FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY box, x1, y1, x2, y2) AS r FROM ({truth}) v) y GROUP BY 1) b USING (image)) z) w"""
+
+
+MATCHED = matched_sql("SELECT * FROM boxes WHERE score >= 0.3", "SELECT * FROM boxes WHERE truth_score >= 0.3")
+query("suppressed_boxes", f"{prelude('boxes')} {suppressed_sql(VISIBLE)}")(lambda w: metrics.suppress(metrics.visible(w.boxes)))
+query("matched_boxes", f"{prelude('boxes')} {MATCHED}")(lambda w: (lambda b: metrics.match_boxes(b.filter("score >= 0.3"), b.filter("truth_score >= 0.3")))(w.boxes))
 query("class_centres", "SELECT label, i - 1 AS at, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY label, i")(lambda w: digits(metrics.class_centres(w.raw("embeddings")).withColumn("at", F.col("at").cast("long")), "x", n=6))
 query("normalised_embeddings", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS l1 FROM embeddings")(
     lambda w: digits(w.raw("embeddings").select("vec_id", F.aggregate(metrics.l2_normalised(F.col("embedding")), F.lit(0.0), lambda s, x: s + F.abs(x)).alias("l1")), "l1", n=6)

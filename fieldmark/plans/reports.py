@@ -166,7 +166,7 @@ query("rename_source", f"{prelude('sources')} SELECT id, CASE WHEN name = 'high'
 
 # --- metrics ------------------------------------------------------------------------------------------------------------------------
 
-query("box_level")(lambda w: metrics.box_level(metrics.match_boxes(w.boxes.filter("score >= 0.3"), w.boxes.filter("truth_score >= 0.3"))))
+query("box_level", f"{prelude('boxes')}, m AS ({catalogue.MATCHED}) SELECT CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(extra) AS BIGINT) AS extra, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(hits) AS DOUBLE) / (sum(hits) + sum(extra)) AS precision, CAST(sum(hits) AS DOUBLE) / (sum(hits) + sum(missed)) AS recall FROM m")(lambda w: metrics.box_level(metrics.match_boxes(w.boxes.filter("score >= 0.3"), w.boxes.filter("truth_score >= 0.3"))))
 query("recall_by_category", prelude("boxes") + " , i AS (SELECT image, min(label) AS category FROM boxes GROUP BY 1) SELECT category, count(*) AS images, round(count(*) FILTER (WHERE image IN (SELECT image FROM boxes WHERE score >= 0.98)) / CAST(count(*) AS DOUBLE), 3) AS recall FROM i GROUP BY 1")(
     lambda w: metrics.recall_by_category(w.boxes.groupBy("image").agg(F.min("label").alias("category")), w.boxes, 0.98)
 )
@@ -175,7 +175,8 @@ query("majority_baseline", f"{P} SELECT max(n) AS most, CAST(sum(n) AS BIGINT) A
 query("outcome_shares", f"{P} SELECT kind, count(*) FILTER (WHERE predicted = truth) / CAST(count(*) AS DOUBLE) AS named_right, (count(predicted) - count(*) FILTER (WHERE predicted = truth)) / CAST(count(*) AS DOUBLE) AS named_wrong, (count(*) - count(predicted)) / CAST(count(*) AS DOUBLE) AS unknown FROM predictions GROUP BY 1")(lambda w: metrics.outcome_shares(metrics.outcome_by_kind(w.predictions)))
 query("observer_hash", "SELECT DISTINCT user_id, substr(sha256('observer:' || user_id), 1, 12) AS observer FROM events")(lambda w: w.raw("events").select("user_id", metrics.observer_hash(F.col("user_id")).alias("observer")).distinct())
 query("named_animals", prelude("boxes") + " SELECT box, label = 0 AS to_name FROM boxes WHERE score >= 0.2")(lambda w: metrics.named_animals(w.boxes).select("box", "to_name"))
-query("postprocessed_boxes")(lambda w: metrics.postprocessed(w.boxes.withColumn("logit", F.col("score") * 4 - 2), "logit").select("image", "box", "label"))
+SCORED = "SELECT image, box, label, x1, y1, x2, y2, sc AS score FROM (SELECT *, 1 / (1 + exp(-(score * 4 - 2))) AS sc FROM boxes) s WHERE sc > 0.2"
+query("postprocessed_boxes", f"{prelude('boxes')}, kept AS ({catalogue.suppressed_sql(SCORED)}), best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY image ORDER BY score DESC, box) <= 300) SELECT image, box, label FROM ({catalogue.VISIBLE.replace('FROM boxes', 'FROM best')}) v")(lambda w: metrics.postprocessed(w.boxes.withColumn("logit", F.col("score") * 4 - 2), "logit").select("image", "box", "label"))
 query("box_overlaps", prelude("boxes") + """, p AS (SELECT image, min(box) AS a, max(box) AS b FROM boxes GROUP BY 1), q AS (SELECT p.image, CAST(greatest(0, least(x.x2, y.x2) - greatest(x.x1, y.x1)) * greatest(0, least(x.y2, y.y2) - greatest(x.y1, y.y1)) AS DOUBLE) AS o, CAST((x.x2 - x.x1) * (x.y2 - x.y1) + (y.x2 - y.x1) * (y.y2 - y.y1) AS DOUBLE) AS t
     FROM p JOIN boxes x ON x.box = p.a JOIN boxes y ON y.box = p.b) SELECT image, round(o / nullif(t - o, 0), 6) AS iou FROM q""")(
     lambda w: (lambda b, p: digits(p.join(b.select(F.col("box").alias("a"), *[F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")]), "a").join(b.select(F.col("box").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")]), "b").select("image", metrics.iou("a", "b").alias("iou")), "iou", n=6))(
