@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from fieldmark.plans import reports  # noqa: F401
+from fieldmark.plans import papers, reports  # noqa: F401
 from fieldmark.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
