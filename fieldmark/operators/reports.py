@@ -112,7 +112,7 @@ def refused_table(refused: DataFrame, sources: list[int]) -> DataFrame:
     total = F.lit(0).cast("long")
     for s in sources:
         total = total + F.col(f"source_{s}")
-    return top_placed(wide.withColumn("total", total), 100, F.desc("total"), "reason")
+    return wide.withColumn("total", total).withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "reason")))
 
 
 def invasive_shares(zones: DataFrame, detections: DataFrame, records: DataFrame) -> DataFrame:
@@ -161,24 +161,33 @@ CAUTION_TREND = "A trend of records is no trend of abundance, which records don'
 
 
 def pairs_layer(cells: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """Co-occurrence of each zone with its gate: rho and its interval only where there are squares enough."""
+    """Co-occurrence of each zone with its gate: rho and its interval only where there are squares enough, and where both measures vary.
+
+    Reasons: "cells", "invaded" (too few squares, of all or with invasive records), "constant" (nothing to correlate).
+    """
     found = analytics.cooccurrence(cells)
-    interval = analytics.bootstrap_interval(cells.join(found.filter("reason IS NULL").select("zone_id"), "zone_id", "left_semi"), draws, seed)
+    steady = F.when(F.col("rho").isNull() | F.isnan("rho"), "constant")
+    found = found.withColumns({"reason": F.coalesce("reason", steady), "rho": F.when(~F.isnan("rho"), F.col("rho"))})
     ok = F.when(F.col("reason").isNull(), "ok").otherwise("insufficient")
-    why = F.when(F.col("reason") == "cells", F.format_string("only %d squares can be compared (need %d)", "cells", F.lit(analytics.MIN_CELLS))).otherwise(F.format_string("only %d squares have invasive records (need %d)", "invaded", F.lit(analytics.MIN_INVADED)))
-    needs = f"{analytics.MIN_CELLS} squares with {analytics.RAREFIED} native records each, {analytics.MIN_INVADED} of them with invasive records"
-    return found.join(interval, "zone_id", "left").select("zone_id", *gate(ok, why, needs, CAUTION_PAIRS), "cells", "invaded", "rho", "low", "high")
+    needs = f"squares with {analytics.RAREFIED} native records: {analytics.MIN_CELLS}; of these with invasive records: {analytics.MIN_INVADED}"
+    layer = found.select("zone_id", *gate(ok, F.col("reason"), needs, CAUTION_PAIRS), "cells", "invaded", "rho")
+    if not draws:
+        return layer
+    interval = analytics.bootstrap_interval(cells.join(layer.filter("status = 'ok'").select("zone_id"), "zone_id", "left_semi"), draws, seed)
+    return layer.join(interval, "zone_id", "left").select(*layer.columns, "low", "high")
 
 
 def trend_layer(years: DataFrame) -> DataFrame:
-    """Trends of invasive and of native records over effort for each zone, with their gate; nothing is computed where it is shut."""
+    """Trends of invasive and of native records over effort for each zone, with their gate; nothing is computed where it is shut.
+
+    Reasons: "years" (too few with effort enough), "records" (too few invasive ones).
+    """
     usable = F.col("effort") >= analytics.MIN_EFFORT
     gates = years.groupBy("zone_id").agg(F.count(F.lit(1)).alias("years_with_data"), F.count_if(usable).alias("usable_years"), F.sum("invasive").alias("invasive_records"), F.min(F.when(usable, F.col("year"))).alias("first_year"), F.max(F.when(usable, F.col("year"))).alias("last_year"))
     few_years, few_records = F.col("usable_years") < analytics.MIN_YEARS, F.col("invasive_records") < analytics.MIN_INVASIVE
     ok = F.when(few_years | few_records, "insufficient").otherwise("ok")
-    why = F.when(few_years, F.format_string("only %d years have %d+ observations (need %d)", "usable_years", F.lit(analytics.MIN_EFFORT), F.lit(analytics.MIN_YEARS)))
-    why = why.otherwise(F.format_string("only %d invasive records in the zone (need %d)", "invasive_records", F.lit(analytics.MIN_INVASIVE)))
-    needs = f"{analytics.MIN_YEARS}+ years with {analytics.MIN_EFFORT}+ observations each, and {analytics.MIN_INVASIVE}+ invasive records in the zone"
+    why = F.when(few_years, "years").otherwise("records")
+    needs = f"years of {analytics.MIN_EFFORT} observations or more: {analytics.MIN_YEARS}; invasive records: {analytics.MIN_INVASIVE}"
     layer = gates.select("zone_id", *gate(ok, why, needs, CAUTION_TREND), "years_with_data", "usable_years", "invasive_records", F.when(ok == "ok", F.col("first_year")).alias("first_year"), F.when(ok == "ok", F.col("last_year")).alias("last_year"))
     rows = years.filter(usable).join(layer.filter("status = 'ok'").select("zone_id"), "zone_id", "left_semi")
     for name in ("invasive", "native"):

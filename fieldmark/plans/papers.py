@@ -9,9 +9,9 @@ from fieldmark.operators import citations
 from fieldmark.plans.catalogue import World, query
 
 NAMES = ("BERT-2",)
-AUTHOR = "CASE WHEN n_nationkey % 5 = 0 THEN concat('É', lower(n_name)) ELSE n_name END"
+AUTHOR = "CASE WHEN n_nationkey IS NULL THEN 'Nobody' WHEN n_nationkey % 5 = 0 THEN concat('Élan', chr(97 + n_nationkey)) ELSE concat('Nat', chr(97 + n_nationkey % 23), 'or') END"
 #: A sentence that states two numbers and cites one to three works, some of them unknown, shared or unreadable.
-CITING = f"""concat(text, '\\n\\nBERT-2 found that it reached ', doc_id % 25, ' plots and 7 trees in Table 2 (', coalesce({AUTHOR}, 'Nobody'), CASE WHEN doc_id % 2 = 0 THEN ' et al.' ELSE ', ' END, ' ', 1990 + doc_id % 30,
+CITING = f"""concat(text, '\\n\\nBERT-2 found that it reached ', doc_id % 25, ' plots and 7 trees in Table 2 (', {AUTHOR}, CASE WHEN doc_id % 2 = 0 THEN ' et al.' ELSE ',' END, ' ', 1990 + doc_id % 30,
     CASE doc_id % 7 WHEN 0 THEN 'a' WHEN 1 THEN ', p. 12' ELSE '' END, CASE doc_id % 4 WHEN 0 THEN '; see 4' WHEN 1 THEN '; Muñoz & Lee 2001' ELSE '' END, ').', CASE WHEN doc_id % 11 = 0 THEN ' It is on bioRxiv.' ELSE '' END)"""
 EVIDENCE = f"SELECT n_name AS key, concat({AUTHOR}, ', A.') AS authors, CAST(1990 + n_nationkey AS INT) AS year, concat('We counted ', n_nationkey, ' plots, and seven trees.') AS quote FROM nation WHERE n_nationkey % 3 <> 1 AND n_nationkey % 25 < 20"
 REFERENCES = f"""SELECT doc_id AS doc, 'own' AS key, concat({AUTHOR}, ', B.') AS authors, CAST(1990 + n_nationkey AS INT) AS year, CASE WHEN doc_id % 2 = 0 THEN 'claim' ELSE 'method' END AS role, 'About 1,200 plots and 7 trees' AS quote FROM documents JOIN nation ON n_nationkey = doc_id % 30 WHERE n_nationkey % 3 = 1 OR n_nationkey % 8 = 0

@@ -38,6 +38,15 @@ query("best_boxes", prelude("boxes") + " SELECT image, box, label, score, row_nu
 SOFTMAX = "WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 5) AS z FROM embeddings), e AS (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)"
 
 
+def centres(w: World) -> np.ndarray:
+    """The mean vector of each label, a row a label: as many numbers as labels times components."""
+    rows = metrics.class_centres(w.raw("embeddings")).collect()
+    out = np.zeros((1 + max(r["label"] for r in rows), 1 + max(r["at"] for r in rows)))
+    for r in rows:
+        out[r["label"], r["at"]] = r["x"]
+    return out
+
+
 def softmaxed(w: World):
     return w.raw("embeddings").select("vec_id", metrics.softmax(F.transform("embedding", lambda x: x.cast("double") * 5)).alias("p"))
 
@@ -71,9 +80,10 @@ query("names_to_species", f"{BASE}, n AS (SELECT DISTINCT CASE WHEN id % 3 = 0 T
 # --- statistics -------------------------------------------------------------------------------------------------------------------
 
 PAIRS = ORACLE_SQL["cooccurrence"]
-query("pairs_layer", f"""SELECT zone_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'insufficient' END AS status, CASE reason WHEN 'cells' THEN 'only ' || cells || ' squares can be compared (need 20)' WHEN 'invaded' THEN 'only ' || invaded || ' squares have invasive records (need 5)' END AS reason,
-    CASE WHEN reason IS NOT NULL THEN '20 squares with 10 native records each, 5 of them with invasive records' END AS needs, CASE WHEN reason IS NULL THEN '{reports.CAUTION_PAIRS.replace("'", "''")}' END AS caution, cells, invaded, rho FROM ({PAIRS}) x""")(
-    lambda w: digits(reports.pairs_layer(w.cooccurrence_cells.withColumn("richness", F.round("richness", 9)), draws=2).drop("low", "high"), "rho", n=6)
+GATED = f"SELECT * REPLACE (coalesce(reason, CASE WHEN rho IS NULL OR isnan(rho) THEN 'constant' END) AS reason, CASE WHEN NOT isnan(rho) THEN rho END AS rho) FROM ({PAIRS}) x"
+query("pairs_layer", f"""SELECT zone_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'insufficient' END AS status, reason,
+    CASE WHEN reason IS NOT NULL THEN 'squares with 10 native records: 20; of these with invasive records: 5' END AS needs, CASE WHEN reason IS NULL THEN '{reports.CAUTION_PAIRS.replace("'", "''")}' END AS caution, cells, invaded, rho FROM ({GATED}) y""")(
+    lambda w: digits(reports.pairs_layer(w.cooccurrence_cells.withColumn("richness", F.round("richness", 9)), draws=0), "rho", n=6)
 )
 query("pairs_interval")(lambda w: reports.pairs_layer(w.cooccurrence_cells).select("zone_id", "status", "low", "high"))
 MK = """SELECT t.zone_id, CAST(n AS BIGINT) AS n, s, round(s / (n * (n - 1) / CAST(2 AS DOUBLE)), 6) AS tau, round(slope, 6) AS slope FROM (SELECT zone_id, count(*) AS n FROM good GROUP BY 1) t JOIN
@@ -82,8 +92,8 @@ LAYER = f"""{BASE}{YEARS}, g AS (SELECT zone_id, count(*) AS years_with_data, co
     layer AS (SELECT *, CASE WHEN usable_years < 6 OR invasive_records < 30 THEN 'insufficient' ELSE 'ok' END AS status FROM g),
     good AS (SELECT zone_id, year, invasive / CAST(effort AS DOUBLE) AS invasive, native / CAST(effort AS DOUBLE) AS native FROM years WHERE effort >= 15 AND zone_id IN (SELECT zone_id FROM layer WHERE status = 'ok')),
     a AS ({MK.replace("RATE", "invasive")}), b AS ({MK.replace("RATE", "native")})"""
-query("trend_layer", f"""{LAYER} SELECT l.zone_id, status, CASE WHEN usable_years < 6 THEN 'only ' || usable_years || ' years have 15+ observations (need 6)' WHEN invasive_records < 30 THEN 'only ' || invasive_records || ' invasive records in the zone (need 30)' END AS reason,
-    CASE WHEN status <> 'ok' THEN '6+ years with 15+ observations each, and 30+ invasive records in the zone' END AS needs, CASE WHEN status = 'ok' THEN '{reports.CAUTION_TREND.replace("'", "''")}' END AS caution, years_with_data, usable_years, invasive_records,
+query("trend_layer", f"""{LAYER} SELECT l.zone_id, status, CASE WHEN usable_years < 6 THEN 'years' WHEN invasive_records < 30 THEN 'records' END AS reason,
+    CASE WHEN status <> 'ok' THEN 'years of 15 observations or more: 6; invasive records: 30' END AS needs, CASE WHEN status = 'ok' THEN '{reports.CAUTION_TREND.replace("'", "''")}' END AS caution, years_with_data, usable_years, invasive_records,
     CASE WHEN status = 'ok' THEN y0 END AS first_year, CASE WHEN status = 'ok' THEN y1 END AS last_year, a.n AS invasive_n, a.s AS invasive_s, a.tau AS invasive_tau, a.slope AS invasive_slope, b.n AS native_n, b.s AS native_s, b.tau AS native_tau, b.slope AS native_slope
     FROM layer l LEFT JOIN a ON a.zone_id = l.zone_id LEFT JOIN b ON b.zone_id = l.zone_id""")(
     lambda w: digits(reports.trend_layer(w.trend_years).drop("invasive_p", "native_p"), "invasive_tau", "invasive_slope", "native_tau", "native_slope", n=6)
@@ -104,7 +114,7 @@ REPORT = f"""WITH pl AS ({ORACLE_SQL['pairs_layer']}), tl AS ({ORACLE_SQL['trend
     UNION ALL SELECT zone_id, 'trend', 0, 'status', coalesce('insufficient: ' || reason, status) FROM tl UNION ALL SELECT zone_id, 'trend', 1, 'usable_years', CAST(usable_years AS VARCHAR) FROM tl UNION ALL SELECT zone_id, 'trend', 2, 'invasive_records', CAST(invasive_records AS VARCHAR) FROM tl
     UNION ALL SELECT zone_id, 'trend', 3, 'invasive_s', CAST(invasive_s AS VARCHAR) FROM tl WHERE status = 'ok' UNION ALL SELECT zone_id, 'trend', 4, 'native_s', CAST(native_s AS VARCHAR) FROM tl WHERE status = 'ok'"""
 query("report_lines", f"SELECT CAST(zone_id AS BIGINT) AS zone_id, part, CAST(place AS BIGINT) AS place, key, value FROM ({REPORT}) y")(
-    lambda w: reports.report_lines(w.zones, w.detections, w.summary, w.species, w.findings, reports.pairs_layer(w.cooccurrence_cells.withColumn("richness", F.round("richness", 9)), draws=2), reports.trend_layer(w.trend_years)).withColumn("zone_id", F.col("zone_id").cast("long"))
+    lambda w: reports.report_lines(w.zones, w.detections, w.summary, w.species, w.findings, reports.pairs_layer(w.cooccurrence_cells.withColumn("richness", F.round("richness", 9)), draws=0), reports.trend_layer(w.trend_years)).withColumn("zone_id", F.col("zone_id").cast("long"))
 )
 
 # --- maps -------------------------------------------------------------------------------------------------------------------------
@@ -183,7 +193,7 @@ query("box_overlaps", prelude("boxes") + """, p AS (SELECT image, min(box) AS a,
         w.boxes, w.boxes.groupBy("image").agg(F.min("box").alias("a"), F.max("box").alias("b"))
     )
 )
-query("linear_head", """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), z AS (SELECT vec_id, list_transform(e[1:10], lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))) / CAST(0.1 AS DOUBLE)) AS z FROM n),
-    p AS (SELECT vec_id, z, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS p FROM z) SELECT vec_id, CASE WHEN p >= CAST(0.2 AS DOUBLE) THEN CAST(list_position(z, list_max(z)) - 1 AS BIGINT) ELSE -1 END AS predicted, round(p, 6) AS probability FROM p""")(
-    lambda w: digits(metrics.linear_head(w.raw("embeddings"), np.eye(10, w.raw("embeddings").select(F.size("embedding")).first()[0]), np.zeros(10), 0.1, 0.2), "probability", n=6)
-)
+query("linear_head", """WITH c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2), centre AS (SELECT label, list(x ORDER BY i) AS c FROM c GROUP BY 1),
+    n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), d AS (SELECT vec_id, label, list_inner_product(e, c) / sqrt(list_inner_product(e, e)) / CAST(0.1 AS DOUBLE) AS z FROM n, centre),
+    z AS (SELECT vec_id, list(z ORDER BY label) AS z FROM d GROUP BY 1), p AS (SELECT vec_id, z, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS p FROM z)
+    SELECT vec_id, CASE WHEN p >= CAST(0.2 AS DOUBLE) THEN CAST(list_position(z, list_max(z)) - 1 AS BIGINT) ELSE -1 END AS predicted, round(p, 6) AS probability FROM p""")(lambda w: digits(metrics.linear_head(w.raw("embeddings"), centres(w), np.zeros(10), 0.1, 0.2), "probability", n=6))

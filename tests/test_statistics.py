@@ -66,10 +66,25 @@ def test_points_on_edges_are_outside(spark):
 
 
 def test_simplified_lines():
+    import numpy as np
+
     from fieldmark.functions import geo
 
-    assert geo.simplified([(0, 0), (1, 0.0001), (2, 0), (2, 1), (2, 2)], 0.001) == [(0, 0), (2, 0), (2, 2)]
-    assert geo.simplified([(0, 0), (1, 1), (0, 0)], 0.1) == [(0, 0), (1, 1), (0, 0)]
+    kept = lambda points, tolerance: [tuple(p) for p in geo.simplified(np.array(points, float), tolerance).tolist()]
+    assert kept([(0, 0), (1, 0.0001), (2, 0), (2, 1), (2, 2)], 0.001) == [(0, 0), (2, 0), (2, 2)]
+    assert kept([(0, 0), (1, 1), (0, 0)], 0.1) == [(0, 0), (1, 1), (0, 0)]
+
+
+def test_squares_that_do_not_vary_are_insufficient(spark):
+    from fieldmark.operators import reports
+
+    cell = lambda zone, i, invasive, richness: (zone, i, 0, 20, invasive, float(richness))
+    rows = [cell(1, i, 4, i % 7) for i in range(30)] + [cell(2, i, i % 9, 5) for i in range(30)] + [cell(3, i, i % 9, i % 7) for i in range(30)] + [cell(4, i, 4, i) for i in range(5)] + [cell(5, i, i == 0, i % 7) for i in range(30)]
+    cells = spark.createDataFrame(rows, "zone_id int, cx int, cy int, all_records long, invasive_records int, richness double")
+    for draws in (0, 20):
+        got = {r.zone_id: r for r in reports.pairs_layer(cells, draws).collect()}
+        assert {z: (r.status, r.reason, r.rho is None) for z, r in got.items()} == {1: ("insufficient", "constant", True), 2: ("insufficient", "constant", True), 3: ("ok", None, False), 4: ("insufficient", "cells", True), 5: ("insufficient", "invaded", True)}
+    assert got[3].low <= got[3].rho <= got[3].high and got[1].low is None and got[2].needs and got[3].caution
 
 
 def test_an_insufficient_layer_has_no_number(spark):
@@ -78,7 +93,7 @@ def test_an_insufficient_layer_has_no_number(spark):
     years = spark.createDataFrame([(1, 2000 + i, 20, 9, 3) for i in range(8)] + [(2, 2000 + i, 20, 9, 3) for i in range(5)] + [(3, 2000 + i, 20, 1, 3) for i in range(8)], "zone_id int, year long, effort long, invasive long, native long")
     got = {r.zone_id: r for r in reports.trend_layer(years).collect()}
     assert got[1].status == "ok" and got[1].invasive_n == 8 and got[1].reason is None
-    assert got[2].reason == "only 5 years have 15+ observations (need 6)" and got[3].reason == "only 8 invasive records in the zone (need 30)"
+    assert (got[2].reason, got[2].usable_years) == ("years", 5) and (got[3].reason, got[3].invasive_records) == ("records", 8)
     assert all(got[z][c] is None for z in (2, 3) for c in ("invasive_s", "invasive_tau", "native_slope", "caution", "first_year")) and got[2].needs
 
 
