@@ -79,7 +79,7 @@ def test_squares_that_do_not_vary_are_insufficient(spark):
     from fieldmark.operators import reports
 
     cell = lambda zone, i, invasive, richness: (zone, i, 0, 20, invasive, float(richness))
-    rows = [cell(1, i, 4, i % 7) for i in range(30)] + [cell(2, i, i % 9, 5) for i in range(30)] + [cell(3, i, i % 9, i % 7) for i in range(30)] + [cell(4, i, 4, i) for i in range(5)] + [cell(5, i, i == 0, i % 7) for i in range(30)]
+    rows = [cell(1, i, 4, i % 7) for i in range(30)] + [cell(2, i, i % 9, 5) for i in range(30)] + [cell(3, i, i % 9, i % 7) for i in range(30)] + [cell(4, i, 4, i) for i in range(5)] + [cell(5, i, int(i == 0), i % 7) for i in range(30)]
     cells = spark.createDataFrame(rows, "zone_id int, cx int, cy int, all_records long, invasive_records int, richness double")
     for draws in (0, 20):
         got = {r.zone_id: r for r in reports.pairs_layer(cells, draws).collect()}
