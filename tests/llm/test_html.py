@@ -13,7 +13,7 @@ SCHEMA = "page_id long, url string, html string, text int"
 
 def text(page):
     p = read_page(page, "h")
-    return main_text(p.texts, p.inside, False, [])
+    return main_text(p.texts, p.inside, [])
 
 
 @pytest.mark.parametrize(
@@ -34,6 +34,16 @@ def text(page):
         ("<p>open <b>never closed<p>next</i></div>end", "open never closed next end"),
         ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
         ("<article><p hidden>h</p><div role=dialog>d</div><p>v</p></article>", "v"),
+        ("<article><p>We <span class='search'>searched</span> far</p><p class='notice'>n</p></article>", "We searched far n"),
+        ("<article><p>a b c d</p><section id='related-work'>e</section><div class='market share'>f</div></article>", "a b c d e f"),
+        ("<article><p>a b c d</p><section id='related'>e</section><div class='share buttons'>x</div><div class='share price'>f</div><div class='share box-2'>g</div></article>", "a b c d f"),
+        ("<form id='aspnetForm'><input type='hidden'><div><h1>T</h1><p>" + "word " * 40 + "</p></div></form>", "T " + "word " * 39 + "word"),
+        ("<article><p>a story of some words</p><form>Your name <input> Mail <input><button>Send</button></form></article>", "a story of some words"),
+        ("<div class='widget'><p>all of the page</p></div><nav>menu of many words here</nav>", "all of the page"),
+        ("<article><p>" + "short " * 60 + "</p></article><div class='comments'>" + "<p>a long answer</p>" * 200 + "</div>", "short " * 59 + "short"),
+        ("<article><div class='page-comments col-3 xyz'>c</div><p>a b c d</p><div class='has-sidebar'>s</div></article>", "a b c d s"),
+        ("<div role='search'>find <input></div><div><p role='alert'>an alert is text</p></div>", "an alert is text"),
+        ("<article>teaser</article><p>most of the text stands outside</p>", "teaser most of the text stands outside"),
         ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
     ],
 )
@@ -75,6 +85,7 @@ def plain_text(rows, min_pages, min_share):
             for x in around:
                 trees[host, x].add(content)
     bad = {k for k, v in trees.items() if len(v) >= max(min_pages, min_share * len(pages[k[0]]))}
+    assert not any("<article>" in page or "<main>" in page for _, page in rows)  # where there is none, all blocks count
     return [" ".join(t for t, around in found if not any((host, x) in bad for x in around)) for (host, _), found in zip(rows, read)]
 
 
@@ -110,15 +121,22 @@ def test_templates(spark):
     assert by[200] == (200, None, "", 0) and by[201] == (201, "http://[bad", "x", 1) and by[None][2:] == ("é", 1)
 
 
-def test_counts_decide_outside_articles(spark):
+def test_counts_take_articles_that_recur(spark):
     card = "<section><h2>More</h2><article>a teaser</article></section>"
     page = lambda i: f"<div><div>site name</div><div><p>story {i}</p></div>{card}<article>entry {i}</article><p>after {i}</p></div><nav>links {i}<article>n{i}</article></nav>"
     rows = [(i, "http://a.org", page(i), 0) for i in range(12)] + [(50, "http://b.org", page(50), 0)]
     by = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
-    assert all(by[i] == f"story {i} entry {i} after {i} n{i}" for i in range(12))
+    assert all(by[i] == f"entry {i} n{i}" for i in range(12))
     assert by[50] == "a teaser entry 50 n50"
 
 
+def test_hosts_of_any_size_have_one_law(spark):
+    page = lambda host, i: f"<div><article>teaser {host}{i}</article><article><p>a story {host}{i} of more words</p></article><section>Readers <p>Bob {host}{i}: nice</p></section></div>"
+    rows = [(n * 100 + i, f"http://h{n}.org", page(n, i), 0) for n in (1, 4, 5, 30) for i in range(n)]
+    by = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert all(by[n * 100 + i] == f"teaser {n}{i} a story {n}{i} of more words" for n in (1, 4, 5, 30) for i in range(n))
+
+
 def test_generated_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
