@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldmark.functions.references import decoded
+
 # Accented letters and what they are folded to, marks of ranks below species, and number words.
 ACCENTED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
@@ -17,6 +19,11 @@ NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve".
 
 
 def normalise(text: Column) -> Column:
+    """Character references decoded, and what ``plain`` does."""
+    return plain(decoded(text))
+
+
+def plain(text: Column) -> Column:
     """Lower case, one space between words, plain dashes, quotes and letters, a point for a raised decimal point."""
     t = F.translate(text, ACCENTED, PLAIN)
     t = F.regexp_replace(t, "[‐-―−]", "-")
@@ -36,16 +43,17 @@ def contains(text: Column, quote: Column) -> Column:
 
 
 def alnum(text: Column) -> Column:
-    return F.regexp_replace(normalise(html_to_text(text)), "[^a-z0-9]", "")
+    return F.regexp_replace(normalise(without_tags(text)), "[^a-z0-9]", "")
 
 
-def html_to_text(page: Column) -> Column:
-    """Text without scripts, styles and tags, the common character references decoded."""
+def without_tags(page: Column) -> Column:
     t = F.regexp_replace(page, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.regexp_replace(t, r"(?s)<[^>]*>", " ")
+
+
+def html_to_text(page: Column) -> Column:
+    """Text without scripts, styles and tags, character references decoded, one space for white space of any kind."""
+    return F.trim(F.regexp_replace(decoded(without_tags(page)), r"[\s\u00a0]+", " "))
 
 
 def numbers_in(text: Column, words: bool = False) -> Column:

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.functions.text import alnum, numbers_in
+from fieldmark.functions.text import numbers_in, plain
 
 # Abbreviations whose point ends no sentence, particles of names, words before a citation, preprint servers, months.
 ABBREVIATIONS = ("et al", "e.g", "i.e", "cf", "vs", "sp", "spp", "subsp", "var", "ca", "approx", "Fig", "Figs", "Eq", "No")
@@ -54,9 +54,14 @@ def citations(texts: DataFrame) -> DataFrame:
     return df.select("doc", "at", "part", get(1).alias("name"), get(2).cast("int").alias("year"), get(3).alias("letter"))
 
 
+def letters(name: Column) -> Column:
+    """What a name is compared by."""
+    return F.regexp_replace(plain(name), "[^a-z0-9]", "")
+
+
 def surname(authors: Column) -> Column:
     """What a first author is found by: the name before the comma, folded."""
-    return alnum(F.split_part(F.coalesce(authors, F.lit("")), F.lit(","), F.lit(1)))
+    return letters(F.split_part(F.coalesce(authors, F.lit("")), F.lit(","), F.lit(1)))
 
 
 def lettered(works: DataFrame, scope: list[str]) -> DataFrame:
@@ -75,7 +80,7 @@ def stated(sentence: Column, names: tuple[str, ...] = ()) -> Column:
 
 def cited_works(read: DataFrame, evidence: DataFrame, references: DataFrame) -> DataFrame:
     """(doc, name, year, letter, kind, key, graded, quotes): the works that a citation may mean, evidence or the paper's own references."""
-    asked = read.select("doc", alnum(F.col("name")).alias("surname"), "name", "year", "letter").distinct()
+    asked = read.select("doc", letters(F.col("name")).alias("surname"), "name", "year", "letter").distinct()
     fits = F.col("letter").isNull() | (F.col("letter") == F.col("own"))
     of_all = lettered(evidence, []).select("surname", "year", "own", F.lit("evidence").alias("kind"), "key", F.lit(True).alias("graded"), "quotes")
     of_one = lettered(references, ["doc"]).select("doc", "surname", "year", "own", F.lit("reference").alias("kind"), "key", F.coalesce(F.col("role") == "claim", F.lit(False)).alias("graded"), "quotes")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.functions import geo, text
+from fieldmark.functions.references import decoded, decoded_sql
 from fieldmark.operators import analytics, evidence, ingest, maintenance, metrics, serving, summary, views
 from fieldmark.sources.testdata import Domain, prelude
 from fieldmark.streaming.ingest import monthly_counts, requests_in_window
@@ -313,8 +315,13 @@ query("quotes_in_documents", """WITH d AS (SELECT DISTINCT doc_id, regexp_replac
     SELECT DISTINCT doc_id, item_id FROM d JOIN q ON contains(d.t, q.t) WHERE q.t <> ''""")(
     lambda w: evidence.quotes_found(w.raw("documents").select("doc_id", "text"), w.raw("benchmark").select("item_id", "text"), "doc_id", "item_id")
 )
-query("html_to_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'),
-    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")(lambda w: w.raw("pages").select("page_id", text.html_to_text(F.col("html")).alias("text")))
+TAGLESS = r"regexp_replace(regexp_replace(html, '<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
+query("html_to_text", rf"SELECT page_id, trim(regexp_replace({decoded_sql('t')}, '[\s\x{{00A0}}]+', ' ', 'g')) AS text FROM (SELECT page_id, {TAGLESS} AS t FROM pages) x")(lambda w: w.raw("pages").select("page_id", text.html_to_text(F.col("html")).alias("text")))
+# Every text with a reference of each kind: a name of the table, one without its semicolon, numbers, and what is none.
+REFERENCED = "concat('x&', names[CAST(doc_id % {n} AS INT) + 1], 'y &eacute &', 'unknown; &#', doc_id, '; &#x', CAST(doc_id % 10 AS STRING), 'F;', text)"
+query("character_references", f"SELECT doc_id, {decoded_sql('t')} AS text FROM (SELECT doc_id, {REFERENCED.format(n=len(html5)).replace('STRING', 'VARCHAR')} AS t FROM (SELECT doc_id, text, {sorted(html5)} AS names FROM documents) x) y")(
+    lambda w: w.raw("documents").withColumn("names", F.lit(sorted(html5))).select("doc_id", decoded(F.concat(F.lit("x&"), F.element_at("names", (F.col("doc_id") % len(html5)).cast("int") + 1), F.lit("y &eacute &unknown; &#"), "doc_id", F.lit("; &#x"), (F.col("doc_id") % 10).cast("string"), F.lit("F;"), "text")).alias("text"))
+)
 query("numbers_in_documents", r"SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '(\d),(\d{3})', '\1\2', 'g'), '\d+(?:\.\d+)?'), lambda n: CASE WHEN contains(n, '.') THEN regexp_replace(n, '\.?0+$', '') ELSE n END))) AS BIGINT) AS numbers FROM documents")(
     lambda w: w.raw("documents").select("doc_id", F.size(text.numbers_in(F.col("text"))).cast("long").alias("numbers"))
 )
