@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import cache
 from html.entities import html5
 
@@ -20,19 +19,19 @@ def western() -> dict[int, str]:
     return {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 
 
+#: Ends of a name and of what it stands for, in the table as one text.
+STARTS, IS = "\u0001", "\u0002"
+
+
 @cache
 def table() -> str:
-    """The named references by their first two letters."""
-    out: dict[str, dict[str, str]] = {}
-    for name, text in html5.items():
-        out.setdefault(name[:2], {})[name] = text
-    return json.dumps(out)
+    return "".join(f"{STARTS}{name}{IS}{text}" for name, text in html5.items()) + STARTS
 
 
 def named(name: Column) -> Column:
-    """What a name stands for; names are looked up among those that begin alike."""
-    whole = F.from_json(F.lit(table()), "map<string, map<string, string>>")
-    return F.try_element_at(F.try_element_at(whole, F.substring(name, 1, 2)), name)
+    """What one of the names stands for. The table is one text, for a map of so many literals is slow to plan with."""
+    after = F.split_part(F.lit(table()), F.concat(F.lit(STARTS), name, F.lit(IS)), F.lit(2))
+    return F.split_part(after, F.lit(STARTS), F.lit(1))
 
 
 def numbered(n: Column) -> Column:

@@ -5,6 +5,8 @@ Each set of rules is one array expression over a row, so a table is read once ho
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,10 @@ def is_preprint(doi: Column, venue: Column) -> Column:
 
 def same_title(a: Column, b: Column) -> Column:
     """Equal but for signs and case; one may end with up to two characters more."""
-    x, y = alnum(F.coalesce(a, F.lit(""))), alnum(F.coalesce(b, F.lit("")))
+    return alike(alnum(F.coalesce(a, F.lit(""))), alnum(F.coalesce(b, F.lit(""))))
+
+
+def alike(x: Column, y: Column) -> Column:
     longer = (F.least(F.length(x), F.length(y)) > 0) & (F.abs(F.length(x) - F.length(y)) <= 2) & (x.startswith(y) | y.startswith(x))
     return (x == y) | longer
 
@@ -200,3 +205,52 @@ def quotes_found(docs: DataFrame, quotes: DataFrame, doc_key: str, quote_key: st
     if 0 < short.limit(broadcast_rows + 1).count():
         near = near.unionByName(d.join(short, F.contains("t_", "s_")).select("d_", "q_"))
     return near.distinct().select(F.col("d_").alias(doc_key), F.col("q_").alias(quote_key))
+
+
+FIRST_INDEX = "doi string, title string, journal string, years array<int>, kind string, subtype string, issn string, first_author string, notices array<string>"
+SECOND_INDEX = "asked string, doi string, title string, year int, kind string, venue_kind string, retracted boolean"
+NOT_REVIEWED = ("preprint", "dissertation", "dataset", "report", "paratext", "editorial", "erratum", "retraction", "peer-review")
+
+
+def index_violations(papers: DataFrame, first: DataFrame, second: DataFrame, allowed: tuple[str, ...] = ("journal-article",), min_year: int = 2016, blocked: tuple[str, ...] = (), not_reviewed: tuple[str, ...] = NOT_REVIEWED) -> DataFrame:
+    """(paper, index, violation): where two indexes of papers contradict a citation, or one another, or say that it is no sound paper.
+
+    Both indexes meet in one full join by DOI, then the citations join that; rules look at the joined row. ``first`` has a row for a DOI,
+    ``second`` for each DOI that was asked for, with the one that it holds. A paper that the first index lacks has that one
+    violation; one that the second lacks isn't vouched for by two. Rules that an absent value leaves open aren't violated.
+    """
+    a = first.select(F.lower("doi").alias("key"), F.struct(*[F.col(c) for c in first.columns]).alias("a"))
+    b = second.select(F.lower("asked").alias("key"), F.struct(*[F.col(c) for c in second.columns]).alias("b"))
+    df = papers.withColumn("key", F.lower("doi")).join(a.join(b, "key", "full"), "key", "left")
+    x = lambda c: F.col(f"a.{c}")
+    y = lambda c: F.col(f"b.{c}")
+    has, other, text_of = F.col("a").isNotNull(), F.col("b").isNotNull(), lambda c: F.coalesce(c, F.lit(""))
+    folded = {"venue_": x("journal"), "stated_": F.split_part(text_of(F.col("authors")), F.lit(","), F.lit(1)), "author_": x("first_author"), "title_": F.col("title"), "title_a_": x("title"), "title_b_": y("title"), "journal_": F.col("journal")}
+    df = df.withColumns({k: alnum(text_of(v)) for k, v in folded.items()})  # each once, for rules to look at
+    venue, stated, author = F.col("venue_"), F.col("stated_"), F.col("author_")
+    article = x("kind") == "journal-article"
+    their = F.regexp_replace(F.lower(text_of(y("doi"))), "^https://doi[.]org/", "")
+    rules = [
+        ("first", "absent", ~has),
+        ("first", "kind", has & ~F.coalesce(x("kind").isin(*allowed), F.lit(False))),
+        ("first", "subtype", text_of(x("subtype")) != ""),
+        ("first", "no issn", has & ((venue == "") | (text_of(x("issn")) == ""))),
+        ("first", "blocked venue", (venue != "") & venue.isin(*[re.sub("[^a-z0-9]", "", v.lower()) for v in blocked])),
+        ("first", "preprint", has & is_preprint(F.col("doi"), x("journal"))),
+        ("first", "no authors", has & (author == "")),
+        ("first", "title", has & ~alike(F.col("title_a_"), F.col("title_"))),
+        ("first", "journal", (venue != "") & (venue != F.col("journal_"))),
+        ("first", "year", has & ~F.coalesce(F.array_contains(x("years"), F.col("year")), F.lit(False))),
+        ("first", "too old", F.array_min(x("years")) < min_year),
+        ("first", "author", (author != "") & (stated != "") & ~author.contains(stated) & ~stated.contains(author)),
+        ("first", "notice", F.arrays_overlap(F.transform(x("notices"), lambda n: F.lower(n)), F.array(*[F.lit(n) for n in RETRACTIONS]))),
+        ("second", "absent", has & ~other),
+        ("second", "retracted", has & y("retracted")),
+        ("second", "venue", article & (text_of(y("venue_kind")) != "") & (y("venue_kind") != "journal")),
+        ("second", "not reviewed", article & y("kind").isin(*not_reviewed)),
+        ("second", "doi", has & (their != "") & (their != F.lower("doi"))),
+        ("both", "title", (text_of(x("title")) != "") & (text_of(y("title")) != "") & ~alike(F.col("title_a_"), F.col("title_b_"))),
+        ("both", "year", (F.size(x("years")) > 0) & ~F.exists(x("years"), lambda n: F.abs(n - y("year")) <= 1)),
+    ]
+    found = F.filter(F.array(*[F.when(broken, F.struct(F.lit(i).alias("index"), F.lit(v).alias("violation"))) for i, v, broken in rules]), lambda v: v.isNotNull())
+    return df.select("paper", F.explode(found).alias("v")).select("paper", "v.index", "v.violation")

@@ -145,3 +145,28 @@ def rename_source(sources: DataFrame, old: str, new: str) -> DataFrame:
     taken = sources.filter(F.col("name") == new).agg(F.count(F.lit(1)).alias("taken_"))
     rename = (F.col("name") == old) & (F.col("taken_") == 0)
     return sources.crossJoin(F.broadcast(taken)).withColumn("name", F.when(rename, new).otherwise(F.col("name"))).drop("taken_")
+
+
+def replace_parts(rows: DataFrame, path: str, part: str, expected: list) -> None:
+    """Write rows so that each value of ``part`` in ``expected`` has these rows and no others, and other values' files aren't touched.
+
+    Rows are counted by part first: a part that is expected but has no rows, or has rows but isn't expected, is an error, and then nothing
+    is written, for a report that didn't arrive is no reason to delete the old one. Parts are swapped as the write is committed.
+    """
+    found = {r[0] for r in rows.select(part).distinct().limit(len(set(expected)) + 1).collect()}  # one more than expected tells
+    if found != set(expected):
+        raise ValueError(f"parts without rows: {sorted(map(str, set(expected) - found))}; parts that weren't expected: {sorted(map(str, found - set(expected)))}")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def seeded(stored: DataFrame, incoming: DataFrame, key: str = "slug", ident: str = "id") -> DataFrame:
+    """Stored rows with incoming ones by a name: those of a known name replace all but its number, new names get the next numbers in
+    their order, and stored rows that don't come stay. Of incoming rows with one name the last counts, by column ``seq``."""
+    columns = [c for c in stored.columns if c not in (key, ident)]
+    last = incoming.groupBy(key).agg(F.max_by(F.struct(*columns), "seq").alias("new_"))
+    df = stored.join(last, key, "full")
+    new = df.filter(F.col(ident).isNull()).select(key).withColumn("next_", F.row_number().over(Window.orderBy(key)))
+    top = stored.agg(F.coalesce(F.max(ident), F.lit(0)).alias("top_"))
+    numbers = new.crossJoin(F.broadcast(top)).select(F.col(key).alias("key_"), (F.col("top_") + F.col("next_")).alias("number_"))
+    out = df.join(numbers, F.col(key) == F.col("key_"), "left")
+    return out.select(F.coalesce(ident, "number_").alias(ident), key, *[F.when(F.col("new_").isNotNull(), F.col(f"new_.{c}")).otherwise(F.col(c)).alias(c) for c in columns])

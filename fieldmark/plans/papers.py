@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmark.functions.text import NUMBER_WORDS
-from fieldmark.operators import citations
+from fieldmark.operators import citations, evidence, maintenance
 from fieldmark.plans.catalogue import World, query
+from fieldmark.sources.testdata import prelude
 
 NAMES = ("BERT-2",)
 AUTHOR = "CASE WHEN n_nationkey IS NULL THEN 'Nobody' WHEN n_nationkey % 5 = 0 THEN concat('Élan', chr(97 + n_nationkey)) ELSE concat('Nat', chr(97 + n_nationkey % 23), 'or') END"
@@ -68,3 +69,34 @@ PROBLEMS = rf"""WITH t AS (SELECT doc_id AS doc, {CITING.replace(chr(92) + "n" +
     UNION ALL SELECT doc, NULL, 'uncited', key FROM o WHERE NOT EXISTS (SELECT 1 FROM sure WHERE sure.doc = o.doc AND kind = 'reference' AND sure.key = o.key)
     UNION ALL SELECT doc, pos, 'unquoted', array_to_string(missing, ', ') FROM miss WHERE len(missing) > 0 UNION ALL SELECT doc, pos, 'server', subject FROM serve WHERE subject <> ''"""
 query("text_problems", PROBLEMS)(problems)
+# Citations and two indexes of them, made of documents: each rule is broken by some.
+CITED = "SELECT doc_id AS paper, concat('10.1234/', doc_id) AS doi, concat('A study of plot ', doc_id) AS title, concat('Author', doc_id % 5, ', A.') AS authors, CAST(2012 + doc_id % 12 AS INT) AS year, concat('Journal ', doc_id % 4) AS journal FROM documents"
+FIRST = """SELECT concat('10.1234/', doc_id) AS doi, CASE doc_id % 13 WHEN 0 THEN 'Quite another matter' WHEN 1 THEN NULL ELSE concat('A study of plot ', doc_id) END AS title, CASE doc_id % 11 WHEN 0 THEN 'bioRxiv' WHEN 1 THEN NULL WHEN 2 THEN 'Letters' ELSE concat('Journal ', doc_id % 4) END AS journal,
+    CAST(2012 + doc_id % 12 + CASE doc_id % 17 WHEN 0 THEN 1 ELSE 0 END AS INT) AS printed, CASE doc_id % 6 WHEN 0 THEN 'book-chapter' WHEN 1 THEN NULL ELSE 'journal-article' END AS kind, CASE doc_id % 19 WHEN 0 THEN 'preprint' ELSE '' END AS subtype, CASE doc_id % 23 WHEN 0 THEN NULL ELSE '1234-5678' END AS issn,
+    CASE doc_id % 7 WHEN 0 THEN 'Somebody' WHEN 1 THEN NULL ELSE concat('Author', doc_id % 5) END AS first_author, CASE doc_id % 29 WHEN 0 THEN 'Retraction' ELSE 'correction' END AS notice FROM documents WHERE doc_id % 10 <> 3"""
+SECOND = """SELECT concat('10.1234/', doc_id) AS asked, CASE doc_id % 9 WHEN 0 THEN concat('https://doi.org/10.1234/', doc_id + 1) WHEN 1 THEN NULL ELSE concat('https://doi.org/10.1234/', doc_id) END AS doi, CASE doc_id % 14 WHEN 0 THEN 'Some other work' ELSE concat('A study of plot ', doc_id) END AS title,
+    CAST(CASE doc_id % 15 WHEN 0 THEN 1990 WHEN 1 THEN NULL ELSE 2013 + doc_id % 12 END AS INT) AS year, CASE doc_id % 16 WHEN 0 THEN 'preprint' ELSE 'article' END AS kind, CASE doc_id % 18 WHEN 0 THEN 'repository' WHEN 1 THEN NULL ELSE 'journal' END AS venue_kind, doc_id % 31 = 0 AS retracted FROM documents WHERE doc_id % 10 <> 7"""
+ALNUM = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]', '', 'g')"
+BROKEN = {
+    ("first", "absent"): "f.doi IS NULL", ("first", "kind"): "f.doi IS NOT NULL AND coalesce(f.kind, '') <> 'journal-article'", ("first", "subtype"): "f.subtype <> ''", ("first", "no issn"): "f.doi IS NOT NULL AND (f.journal IS NULL OR f.issn IS NULL)",
+    ("first", "blocked venue"): "f.journal = 'Letters'", ("first", "preprint"): "f.journal = 'bioRxiv'", ("first", "no authors"): "f.doi IS NOT NULL AND f.first_author IS NULL", ("first", "title"): f"f.doi IS NOT NULL AND {ALNUM('f.title')} <> {ALNUM('p.title')}",
+    ("first", "journal"): f"f.journal IS NOT NULL AND {ALNUM('f.journal')} <> {ALNUM('p.journal')}", ("first", "year"): "f.printed <> p.year", ("first", "too old"): "f.printed < 2016", ("first", "author"): "f.first_author IS NOT NULL AND NOT contains(lower(p.authors), lower(f.first_author))",
+    ("first", "notice"): "lower(f.notice) IN ('retraction', 'withdrawal', 'removal')", ("second", "absent"): "f.doi IS NOT NULL AND s.asked IS NULL", ("second", "retracted"): "f.doi IS NOT NULL AND s.retracted", ("second", "venue"): "f.kind = 'journal-article' AND s.venue_kind <> 'journal'",
+    ("second", "not reviewed"): "f.kind = 'journal-article' AND s.kind = 'preprint'", ("second", "doi"): "f.doi IS NOT NULL AND s.doi <> 'https://doi.org/' || p.doi", ("both", "title"): f"f.title IS NOT NULL AND s.title IS NOT NULL AND {ALNUM('f.title')} <> {ALNUM('s.title')}", ("both", "year"): "abs(f.printed - s.year) > 1",
+}
+VIOLATIONS = f"WITH p AS ({CITED}), f AS ({FIRST}), s AS ({SECOND}), j AS (SELECT p.paper, " + ", ".join(f"{c} AS c{k}" for k, c in enumerate(BROKEN.values())) + " FROM p LEFT JOIN f ON f.doi = p.doi LEFT JOIN s ON s.asked = p.doi) "
+VIOLATIONS += " UNION ALL ".join(f"SELECT paper, '{i}' AS index, '{v}' AS violation FROM j WHERE c{k}" for k, (i, v) in enumerate(BROKEN))
+
+
+def violations(w: World):
+    made = lambda sql: w.spark.sql(sql.replace("FROM documents", "FROM {documents}"), documents=w.raw("documents"))
+    first = made(FIRST).withColumns({"years": F.array("printed"), "notices": F.array("notice")}).drop("printed", "notice")
+    return evidence.index_violations(made(CITED), first, made(SECOND), blocked=("Letters",))
+
+
+query("index_violations", VIOLATIONS)(violations)
+ZONES_IN = "SELECT CASE WHEN id % 3 = 0 THEN concat(slug, '_new') ELSE slug END AS slug, concat('seen ', name) AS name, country, CAST(seq AS BIGINT) AS seq FROM (SELECT *, id * 10 AS seq FROM zones WHERE id % 2 = 0 UNION ALL SELECT *, id * 10 + 5 AS seq FROM zones WHERE id % 4 = 0) x"
+query("seeded_zones", f"""{prelude("zones")}, i AS (SELECT * FROM ({ZONES_IN}) y QUALIFY row_number() OVER (PARTITION BY slug ORDER BY seq DESC) = 1), n AS (SELECT slug, (SELECT max(id) FROM zones) + row_number() OVER (ORDER BY slug) AS number FROM i WHERE slug NOT IN (SELECT slug FROM zones))
+    SELECT CAST(coalesce(z.id, number) AS BIGINT) AS id, coalesce(z.slug, i.slug) AS slug, coalesce(i.name, z.name) AS name, coalesce(i.country, z.country) AS country FROM zones z FULL JOIN i ON i.slug = z.slug LEFT JOIN n ON n.slug = i.slug""")(
+    lambda w: maintenance.seeded(w.zones.select(F.col("id").cast("long").alias("id"), "slug", "name", "country"), w.spark.sql(ZONES_IN.replace("FROM zones", "FROM {zones}"), zones=w.zones))
+)
