@@ -66,4 +66,4 @@ def test_two_indexes(spark, first, second, want):
     a = spark.createDataFrame(row(FIRST, evidence.FIRST_INDEX, first), evidence.FIRST_INDEX)
     b = spark.createDataFrame(row(SECOND, evidence.SECOND_INDEX, second), evidence.SECOND_INDEX)
     got = evidence.index_violations(papers, a, b, blocked=("News",)).collect()
-    assert {(r.index, r.violation) for r in got} == want and len(got) == len(want)
+    assert {(r["index"], r["violation"]) for r in got} == want and len(got) == len(want)
