@@ -11,6 +11,12 @@ from fieldmark.llm.common import materialise, only
 
 # Units of measure, as they stand after a number.
 UNITS = "mm cm dm km m mg g kg t ml cl dl l ms s sec min h hr hrs kb mb gb tb hz khz mhz ghz w kw v a k usd eur gbp dollars euros pounds cents percent miles mile feet foot ft inches inch in yards meters metres grams kilograms liters litres hours hour minutes minute seconds second days day weeks week months month years year".split()
+# Numbers in words.
+NUMBER_WORDS = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12",
+    "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20", "thirty": "30", "forty": "40",
+    "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90", "hundred": "100", "thousand": "1000", "million": "1000000",
+}
 # Frequent words that sentences begin with; capitalised, they are no names.
 COMMON = frozenset(
     "a about after all also although an and another any are as at be because before being both but by can could did do does during each every few first for from given had has have he her here his how however i if in into is it its let let's many more most much my no not now of on once one only or other our she since so some such suppose than that the their then there therefore these they this those though through thus to two under until up was we were what when where whether which while who whom whose why will with would you your "
@@ -18,15 +24,18 @@ COMMON = frozenset(
     "aber als am auch auf aus bei bis da das dass dem den der des die doch du durch ein eine einem einen einer er es für hat ich ihr im in ist kann mit nach nicht nun nur ob oder sein sich sie sind so und unter vom von vor wann warum was weil welche welcher wenn wer wie wir wo zu zum zur "
     "al como con cuando de del desde donde el ella en entre es esta este ha la las lo los más me mi muy no nos o para pero por porque que se si sin sobre son su sus también un una unos y ya yo".split()
 )
-#: Marks before a name, a number and a unit; a mark alone is the placeholder.
-NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
+#: Marks before a name, a number and a unit; a mark alone is the placeholder. Marks after a word of a name or digits, and after a number word.
+NAME, NUMBER, UNIT, END, SPELT = "\x01", "\x02", "\x03", "\x04", "\x05"
+#: Forms of a text: with placeholders, and plain lower-case words.
+TEMPLATE, PLAIN = 0, 1
 
 
 @dataclass(frozen=True)
 class TemplateRules:
     """Windows of ``width`` template words, of which ``literals`` are no placeholders; an item counts from ``share`` of its windows.
 
-    Items with fewer words than ``width`` are looked for as whole texts, and with ``inside`` in longer documents as well.
+    Items with fewer words than ``width`` are looked for as whole texts, and with ``inside`` in longer documents as well; all but two
+    of their words, and one at least, must be literal.
     """
 
     width: int = 5
@@ -35,105 +44,129 @@ class TemplateRules:
     inside: bool = False
 
 
+def joined(words) -> str:
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+
+def without_signs(text: Column) -> Column:
+    """Texts without marks of their own, and without signs between digits (1,000 and 3.14)."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x05]", " "), r"(\d)[.,:/](?=\d)", "$1")
+
+
 def marked(text: Column) -> Column:
     """Template words of a text; a placeholder is its mark and what it stands for.
 
-    Numbers are digits, with signs between digits taken out (1,000 and 3.14); units are fixed words after a number; names are
-    capitalised words, each by itself and wherever they stand, but for common ones, which may begin sentences. All else is in lower
-    case without punctuation.
+    Numbers are digits, or runs of number words; units are fixed words after digits; names are runs of capitalised words, wherever
+    they stand, but for common ones, which may begin sentences. All else is in lower case without punctuation.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
-    t = F.regexp_replace(t, r"(\d)[.,:/](?=\d)", "$1")
-    t = F.regexp_replace(t, r"(^|[^\p{L}\p{M}])(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", f"$1{NAME}$2")
-    t = F.regexp_replace(t, r"\d+", f"{NUMBER}$0")
-    t = F.regexp_replace(F.lower(t), rf"(\x02\d+[ -]{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))})([^\p{{L}}\p{{M}}]|$)", f"$1 {UNIT}$2$3")
-    words = F.array_remove(F.split(t, r"[^\p{L}\p{M}\p{Nd}\x01-\x03]+"), "")
-    return F.transform(words, lambda w: F.when((w < NUMBER) & F.substring(w, 2, 1000).isin(*sorted(COMMON)), F.substring(w, 2, 1000)).otherwise(w))
+    t = F.regexp_replace(without_signs(text), r"(^|[^\p{L}\p{M}])(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", f"$1{NAME}$2{END}")
+    t = F.regexp_replace(F.lower(t), rf"\x01({joined(COMMON | set(NUMBER_WORDS))})\x04", "$1")
+    t = F.regexp_replace(t, r"\x04[ '-]\x01", END)
+    t = F.regexp_replace(t, r"\d+", f"{NUMBER}$0{END}")
+    t = F.regexp_replace(t, rf"(\x02\d+\x04[ -]{{0,2}})({joined(UNITS)})([^\p{{L}}\p{{M}}]|$)", f"$1 {UNIT}$2$3")
+    t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{Nd}\x01-\x05]+", "  ")  # each word has a space of its own on both sides
+    t = F.regexp_replace(t, rf"(^| )({joined(NUMBER_WORDS)})( |$)", f"$1{NUMBER}$2{SPELT}$3")
+    t = F.regexp_replace(t, r"\x05  \x02([a-z])", f"{SPELT}$1")
+    return F.array_remove(F.split(t, " +"), "")
+
+
+def plain(text: Column) -> Column:
+    """Words in lower case without punctuation."""
+    return F.array_remove(F.split(F.lower(without_signs(text)), r"[^\p{L}\p{M}\p{Nd}]+"), "")
 
 
 def canonical(words: Column) -> Column:
     """Placeholders without what they stand for: their marks are the least of all characters that words begin with."""
-    return F.transform(words, lambda w: F.when(w < "\x04", F.substring(w, 1, 1)).otherwise(w))
+    return F.transform(words, lambda w: F.when(w < END, F.substring(w, 1, 1)).otherwise(w))
+
+
+def values(words: Column) -> Column:
+    """Single number words as digits, so that 7 and seven are one value."""
+    digits = F.create_map(*[F.lit(x) for w, d in NUMBER_WORDS.items() for x in (NUMBER + w + SPELT, NUMBER + d + END)])
+    return F.transform(words, lambda w: F.coalesce(digits[w], w))
 
 
 # Windows are exploded with the outer form: the plain one makes the optimizer infer a filter on the array, which it pushes below
 # the projection that makes the words, so that they would be made anew for every window.
-def window_hashes(words: str, width: int) -> Column:
-    """A hash for each window of ``width`` words; one for all words where there are fewer, none without words."""
-    hashed = lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(width)])
-    n = F.size(words)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), hashed)).otherwise(F.array().cast("array<bigint>"))
+def window_hashes(words: str, width: int, form: int) -> Column:
+    """(place, form, h) of each window of ``width`` words; of all words where there are fewer, none without words."""
+    return _windows(words, width, form, F.size(words) > 0)
+
+
+def short_windows(words: str, n: int, form: int) -> Column:
+    """(place, form, h) of each window of ``n`` words, where there are more; h is that of a whole text of these words."""
+    return _windows(words, n, form, F.size(words) > n)
 
 
-def short_windows(words: str, n: int) -> Column:
-    """(place, h) of each window of ``n`` words, where there are more; h is that of a whole text of these words."""
-    hashed = lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(F.col(words), i + k) for k in range(n)]).alias("h"))
-    size = F.size(words)
-    return F.when(size > n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), hashed)).otherwise(F.array().cast("array<struct<place: int, h: bigint>>"))
+def _windows(words: str, n: int, form: int, where: Column) -> Column:
+    h = lambda i: F.xxhash64(F.lit(form), *[F.get(F.col(words), i + k) for k in range(n)])
+    found = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.struct(i.alias("place"), F.lit(form).alias("form"), h(i).alias("h")))
+    return F.when(where, found).otherwise(F.array().cast("array<struct<place: int, form: int, h: bigint>>"))
 
 
 def item_windows(items: DataFrame, rules: TemplateRules) -> DataFrame:
-    """(item_id, at, h) of the windows with enough literal words; of all windows of an item where none has enough."""
-    df = items.select(F.col("item_id"), canonical(marked(F.col("text"))).alias("w")).withColumn("h", window_hashes("w", rules.width))
-    df = df.select("item_id", "w", F.posexplode_outer("h").alias("at", "h"))
+    """(item_id, form, at, h) of the template windows with enough literal words, and of all plain ones."""
+    df = items.select(F.col("item_id"), canonical(marked(F.col("text"))).alias("w"), plain(F.col("text")).alias("p"))
+    both = F.concat(window_hashes("w", rules.width, TEMPLATE), window_hashes("p", rules.width, PLAIN))
+    df = df.select("item_id", "w", F.explode_outer(both).alias("x")).select("item_id", "w", "x.form", F.col("x.place").alias("at"), "x.h")
     literal = F.size(F.filter(F.slice("w", F.col("at") + 1, rules.width), lambda x: ~x.rlike(r"^[\x01-\x03]")))
-    df = df.select("item_id", "at", "h", (literal >= F.least(F.lit(rules.literals), F.size("w"))).alias("good"))
-    has = df.groupBy(F.col("item_id").alias("id_")).agg(F.max("good").alias("any_"))
-    return df.join(has, F.col("item_id").eqNullSafe(F.col("id_"))).filter(F.col("good") | ~F.col("any_")).select("item_id", "at", "h")
+    enough = literal >= F.greatest(F.lit(1), F.least(F.lit(rules.literals), F.size("w") - 2))
+    return df.filter((F.col("form") == PLAIN) | enough).select("item_id", "form", "at", "h")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id) of every document that holds a benchmark item, word for word or with other numbers, names or units.
+    """(doc_id, item_id) of every document that holds a benchmark item, word for word in any case or with other numbers, names or units.
 
     Returns doc_id, item_id, n_windows (of the item, distinct), n_matched, n_changed (slots with another value) and containment, at
-    least ``share``. Template windows are joined by their hashes. A document that holds ``share`` of an item's windows has one of its
-    rarest few, so pairs are made by these alone, and other windows are compared only for those pairs. Along an alignment of document
-    and item every value of the item must stand for one value in the document; where it doesn't, only windows without placeholders
-    count. The item side is broadcast up to ``broadcast_rows`` windows (16 bytes each) and shuffled beyond. A null text has no words
-    and leaks nothing; items without words, or without an id, are never found. Documents are told apart by doc_id and text, null ids
-    included: rows that share a doc_id are never put together, and rows that share both are found once. Other columns are ignored.
-    No rows: no rows.
+    least ``share``; of the template where it counts, else of the plain words. Windows of both forms are joined by their hashes. A
+    document that holds ``share`` of an item's windows has one of its rarest few, so pairs are made by these alone, and other windows
+    are compared only for those pairs. Every value of the item must stand for one value in the document, over all windows of the
+    pair, or over those of one alignment that has enough by itself (a document may hold an item twice with other values); where it
+    doesn't, only windows without placeholders count. The item side is broadcast up to ``broadcast_rows`` windows (16 bytes each) and
+    shuffled beyond. A null text has no words and leaks nothing; items without words, or without an id, are never found. Documents
+    are told apart by doc_id and text, null ids included: rows that share a doc_id are never put together, and rows that share both
+    are found once. Other columns are ignored. No rows: no rows.
     """
     docs, items = only(docs, "doc_id", "text"), only(items, "item_id", "text").filter(F.col("item_id").isNotNull())
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_"), "text")
-    key = ["doc_id", "text_"]
+    key, item = ["doc_id", "text_"], ["item_id", "form"]
     windows = materialise(item_windows(items, rules), "windows").df
-    sizes = windows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    sizes = windows.groupBy(*item).agg(F.countDistinct("h").alias("n_windows"))
     small = windows.count() <= broadcast_rows
     near = F.broadcast if small else (lambda df: df)
-    own = docs.select(*key, canonical(marked(F.col("text"))).alias("w"))
-    n_words = items.select(F.size(marked(F.col("text"))).alias("n"))
-    short = sorted(r.n for r in n_words.filter(F.col("n").between(1, rules.width - 1)).distinct().collect()) if rules.inside else []
-    if short:  # at most width - 1 lengths
-        whole = F.transform(window_hashes("w", rules.width), lambda h, i: F.struct(i.alias("place"), h.alias("h")))
-        seen = own.select(*key, F.explode_outer(F.concat(whole, *[short_windows("w", n) for n in short])).alias("x")).select(*key, "x.place", "x.h")
-    else:
-        own = own.select(*key, window_hashes("w", rules.width).alias("hs"))
-        seen = own.select(*key, F.posexplode_outer("hs").alias("place", "h"))
+    lengths = items.select(F.explode(F.array(F.struct(F.lit(TEMPLATE).alias("form"), F.size(marked(F.col("text"))).alias("n")), F.struct(F.lit(PLAIN).alias("form"), F.size(plain(F.col("text"))).alias("n")))).alias("x"))
+    short = sorted((r.n, r.form) for r in lengths.select("x.*").filter(F.col("n").between(1, rules.width - 1)).distinct().collect()) if rules.inside else []  # width - 1 lengths of two forms at most
+    words = {TEMPLATE: "w", PLAIN: "p"}
+    own = docs.select(*key, canonical(marked(F.col("text"))).alias("w"), plain(F.col("text")).alias("p"))
+    asked = [window_hashes(w, rules.width, form) for form, w in words.items()] + [short_windows(words[form], n, form) for n, form in short]
+    seen = own.select(*key, F.explode_outer(F.concat(*asked)).alias("x")).select(*key, "x.place", "x.h")
     hashes = windows.select(F.col("h").alias("h_")).distinct()
     found = materialise(seen.join(near(hashes), F.col("h") == F.col("h_")).select(*key, "place", "h"), "found").df
 
     # an item's windows from the rarest in documents on; all but share of them, and one more, are enough to meet
     df = found.groupBy(F.col("h").alias("h_")).agg(F.count(F.lit(1)).alias("df"))
-    ranked = windows.select("item_id", "h").distinct().join(sizes, "item_id").join(df, F.col("h") == F.col("h_"), "left")
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "h"))
+    ranked = windows.select(*item, "h").distinct().join(sizes, item).join(df, F.col("h") == F.col("h_"), "left")
+    place = F.row_number().over(Window.partitionBy(*item).orderBy(F.coalesce("df", F.lit(0)), "h"))
     rare = ranked.withColumn("place_", place).filter(F.col("df").isNotNull() & (F.col("place_") <= F.col("n_windows") - F.ceil(F.lit(rules.share) * F.col("n_windows") - 1e-9) + 1))
-    rare = materialise(rare.select("item_id", F.col("h").alias("h_")), "rare").df
-    pairs = found.select(*key, "h").distinct().join(near(rare), F.col("h") == F.col("h_")).select(*key, "item_id").distinct()
-    wanted = pairs.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), F.col("item_id").alias("i_"))
-    asked = wanted.join(near(windows), F.col("i_") == F.col("item_id")).select("d_", "t_", "item_id", F.col("h").alias("h_"), "at")
-    lines = found.join(asked, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("text_") == F.col("t_")) & (F.col("h") == F.col("h_"))).select(*key, "item_id", "h", "place", "at")
+    rare = materialise(rare.select(*item, F.col("h").alias("h_")), "rare").df
+    pairs = found.select(*key, "h").distinct().join(near(rare), F.col("h") == F.col("h_")).select(*key, *item).distinct()
+    wanted = pairs.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), F.col("item_id").alias("i_"), F.col("form").alias("f_"))
+    asked = wanted.join(near(windows), (F.col("i_") == F.col("item_id")) & (F.col("f_") == F.col("form"))).select("d_", "t_", *item, F.col("h").alias("h_"), "at")
+    lines = found.join(asked, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("text_") == F.col("t_")) & (F.col("h") == F.col("h_"))).select(*key, *item, "h", "place", "at")
     lines = materialise(lines, "lines").df
-    full = lines.groupBy(*key, "item_id").agg(F.countDistinct("h").alias("n")).join(sizes, "item_id").filter(F.col("n") >= rules.share * F.col("n_windows"))
-    full = materialise(full.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), F.col("item_id").alias("i_"), "n_windows"), "full").df
+    full = lines.groupBy(*key, *item).agg(F.countDistinct("h").alias("n")).join(sizes, item).filter(F.col("n") >= rules.share * F.col("n_windows"))
+    full = materialise(full.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), F.col("item_id").alias("i_"), F.col("form").alias("f_"), "n_windows"), "full").df
     same = F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("text_") == F.col("t_"))
-    lines = lines.join(full, same & (F.col("item_id") == F.col("i_")))
-    lines = lines.groupBy(*key, "item_id", "n_windows", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_list(F.struct("at", "h")).alias("at"))
+    lines = lines.join(full, same & (F.col("item_id") == F.col("i_")) & (F.col("form") == F.col("f_")))
+    lines = lines.groupBy(*key, *item, "n_windows", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_list(F.struct("at", "h")).alias("at"))
 
-    texts = docs.join(full.select("d_", "t_").distinct(), same, "left_semi").dropDuplicates(key)
-    texts = texts.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), marked(F.col("text")).alias("dw"))
-    words = items.select(F.col("item_id").alias("i_"), marked(F.col("text")).alias("iw"))
-    lines = lines.join(words, F.col("item_id") == F.col("i_")).join(texts, same)
+    # plain words have no slots: empty arrays stand for them
+    texts = docs.join(full.filter(F.col("f_") == TEMPLATE).select("d_", "t_").distinct(), same, "left_semi").dropDuplicates(key)
+    texts = texts.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), values(marked(F.col("text"))).alias("dw"))
+    words_of = items.select(F.col("item_id").alias("i_"), F.lit(TEMPLATE).alias("f_"), values(marked(F.col("text"))).alias("iw")).dropDuplicates(["i_", "iw"])
+    lines = lines.join(words_of, (F.col("item_id") == F.col("i_")) & (F.col("form") == F.col("f_")), "left").join(texts, same & (F.col("form") == TEMPLATE), "left")
+    none = F.array().cast("array<string>")
+    lines = lines.withColumns({"iw": F.coalesce("iw", none), "dw": F.coalesce("dw", none)})
 
     def slots(x: Column) -> Column:
         """(item's value, document's value) of the placeholders of the window at x."""
@@ -142,10 +175,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
         return F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda s: s["a"].rlike(r"^[\x01-\x03]"))
 
     lines = lines.withColumn("pairs", F.array_distinct(F.flatten(F.transform("at", slots))))
-    lines = lines.withColumn("even", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: s["a"]))))
-    good = F.filter("at", lambda x: F.col("even") | (F.size(slots(x)) == 0))
+    even = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: s["a"])))
     changed = F.size(F.filter("pairs", lambda s: s["a"] != s["b"]))
-    lines = lines.select(*key, "item_id", "n_windows", F.when(F.col("even"), changed).otherwise(0).alias("changed"), F.explode_outer(F.transform(good, lambda x: x["h"])).alias("h"))
-    out = lines.groupBy(*key, "item_id", "n_windows").agg(F.countDistinct("h").alias("n_matched"), F.max("changed").cast("long").alias("n_changed"))
-    out = out.filter(F.col("n_matched") >= rules.share * F.col("n_windows"))
-    return out.select("doc_id", "item_id", "n_windows", "n_matched", "n_changed", (F.col("n_matched") / F.col("n_windows")).alias("containment"))
+    alone = F.size(F.array_distinct(F.transform("at", lambda x: x["h"])))
+    no_slot, no_hash = F.lit(None).cast("struct<a: string, b: string>"), F.lit(None).cast("long")
+    rows = F.concat(
+        F.transform("at", lambda x: F.struct(x["h"].alias("h"), F.when(F.size(slots(x)) == 0, x["h"]).alias("bare"), no_slot.alias("s"))),
+        F.transform("pairs", lambda s: F.struct(no_hash.alias("h"), no_hash.alias("bare"), F.struct(s["a"].alias("a"), s["b"].alias("b")).alias("s"))),
+    )
+    lines = lines.select(*key, *item, "n_windows", F.when(even, alone).alias("alone"), F.when(even, changed).alias("changed"), F.explode_outer(rows).alias("x"))
+    out = lines.groupBy(*key, *item, "n_windows").agg(
+        F.countDistinct("x.h").alias("n_all"),
+        F.countDistinct("x.bare").alias("n_bare"),
+        (F.countDistinct("x.s") == F.countDistinct("x.s.a")).alias("even"),
+        F.countDistinct(F.when(F.col("x.s.a") != F.col("x.s.b"), F.col("x.s"))).alias("n_changed"),
+        F.max("alone").alias("alone"),
+        F.max("changed").alias("changed"),
+    )
+    matched = F.greatest(F.when(F.col("even"), F.col("n_all")).otherwise(F.col("n_bare")), F.col("alone").cast("long"))
+    changed = F.when(F.col("even"), F.col("n_changed")).otherwise(F.coalesce(F.col("changed").cast("long"), F.lit(0).cast("long")))
+    out = out.select(*key, *item, "n_windows", matched.alias("n_matched"), changed.alias("n_changed")).filter(F.col("n_matched") >= rules.share * F.col("n_windows"))
+    best = F.min_by(F.struct("n_windows", "n_matched", "n_changed"), "form").alias("x")
+    out = out.groupBy(*key, "item_id").agg(best).select("doc_id", "item_id", "x.*")
+    return out.withColumn("containment", F.col("n_matched") / F.col("n_windows"))

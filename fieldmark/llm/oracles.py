@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmark.llm.decontaminate import COMMON, UNITS, TemplateRules
+from fieldmark.llm.decontaminate import COMMON, NUMBER_WORDS, UNITS, TemplateRules, joined
 from fieldmark.llm.licenses import PHRASES, TEMPLATES, BlockRules, Template, words_of
 from fieldmark.llm.quality import CHAR_CLASSES, COMMON_WORDS, QualityRules, vocabulary
 
@@ -48,36 +48,54 @@ FROM base LEFT JOIN dist c ON c.r = base.r AND c.kind = 1 LEFT JOIN dist w ON w.
 
 
 def leaks_sql(rules: TemplateRules = TemplateRules()) -> str:
-    """Template windows as lists of words, joined by equality, with the check of slots along each alignment."""
+    """Windows of template words (form 0) and of plain words (form 1) as lists, joined by equality, with the check of slots."""
     pair = "regexp_replace({}, '(\\d)[.,:/](\\d)', '\\1\\2', 'g')"
-    t = pair.format(pair.format("regexp_replace(coalesce(text, ''), '[\\x01-\\x03]', ' ', 'g')"))
-    t = f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{M}}])(\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{M}}]*)', '\\1' || chr(1) || '\\2', 'g')"
-    t = f"regexp_replace({t}, '\\d+', chr(2) || '\\0', 'g')"
-    t = f"regexp_replace(lower({t}), '(\\x02\\d+[ -]{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))})([^\\p{{L}}\\p{{M}}]|$)', '\\1 ' || chr(3) || '\\2\\3', 'g')"
-    words = f"list_filter(regexp_split_to_array({t}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\x01-\\x03]+'), lambda x: x <> '')"
-    words = f"list_transform({words}, lambda x: CASE WHEN x < chr(2) AND x[2:] IN ({_list(sorted(COMMON))}) THEN x[2:] ELSE x END)"
+    bare = pair.format(pair.format("regexp_replace(coalesce(text, ''), '[\\x01-\\x05]', ' ', 'g')"))
+    steps = [
+        ("(^|[^\\p{L}\\p{M}])(\\p{Lu}\\p{Ll}[\\p{L}\\p{M}]*)", "'\\1' || chr(1) || '\\2' || chr(4)"),
+        (f"\\x01({joined(COMMON | set(NUMBER_WORDS))})\\x04", "'\\1'"),
+        ("\\x04[ ''-]\\x01", "chr(4)"),
+        ("\\d+", "chr(2) || '\\0' || chr(4)"),
+        (f"(\\x02\\d+\\x04[ -]{{0,2}})({joined(UNITS)})([^\\p{{L}}\\p{{M}}]|$)", "'\\1 ' || chr(3) || '\\2\\3'"),
+        ("[^\\p{L}\\p{M}\\p{Nd}\\x01-\\x05]+", "'  '"),
+        (f"(^| )({joined(NUMBER_WORDS)})( |$)", "'\\1' || chr(2) || '\\2' || chr(5) || '\\3'"),
+        ("\\x05  \\x02([a-z])", "chr(5) || '\\1'"),
+    ]
+    t = bare
+    for i, (pattern, by) in enumerate(steps):
+        quoted = pattern if "''" in pattern else pattern.replace("'", "''")
+        t = f"regexp_replace({f'lower({t})' if i == 1 else t}, '{quoted}', {by}, 'g')"
+    words = f"list_filter(regexp_split_to_array({t}, ' +'), lambda x: x <> '')"
+    low = f"list_filter(regexp_split_to_array(lower({bare}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]+'), lambda x: x <> '')"
+    digits = "CASE x " + " ".join(f"WHEN chr(2) || '{w}' || chr(5) THEN chr(2) || '{d}' || chr(4)" for w, d in NUMBER_WORDS.items()) + " ELSE x END"
     k = rules.width
     fits = "len(w) >= k" if rules.inside else f"(len(w) >= {k} AND k = {k} OR len(w) = k)"
+    forms = lambda name, cols: f"""{name}1 AS (SELECT {cols}, 0 AS form, list_transform(v, lambda x: {digits}) AS v, list_transform(v, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS w FROM {name}0
+    UNION ALL SELECT {cols}, 1, p, p FROM {name}0)"""
     return f"""
-WITH i0 AS (SELECT item_id, {words} AS v FROM benchmark WHERE item_id IS NOT NULL),
-d0 AS (SELECT row_number() OVER () AS r, doc_id, {words} AS v FROM (SELECT DISTINCT doc_id, text FROM documents) y),
-i1 AS (SELECT item_id, v, list_transform(v, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS w FROM i0),
-d1 AS (SELECT r, doc_id, v, list_transform(v, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS w FROM d0),
-i2 AS (SELECT item_id, v, w, least(len(w), {k}) AS k, unnest(range(greatest(len(w) - {k - 1}, 1))) AS p FROM i1 WHERE len(w) > 0),
-i3 AS (SELECT item_id, v, p, k, w[p + 1:p + {k}] AS x, len(list_filter(w[p + 1:p + {k}], lambda y: y[1] >= chr(4))) >= least({rules.literals}, len(w)) AS good FROM i2),
-i4 AS (SELECT *, bool_or(good) OVER (PARTITION BY item_id) AS has FROM i3),
-win AS (SELECT item_id, v, p, k, x FROM i4 WHERE good OR NOT has),
-sizes AS (SELECT item_id, count(DISTINCT x) AS n_windows FROM win GROUP BY 1),
-d2 AS (SELECT r, v, w, k, unnest(range(len(w) - k + 1)) AS q FROM d1, (SELECT DISTINCT k FROM win) y WHERE {fits}),
-hit AS (SELECT d.r, i.item_id, i.x, i.p, d.q, i.v AS iv, d.v AS dv FROM (SELECT r, v, q, k, w[q + 1:q + k] AS x FROM d2) d JOIN win i ON i.x = d.x AND i.k = d.k),
-whole AS (SELECT r, item_id, n_windows FROM hit JOIN sizes USING (item_id) GROUP BY ALL HAVING count(DISTINCT x) >= {rules.share} * n_windows),
-near AS (SELECT h.*, n_windows, q - p AS shift, list_transform(range({k}), lambda j: [iv[p + j + 1], dv[q + j + 1]]) AS s FROM hit h JOIN whole USING (r, item_id)),
-cut AS (SELECT *, list_filter(s, lambda y: y[1] < chr(4)) AS slots FROM near),
-slot AS (SELECT r, item_id, shift, unnest(slots) AS y FROM cut),
-fair AS (SELECT r, item_id, shift, count(DISTINCT y) = count(DISTINCT y[1]) AS even, count(DISTINCT y) FILTER (WHERE y[1] <> y[2]) AS changed FROM slot GROUP BY 1, 2, 3),
-done AS (SELECT c.r, c.item_id, n_windows, count(DISTINCT x) FILTER (WHERE coalesce(even, true) OR len(slots) = 0) AS n_matched, coalesce(max(changed) FILTER (WHERE even), 0) AS n_changed
-    FROM cut c LEFT JOIN fair f ON f.r = c.r AND f.item_id = c.item_id AND f.shift = c.shift GROUP BY 1, 2, 3)
-SELECT doc_id, item_id, n_windows, n_matched, n_changed, n_matched / CAST(n_windows AS DOUBLE) AS containment FROM done JOIN d0 USING (r) WHERE n_matched >= {rules.share} * n_windows"""
+WITH i0 AS (SELECT item_id, {words} AS v, {low} AS p FROM benchmark WHERE item_id IS NOT NULL),
+d0 AS (SELECT row_number() OVER () AS r, doc_id, {words} AS v, {low} AS p FROM (SELECT DISTINCT doc_id, text FROM documents) y),
+{forms("i", "item_id")},
+{forms("d", "r, doc_id")},
+i2 AS (SELECT item_id, form, v, w, least(len(w), {k}) AS k, unnest(range(greatest(len(w) - {k - 1}, 1))) AS p FROM i1 WHERE len(w) > 0),
+win AS (SELECT item_id, form, v, p, k, w[p + 1:p + {k}] AS x FROM i2
+    WHERE form = 1 OR len(list_filter(w[p + 1:p + {k}], lambda y: y[1] >= chr(4))) >= greatest(1, least({rules.literals}, len(w) - 2))),
+sizes AS (SELECT item_id, form, count(DISTINCT x) AS n_windows FROM win GROUP BY 1, 2),
+d2 AS (SELECT r, d.form, v, w, k, unnest(range(len(w) - k + 1)) AS q FROM d1 d JOIN (SELECT DISTINCT form, k FROM win) y ON y.form = d.form AND {fits}),
+hit AS (SELECT d.r, i.item_id, i.form, i.x, i.p, d.q, i.v AS iv, d.v AS dv FROM (SELECT r, form, v, q, k, w[q + 1:q + k] AS x FROM d2) d JOIN win i ON i.x = d.x AND i.k = d.k AND i.form = d.form),
+whole AS (SELECT r, item_id, form, n_windows FROM hit JOIN sizes USING (item_id, form) GROUP BY ALL HAVING count(DISTINCT x) >= {rules.share} * n_windows),
+cut AS (SELECT h.r, h.item_id, h.form, n_windows, x, q - p AS shift, CASE WHEN h.form = 1 THEN [] ELSE list_filter(list_transform(range({k}), lambda j: [iv[p + j + 1], dv[q + j + 1]]), lambda y: y[1] < chr(4)) END AS slots
+    FROM hit h JOIN whole USING (r, item_id, form)),
+slot AS (SELECT r, item_id, form, shift, unnest(slots) AS y FROM cut),
+line AS (SELECT r, item_id, form, shift, count(DISTINCT y) = count(DISTINCT y[1]) AS even, count(DISTINCT y) FILTER (WHERE y[1] <> y[2]) AS changed FROM slot GROUP BY 1, 2, 3, 4),
+pairs AS (SELECT r, item_id, form, count(DISTINCT y) = count(DISTINCT y[1]) AS even, count(DISTINCT y) FILTER (WHERE y[1] <> y[2]) AS changed FROM slot GROUP BY 1, 2, 3),
+alone AS (SELECT c.r, c.item_id, c.form, c.shift, count(DISTINCT x) AS n, coalesce(max(changed), 0) AS changed FROM cut c LEFT JOIN line l USING (r, item_id, form, shift) WHERE coalesce(even, true) GROUP BY 1, 2, 3, 4),
+best AS (SELECT r, item_id, form, max(n) AS n, max(changed) AS changed FROM alone GROUP BY 1, 2, 3),
+done AS (SELECT c.r, c.item_id, c.form, n_windows, greatest(count(DISTINCT x) FILTER (WHERE coalesce(p.even, true) OR len(slots) = 0), coalesce(max(b.n), 0)) AS n_matched,
+        CASE WHEN coalesce(bool_and(p.even), true) THEN coalesce(max(p.changed), 0) ELSE coalesce(max(b.changed), 0) END AS n_changed
+    FROM cut c LEFT JOIN pairs p USING (r, item_id, form) LEFT JOIN best b USING (r, item_id, form) GROUP BY 1, 2, 3, 4),
+one AS (SELECT * FROM done WHERE n_matched >= {rules.share} * n_windows QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY form) = 1)
+SELECT doc_id, item_id, n_windows, n_matched, n_changed, n_matched / CAST(n_windows AS DOUBLE) AS containment FROM one JOIN d0 USING (r)"""
 
 
 def licenses_sql(rules: BlockRules = BlockRules()) -> str:

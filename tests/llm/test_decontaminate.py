@@ -48,7 +48,44 @@ def test_names_at_the_start_and_full_names(spark):
     item = "Maria Lopez has three red boxes with seven coins inside, so how many coins does Maria Lopez have if Peter takes one box away?"
     other = "the list: Ingrid Berg has three red boxes with seven coins inside, so how many coins does Ingrid Berg have if Karl takes one box away? more"
     got = leaks(spark, [(1, other), (2, other.replace("does Ingrid Berg", "does Karl Berg"))], [(1, item)])
-    assert set(got) == {(1, 1)} and got[1, 1].n_changed == 3
+    assert set(got) == {(1, 1)} and got[1, 1].n_changed == 2  # a full name is one slot
+
+
+ITEM = "At the fair of the village Maria Lopez sold 25 baskets of ripe plums before noon, and later Maria Lopez gave another 7 baskets to the baker who lives beside the old stone bridge"
+TABLE = [
+    ("other names and numbers", ITEM.replace("Maria Lopez", "Ingrid Berg").replace("25", "31"), True),
+    ("lower case", ITEM.lower(), True),
+    ("upper case", ITEM.upper(), True),
+    ("one word for two", ITEM.replace("Maria Lopez", "Ingrid"), True),
+    ("three words for two", ITEM.replace("Maria Lopez", "Anna Ingrid Berg"), True),
+    ("number words", ITEM.replace("25", "thirty").replace("7", "nine"), True),
+    ("numbers of two words", ITEM.replace("25", "thirty-one"), True),
+    ("two names for one", ITEM.replace("Maria Lopez", "Ingrid Berg", 1).replace("Maria Lopez", "Karl Holm"), False),
+    ("two names for one, with a word inserted", ITEM.replace("Maria Lopez", "Ingrid Berg", 1).replace("Maria Lopez", "Karl Holm").replace("before noon", "long before noon"), False),
+    ("one name of two, so 0.8 of the windows word for word", ITEM.replace("Maria Lopez", "Ingrid Berg", 1), True),
+    ("a word inserted", ITEM.replace("Maria Lopez", "Ingrid Berg").replace("before noon", "long before noon"), True),
+    ("twice with other values", ITEM.replace("Maria Lopez", "Ingrid Berg") + ". " + ITEM.replace("Maria Lopez", "Karl"), True),
+]
+
+
+def test_case_lengths_and_alignments(spark, tmp_path):
+    """The operator and its SQL, from the table of what counts as the same item."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    docs = [(i, f"they wrote there {t} and so on") for i, (_, t, _) in enumerate(TABLE)]
+    spark.createDataFrame([(i, t, "en", "x", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = entry.queries()["op4_decontamination"](spark, str(tmp_path))
+    rows = {tuple(r) for r in df.collect()}
+    got = {r[df.columns.index("doc_id")] for r in rows}
+    assert {name: i in got for i, (name, _, _) in enumerate(TABLE)} == {name: found for name, _, found in TABLE}
+    with duckdb.connect() as con:
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+        plain = con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()['op4_decontamination']}) y").fetchall()
+    assert {tuple(r) for r in plain} == rows
 
 
 def test_windows_that_many_items_share(spark):
