@@ -45,7 +45,12 @@ class TemplateRules:
 
 
 def joined(words) -> str:
-    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    """An alternation of words that tries each beginning once."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(words):
+        tails.setdefault(w[0], []).append(w[1:])
+    rest = {c: joined([t for t in ts if t]) if any(ts) else "" for c, ts in tails.items()}
+    return "|".join(c + (f"(?:{rest[c]}){'?' * ('' in ts)}" if rest[c] else "") for c, ts in tails.items())
 
 
 def without_signs(text: Column) -> Column:
@@ -89,26 +94,39 @@ def values(words: Column) -> Column:
 # Windows are exploded with the outer form: the plain one makes the optimizer infer a filter on the array, which it pushes below
 # the projection that makes the words, so that they would be made anew for every window.
 def window_hashes(words: str, width: int, form: int) -> Column:
-    """(place, form, h) of each window of ``width`` words; of all words where there are fewer, none without words."""
+    """A hash for each window of ``width`` words; one for all words where there are fewer, none without words."""
     return _windows(words, width, form, F.size(words) > 0)
 
 
 def short_windows(words: str, n: int, form: int) -> Column:
-    """(place, form, h) of each window of ``n`` words, where there are more; h is that of a whole text of these words."""
+    """A hash for each window of ``n`` words, where there are more; that of a whole text of these words."""
     return _windows(words, n, form, F.size(words) > n)
 
 
 def _windows(words: str, n: int, form: int, where: Column) -> Column:
     h = lambda i: F.xxhash64(F.lit(form), *[F.get(F.col(words), i + k) for k in range(n)])
-    found = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.struct(i.alias("place"), F.lit(form).alias("form"), h(i).alias("h")))
-    return F.when(where, found).otherwise(F.array().cast("array<struct<place: int, form: int, h: bigint>>"))
+    return F.when(where, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), h)).otherwise(F.array().cast("array<bigint>"))
+
+
+def exploded(df: DataFrame, keep: list[str], arrays: list[Column]) -> DataFrame:
+    """(keep, starts, at, h): the arrays end to end; an array's own places begin at its start."""
+    names = [f"h{i}_" for i in range(len(arrays))]
+    df = df.select(*keep, *[a.alias(n) for a, n in zip(arrays, names, strict=True)])
+    sizes = [F.size(n) for n in names]
+    starts = F.array(*[sum(sizes[:i], F.lit(0)) for i in range(len(sizes))])
+    return df.select(*keep, starts.alias("starts"), F.posexplode_outer(F.concat(*names)).alias("at", "h"))
+
+
+def which() -> Column:
+    """The last array that starts at the place or before, from 0; empty ones before it start there too."""
+    return F.size(F.filter("starts", lambda x: x <= F.col("at"))) - 1
 
 
 def item_windows(items: DataFrame, rules: TemplateRules) -> DataFrame:
     """(item_id, form, at, h) of the template windows with enough literal words, and of all plain ones."""
     df = items.select(F.col("item_id"), canonical(marked(F.col("text"))).alias("w"), plain(F.col("text")).alias("p"))
-    both = F.concat(window_hashes("w", rules.width, TEMPLATE), window_hashes("p", rules.width, PLAIN))
-    df = df.select("item_id", "w", F.explode_outer(both).alias("x")).select("item_id", "w", "x.form", F.col("x.place").alias("at"), "x.h")
+    df = exploded(df, ["item_id", "w"], [window_hashes("w", rules.width, TEMPLATE), window_hashes("p", rules.width, PLAIN)])
+    df = df.filter(F.col("h").isNotNull()).select("item_id", "w", which().alias("form"), (F.col("at") - F.get("starts", which())).alias("at"), "h")
     literal = F.size(F.filter(F.slice("w", F.col("at") + 1, rules.width), lambda x: ~x.rlike(r"^[\x01-\x03]")))
     enough = literal >= F.greatest(F.lit(1), F.least(F.lit(rules.literals), F.size("w") - 2))
     return df.filter((F.col("form") == PLAIN) | enough).select("item_id", "form", "at", "h")
@@ -139,9 +157,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     words = {TEMPLATE: "w", PLAIN: "p"}
     own = docs.select(*key, canonical(marked(F.col("text"))).alias("w"), plain(F.col("text")).alias("p"))
     asked = [window_hashes(w, rules.width, form) for form, w in words.items()] + [short_windows(words[form], n, form) for n, form in short]
-    seen = own.select(*key, F.explode_outer(F.concat(*asked)).alias("x")).select(*key, "x.place", "x.h")
+    seen = exploded(own, key, asked)
     hashes = windows.select(F.col("h").alias("h_")).distinct()
-    found = materialise(seen.join(near(hashes), F.col("h") == F.col("h_")).select(*key, "place", "h"), "found").df
+    found = materialise(seen.join(near(hashes), F.col("h") == F.col("h_")).select(*key, (F.col("at") - F.get("starts", which())).alias("place"), "h"), "found").df
 
     # an item's windows from the rarest in documents on; all but share of them, and one more, are enough to meet
     df = found.groupBy(F.col("h").alias("h_")).agg(F.count(F.lit(1)).alias("df"))
