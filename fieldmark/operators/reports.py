@@ -296,3 +296,7 @@ def in_rectangle(lon: Column, lat: Column, west: float, south: float, east: floa
 
 def geodesic_areas(polygons: DataFrame) -> DataFrame:
     return polygons.select(F.col("id").alias("zone_id"), geo.geodesic_km2(F.col("rings")).alias("area_km2"))
+
+
+def ellipsoid_areas(polygons: DataFrame) -> DataFrame:
+    return polygons.select(F.col("id").alias("zone_id"), geo.ellipsoid_km2(F.col("rings")).alias("area_km2"))

@@ -122,6 +122,18 @@ query("report_lines", f"SELECT CAST(zone_id AS BIGINT) AS zone_id, part, CAST(pl
 query("zone_features")(lambda w: reports.zone_features(w.polygons, serving.zones_overview(w.polygons, w.detections, w.records, w.media)))
 query("zone_collection")(lambda w: reports.feature_collection(reports.zone_features(w.polygons, serving.zones_overview(w.polygons, w.detections, w.records, w.media))))
 R2 = f"CAST({geo.AUTHALIC_KM} AS DOUBLE) * CAST({geo.AUTHALIC_KM} AS DOUBLE)"
+def _below(lat: str, width: str) -> str:
+    """Area between the equator and a side between two points of one latitude, for an equatorial radius of one."""
+    e = geo.ECCENTRICITY
+    x = f"({e!r}::DOUBLE * sin(radians({lat})))"
+    beta = f"asin({1 - e * e!r}::DOUBLE * (sin(radians({lat})) / (1 - {x} * {x}) + ln((1 + {x}) / (1 - {x})) / {2 * e!r}::DOUBLE) / {geo.POLE_ZONE!r}::DOUBLE)"
+    return f"{geo.POLE_ZONE!r}::DOUBLE * atan(tan(radians({width}::DOUBLE) / 2) * sin({beta}))"
+
+
+query("ellipsoid_areas", f"""{prelude("zones")} SELECT id AS zone_id, round({geo.EQUATOR_KM**2!r}::DOUBLE * (CASE WHEN is_corner
+    THEN {_below("lat0 + 0.4::DOUBLE", "0.25")} + {_below("lat0 + 0.2::DOUBLE", "0.25")} ELSE {_below("lat0 + 0.4::DOUBLE", "0.5")} END - {_below("lat0", "0.5")}), 3) AS area_km2 FROM zones""")(
+    lambda w: digits(reports.ellipsoid_areas(w.polygons), "area_km2", n=3)
+)
 query("geodesic_areas", f"""{prelude("zones")} SELECT id AS zone_id, round({R2} * (radians(CAST(0.5 AS DOUBLE)) * (sin(radians(lat0 + CAST(0.4 AS DOUBLE))) - sin(radians(lat0))) - CASE WHEN is_corner THEN radians(CAST(0.25 AS DOUBLE)) * (sin(radians(lat0 + CAST(0.4 AS DOUBLE))) - sin(radians(lat0 + CAST(0.2 AS DOUBLE)))) ELSE 0 END), 3) AS area_km2 FROM zones""")(
     lambda w: digits(reports.geodesic_areas(w.polygons), "area_km2", n=3)
 )
