@@ -66,22 +66,35 @@ def assign_zones(points: DataFrame, polygons: DataFrame, keep: list[str], max_br
     return met.groupBy(*keep).agg(F.min(F.when(inside, F.col("zone_"))).alias("assigned_zone"))
 
 
-def near_duplicate_media(media: DataFrame, distance: int = 2) -> DataFrame:
+def near_duplicate_media(media: DataFrame, distance: int = 2, stored: DataFrame | None = None) -> DataFrame:
     """(id, original): media with an earlier one of the same moment and size whose image hash differs in few bits; the lowest id.
 
+    ``stored``: other media, of any id, that count as earlier ones too.
     A hash is cut into ``distance + 1`` blocks of bits; two hashes that are so close have one of them in common. Media of one hash are
     compared as one, and the join is on moment, size and block, so media of one moment, many where times are days, meet only by blocks.
     """
     key = ["captured_at", "w", "h"]
-    m = media.filter("captured_at IS NOT NULL AND phash IS NOT NULL").select("id", "phash", "captured_at", F.coalesce("width", F.lit(-1)).alias("w"), F.coalesce("height", F.lit(-1)).alias("h"))
-    hashes = m.groupBy(*key, "phash").agg(F.min("id").alias("first"))
     cuts = [round(64 * i / (distance + 1)) for i in range(distance + 2)]
     blocks = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("phash", a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("v")) for i, (a, z) in enumerate(zip(cuts, cuts[1:]))]
-    cut = hashes.select(*key, "phash", "first", F.explode(F.array(*blocks)).alias("x")).select(*key, "phash", "first", "x.b", "x.v")
-    other = cut.select(*key, F.col("phash").alias("other_hash"), F.col("first").alias("original"), "b", "v")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.filter("captured_at IS NOT NULL AND phash IS NOT NULL").select("id", "phash", "captured_at", F.coalesce("width", F.lit(-1)).alias("w"), F.coalesce("height", F.lit(-1)).alias("h"))
+
+    def cut(df: DataFrame) -> DataFrame:
+        hashes = df.groupBy(*key, "phash").agg(F.min("id").alias("first"))
+        return hashes.select(*key, "phash", "first", F.explode(F.array(*blocks)).alias("x")).select(*key, "phash", "first", "x.b", "x.v")
+
+    m = keyed(media)
+    own = cut(m)
+    other = own.withColumn("old", F.lit(False))
+    if stored is not None:
+        other = other.unionByName(cut(keyed(stored)).withColumn("old", F.lit(True)))
+    other = other.select(*key, F.col("phash").alias("other_hash"), F.col("first").alias("other"), "old", "b", "v")
     close = F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash"))) <= distance
-    found = cut.join(other, [*key, "b", "v"]).filter(close).groupBy(*key, "phash").agg(F.min("original").alias("original"))
-    return m.join(found, [*key, "phash"]).filter(F.col("original") < F.col("id")).select("id", "original")
+    first = lambda where: F.min(F.when(where, F.col("other")))
+    found = own.join(other, [*key, "b", "v"]).filter(close).groupBy(*key, "phash").agg(first(~F.col("old")).alias("before"), first(F.col("old")).alias("kept"))
+    original = F.least("kept", F.when(F.col("before") < F.col("id"), F.col("before")))
+    return m.join(found, [*key, "phash"]).select("id", original.alias("original")).filter("original IS NOT NULL")
 
 
 def merge_species(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldmark.functions import geo
-from fieldmark.operators import maintenance, metrics, reports, serving, summary
+from fieldmark.operators import detect, maintenance, metrics, reports, serving, summary
 from fieldmark.plans import catalogue
 from fieldmark.plans.catalogue import BASE, EVENTS_AS_OF, JUDGED, ORACLE_SQL, PAIR_CELLS, QUERIES, YEARS, P, World, digits, points_sql, query  # noqa: F401
 from fieldmark.sources.testdata import prelude
@@ -209,3 +209,49 @@ query("linear_head", """WITH c AS (SELECT label, i, avg(CAST(embedding[i] AS DOU
     n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), d AS (SELECT vec_id, label, list_inner_product(e, c) / sqrt(list_inner_product(e, e)) / CAST(0.1 AS DOUBLE) AS z FROM n, centre),
     z AS (SELECT vec_id, list(z ORDER BY label) AS z FROM d GROUP BY 1), p AS (SELECT vec_id, z, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS p FROM z)
     SELECT vec_id, CASE WHEN p >= CAST(0.2 AS DOUBLE) THEN CAST(list_position(z, list_max(z)) - 1 AS BIGINT) ELSE -1 END AS predicted, round(p, 6) AS probability FROM p""")(lambda w: digits(metrics.linear_head(w.raw("embeddings"), centres(w), np.zeros(10), 0.1, 0.2), "probability", n=6))
+
+# --- detection jobs ---------------------------------------------------------------------------------------------------------------
+
+
+def load_media(url: str) -> bytes:
+    """The bytes of an image of the test tables: its hash, in digits; some addresses don't answer, some images are broken."""
+    _, number, bits = url.split(":")
+    if int(number) % 13 == 0:
+        raise ConnectionError(number)
+    return b"" if int(number) % 17 == 0 else bits.encode()
+
+
+def decode_media(content: bytes) -> tuple[int, int]:
+    return int(content), int(content)
+
+
+def media_detector():
+    """Boxes by an image's hash, up to three; some images can't be searched."""
+
+    def find(pictures: list[int]) -> list[list[tuple]]:
+        if any(p % 11 == 7 for p in pictures):
+            raise RuntimeError("too large")
+        return [[(i, 0.5, 0.1, 0.1, 0.2, 0.2) for i in range(p % 4)] for p in pictures]
+
+    return find
+
+
+def detected(w: World):
+    """Outcomes of all new media that have an address; done ones are stored."""
+    steps = detect.Steps(load_media, decode_media, media_detector)
+    new = w.media.filter("status = 'new' AND id % 29 <> 0").withColumn("image_url", F.concat_ws(":", F.lit("media"), "id", "phash"))
+    images = detect.fetched(new, steps, 1000)  # these images are a few bytes each
+    doubles = detect.twins(images, w.media.filter("status = 'done'").withColumn("id", F.col("id").cast("long")))
+    return detect.outcomes(images, doubles, steps, 1000)
+
+
+JOBS = f"""{JUDGED}, q AS (SELECT *, CASE WHEN id % 13 = 0 THEN 'download' WHEN id % 17 = 0 THEN 'unreadable' END AS bad FROM media WHERE status = 'new' AND id % 29 <> 0),
+    known AS (SELECT id, captured_at, width, height, phash, false AS old FROM q WHERE bad IS NULL UNION ALL SELECT id, captured_at, width, height, phash, true FROM media WHERE status = 'done'),
+    t AS (SELECT a.id, min(b.id) AS twin FROM q a JOIN known b ON a.captured_at = b.captured_at AND a.width IS NOT DISTINCT FROM b.width AND a.height IS NOT DISTINCT FROM b.height AND (b.old OR b.id < a.id) AND bit_count(xor(a.phash, b.phash)) <= 2 WHERE a.bad IS NULL GROUP BY 1),
+    o AS (SELECT q.id, coalesce(bad, CASE WHEN twin IS NOT NULL THEN 'near_duplicate' WHEN phash % 11 = 7 THEN 'detector' END) AS reason, twin, phash % 4 AS n FROM q LEFT JOIN t ON t.id = q.id)"""
+query("detection_outcomes", f"{JOBS} SELECT CAST(id AS BIGINT) AS id, CASE WHEN reason IS NULL THEN 'done' WHEN reason = 'near_duplicate' THEN 'skipped' ELSE 'failed' END AS status, reason, CAST(twin AS BIGINT) AS twin, CAST(CASE WHEN reason IS NULL THEN n ELSE 0 END AS INTEGER) AS boxes FROM o")(
+    lambda w: detected(w).select("id", "status", "reason", "twin", F.size("boxes").alias("boxes"))
+)
+query("detection_counts", f"{JOBS} SELECT count(*) AS claimed, count(*) FILTER (WHERE reason <> 'near_duplicate') AS failed, count(*) FILTER (WHERE reason = 'near_duplicate') AS duplicates, count(*) FILTER (WHERE reason IS NULL AND n > 0) AS with_boxes, count(*) FILTER (WHERE reason IS NULL AND n = 0) AS empty, CAST(coalesce(sum(n) FILTER (WHERE reason IS NULL), 0) AS BIGINT) AS boxes FROM o")(
+    lambda w: detect.run_counts(detected(w))
+)
