@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldmark.functions import geo
+from fieldmark.functions import geo, pixels
 from fieldmark.operators import detect, maintenance, metrics, reports, serving, summary
 from fieldmark.plans import catalogue
 from fieldmark.plans.catalogue import BASE, EVENTS_AS_OF, JUDGED, ORACLE_SQL, PAIR_CELLS, QUERIES, YEARS, P, World, digits, points_sql, query  # noqa: F401
@@ -255,3 +255,30 @@ query("detection_outcomes", f"{JOBS} SELECT CAST(id AS BIGINT) AS id, CASE WHEN
 query("detection_counts", f"{JOBS} SELECT count(*) AS claimed, count(*) FILTER (WHERE reason <> 'near_duplicate') AS failed, count(*) FILTER (WHERE reason = 'near_duplicate') AS duplicates, count(*) FILTER (WHERE reason IS NULL AND n > 0) AS with_boxes, count(*) FILTER (WHERE reason IS NULL AND n = 0) AS empty, CAST(coalesce(sum(n) FILTER (WHERE reason IS NULL), 0) AS BIGINT) AS boxes FROM o")(
     lambda w: detect.run_counts(detected(w))
 )
+
+
+def pictures(w: World):
+    """Each vector as a picture of 16 by 4 pixels: a component, its opposite and its double are a pixel's colours."""
+    shade = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 300 * x.cast("double")))).cast("int")
+    colours = F.flatten(F.transform("embedding", lambda x: F.array(shade(x), 255 - shade(x), 2 * shade(x) % 256)))
+    content = F.unhex(F.array_join(F.transform(colours, lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return w.raw("embeddings").select("vec_id", F.lit(16).alias("width"), F.lit(4).alias("height"), content.alias("content"))
+
+
+def _line_sql(size: int, to: int, first: int, n: int) -> str:
+    """(o, i, w): weights of pixels i for places o, of a line that grows."""
+    x = f"abs(i + 0.5::DOUBLE - (o + {first} + 0.5::DOUBLE) * {size} / {to}::DOUBLE)"
+    k = f"CASE WHEN x < 1 THEN 1.5::DOUBLE * x * x * x - 2.5::DOUBLE * x * x + 1 WHEN x < 2 THEN -0.5::DOUBLE * (x * x * x - 5 * x * x + 8 * x - 4) ELSE 0 END"
+    return f"SELECT o, i, CAST(sign(k) * floor(abs(k / sum(k) OVER (PARTITION BY o)) * 4194304 + 0.5::DOUBLE) AS BIGINT) AS w FROM (SELECT o, i, {k} AS k FROM (SELECT o, i, {x} AS x FROM range({n}) a(o), range({size}) b(i)) c) d"
+
+
+_SUMS = "greatest(0, least(255, CAST(floor((sum(v * w) + 2097152) / 4194304::DOUBLE) AS BIGINT))) AS v"
+query("prepared_pixels", f"""WITH s AS (SELECT vec_id, i, CAST(least(255, greatest(0, floor(128 + 300 * CAST(embedding[i + 1] AS DOUBLE)))) AS BIGINT) AS s FROM embeddings, range(64) t(i)),
+    p AS (SELECT vec_id, i % 16 AS x, i // 16 AS y, c, CASE c WHEN 0 THEN s WHEN 1 THEN 255 - s ELSE 2 * s % 256 END AS v FROM s, range(3) t(c)), kx AS ({_line_sql(16, 24, 9, 6)}), ky AS ({_line_sql(4, 6, 0, 6)}),
+    h AS (SELECT vec_id, c, y, kx.o AS x, {_SUMS} FROM p JOIN kx ON kx.i = p.x GROUP BY 1, 2, 3, 4), q AS (SELECT vec_id, c, x, ky.o AS y, {_SUMS} FROM h JOIN ky ON ky.i = h.y GROUP BY 1, 2, 3, 4)
+    SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * ((y * 6 + x) * 3 + c + 1)) AS BIGINT) AS by_place, CAST(min(v) AS BIGINT) AS lowest, CAST(max(v) AS BIGINT) AS highest FROM q GROUP BY 1""")(
+    lambda w: pixels.prepared(pictures(w), 6, "vec_id", 1000).select(
+        "vec_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + p).alias("total"), F.aggregate(F.transform("pixels", lambda p, i: p * (i + 1)), F.lit(0).cast("long"), lambda a, p: a + p).alias("by_place"),
+        F.array_min("pixels").cast("long").alias("lowest"), F.array_max("pixels").cast("long").alias("highest"),
+    )
+)
