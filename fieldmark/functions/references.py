@@ -38,7 +38,7 @@ def numbered(n: Column) -> Column:
     """The character of a number: none for controls and for what is no character, a sign of replacement beyond Unicode."""
     code_page = F.create_map(*[F.lit(x) for pair in western().items() for x in pair])
     control = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
-    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    plain = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), "UTF-32")  # the first mark of byte order, which the decoder drops
     return F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), REPLACEMENT).when(n.between(0x80, 0x9F), F.try_element_at(code_page, n)).when(control, "").otherwise(plain)
 
 

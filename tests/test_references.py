@@ -24,6 +24,12 @@ def test_every_reference(spark):
     assert got[len(texts) - 501] is None
 
 
+def test_a_mark_of_byte_order_is_a_character(spark):
+    texts = ["a&#65279;b", "&#xFEFF;", "&#xfeff;&#65279;c", "&#65534;&#65280;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.u for r in df.select(decoded(F.col("t")).alias("u")).collect()] == [html.unescape(t) for t in texts]
+
+
 def test_pages_and_quotes(spark):
     df = spark.createDataFrame([("<p>Caf&eacute;&nbsp;&#8211; it&rsquo;s&#x2019; <b>1&middot;5</b> &lt;b&gt; &bogus;</p>",)], "t string")
     assert df.select(text.html_to_text(F.col("t"))).first()[0] == "Café – it’s’ 1·5 <b> &bogus;"
