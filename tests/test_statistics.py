@@ -106,3 +106,24 @@ def test_zone_documents(spark):
     assert len(features) == 25 and all(f["geometry"]["coordinates"][0][0] == f["geometry"]["coordinates"][0][-1] and f["properties"]["media"] >= 0 for f in features)
     collection = json.loads(QUERIES["zone_collection"](spark, "/root/testdata/sf0.001").first().collection)
     assert sorted(map(str, collection["features"])) == sorted(map(str, features))
+
+
+def test_trends_and_reports_compute_their_years_once(spark):
+    """Years of records are the costly part: a plan that names them several times made them anew each time."""
+    from fieldmark.plans.catalogue import World
+    from fieldmark.operators import reports
+
+    w = World(spark, "/root/testdata/sf0.001")
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey#") and sum("Relation" in x and "l_orderkey" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert scans(w.trend_years) == 1 == scans(reports.trend_layer(w.trend_years)) == scans(analytics.trend(w.trend_years))
+    layer = reports.trend_layer(w.trend_years)
+    assert layer.filter("invasive_p IS NOT NULL").count() == layer.filter("status = 'ok'").count()
+    none = [w.zones, w.zones.selectExpr("id AS zone_id", "0L AS media_id", "0L AS species_id"), w.zones.selectExpr("id AS zone_id", "0L AS species_id", "0L AS records", "date'2020-01-01' AS first_record", "date'2020-01-01' AS last_record", "1L AS sources")]
+    pairs = w.zones.selectExpr("id AS zone_id", "'ok' AS status", "CAST(NULL AS string) AS reason", "1L AS cells", "1L AS invaded", "0.5D AS rho")
+    assert scans(reports.report_lines(none[0], none[1], none[2], w.species, w.findings, pairs, layer)) == 1
+
+
+def test_pairs_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 1, 2.0), (1, 2, None), (1, 3, 2.0), (1, None, 5.0), (2, 1, 1.0), (2, 1, 2.0), (2, 1, 3.0), (2, 1, 3.0)], "g int, t int, y double")
+    got = {r.g: r for r in analytics.mann_kendall(df, "t", "y", "g").collect()}
+    assert (got[1].n, got[1].s, got[1].slope) == (5, 1, 0.25) and (got[2].n, got[2].s, got[2].slope, got[2].z) == (4, None, None, None)
