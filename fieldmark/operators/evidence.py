@@ -178,11 +178,12 @@ def _chosen(text: str, one: bool) -> np.ndarray:
 def quotes_found(docs: DataFrame, quotes: DataFrame, doc_key: str, quote_key: str, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc, quote) for every quote that stands in a text, whatever the spacing and typography.
 
-    ``docs`` and ``quotes`` are (key, text). Both are squashed once. A text's fingerprints are the least hashes of neighbouring grams, so
+    ``docs`` and ``quotes`` are (key, text). Whole texts are squashed as they are read, and those of pairs once more. A text's fingerprints are the least hashes of neighbouring grams, so
     that a text that holds a quote has the quote's first one; pairs meet by it, and containment decides. Quotes too short for a
     fingerprint (under 47 signs) are looked for in every text, in blocks; a null or empty quote stands nowhere.
     """
-    d = docs.select(F.col(doc_key).alias("d_"), squash(F.col("text")).alias("t_")).filter("t_ <> ''").distinct()
+    raw = docs.select(F.col(doc_key).alias("d_"), F.col("text").alias("raw_")).filter("raw_ IS NOT NULL")
+    d = raw.select("d_", squash(F.col("raw_")).alias("t_"))  # a filter or distinct texts here would squash or shuffle all of them again
     q = quotes.select(F.col(quote_key).alias("q_"), squash(F.col("text")).alias("s_")).filter("s_ <> ''").distinct()
     long_ = F.length("s_") >= GRAM + SPAN - 1
 
@@ -200,7 +201,7 @@ def quotes_found(docs: DataFrame, quotes: DataFrame, doc_key: str, quote_key: st
     marks = d.select("d_", "t_").mapInArrow(prints(False), f"d_ {kind(d, 'd_')}, h long")
     asked = q.filter(long_).select("q_", "s_").mapInArrow(prints(True), f"q_ {kind(q, 'q_')}, h long")
     pairs = marks.join(asked, "h").select("d_", "q_").distinct()
-    near = pairs.join(q, "q_").join(d, "d_").filter(F.contains("t_", "s_")).select("d_", "q_")
+    near = pairs.join(q, "q_").join(raw, "d_").filter(F.contains(squash(F.col("raw_")), F.col("s_"))).select("d_", "q_")
     short = q.filter(~long_)
     if 0 < short.limit(broadcast_rows + 1).count():
         near = near.unionByName(d.join(short, F.contains("t_", "s_")).select("d_", "q_"))

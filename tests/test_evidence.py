@@ -73,3 +73,13 @@ def test_quotes_found_in_any_text(spark):
     want = {(i, k) for i, t in enumerate(texts) for k, q in enumerate(quotes) if squashed(q) and squashed(q) in squashed(t)}
     docs, asked = (spark.createDataFrame(list(enumerate(x)), f"{n} long, text string") for x, n in ((texts, "doc"), (quotes, "quote")))
     assert {tuple(r) for r in evidence.quotes_found(docs, asked, "doc", "quote").collect()} == want
+
+
+def test_whole_texts_are_not_grouped_to_find_quotes(spark):
+    """Grouping by texts shuffled all of them, three times."""
+    docs = spark.createDataFrame([(1, "Some text &amp; more of it"), (1, "Some text &amp; more of it"), (2, None), (3, "")], "doc long, text string")
+    asked = spark.createDataFrame([("a", "text & MORE"), ("b", ""), ("c", None)], "quote string, text string")
+    found = evidence.quotes_found(docs, asked, "doc", "quote")
+    assert [tuple(r) for r in found.collect()] == [(1, "a")]
+    groups = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert groups and not any("t_#" in x for x in groups)
