@@ -63,6 +63,20 @@ def test_each_paper_has_its_own_references(spark):
     assert problems(spark, texts, references=references) == {(2, "unquoted", "5"), (3, "unknown", "Müller 2021")}
 
 
+def test_texts_are_read_once(spark):
+    df = citations.text_problems(spark.createDataFrame([(1, BODY)], T), spark.createDataFrame(EVIDENCE, E), spark.createDataFrame(REFERENCES, R))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
+def test_papers_that_share_an_id_or_have_none(spark):
+    texts = [(1, "We saw 5 (Mora 2020). On bioRxiv."), (1, "We saw 7. On bioRxiv."), (None, "We saw 7 (Okello 2019; Mora 2020).")]
+    references = [(1, "mo", "Mora, J.", 2020, "claim", ["we saw 5"]), (1, "un", "Un, U.", 2020, "claim", []), (1, "un", "Un, V.", 2021, "claim", None), (None, "mo", "Mora, J.", 2020, "claim", [])]
+    rows = citations.text_problems(spark.createDataFrame(texts, T), spark.createDataFrame(EVIDENCE, E), spark.createDataFrame(references, R)).collect()
+    assert sorted((r.doc or 0, r.code, r.subject) for r in rows) == [
+        (0, "uncited", "mo"), (0, "unknown", "Mora 2020"), (1, "server", "biorxiv"), (1, "server", "biorxiv"), (1, "uncited", "un"), (1, "uncited", "un"), (1, "unquoted", "7"),
+    ]
+
+
 def test_letters_tell_works_of_one_year_apart(spark):
     references = [(1, "k1", "Mora, J.", 2020, "claim", ["we saw 5"]), (1, "k2", "Mora, J.", 2020, "claim", ["we saw 6"])]
     assert problems(spark, [(1, "We saw 5 (Mora 2020a). We saw 6 (Mora 2020b).")], references=references) == set()
