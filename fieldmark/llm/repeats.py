@@ -8,7 +8,7 @@ window's end, is the unit of work:
 1. cores are counted by hash, a filter: a core that stands once has no repeated window.
 2. the contexts of cores that stand twice or more meet by core; one that stands twice itself enters once, with weight two. As all of
    a core's contexts share it, it becomes one symbol there, and a window is ``block`` symbols. Suffixes are sorted, and the expansion
-   of the transform's intervals finds the windows that stand twice.
+   of the transform's intervals finds the windows that stand twice. Cores all of whose contexts stand twice need neither.
 3. each text looks up the windows of its runs in what 2 has found, and loses the symbols that are covered.
 
 Texts are written once with the number of their part and read three times; only hashes and contexts of repeated cores are shuffled.
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import materialise, only, small_arrow_batches, utf8_column
-from fieldmark.llm.shards import DOWN, U64, UP, filed, load, mix, new_folder, save
-from fieldmark.llm.words import words_of
+from fieldmark.llm.shards import DOWN, TILE, U64, filed, load, mix, new_folder, running_sums, save
+from fieldmark.llm.words import Words, words_of
 
 #: Bits of an anchor's hash that decide; the others hold its place, so the first of equals wins.
 PLACE_BITS = 24
@@ -154,47 +154,63 @@ class Text(NamedTuple):
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * DOWN.upto(len(self.data) + 1)[start] + (end - start).astype(U64))
 
-    def digest(self, start: int, end: int) -> bytes:
-        return xxhash.xxh3_128_digest(self.data[start:end].tobytes())
+    def strings(self, start: np.ndarray, end: np.ndarray) -> list[memoryview]:
+        """The bytes of these strings, in place."""
+        raw, k = memoryview(self.data.view(np.uint8)), self.data.itemsize
+        return [raw[a:b] for a, b in zip((start * k).tolist(), (end * k).tolist(), strict=True)]
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        return [xxhash.xxh3_128_digest(x) for x in self.strings(start, end)]
 
 
 def read_text(data: np.ndarray) -> Text:
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data if data.dtype == U64 else _BYTE[data]) * UP.upto(len(data)), out=sums[1:])
-    return Text(data, sums)
+    return Text(data, running_sums(data, None if data.dtype == U64 else _BYTE))
+
+
+def anchors_of(text: Text, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """(start, anchor): the starts of windows whose anchor is another one than that of the window before, and these anchors."""
+    n, width, span = len(text.data) - w.length + 1, w.anchor, w.length - w.anchor + 1
+    down, low = DOWN.upto(len(text.data)), U64((1 << PLACE_BITS) - 1)
+    starts, anchors, before = [], [], np.zeros(0, U64)
+    for a in range(0, n, TILE):
+        b = min(a + TILE, n) + span - 1
+        h = mix((text.sums[a + width : b + width] - text.sums[a:b]) * down[a:b])
+        least, k = (h & ~low) | np.arange(a, b, dtype=U64), 1
+        while 2 * k <= span:
+            least = np.minimum(least[:-k], least[k:])
+            k *= 2
+        if span > k:
+            least = np.minimum(least[: k - span], least[span - k :])
+        new = np.flatnonzero(np.diff(least, prepend=before if a else ~least[:1]))
+        starts.append(new + a)
+        anchors.append(least[new] & low)
+        before = least[-1:]
+    return np.concatenate(starts), np.concatenate(anchors).astype(np.int64)
 
 
 def runs_of(text: Text, ends: np.ndarray, w: Windows) -> Runs:
     """The runs of all windows that lie within one document; documents stand end to end."""
-    n, length, width, block = len(text.data), w.length, w.anchor, w.block
-    empty = np.zeros(0, np.int64)
-    none = Runs(empty, empty, empty, empty.astype(U64), empty.astype(U64))
-    if n < length:
-        return none
-    low = U64((1 << PLACE_BITS) - 1)
-    h = mix((text.sums[width:] - text.sums[:-width]) * DOWN.upto(n + 1 - width))
-    least = (h & ~low) | np.arange(len(h), dtype=U64)
-    span, k = length - width + 1, 1
-    while 2 * k <= span:
-        least = np.minimum(least[:-k], least[k:])
-        k *= 2
-    if span > k:
-        least = np.minimum(least[: k - span], least[span - k :])
-    anchor = (least & low).astype(np.int64)
-    inside = np.ones(n + 1, bool)
-    for end in ends:
-        inside[max(end - length + 1, 0) : end] = False
-    start = np.flatnonzero(inside[: len(anchor)])
-    if not len(start):
-        return none
-    anchor = anchor[start]
-    part = (anchor - start) // block
-    cut = np.ones(len(start), bool)
-    cut[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | (start[1:] != start[:-1] + 1)
-    cut = np.flatnonzero(cut)
-    first, last = start[cut], start[np.append(cut[1:], len(start)) - 1]
-    anchor, part = anchor[cut], part[cut]
-    core_at = anchor - block * part
+    n, length, block = len(text.data), w.length, w.block
+    ends = np.asarray(ends, np.int64)
+    begins = np.append(np.zeros(1, np.int64), ends[:-1])[: len(ends)]
+    holds = ends - begins >= length
+    begins, ends = begins[holds], ends[holds]
+    if not len(ends):
+        empty = np.zeros(0, np.int64)
+        return Runs(empty, empty, empty, empty.astype(U64), empty.astype(U64))
+    at, anchors = anchors_of(text, w)
+    # stretches of starts with one anchor in one document
+    first = np.unique(np.concatenate([at, begins, ends - length + 1]))
+    first, last = first[first <= n - length], np.append(first[1:], n - length + 1)[: np.count_nonzero(first <= n - length)] - 1
+    document = np.searchsorted(begins, first, side="right") - 1
+    inside = (document >= 0) & (first <= ends[document] - length)
+    first, last = first[inside], last[inside]
+    anchor = anchors[np.searchsorted(at, first, side="right") - 1]
+    # and with one block of offsets
+    own, part = _expand(-((anchor - first) // block), -((anchor - last) // block))
+    part = -part
+    core_at = anchor[own] - block * part
+    first, last = np.maximum(first[own], core_at - block + 1), np.minimum(last[own], core_at)
     core = mix(text.hashes(core_at, core_at + w.core) + part.astype(U64))
     context = mix(text.hashes(first, last + length) + core + (core_at - first).astype(U64) * U64(1_000_003))
     return Runs(first, last, core_at, core, context)
@@ -208,10 +224,10 @@ class Piece(NamedTuple):
     at: int
 
 
-def pieces_of(texts: list[bytes], w: Windows) -> list[Piece]:
-    """A long document is cut into pieces that overlap by ``length - 1``, so that each window lies in one piece."""
+def pieces_of(texts: list[bytes], w: Windows, words: Words | None = None) -> list[Piece]:
+    """A long document is cut into pieces that overlap by ``length - 1``, so that each window lies in one piece. ``words``: the texts', if known."""
     if w.words:
-        words = words_of(texts)
+        words = words or words_of(texts)
         data, ends = words.hash, np.cumsum(np.bincount(words.row, minlength=len(texts)))
     else:
         data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
@@ -317,14 +333,14 @@ class Found:
         few, many = np.flatnonzero((place_in(cores, core) >= 0) & ~crowded), np.flatnonzero(crowded)
         first, last = [], []
         if len(few):
-            hit = self._look_up(marks, "context", [text.digest(int(runs.first[i]), int(runs.last[i]) + length) for i in few])
+            hit = self._look_up(marks, "context", text.digests(runs.first[few], runs.last[few] + length))
             few, hit = few[hit >= 0], hit[hit >= 0]
             own, k = _expand(marks["begin"][hit], marks["begin"][hit + 1] - 1)
             first.append(runs.first[few[own]] + marks["first"][k])
             last.append(runs.first[few[own]] + marks["last"][k])
         if len(many):
             _, start = _expand(runs.first[many], runs.last[many])
-            start = start[self._look_up(marks, "window", [text.digest(a, a + length) for a in start.tolist()]) >= 0]
+            start = start[self._look_up(marks, "window", text.digests(start, start + length)) >= 0]
             first.append(start)
             last.append(start)
         empty = [np.zeros(0, np.int64)]
@@ -365,17 +381,15 @@ def find_repeats(texts: DataFrame, windows: Windows) -> Found:
                 runs = runs_of(text, ends, windows)
                 few = np.flatnonzero(place_in(known, runs.core.view(np.int64)) >= 0)
                 _, one, n = np.unique(runs.context[few], return_index=True, return_counts=True)
-                columns: list[list] = [[] for _ in range(5)]
-                for i in few[one].tolist():
-                    a, c, b = int(runs.first[i]), int(runs.core_at[i]), int(runs.last[i]) + windows.length
-                    end = c + windows.core
-                    row = (xxhash.xxh3_64_intdigest(text.data[c:end].tobytes()) - (1 << 63), text.digest(a, b), c - a, b - end, text.data[a:c].tobytes() + text.data[end:b].tobytes())
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-                if columns[0]:
-                    hi, lo = _longs(columns[1])
-                    longs = (runs.core[few[one]].view(np.int64), columns[0], hi, lo, n)
-                    arrays = [pa.array(np.full(len(hi), part, np.int32)), *[pa.array(np.asarray(x, np.int64)) for x in longs], *[pa.array(x, pa.int32()) for x in columns[2:4]], pa.array(columns[4], pa.binary())]
+                if len(few):
+                    few = few[one]
+                    first, at, end = runs.first[few], runs.core_at[few], runs.last[few] + windows.length
+                    upto = at + windows.core
+                    core2 = np.array([xxhash.xxh3_64_intdigest(x) for x in text.strings(at, upto)], U64)
+                    hi, lo = _longs(text.digests(first, end))
+                    data = [b"".join(x) for x in zip(text.strings(first, at), text.strings(upto, end), strict=True)]
+                    longs = (runs.core[few].view(np.int64), core2.view(np.int64), hi, lo, n.astype(np.int64))
+                    arrays = [pa.array(np.full(len(few), part, np.int32)), *map(pa.array, longs), *[pa.array(x.astype(np.int32)) for x in (at - first, end - upto)], pa.array(data, pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, PIECE_NAMES)
 
     pieces = materialise(texts.select("part_", "text").mapInArrow(gather, PIECES), "contexts").df
@@ -400,7 +414,7 @@ def find_repeats(texts: DataFrame, windows: Windows) -> Found:
                     if crowd.any():
                         _, start = _expand(runs.first[crowd], runs.last[crowd])
                         _, one, n = np.unique(text.hashes(start, start + windows.length), return_index=True, return_counts=True)
-                        hi, lo = _longs([text.digest(a, a + windows.length) for a in start[one].tolist()])
+                        hi, lo = _longs(text.digests(start[one], start[one] + windows.length))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), part, np.int32)), pa.array(hi), pa.array(lo), pa.array(n.astype(np.int64))], ["part_", "hi", "lo", "n"])
 
         each = materialise(texts.select("part_", "text").mapInArrow(each_window, "part_ int, hi long, lo long, n long"), "windows").df
@@ -409,34 +423,56 @@ def find_repeats(texts: DataFrame, windows: Windows) -> Found:
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = U64 if windows.words else np.uint8
-        held: dict[tuple, list] = {}  # (core, core2, hi, lo): [left, right, symbols, n, parts]
-        last = None
+        # (core, core2, hi, lo): [left, right, symbols, n, parts] for the core at hand, and for those whose suffixes are sorted together
+        own: dict[tuple, list] = {}
+        held: dict[tuple, list] = {}
+        known: list[tuple] = []  # (hi, lo, parts, windows) of contexts that need no sorting
+        core = None
+
+        def settle() -> None:
+            if all(x[3] > 1 for x in own.values()):
+                known.extend((hi, lo, x[4], x[0] + x[1] + 2 - windows.block) for (_, _, hi, lo), x in own.items())
+            else:
+                held.update(own)
+            own.clear()
+
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for part, core, core2, hi, lo, n, left, right, data in zip(*columns, strict=True):
-                if (core, core2) != last and len(held) >= SHARD_CONTEXTS:
-                    yield finish(held)
-                    held = {}
-                last = (core, core2)
-                seen = held.setdefault((core, core2, hi, lo), [left, right, np.frombuffer(data, kind), 0, []])
+            part, *longs = (batch.column(i).to_numpy() for i in range(8))
+            new = np.ones(batch.num_rows, bool)  # the first row of a context
+            new[1:] = np.any([x[1:] != x[:-1] for x in longs[:4]], axis=0)
+            new = np.flatnonzero(new)
+            upto = np.append(new[1:], batch.num_rows)
+            firsts = [x[new].tolist() for x in (*longs[:4], *longs[5:])]
+            for a, b, n, *key, left, right, data in zip(new.tolist(), upto.tolist(), np.add.reduceat(longs[4], new).tolist() if len(new) else [], *firsts, batch.column(8).take(pa.array(new)).to_pylist(), strict=True):
+                if key[:2] != core:
+                    settle()
+                    core = key[:2]
+                    if len(held) >= SHARD_CONTEXTS or len(known) >= CROWD:
+                        yield finish(held, known)
+                        held.clear()
+                        known.clear()
+                seen = own.setdefault(tuple(key), [left, right, np.frombuffer(data, kind), 0, set()])
                 seen[3] += n
-                seen[4].append(part)
-        if held:
-            yield finish(held)
+                seen[4].update(part[a:b].tolist())
+        settle()
+        if held or known:
+            yield finish(held, known)
 
-    def finish(held: dict[tuple, list]) -> pa.RecordBatch:
+    def finish(held: dict[tuple, list], known: list[tuple]) -> pa.RecordBatch:
         marks = solve([(x[0], x[1], x[2], x[3] > 1) for x in held.values()], [k[:2] for k in held], windows.block)
-        out: list[list] = [[] for _ in range(5)]
+        zero, out = np.zeros(1, np.int32).tobytes(), [[] for _ in range(5)]
+        found = [(hi, lo, parts, zero, np.int32(n - 1).tobytes()) for hi, lo, parts, n in known]
         for (_, _, hi, lo), (_, _, _, _, parts), own in zip(held, held.values(), marks, strict=True):
             if own.any():
-                first, last = (x.astype(np.int32).tobytes() for x in _ranges(own))
-                for part in set(parts):
-                    for column, value in zip(out, (part, hi, lo, first, last), strict=True):
-                        column.append(value)
+                found.append((hi, lo, parts, *(x.astype(np.int32).tobytes() for x in _ranges(own))))
+        for hi, lo, parts, first, last in found:
+            for part in parts:
+                for column, value in zip(out, (part, hi, lo, first, last), strict=True):
+                    column.append(value)
         arrays = [pa.array(out[0], pa.int32()), pa.array([1] * len(out[0]), pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["part_", "kind", "hi", "lo", "first", "last"])
 
-    dealt = pieces.select(*PIECE_NAMES).repartition("core", "core2").sortWithinPartitions("core", "core2")
+    dealt = pieces.select(*PIECE_NAMES).repartition("core", "core2").sortWithinPartitions("core", "core2", "hi", "lo")
     marks = dealt.mapInArrow(expand, MARKS)
     if single is not None:
         empty = F.lit(None).cast("binary")
@@ -458,9 +494,9 @@ def find_repeats(texts: DataFrame, windows: Windows) -> Found:
 # --- the operator -------------------------------------------------------------------------------------------------------------
 
 
-def _covered(found: Found, part: int, texts: list[bytes]) -> np.ndarray:
+def _covered(found: Found, part: int, texts: list[bytes], read: Words | None = None) -> np.ndarray:
     """For each symbol of the texts, end to end, whether a window that stands twice covers it."""
-    pieces = pieces_of(texts, found.windows)
+    pieces = pieces_of(texts, found.windows, read)
     edge = np.zeros(pieces[-1].at + len(pieces[-1].text.data) + 1, np.int32)
     for piece in pieces:
         first, last = found.ranges(part, piece)
@@ -495,7 +531,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage_words: int = 51,
             shared = np.zeros(len(own), np.int64)
             if words:
                 read = words_of(own)
-                shared = np.bincount(read.row, _covered(words, part, own), len(own)).astype(np.int64)
+                shared = np.bincount(read.row, _covered(words, part, own, read), len(own)).astype(np.int64)
             columns: list[list] = [[] for _ in names[1:]]
             at = 0
             for text, n in zip(own, shared.tolist(), strict=True):

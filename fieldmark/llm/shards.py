@@ -37,6 +37,20 @@ class Powers:
 
 
 UP, DOWN = Powers(BASE), Powers(INVERSE)
+#: Places that are hashed at a time: what is held of them stays in a core's cache.
+TILE = 1 << 15
+
+
+def running_sums(data: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the symbols (their numbers in the table, if there is one) times powers of the base, before each place and after the last."""
+    n = len(data)
+    sums, up = np.zeros(n + 1, U64), UP.upto(n)
+    for a in range(0, n, TILE):
+        part = data[a : a + TILE]
+        own = sums[a + 1 : a + 1 + len(part)]
+        np.cumsum((part if table is None else table[part]) * up[a : a + TILE], out=own)
+        own += sums[a]
+    return sums
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from fieldmark.llm.common import utf8_column
-from fieldmark.llm.shards import DOWN, U64, UP, mix
+from fieldmark.llm.shards import DOWN, U64, mix, running_sums
 
 #: Bytes of text that are hashed at a time (longer texts are cut at white space), and that are handed on together.
 CHUNK, GROUP = 2 << 20, 8 << 20
@@ -34,8 +34,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_BYTE[raw] * UP.upto(len(raw)), out=sums[1:])
+    sums = running_sums(raw, _BYTE)
     h = (sums[ends] - sums[starts]) * DOWN.upto(len(raw) + 1)[starts]
     return mix(h + (ends - starts).astype(U64)), starts, ends
 

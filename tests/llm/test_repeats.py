@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldmark.llm import repeats
+from fieldmark.llm import repeats, shards
 
 SCHEMA = "doc_id long, text string, n_spans string"
 
@@ -125,6 +125,39 @@ def test_a_line_in_more_contexts_than_are_sorted_together(spark):
     assert sum(x[1] > 0 for x in got.values()) > repeats.CROWD
 
 
+def test_copies_need_no_sorting(spark, monkeypatch):
+    """Cores all of whose contexts stand twice are known without the transform."""
+    import pyspark.cloudpickle as cp
+
+    def solve(contexts, core, block):
+        assert not contexts
+        return []
+
+    monkeypatch.setattr(repeats, "solve", solve)
+    cp.register_pickle_by_value(repeats)
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.random()) for _ in range(40)) for _ in range(5)] * 2
+    try:
+        got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA), 64, 9).collect()}
+    finally:
+        cp.unregister_pickle_by_value(repeats)
+    assert got == dict(enumerate(both(texts, 64, 9)))
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_runs_do_not_depend_on_tiles(monkeypatch, words):
+    texts = [(t or "").encode() for t in corpus(3)]
+    w = repeats.Windows(9 if words else 64, words)
+    runs = lambda: [repeats.runs_of(p.text, p.ends, w) for p in repeats.pieces_of(texts, w)]
+    whole = runs()
+    monkeypatch.setattr(repeats, "TILE", 50)
+    monkeypatch.setattr(shards, "TILE", 7)
+    assert all(np.array_equal(x, y) for a, b in zip(whole, runs(), strict=True) for x, y in zip(a, b, strict=True))
+    assert sum(len(r.first) for r in whole) > 100
+    for r in whole:  # a core starts in its windows' first block and lies in all of them
+        assert (r.first <= r.last).all() and (r.core_at - r.first < w.block).all() and (r.last <= r.core_at).all() and (r.first[1:] > r.last[:-1]).all()
+
+
 def test_a_lost_file_is_an_error(spark):
     df = repeats.materialise(spark.createDataFrame([(1, "0123456789abc" * 3, 0)], "doc_id long, text string, part_ int"), "texts").df
     found = repeats.find_repeats(df, repeats.Windows(8))
