@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,29 +57,37 @@ def joined(words) -> str:
 
 def without_signs(text: Column) -> Column:
     """Texts without marks of their own, and without signs between digits (1,000 and 3.14)."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x05]", " "), r"(\d)[.,:/](?=\d)", "$1")
+    text = F.coalesce(text, F.lit(""))
+    marks = reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in (NAME, NUMBER, UNIT, END, SPELT)])  # rare, and a search for one byte is cheap
+    return F.regexp_replace(F.when(marks, F.regexp_replace(text, r"[\x01-\x05]", " ")).otherwise(text), r"[.,:/](?<=\d[.,:/])(?=\d)", "")
 
 
-def marked(text: Column) -> Column:
-    """Template words of a text; a placeholder is its mark and what it stands for.
+# The patterns begin with what is rare, leave spaces alone, and name a-z, letters too, since these are tried first. A look behind a letter takes in
+# characters beyond 16 bits only if its pattern has one.
+def marked(bare: Column) -> Column:
+    """Template words of a text without signs; a placeholder is its mark and what it stands for.
 
     Numbers are digits, or runs of number words; units are fixed words after digits; names are runs of capitalised words, wherever
     they stand, but for common ones, which may begin sentences. All else is in lower case without punctuation.
     """
-    t = F.regexp_replace(without_signs(text), r"(^|[^\p{L}\p{M}])(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", f"$1{NAME}$2{END}")
-    t = F.regexp_replace(F.lower(t), rf"\x01({joined(COMMON | set(NUMBER_WORDS))})\x04", "$1")
-    t = F.regexp_replace(t, r"\x04[ '-]\x01", END)
+    t = F.regexp_replace(bare, "(?=\\p{Lu}\\p{Ll})(?<![\\p{L}\\p{M}&&[\\x00-\U0010ffff]])(\\p{Lu}[a-z\\p{L}\\p{M}]*)", f"{NAME}$1{END}")
+    common = joined(COMMON | set(NUMBER_WORDS))
+    t = F.regexp_replace(F.lower(t), rf"(?=[\x01\x04])(?:\x01({common})\x04|(\x04)[ '-]\x01(?!(?:{common})\x04))", "$1$2")  # common words are no names; names side by side are one
     t = F.regexp_replace(t, r"\d+", f"{NUMBER}$0{END}")
     t = F.regexp_replace(t, rf"(\x02\d+\x04[ -]{{0,2}})({joined(UNITS)})([^\p{{L}}\p{{M}}]|$)", f"$1 {UNIT}$2$3")
-    t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{Nd}\x01-\x05]+", "  ")  # each word has a space of its own on both sides
-    t = F.regexp_replace(t, rf"(^| )({joined(NUMBER_WORDS)})( |$)", f"$1{NUMBER}$2{SPELT}$3")
-    t = F.regexp_replace(t, r"\x05  \x02([a-z])", f"{SPELT}$1")
-    return F.array_remove(F.split(t, " +"), "")
+    t = F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), r"[^ a-z\p{L}\p{M}\p{Nd}\x01-\x05]+", " ")  # each word has spaces before and behind
+    t = F.regexp_replace(t, rf" (?=[{''.join(sorted({w[0] for w in NUMBER_WORDS}))}])({joined(NUMBER_WORDS)})(?= )", f" {NUMBER}$1{SPELT}")
+    t = F.regexp_replace(t, r"\x05 +\x02([a-z])", f"{SPELT}$1")
+    return _split(t)
 
 
-def plain(text: Column) -> Column:
-    """Words in lower case without punctuation."""
-    return F.array_remove(F.split(F.lower(without_signs(text)), r"[^\p{L}\p{M}\p{Nd}]+"), "")
+def plain(bare: Column) -> Column:
+    """Words of a text without signs, in lower case without punctuation."""
+    return _split(F.regexp_replace(F.lower(bare), r"[^ a-z\p{L}\p{M}\p{Nd}]+", " "))
+
+
+def _split(words: Column) -> Column:
+    return F.array_remove(F.split(words, " "), "")
 
 
 def canonical(words: Column) -> Column:
@@ -91,42 +101,44 @@ def values(words: Column) -> Column:
     return F.transform(words, lambda w: F.coalesce(digits[w], w))
 
 
-# Windows are exploded with the outer form: the plain one makes the optimizer infer a filter on the array, which it pushes below
-# the projection that makes the words, so that they would be made anew for every window.
-def window_hashes(words: str, width: int, form: int) -> Column:
-    """A hash for each window of ``width`` words; one for all words where there are fewer, none without words."""
-    return _windows(words, width, form, F.size(words) > 0)
-
+class Asked(NamedTuple):
+    """Windows of ``n`` words of a column of words, in texts with more than ``over`` words: one for all words where there are fewer than ``n``."""
 
-def short_windows(words: str, n: int, form: int) -> Column:
-    """A hash for each window of ``n`` words, where there are more; that of a whole text of these words."""
-    return _windows(words, n, form, F.size(words) > n)
+    words: str
+    n: int
+    form: int
+    over: int = 0
 
 
-def _windows(words: str, n: int, form: int, where: Column) -> Column:
-    h = lambda i: F.xxhash64(F.lit(form), *[F.get(F.col(words), i + k) for k in range(n)])
-    return F.when(where, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), h)).otherwise(F.array().cast("array<bigint>"))
+# Places are exploded with the outer form: the plain one makes the optimizer infer a filter on the array, which it pushes below the
+# projection that makes the words, so that they would be made anew for every window.
+def window_hashes(df: DataFrame, keep: list[str], asked: list[Asked]) -> DataFrame:
+    """(keep, form, place, h): a hash for each window that is asked for, and the place of its first word.
 
+    Places are exploded and hashed as rows, in compiled code; a function over arrays would be interpreted for every window.
+    """
+    count = lambda a: F.when(F.size(a.words) > a.over, F.greatest(F.size(a.words) - a.n, F.lit(0)) + 1).otherwise(0)
+    ends = [sum((count(b) for b in asked[1 : i + 1]), count(asked[0])).alias(f"end{i}_") for i in range(len(asked))]
+    df = df.select(*keep, *{a.words: None for a in asked}, *ends)
+    df = df.select("*", F.posexplode_outer(F.array_repeat(F.lit(0), F.col(f"end{len(asked) - 1}_"))).alias("at_", "one_")).filter(F.col("at_").isNotNull())
 
-def exploded(df: DataFrame, keep: list[str], arrays: list[Column]) -> DataFrame:
-    """(keep, starts, at, h): the arrays end to end; an array's own places begin at its start."""
-    names = [f"h{i}_" for i in range(len(arrays))]
-    df = df.select(*keep, *[a.alias(n) for a, n in zip(arrays, names, strict=True)])
-    sizes = [F.size(n) for n in names]
-    starts = F.array(*[sum(sizes[:i], F.lit(0)) for i in range(len(sizes))])
-    return df.select(*keep, starts.alias("starts"), F.posexplode_outer(F.concat(*names)).alias("at", "h"))
-
+    def of_piece(value) -> Column:
+        """The value for the first window column whose end is beyond the place."""
+        out = None
+        for i, a in reversed(list(enumerate(asked))):
+            x = value(a, F.col("at_") - F.col(f"end{i - 1}_") if i else F.col("at_"))
+            out = x if out is None else F.when(F.col("at_") < F.col(f"end{i}_"), x).otherwise(out)
+        return out
 
-def which() -> Column:
-    """The last array that starts at the place or before, from 0; empty ones before it start there too."""
-    return F.size(F.filter("starts", lambda x: x <= F.col("at"))) - 1
+    hashed = lambda a, place: F.xxhash64(F.lit(a.form), *[F.get(a.words, place + k) for k in range(a.n)])
+    return df.select(*keep, of_piece(lambda a, _: F.lit(a.form)).alias("form"), of_piece(lambda _, place: place).alias("place"), of_piece(hashed).alias("h"))
 
 
 def item_windows(items: DataFrame, rules: TemplateRules) -> DataFrame:
     """(item_id, form, at, h) of the template windows with enough literal words, and of all plain ones."""
-    df = items.select(F.col("item_id"), canonical(marked(F.col("text"))).alias("w"), plain(F.col("text")).alias("p"))
-    df = exploded(df, ["item_id", "w"], [window_hashes("w", rules.width, TEMPLATE), window_hashes("p", rules.width, PLAIN)])
-    df = df.filter(F.col("h").isNotNull()).select("item_id", "w", which().alias("form"), (F.col("at") - F.get("starts", which())).alias("at"), "h")
+    df = items.select("item_id", without_signs(F.col("text")).alias("text")).select("item_id", canonical(marked(F.col("text"))).alias("w"), plain(F.col("text")).alias("p"))
+    df = df.withColumn("words", F.col("w"))
+    df = window_hashes(df, ["item_id", "words"], [Asked("w", rules.width, TEMPLATE), Asked("p", rules.width, PLAIN)]).withColumnsRenamed({"words": "w", "place": "at"})
     literal = F.size(F.filter(F.slice("w", F.col("at") + 1, rules.width), lambda x: ~x.rlike(r"^[\x01-\x03]")))
     enough = literal >= F.greatest(F.lit(1), F.least(F.lit(rules.literals), F.size("w") - 2))
     return df.filter((F.col("form") == PLAIN) | enough).select("item_id", "form", "at", "h")
@@ -152,14 +164,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
     sizes = windows.groupBy(*item).agg(F.countDistinct("h").alias("n_windows"))
     small = windows.count() <= broadcast_rows
     near = F.broadcast if small else (lambda df: df)
-    lengths = items.select(F.explode(F.array(F.struct(F.lit(TEMPLATE).alias("form"), F.size(marked(F.col("text"))).alias("n")), F.struct(F.lit(PLAIN).alias("form"), F.size(plain(F.col("text"))).alias("n")))).alias("x"))
+    bare = items.select(without_signs(F.col("text")).alias("text"))
+    lengths = bare.select(F.explode(F.array(F.struct(F.lit(TEMPLATE).alias("form"), F.size(marked(F.col("text"))).alias("n")), F.struct(F.lit(PLAIN).alias("form"), F.size(plain(F.col("text"))).alias("n")))).alias("x"))
     short = sorted((r.n, r.form) for r in lengths.select("x.*").filter(F.col("n").between(1, rules.width - 1)).distinct().collect()) if rules.inside else []  # width - 1 lengths of two forms at most
     words = {TEMPLATE: "w", PLAIN: "p"}
-    own = docs.select(*key, canonical(marked(F.col("text"))).alias("w"), plain(F.col("text")).alias("p"))
-    asked = [window_hashes(w, rules.width, form) for form, w in words.items()] + [short_windows(words[form], n, form) for n, form in short]
-    seen = exploded(own, key, asked)
+    own = docs.select(*key, without_signs(F.col("text")).alias("text")).select(*key, canonical(marked(F.col("text"))).alias("w"), plain(F.col("text")).alias("p"))
+    asked = [Asked(w, rules.width, form) for form, w in words.items()] + [Asked(words[form], n, form, over=n) for n, form in short]
+    seen = window_hashes(own, key, asked)
     hashes = windows.select(F.col("h").alias("h_")).distinct()
-    found = materialise(seen.join(near(hashes), F.col("h") == F.col("h_")).select(*key, (F.col("at") - F.get("starts", which())).alias("place"), "h"), "found").df
+    found = materialise(seen.join(near(hashes), F.col("h") == F.col("h_")).select(*key, "place", "h"), "found").df
 
     # an item's windows from the rarest in documents on; all but share of them, and one more, are enough to meet
     df = found.groupBy(F.col("h").alias("h_")).agg(F.count(F.lit(1)).alias("df"))
@@ -180,8 +193,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templat
 
     # plain words have no slots: empty arrays stand for them
     texts = docs.join(full.filter(F.col("f_") == TEMPLATE).select("d_", "t_").distinct(), same, "left_semi").dropDuplicates(key)
-    texts = texts.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), values(marked(F.col("text"))).alias("dw"))
-    words_of = items.select(F.col("item_id").alias("i_"), F.lit(TEMPLATE).alias("f_"), values(marked(F.col("text"))).alias("iw")).dropDuplicates(["i_", "iw"])
+    texts = texts.select(F.col("doc_id").alias("d_"), F.col("text_").alias("t_"), values(marked(without_signs(F.col("text")))).alias("dw"))
+    words_of = items.select(F.col("item_id").alias("i_"), F.lit(TEMPLATE).alias("f_"), values(marked(without_signs(F.col("text")))).alias("iw")).dropDuplicates(["i_", "iw"])
     lines = lines.join(words_of, (F.col("item_id") == F.col("i_")) & (F.col("form") == F.col("f_")), "left").join(texts, same & (F.col("form") == TEMPLATE), "left")
     none = F.array().cast("array<string>")
     lines = lines.withColumns({"iw": F.coalesce("iw", none), "dw": F.coalesce("dw", none)})
