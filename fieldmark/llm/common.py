@@ -10,7 +10,9 @@ import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(at, rows)
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches to about so many bytes of text; a longer text may be one of its own."""
+    for batch in batches:
+        length = pc.binary_length(batch.column(batch.schema.get_field_index("text"))).fill_null(0).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(length) - length) // size, prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def with_chunk(df: DataFrame, name: str = "chunk_") -> DataFrame:
     """Number runs of at most 65,536 neighbouring rows of an input partition; write the result before it is read twice."""
     return df.withColumn(name, F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations_with_replacement
+from itertools import chain, combinations_with_replacement
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import materialise, only, small_arrow_batches
-from fieldmark.llm.words import grouped, words_of
+from fieldmark.llm.common import materialise, only, small_arrow_batches, text_batches
+from fieldmark.llm.words import hashes_at
 
-#: Words that a task remembers; beyond so many it starts anew.
-KNOWN_WORDS = 1_000_000
-#: Punctuation that the tokenizer cuts off a word's letters.
-STOPS = ".,;:!?"
+#: Words that a worker remembers; beyond so many it keeps those that came again.
+KNOWN_WORDS = 2_000_000
+#: Punctuation behind a word's last letter or digit, and the same with a space between them.
+STOPS, APART = r"([a-z0-9ß-öø-ÿ])([!-/:-@\[-`{-~]+(?:[\x20\x09-\x0D]|$))", r"\1 \2"
+#: Words of lower-case letters that are the same in every normal form.
+LETTERS = "^[a-zß-öø-ÿ]+$"
 
 
 @cache
@@ -28,6 +31,7 @@ def tokenizer_of(path: str):
     """The tokenizer, and for each id whether it ends a word; read once by each worker."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     vocabulary = tokenizer.get_vocab()
@@ -36,83 +40,126 @@ def tokenizer_of(path: str):
     return tokenizer, ends_word
 
 
+def letters_of_bytes() -> np.ndarray:
+    """The letter by which the model knows each byte: printable ones are their own, the others follow from U+0100. Spaces stay."""
+    own = np.isin(np.arange(256), [*range(33, 127), *range(161, 173), *range(174, 256)])
+    out = np.where(own, np.arange(256), 255 + np.cumsum(~own)).astype("<u4")
+    out[32] = 32
+    return out
+
+
 class WordIds:
-    """Ids of words between white space, asked of the tokenizer once and then looked up by hash.
+    """Ids of words between white space, asked of the tokenizer once and then looked up by 64-bit hash.
 
     The tokenizer drops white space, never joins characters across it and takes A-Z as a-z, so a text's ids are those of its words in
-    turn. It also takes a run of letters and a run of punctuation each for itself, so a word's ids are those of its letters and
-    its stops.
+    turn. It also takes a run of letters and a run of punctuation each for itself, so punctuation that ends a word is a word of its
+    own here. Each text's ids have ``end_id`` behind them.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         self.tokenizer, self.ends_word = tokenizer_of(path)
-        self.stops: dict[str, bytes] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.hash, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def ask(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; those of letters, with or without stops behind them, are asked in one call."""
-        out: list[bytes] = [b""] * len(words)
-        cores = [w.rstrip(STOPS) for w in words]
-        plain = list(dict.fromkeys(c for c in cores if c.isalpha()))
-        data = b"".join(self.whole(" ".join(plain[at : at + 4000])) for at in range(0, len(plain), 4000))
-        ends = (4 * np.flatnonzero(self.ends_word[np.frombuffer(data, "<u4")]) + 4).tolist()
-        known = {w: data[a:b] for w, a, b in zip(plain, [0, *ends], ends)} if len(ends) == len(plain) else {}
-        for i, (w, core) in enumerate(zip(words, cores, strict=True)):
-            ids = known.get(core)
-            if ids is None:
-                out[i] = self.whole(w)
-            elif len(core) == len(w):
-                out[i] = ids
-            else:
-                tail = w[len(core) :]
-                if tail not in self.stops:
-                    if len(self.stops) >= 10_000:
-                        self.stops.clear()
-                    self.stops[tail] = self.whole(tail)
-                out[i] = ids + self.stops[tail]
+        self.letters = letters_of_bytes()
+        self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # of each word, by hash
+        #: Word i has ids[cuts[i]:cuts[i + 1]]; word 0 is the end. again: whether it came in a second batch.
+        self.count, self.again = 1, np.zeros(1 << 16, bool)
+        self.cuts, self.ids = np.zeros(1 << 16, np.int32), np.full(1 << 18, end_id, np.int32)
+        self.cuts[1] = 1
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ask(self, words: pa.StringArray) -> np.ndarray:
+        """A list of ids for each word. Plain letters go to the model itself, other runs of letters to the tokenizer in one call for many."""
+        data, plain = words.cast(pa.binary()).to_numpy(zero_copy_only=False), pc.match_substring_regex(words, LETTERS).to_numpy(zero_copy_only=False)
+        out, tokenize = np.empty(len(data), object), self.tokenizer.model.tokenize
+        names = self.letters[np.frombuffer(b" ".join(data[plain]), np.uint8)].tobytes().decode("utf-32-le").split(" ")
+        for i, w in zip(np.flatnonzero(plain).tolist(), names):
+            out[i] = [t.id for t in tokenize(w)]
+        others = {i: data[i].decode("utf-8", "replace") for i in np.flatnonzero(~plain).tolist()}
+        runs, rest = [i for i, w in others.items() if w.isalpha()], [i for i, w in others.items() if not w.isalpha()]
+        for at in range(0, len(runs), 1000):
+            some = runs[at : at + 1000]
+            ids = self.whole([" ".join(others[i] for i in some)])[0]
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                for i, a, b in zip(some, [0, *ends], ends):
+                    out[i] = ids[a:b]
+            else:  # a letter that is more than a letter in lower case
+                rest += some
+        for i, ids in zip(rest, self.whole([others[i] for i in rest]), strict=True):
+            out[i] = ids
         return out
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Remember new words; their hashes ascend."""
+    def learn(self, words: pa.StringArray) -> None:
+        """Remember new words under the next numbers."""
         found = self.ask(words)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        data = np.frombuffer(b"".join(found), "<u4")
-        if self.used + len(data) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(len(data) + self.used // 2, "<u4")])
-        self.ids[self.used : self.used + len(data)] = data
-        start = np.cumsum(size) - size + self.used
-        self.used += len(data)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        first, used = self.count, int(self.cuts[self.count])
+        self.count, total = first + len(found), used + int(size.sum())
+        if self.count >= len(self.cuts):
+            self.cuts, self.again = (np.concatenate([x[: first + 1], np.zeros(self.count, x.dtype)]) for x in (self.cuts, self.again))
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(total, np.int32)])
+        self.cuts[first + 1 : self.count + 1] = used + np.cumsum(size)
+        self.ids[used:total] = np.fromiter(chain.from_iterable(found), np.int32, total - used)
+        self.again[first : self.count] = False
+
+    def lists(self) -> pa.ListArray:
+        """The ids of each number."""
+        return pa.ListArray.from_arrays(pa.array(self.cuts[: self.count + 1]), pa.array(self.ids[: self.cuts[self.count]]))
+
+    def forget(self) -> None:
+        """Keep the words that came again since the last time, or none if these are many too."""
+        kept = np.flatnonzero(self.again[: self.count])
+        kept = np.append(0, kept if len(kept) <= KNOWN_WORDS // 2 else kept[:0])
+        ids, renumbered = self.lists().take(pa.array(kept)), np.zeros(self.count, np.int32)
+        renumbered[kept] = np.arange(len(kept))
+        number = renumbered[self.number]
+        self.hash, self.number = self.hash[number > 0], number[number > 0]
+        self.count = len(kept)
+        self.cuts[: self.count + 1] = ids.offsets.to_numpy()
+        self.ids[: len(ids.values)] = ids.values.to_numpy()
+        self.again[: self.count] = False
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ascending hashes, and which of them are there."""
         at = np.searchsorted(self.hash, hashes)
-        self.hash, self.start, self.size = (np.insert(old, at, new) for old, new in ((self.hash, hashes), (self.start, start), (self.size, size)))
-
-    def _unknown(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hash):
-            return np.ones(len(hashes), bool)
-        return self.hash[np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)] != hashes
-
-    def of_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text."""
-        words = words_of(texts)
-        unique, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        new = self._unknown(unique)
-        if len(self.hash) + np.count_nonzero(new) > KNOWN_WORDS:
-            self.clear()
-            new[:] = True
-        at = first[new]
-        self.learn(unique[new], [words.data[a:b].decode("utf-8", "replace") for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
-        place = np.searchsorted(self.hash, unique)
-        size = self.size[place][back]
-        ends = np.cumsum(size)
-        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[place][back] - (ends - size), size)]
-        cuts = np.concatenate([[0], ends])[np.searchsorted(words.row, np.arange(len(texts) + 1))].tolist()
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return at, np.append(self.hash, 0)[at] == hashes if len(self.hash) else np.zeros(len(hashes), bool)
+
+    def numbers(self, words: pa.StringArray) -> np.ndarray:
+        """The numbers of different words; those that are new are asked for."""
+        _, cuts, data = words.buffers()
+        cuts = np.frombuffer(cuts, np.int32)[: len(words) + 1].astype(np.int64)
+        hashes = hashes_at(np.frombuffer(data if cuts[-1] else b"", np.uint8)[: cuts[-1]], cuts[:-1], cuts[1:])
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        at, found = self.find(hashes)
+        if len(self.hash) + np.count_nonzero(~found) > KNOWN_WORDS:
+            self.forget()
+            at, found = self.find(hashes)
+        number = np.empty(len(words), np.int32)
+        number[found] = self.number[at[found]]
+        number[~found] = np.arange(np.count_nonzero(~found)) + self.count
+        self.again[number[found]] = True
+        self.learn(words.take(pa.array(order[~found])))
+        self.hash, self.number = (np.insert(x, at[~found], new[~found]) for x, new in ((self.hash, hashes), (self.number, number)))
+        out = np.empty_like(number)
+        out[order] = number
+        return out
+
+    def of_all(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text and the end; a null text is empty."""
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts.cast(pa.string()).fill_null("")), STOPS, APART))
+        words, ends = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()[1:]
+        number = self.numbers(words.dictionary)[words.indices.to_numpy()]
+        ids = self.lists().take(pa.array(np.insert(number, ends, 0)))
+        return pa.ListArray.from_arrays(ids.offsets.take(pa.array(np.append(0, ends + np.arange(len(ends)) + 1))), ids.values)
+
+
+@cache
+def known_words(tokenizer: str, end_id: int) -> WordIds:
+    """What a worker knows of words' ids; its tasks share it."""
+    return WordIds(tokenizer, end_id)
 
 
 class Recipe(NamedTuple):
@@ -238,23 +285,23 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     docs = only(docs, "doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part_ int, local_ long"
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part_", "local_"]
-    end = np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, part = WordIds(tokenizer_path), TaskContext.get().partitionId()
+        known, part = known_words(tokenizer_path, end_id), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch, texts in grouped(batches):
+        for batch in text_batches(batches):
             rows: list[list] = [[] for _ in names]
             at: list[int] = []
-            for i, found in enumerate(ids.of_all(texts)):
-                data = found.tobytes() + end
-                for piece, a in enumerate(range(0, len(data), 4 * capacity)):
-                    cut = data[a : a + 4 * capacity]
-                    n = len(cut) // 4
+            ids = known.of_all(batch.column(batch.schema.get_field_index("text")))
+            data, cuts = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy().tolist()
+            for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
+                for piece, a in enumerate(range(start, end, capacity)):
+                    cut = data[a : min(a + capacity, end)]
+                    n = len(cut)
                     at.append(i)
-                    for column, value in zip(rows[1:], (piece, a // 4, n, zlib.crc32(cut), part, int(seen[n])), strict=True):
+                    for column, value in zip(rows[1:], (piece, a - start, n, zlib.crc32(cut), part, int(seen[n])), strict=True):
                         column.append(value)
                     seen[n] += 1
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

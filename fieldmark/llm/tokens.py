@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import only, shared_dir, small_arrow_batches, small_batches, utf8_column
-from fieldmark.llm.packing import WordIds
+from fieldmark.llm.common import only, shared_dir, small_arrow_batches, text_batches
+from fieldmark.llm.packing import known_words
 from fieldmark.llm.vectors import batch_of
 
 STORED = "part int, at long, doc_id long, n_tokens int, ids array<int>"
@@ -22,24 +21,16 @@ STORED = "part int, at long, doc_id long, n_tokens int, ids array<int>"
 RUN = 1000
 
 
-@cache
-def known_words(tokenizer: str) -> WordIds:
-    """What a worker knows of words' ids; its tasks share it."""
-    return WordIds(tokenizer)
-
-
 def encoded(texts: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """The ids of each text and ``end_id``, with the task's number and the ids before the text in it; order is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, at = known_words(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches):
-            rows = [np.append(ids, end_id).astype(np.int32) for ids in known.of_all(utf8_column(batch, "text"))]
-            size = np.fromiter(map(len, rows), np.int64, len(rows))
-            ends = np.cumsum(size)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
-            yield batch_of([("part", pa.array(np.full(len(rows), part, np.int32))), ("at", pa.array(at + ends - size)), ("doc_id", batch.column("doc_id")), ("n_tokens", pa.array(size.astype(np.int32))), ("ids", lists)])
-            at += int(size.sum())
+        known, part, at = known_words(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        for batch in text_batches(batches):
+            ids = known.of_all(batch.column(batch.schema.get_field_index("text")))
+            ends = ids.offsets.to_numpy().astype(np.int64)
+            yield batch_of([("part", pa.array(np.full(len(ids), part, np.int32))), ("at", pa.array(at + ends[:-1])), ("doc_id", batch.column("doc_id")), ("n_tokens", pa.array(np.diff(ends).astype(np.int32))), ("ids", ids)])
+            at += int(ends[-1])
 
     return texts.mapInArrow(run, STORED)
 
@@ -82,11 +73,11 @@ def checksums(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            data, cuts = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy().tolist()
+            data, cuts = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy().tolist()
             size = np.diff(cuts)
             if not np.array_equal(size, batch.column("n_tokens").to_numpy(zero_copy_only=False)):
                 raise ValueError("the stored number of ids and the ids that were read differ")
-            sums = [zlib.crc32(data[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+            sums = [zlib.crc32(data[a:b]) for a, b in zip(cuts, cuts[1:])]
             yield batch_of([("part", batch.column("part")), ("at", batch.column("at")), ("doc_id", batch.column("doc_id")), ("n_tokens", pa.array(size.astype(np.int64))), ("ids_crc32", pa.array(sums, pa.int64()))])
 
     return rows.mapInArrow(run, "part int, at long, doc_id long, n_tokens long, ids_crc32 long")

@@ -29,14 +29,19 @@ class Words(NamedTuple):
     data: bytes
 
 
+def hashes_at(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of these runs of bytes; A-Z count as a-z."""
+    sums = running_sums(raw, _BYTE)
+    h = (sums[ends] - sums[starts]) * DOWN.upto(len(raw) + 1)[starts]
+    return mix(h + (ends - starts).astype(U64))
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends) of the words between ASCII white space; A-Z count as a-z. Equal hashes are taken for equal words."""
     raw = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
-    sums = running_sums(raw, _BYTE)
-    h = (sums[ends] - sums[starts]) * DOWN.upto(len(raw) + 1)[starts]
-    return mix(h + (ends - starts).astype(U64)), starts, ends
+    return hashes_at(raw, starts, ends), starts, ends
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -3,11 +3,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmark.llm import queries, tokens
+from fieldmark.llm import packing, queries, tokens
 
 P = pytest.importorskip("public_tokenizers")
 TOKENIZER = P.path("word_bpe_49k.json")
@@ -74,6 +75,23 @@ def test_starts_over_many_parts(spark, monkeypatch):
     assert {r["part_"]: r["before_"] for r in tokens.starts_of_parts(rows).collect()} == {p: sum(x for q, x in last.items() if q < p) for p in last}
 
 
+def test_words_are_asked_once(monkeypatch):
+    """Words that come again stay known past the limit, with any punctuation behind them, and all ids are the tokenizer's."""
+    asked, ask = [], packing.WordIds.ask
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 1000)
+    monkeypatch.setattr(packing.WordIds, "ask", lambda self, words: asked.extend(words.to_pylist()) or ask(self, words))
+    known = packing.WordIds(TOKENIZER, 1)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    common = [*map(name, range(200)), "don't", "3.14", "éß", "É", "漢字", "=\u0338"]
+    for turn in range(30):
+        rare = [name(1000 + 100 * turn + i) for i in range(100)]
+        texts = [None, "", " ".join(f"{w}{'.,;!***'[turn % 7]}" for w in common), f"  {' '.join(rare)}\n{common[turn].upper()}?!"]
+        assert known.of_all(pa.array(texts)).to_pylist() == [ids_of(t).tolist() for t in texts]
+        assert len(known.hash) <= 1000 == packing.KNOWN_WORDS
+    assert len(asked) <= 30 * 100 + 200 + 100
+    assert max(map(asked.count, common[:200])) == 1
+
+
 def test_stripes_and_pruning(spark, tmp_path):
     rng = np.random.default_rng(3)
     ids = rng.permutation(100_000)[:20_000] * 1_000
