@@ -19,7 +19,7 @@ from fieldmark.llm.common import materialise, only, small_arrow_batches, text_ba
 from fieldmark.llm.words import hashes_at
 
 #: Words that a worker remembers; beyond so many it keeps those that came again.
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 1_500_000
 #: Punctuation behind a word's last letter or digit, and the same with a space between them.
 STOPS, APART = r"([a-z0-9ß-öø-ÿ])([!-/:-@\[-`{-~]+(?:[\x20\x09-\x0D]|$))", r"\1 \2"
 #: Words of lower-case letters that are the same in every normal form.
@@ -124,7 +124,7 @@ class WordIds:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of ascending hashes, and which of them are there."""
         at = np.searchsorted(self.hash, hashes)
-        return at, np.append(self.hash, 0)[at] == hashes if len(self.hash) else np.zeros(len(hashes), bool)
+        return at, self.hash[np.minimum(at, len(self.hash) - 1)] == hashes if len(self.hash) else np.zeros(len(hashes), bool)
 
     def numbers(self, words: pa.StringArray) -> np.ndarray:
         """The numbers of different words; those that are new are asked for."""
